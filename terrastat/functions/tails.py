@@ -13,10 +13,18 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
 TINY = 1e-300
 
 
+def _each(fn, x):
+    x = np.asarray(x, float)
+    return np.array([fn(v) for v in x.ravel()]).reshape(x.shape)
+
+
+def _lgamma(x):
+    return _each(math.lgamma, x)
+
+
 def _beta_fraction(a, b, x):
     """Continued fraction of the incomplete beta function (modified Lentz)."""
     c = np.ones_like(x)
@@ -97,13 +105,12 @@ def chi2_tail(x, df):
 def normal_quantile(p):
     """Inverse normal distribution function by safeguarded Newton steps on erfc."""
     p = np.atleast_1d(np.asarray(p, float))
-    erfc = np.vectorize(math.erfc, otypes=[float])
     q = np.minimum(p, 1.0 - p)
     with np.errstate(divide="ignore", invalid="ignore"):
         t = np.sqrt(-2.0 * np.log(q))
         x = np.where(q > 0.25, (0.5 - q) * math.sqrt(2 * math.pi), t - np.log(np.maximum(t, 1.0)) / t)
         for _ in range(60):
-            tail = 0.5 * erfc(x / math.sqrt(2.0))
+            tail = 0.5 * _each(math.erfc, x / math.sqrt(2.0))
             dens = np.exp(-0.5 * x * x) / math.sqrt(2 * math.pi)
             step = np.clip((tail - q) / dens, -0.5, 0.5)
             x = x + step

@@ -151,10 +151,47 @@ def share_of_group_max(df: DataFrame, value: str, by: Sequence[str], out: str) -
     return df.withColumn(out, F.when(top > 0, F.col(value) / top).otherwise(F.col(value)))
 
 
-def rolling_mean(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, window: int) -> DataFrame:
-    """Centred moving average over ``window`` rows; outside the series counts as zero."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-((window - 1) // 2), window // 2)
-    return df.withColumn("smooth", F.sum(value).over(w) / F.lit(float(window)))
+def positions(df: DataFrame, order: str, tie: str, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``_pos`` (from 0) and ``_total``: the place of each row in its group by ``order``, ties by a unique id."""
+    by = list(by)
+    first = value_counts_before(df, order, by).select(*by, order, F.col("_below").alias("_start"), "_total")
+    within = value_counts_before(df, tie, [*by, order]).select(*by, order, tie, F.col("_below").alias("_inside"))
+    return (
+        df.join(within, [*by, order, tie])
+        .join(first, [*by, order])
+        .withColumn("_pos", F.col("_start") + F.col("_inside"))
+        .drop("_start", "_inside")
+    )
+
+
+def running_sum(df: DataFrame, value: str, by: Sequence[str] = (), buckets: int = 256) -> DataFrame:
+    """Add ``_sum``: running total of ``value`` along ``_pos``."""
+    by = list(by)
+    rows = df.withColumn("_b", F.floor(F.col("_pos") * buckets / F.col("_total")).cast("int"))
+    offsets = _offsets(rows.groupBy(*by, "_b").agg(F.sum(value).alias("_n")), by, "_b").select(*by, "_b", "_before")
+    w = Window.partitionBy(*by, "_b").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        rows.join(offsets, [*by, "_b"])
+        .withColumn("_sum", F.col("_before") + F.sum(value).over(w))
+        .drop("_b", "_before")
+    )
+
+
+def rolling_mean(df: DataFrame, by: Sequence[str], order: str, tie: str, value: str, window: int) -> DataFrame:
+    """Centred moving average over ``window`` rows; outside the series counts as zero.
+
+    A difference of two running totals, so neither a long series nor a wide
+    window needs a task of its own.
+    """
+    by = list(by)
+    left, right = window // 2, (window - 1) // 2
+    sums = running_sum(positions(df.select(*by, order, tie, value), order, tie, by), value, by)
+    upper = sums.select(*by, F.col("_pos").alias("_hi"), F.col("_sum").alias("_upper"))
+    lower = sums.select(*by, F.col("_pos").alias("_lo"), F.col("_sum").alias("_lower"))
+    rows = sums.withColumn("_hi", F.least(F.col("_pos") + right, F.col("_total") - 1)).withColumn("_lo", F.col("_pos") - left - 1)
+    smooth = (F.col("_upper") - F.coalesce("_lower", F.lit(0.0))) / float(window)
+    joined = rows.join(upper, [*by, "_hi"]).join(lower, [*by, "_lo"], "left")
+    return joined.select(*by, order, tie, value, smooth.alias("smooth"))
 
 
 def normal_scores(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
