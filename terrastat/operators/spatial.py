@@ -474,7 +474,8 @@ def fit_variogram(
     )
     fitted = s.withColumn("sill", sill).withColumn("nugget", nugget).withColumn("sse", sse)
     group = [*keys, "model"] if per_model else keys
-    best = Window.partitionBy(*group).orderBy(F.round("sse", 9), "model", "reach")
+    misfit = F.round(F.coalesce(F.try_divide(F.col("sse"), F.col("_syy")), F.lit(0.0)), 10)
+    best = Window.partitionBy(*group).orderBy(misfit, "model", "reach")
     return (
         fitted.withColumn("_r", F.row_number().over(best))
         .filter(F.col("_r") == 1)

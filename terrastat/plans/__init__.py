@@ -1,6 +1,16 @@
 """Every operator bound to the given tables."""
 
-from terrastat.plans import sources_q, prep_q, joins_q, summary_q, windows_q, functions_q  # noqa: F401
+from terrastat.plans import (  # noqa: F401
+    functions_q,
+    joins_q,
+    learning_q,
+    mixed_q,
+    prep_q,
+    sources_q,
+    spatial_q,
+    summary_q,
+    windows_q,
+)
 from terrastat.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -115,18 +115,19 @@ l_quantity * 1500e0 + l_extendedprice / 2e0 AS pred, l_extendedprice * (1 - l_di
 
 
 def points(t: Tables) -> DataFrame:
+    """Places with a value that varies smoothly in space beside its own noise."""
     e = F.col("embedding")
     return t.embeddings.select(
         F.col("vec_id").alias("id"),
         e[0].cast("double").alias("x"),
         e[1].cast("double").alias("y"),
-        e[2].cast("double").alias("v"),
+        (F.sin(e[0].cast("double") * 8.0) + F.cos(e[1].cast("double") * 6.0) / 2.0 + e[2].cast("double")).alias("v"),
         "label",
     )
 
 
 POINTS = """(SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y,
-CAST(embedding[3] AS DOUBLE) AS v, label FROM embeddings)"""
+sin(CAST(embedding[1] AS DOUBLE) * 8e0) + cos(CAST(embedding[2] AS DOUBLE) * 6e0) / 2e0 + CAST(embedding[3] AS DOUBLE) AS v, label FROM embeddings)"""
 
 
 FEATURES = ["f1", "f2", "f3", "f4"]

@@ -96,11 +96,11 @@ def _(t):
 
 @query(
     "win_08_rolling_mean",
-    f"SELECT o_orderstatus, o_orderkey, {r('sum(o_totalprice) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey, o_orderkey ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING) / 24', 3)} AS smooth FROM orders",
+    f"SELECT o_orderstatus, o_orderkey, {r('sum(o_totalprice) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey, o_orderkey ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) / 25', 2)} AS smooth FROM orders",
 )
 def _(t):
-    d = ranks.rolling_mean(t.orders, ["o_orderstatus"], "o_custkey", "o_orderkey", "o_totalprice", 24)
-    return rnd(d.select("o_orderstatus", "o_orderkey", "smooth"), 3, "smooth")
+    d = ranks.rolling_mean(t.orders, ["o_orderstatus"], "o_custkey", "o_orderkey", "o_totalprice", 25)
+    return rnd(d.select("o_orderstatus", "o_orderkey", "smooth"), 2, "smooth")
 
 
 @query("win_10_normal_scores")
