@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from terrastat.config import CLASS_BREAKS, CLASS_LABELS
 from terrastat.functions.scalar import right_closed_bin
 from terrastat.operators.summary import pearson_pairs
+from terrastat.session import local_table
 
 COMPLETE, INSUFFICIENT = "complete", "insufficient"
 
@@ -50,7 +51,7 @@ def eigen_table(spark: SparkSession, values: np.ndarray) -> DataFrame:
     """Eigenvalue, percentage and running percentage of each component."""
     total = float(values.sum())
     rows = [(i + 1, float(v), 100.0 * float(v) / total) for i, v in enumerate(values)]
-    df = spark.createDataFrame(rows, "dim int, eigenvalue double, percentage double")
+    df = local_table(spark, rows, "dim int, eigenvalue double, percentage double")
     w = Window.partitionBy(F.lit(0)).orderBy("dim").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn("cumulative", F.sum("percentage").over(w))
 
@@ -62,7 +63,7 @@ def coordinate_table(spark: SparkSession, columns: Sequence[str], values: np.nda
         for i, c in enumerate(columns)
         for d in range(len(values))
     ]
-    return spark.createDataFrame(rows, "variable string, dim int, loading double, coord double")
+    return local_table(spark, rows, "variable string, dim int, loading double, coord double")
 
 
 def principal_components(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:

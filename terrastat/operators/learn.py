@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from terrastat.functions.scalar import hash_uniform, poisson_one
 from terrastat.operators.ranks import assign_folds, sample_rows
 from terrastat.operators.summary import exact_percentiles, to_long
-from terrastat.session import cut_lineage
+from terrastat.session import cut_lineage, local_table
 
 # ------------------------------------------------------ train-only statistics
 
@@ -62,7 +62,7 @@ def training_levels(df: DataFrame, categorical: Sequence[str], fold: str, k: int
 def fit_statistics(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
     """``feature, kind, value`` of a training table: medians, modes and sorted levels."""
     med = exact_percentiles(to_long(df, numeric), "value", [0.5], ["variable"])
-    names = df.sparkSession.createDataFrame([(c,) for c in numeric], "variable string")
+    names = local_table(df.sparkSession, [(c,) for c in numeric], "variable string")
     out = names.join(med, "variable", "left").select(
         F.col("variable").alias("feature"), F.lit("median").alias("kind"), F.coalesce("percentile", F.lit(0.0)).cast("string").alias("value")
     )
@@ -178,7 +178,7 @@ def nested_cv(
         part = model.transform(held).select(*ids, F.lit(f).alias("fold"), F.col(label).cast("double").alias("obs"), F.col("prediction").alias("pred"))
         predictions = part if predictions is None else predictions.unionByName(part)
         chosen.append((f, best["trees"], best["depth"], best["leaf"], best["subset"], float(min(scores))))
-    best_df = spark.createDataFrame(chosen, "fold int, trees int, depth int, leaf int, subset string, inner_rmse double")
+    best_df = local_table(spark, chosen, "fold int, trees int, depth int, leaf int, subset string, inner_rmse double")
     return predictions, best_df
 
 
@@ -317,7 +317,7 @@ def importances(model: PipelineModel, features: Sequence[str]) -> DataFrame:
     from pyspark.sql import SparkSession
 
     v = model.stages[-1].featureImportances.toArray()
-    return SparkSession.active().createDataFrame([(f, float(x)) for f, x in zip(features, v)], "feature string, importance double")
+    return local_table(SparkSession.active(), [(f, float(x)) for f, x in zip(features, v)], "feature string, importance double")
 
 
 def dependence_rows(phi: DataFrame, n_top: int, exclude: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:

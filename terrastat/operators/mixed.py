@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from terrastat.functions.scalar import code_lookup, factor_index
 from terrastat.functions.tails import chi2_tail
+from terrastat.session import local_table
 
 FACTORS = ("site", "lc", "depth")
 MAIN = [("site",), ("lc",), ("depth",)]
@@ -126,6 +127,15 @@ class Sums:
     ct: np.ndarray  # pattern x depth x 2: counts times (sum y, sum code*y)
     tt: np.ndarray  # pattern x 3: squares and product of (sum y, sum code*y)
 
+    def __post_init__(self):
+        group = self.site * len(self.design.covers) + self.cover  # patterns come sorted by group
+        self.bounds = np.searchsorted(group, np.arange(len(self.design.sites) * len(self.design.covers) + 1))
+        self.values = np.hstack([self.cc.reshape(len(group), -1), self.ct[:, :, 0], self.ct[:, :, 1]])
+
+    def per_group(self, weights: np.ndarray) -> np.ndarray:
+        """Sums of the pattern values of each site x cover under several weights: group x weight x value."""
+        return np.stack([weights[:, lo:hi] @ self.values[lo:hi] for lo, hi in itertools.pairwise(self.bounds)])
+
 
 def pattern_sums(df: DataFrame, design: Design) -> DataFrame:
     """Per site, cover and (n, Z'Z) of the plots: summed cross products."""
@@ -173,7 +183,7 @@ def collect_sums(df: DataFrame, design: Design) -> Sums:
             raise ValueError("missing response or a factor value outside the declared levels")
         cell_n[r["s"], r["l"], r["d"]], cell_y[r["s"], r["l"], r["d"]] = r["n"], r["sy"]
         yy += r["syy"]
-    p = pattern_sums(df, design).toPandas()
+    p = pattern_sums(df, design).toArrow().to_pandas().sort_values(["s", "l"], ignore_index=True)
     cc = np.zeros((len(p), k, k))
     for i in range(k):
         for j in range(i, k):
@@ -224,16 +234,13 @@ def _profile(sums: Sums, x: np.ndarray, rel: np.ndarray, reml: bool):
     a01 = (g[:, 0, 1] * m00 - g[:, 0, 0] * m01) / det
     a11 = (g[:, 1, 1] * m00 - g[:, 0, 1] * m01) / det
     logdet = float(sums.plots @ np.log(det))
-    b = np.stack([np.ones(k), code], axis=1)
     both = code[:, None] + code[None, :]
     prod = code[:, None] * code[None, :]
-    weight = a00[:, None, None] + a01[:, None, None] * both + a11[:, None, None] * prod
-    group = sums.site * nl + sums.cover
-    inner = np.zeros((ns * nl, k, k))
-    np.add.at(inner, group, weight * sums.cc)
-    lift = np.stack([a00[:, None] * sums.ct[:, :, 0] + a01[:, None] * sums.ct[:, :, 1], a01[:, None] * sums.ct[:, :, 0] + a11[:, None] * sums.ct[:, :, 1]], axis=-1)
-    side = np.zeros((ns * nl, k))
-    np.add.at(side, group, (lift * b[None]).sum(axis=2))
+    w00, w01, w11 = sums.per_group(np.stack([a00, a01, a11])).transpose(1, 0, 2)
+    c00, c01, c11 = (w[:, : k * k].reshape(-1, k, k) for w in (w00, w01, w11))
+    inner = c00 + c01 * both + c11 * prod
+    t0, t1 = slice(k * k, k * k + k), slice(k * k + k, None)
+    side = w00[:, t0] + w01[:, t1] + code * (w01[:, t0] + w11[:, t1])
     cells = x.reshape(ns * nl, k, -1)
     full = -inner
     full[:, np.arange(k), np.arange(k)] += sums.cell_n.reshape(ns * nl, k)
@@ -351,7 +358,7 @@ def fit(sums: Sums, terms: Sequence[tuple], structure: str = "D", reml: bool = T
 
 def coefficient_table(spark: SparkSession, f: Fit) -> DataFrame:
     rows = [(i, n, float(b), float(math.sqrt(v))) for i, (n, b, v) in enumerate(zip(f.names, f.beta, np.diag(f.cov)))]
-    return spark.createDataFrame(rows, "i int, term string, estimate double, se double")
+    return local_table(spark, rows, "i int, term string, estimate double, se double")
 
 
 def variance_table(spark: SparkSession, f: Fit) -> DataFrame:
@@ -369,7 +376,7 @@ def variance_table(spark: SparkSession, f: Fit) -> DataFrame:
             r = float(d[0, 1] / (sd[0] * sd[1])) if sd[0] * sd[1] > 0 else 0.0
             rows.append((str(label), "intercept", "slope", float(d[0, 1]), r, bool(abs(r) > 0.99)))
     rows.append(("residual", "", "", f.sigma2, math.sqrt(f.sigma2), False))
-    return spark.createDataFrame(rows, "grp string, term1 string, term2 string, variance double, sd_or_correlation double, at_boundary boolean")
+    return local_table(spark, rows, "grp string, term1 string, term2 string, variance double, sd_or_correlation double, at_boundary boolean")
 
 
 def is_singular(f: Fit) -> bool:
@@ -382,7 +389,7 @@ def is_singular(f: Fit) -> bool:
 def criteria_table(spark: SparkSession, fits: dict[str, Fit]) -> DataFrame:
     """Parameters, log-likelihood, AIC, BIC by samples and by plots, and differences to the best."""
     rows = [(k, f.n_params, f.loglik, f.sums.n_obs, f.sums.n_plots, is_singular(f) if f.structure != "N" else False) for k, f in fits.items()]
-    df = spark.createDataFrame(rows, "model string, k int, loglik double, n_obs long, n_plots long, singular boolean")
+    df = local_table(spark, rows, "model string, k int, loglik double, n_obs long, n_plots long, singular boolean")
     return information_criteria(df)
 
 
@@ -402,7 +409,7 @@ def lr_table(spark: SparkSession, tests: Sequence[tuple[str, Fit, Fit]]) -> Data
     for term, full, reduced in tests:
         chi2, df = 2 * (full.loglik - reduced.loglik), len(full.beta) - len(reduced.beta)
         rows.append((term, float(chi2), df, float(chi2_tail(max(chi2, 0.0), df))))
-    return spark.createDataFrame(rows, "term string, chi2 double, df int, p double")
+    return local_table(spark, rows, "term string, chi2 double, df int, p double")
 
 
 def retained_structure(fits: dict[str, Fit], forced: str | None = None) -> str:
@@ -422,7 +429,7 @@ def cell_predictions(spark: SparkSession, f: Fit) -> DataFrame:
     cells = list(itertools.product(d.sites, d.covers, d.depths))
     types = [("string" if isinstance(v[0], str) else "int") for v in (d.sites, d.covers, d.depths)]
     schema = f"{d.site} {types[0]}, {d.lc} {types[1]}, {d.depth} {types[2]}, fixed double"
-    return spark.createDataFrame([(*c, float(v)) for c, v in zip(cells, f.x @ f.beta)], schema)
+    return local_table(spark, [(*c, float(v)) for c, v in zip(cells, f.x @ f.beta)], schema)
 
 
 def fixed_fitted(df: DataFrame, f: Fit) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from terrastat.config import EXCLUDED_SHARE_WARNING
 from terrastat.functions.scalar import code_lookup, decimal_comma
+from terrastat.session import local_table
 
 
 def convert_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
@@ -19,7 +20,7 @@ def convert_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
 
 def unmatched_keys(df: DataFrame, column: str, mapping: Mapping, upper: bool = False) -> DataFrame:
     """Distinct values that the code map does not know."""
-    known = df.sparkSession.createDataFrame([(k,) for k in mapping], f"_key {df.schema[column].dataType.simpleString()}")
+    known = local_table(df.sparkSession, [(k,) for k in mapping], f"_key {df.schema[column].dataType.simpleString()}")
     key = F.upper(F.col(column)) if upper else F.col(column)
     return df.filter(F.col(column).isNotNull()).select(column).distinct().join(known, key == F.col("_key"), "left_anti")
 
@@ -118,7 +119,7 @@ def against_reference(means: DataFrame, panel: Sequence[str], idx: str, label: s
 def align_weights(weights: DataFrame, name: str, weight: str, mapping: Mapping[str, str]) -> DataFrame:
     """Weights under their score names in the declared order; a missing weight is an error."""
     spark = weights.sparkSession
-    want = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(mapping.items())], f"position int, {name} string, score string")
+    want = local_table(spark, [(i, k, v) for i, (k, v) in enumerate(mapping.items())], f"position int, {name} string, score string")
     aligned = want.join(weights.select(name, weight), name, "left")
     checked = F.when(F.col(weight).isNull(), F.raise_error(F.concat(F.lit("missing weight: "), F.col(name)))).otherwise(F.col(weight))
     return aligned.select("position", "score", checked.cast("double").alias("weight"))

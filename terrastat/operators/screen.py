@@ -12,6 +12,7 @@ from terrastat.config import VIF_LIMIT
 from terrastat.functions.scalar import significance_stars, vif_band
 from terrastat.operators.index import correlation_matrix
 from terrastat.operators.summary import exact_percentiles, pearson_p, pearson_pairs, to_long
+from terrastat.session import local_table
 
 
 def vif_values(r: np.ndarray) -> np.ndarray:
@@ -30,7 +31,7 @@ def vif_values(r: np.ndarray) -> np.ndarray:
 
 def _vif_table(spark, columns: Sequence[str], values) -> DataFrame:
     rows = [(c, float(v)) for c, v in zip(columns, values)]
-    return spark.createDataFrame(rows, "predictor string, vif double").withColumn("band", vif_band("vif"))
+    return local_table(spark, rows, "predictor string, vif double").withColumn("band", vif_band("vif"))
 
 
 def vif(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -67,7 +68,7 @@ def eliminate(
         keep.remove(i)
     spark = df.sparkSession
     final = _vif_table(spark, [columns[i] for i in keep], vif_values(r[np.ix_(keep, keep)]))
-    return final, spark.createDataFrame(log, "step int, dropped string, vif_at_drop double, reason string")
+    return final, local_table(spark, log, "step int, dropped string, vif_at_drop double, reason string")
 
 
 def retained_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:

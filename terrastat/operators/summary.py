@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from terrastat.config import ALPHA, STRONG_R
 from terrastat.functions.scalar import is_finite
 from terrastat.functions.tails import f_test_p, t_test_p
-from terrastat.session import broadcast_if_small
+from terrastat.session import broadcast_if_small, local_table
 
 
 # ---------------------------------------------------------------- quantiles
@@ -236,9 +236,9 @@ def _pearson_pairs_wide(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         .groupBy("i", "j")
         .agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(6)])
     )
-    cov = F.col("s5") - F.col("s1") * F.col("s2") / F.col("s0")
-    vx = F.col("s3") - F.col("s1") * F.col("s1") / F.col("s0")
-    vy = F.col("s4") - F.col("s2") * F.col("s2") / F.col("s0")
+    cov = F.col("s5") - F.try_divide(F.col("s1") * F.col("s2"), F.col("s0"))
+    vx = F.col("s3") - F.try_divide(F.col("s1") * F.col("s1"), F.col("s0"))
+    vy = F.col("s4") - F.try_divide(F.col("s2") * F.col("s2"), F.col("s0"))
     names = F.array(*[F.lit(c) for c in cols])
     return s.select(
         names[F.col("i")].alias("var1"),
@@ -258,7 +258,7 @@ def pearson_p(pairs: DataFrame) -> DataFrame:
 def pair_matrix(pairs: DataFrame, columns: Sequence[str], value: str = "r", diagonal: float = 1.0) -> DataFrame:
     """Square matrix of a pair table, one row per variable."""
     spark = pairs.sparkSession
-    diag = spark.createDataFrame([(c, c, diagonal) for c in columns], "var1 string, var2 string, v double")
+    diag = local_table(spark, [(c, c, diagonal) for c in columns], "var1 string, var2 string, v double")
     both = pairs.select("var1", "var2", F.col(value).alias("v"))
     flipped = both.select(F.col("var2").alias("var1"), F.col("var1").alias("var2"), "v")
     return both.union(flipped).union(diag).groupBy("var1").pivot("var2", list(columns)).agg(F.first("v"))

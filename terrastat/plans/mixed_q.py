@@ -16,6 +16,7 @@ from terrastat.operators import summary as s
 from terrastat.operators.prep import missing_cells, slope_levels
 from terrastat.plans.data import COVERS, DEPTHS, DESIGN, MID_CM, SAMPLES, SITES, samples
 from terrastat.plans.registry import Tables, query, r, rnd
+from terrastat.session import local_table
 
 K = len(SITES) * len(COVERS) * len(DEPTHS)
 BETWEEN = len(SITES) * len(COVERS)  # between-plot coefficients: the df of the t tests are plots minus these
@@ -165,7 +166,7 @@ def _(t):
 
 @query("mix_08_icc")
 def _(t):
-    return t.spark.createDataFrame([(mx.icc(mx.fit(sums(t), [], "A")),)], "icc double")
+    return local_table(t.spark, [(mx.icc(mx.fit(sums(t), [], "A")),)], "icc double")
 
 
 def _means(by: str, panel: str, level: str, other: str) -> str:
@@ -377,7 +378,7 @@ def _(t):
         f = mx.fit(mx.collect_sums(rows, d), mx.FIXED["M3"], "E")
         out.append((coding, f.aic, mx.is_singular(f)))
     best = min(a for _c, a, _s in out)
-    return t.spark.createDataFrame([(c, a, sg, a - best) for c, a, sg in out], "coding string, aic_reml double, singular boolean, delta_aic double")
+    return local_table(t.spark, [(c, a, sg, a - best) for c, a, sg in out], "coding string, aic_reml double, singular boolean, delta_aic double")
 
 
 @query("mix_22_boundary_check")

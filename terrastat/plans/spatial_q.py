@@ -12,6 +12,7 @@ from terrastat.functions.scalar import nodata_to_null
 from terrastat.plans.data import EDGES, FEATURES, INSIDE, LOCATED, NODATA, POINTS, RASTER, STRIP, TILE, TILE_OF, WIDTH, located, points, raster, region_edges, survey
 from terrastat.plans.registry import query, r, rnd
 from terrastat.plans.windows_q import FILLED
+from terrastat.session import local_table
 
 MAX_LAG = 0.3
 SETTINGS = random_settings(2, 42, trees=(4, 8), depth=(3, 5))  # small search so that a run stays short
@@ -104,7 +105,7 @@ _NEAR = f"(SELECT a.qid, b.x, b.y, b.v, {_D} AS d, row_number() OVER (PARTITION
 (SELECT p.qid, p.v AS v1, q.v AS v2, p.d + 0.1e0 AS g1, q.d + 0.1e0 AS g2, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) + 0.1e0 AS g12 FROM {_NEAR} p JOIN {_NEAR} q ON p.qid = q.qid AND p.k = 1 AND q.k = 2))""",
 )
 def _(t):
-    model = t.spark.createDataFrame([("linear", 1.0, 1.0, 0.1)], "model string, sill double, reach double, nugget double")
+    model = local_table(t.spark, [("linear", 1.0, 1.0, 0.1)], "model string, sill double, reach double, nugget double")
     return rnd(kriging.krige_local(located(t).select("qid", "x", "y"), samples(t), model, 2), 7, "estimate", "variance")
 
 

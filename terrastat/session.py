@@ -6,8 +6,13 @@ import os
 import tempfile
 import uuid
 
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def get_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -57,12 +62,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str | StructType) -> DataFrame:
+    """A few driver-side rows as a table, through Arrow."""
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    types = to_arrow_schema(fields)
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    arrays = [pa.array(list(c), f.type) for c, f in zip(columns, types)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=types), fields)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
     """Broadcast ``df`` when it has at most ``max_rows`` rows, else leave the join to shuffle.
 
     The rows fetched for the check are the ones broadcast, so ``df`` runs once.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from terrastat.session import local_table
 
 SEPARATORS = (";", ",", "\t", "|")
 
@@ -98,7 +99,7 @@ def discover_bands(spark: SparkSession, path: str, expected: Sequence[str]) -> D
     """Bands of a pixel table and the expected ones that are absent, from its partition values."""
     require_path(spark, path)
     found = spark.read.parquet(path).select(F.col("band").cast("string")).distinct()
-    wanted = spark.createDataFrame([(b,) for b in expected], "band string")
+    wanted = local_table(spark, [(b,) for b in expected], "band string")
     return (
         found.withColumn("_here", F.lit(True))
         .join(wanted.withColumn("_wanted", F.lit(True)), "band", "full")
@@ -142,6 +143,6 @@ def polygon_edges(vertices: DataFrame, region: str = "region", ring: str = "ring
 def available_outputs(found: DataFrame, key: str, declared: Sequence[str]) -> DataFrame:
     """Declared outputs in their order, each marked available or not."""
     spark = found.sparkSession
-    order = spark.createDataFrame([(i, d) for i, d in enumerate(declared)], f"position int, {key} string")
+    order = local_table(spark, [(i, d) for i, d in enumerate(declared)], f"position int, {key} string")
     have = found.select(F.col(key).cast("string").alias(key)).distinct().withColumn("_have", F.lit(True))
     return order.join(have, key, "left").select("position", key, F.col("_have").isNotNull().alias("available"))
