@@ -220,6 +220,19 @@ ROOT2_REACH = 2  # cells a disc of radius cell*sqrt(2) can touch on either side
 MAX_DEPTH = 20
 
 
+def _lowest(dist: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` smallest values of each row in order, ties by column."""
+    if k >= dist.shape[1]:
+        return np.argsort(dist, axis=1, kind="stable")
+    near = np.sort(np.argpartition(dist, k - 1, axis=1)[:, :k], axis=1)
+    values = np.take_along_axis(dist, near, axis=1)
+    out = np.take_along_axis(near, np.argsort(values, axis=1, kind="stable"), axis=1)
+    tied = (dist <= values.max(axis=1)[:, None]).sum(axis=1) > k
+    if tied.any():
+        out[tied] = np.argsort(dist[tied], axis=1, kind="stable")[:, :k]
+    return out
+
+
 def nearest_samples(queries: DataFrame, samples: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
     """The ``k`` nearest samples of every query, exact, ties by sample id.
 
@@ -289,24 +302,59 @@ def nearest_samples(queries: DataFrame, samples: DataFrame, k: int, by: Sequence
     sb = make_blocks(srows, keys, ["sid", "x", "y", "v"], ["sid"])
     pairs = join_blocks(qb, sb, [*by, "lv"], ["qid", "x", "y"], ["sid", "x", "y", "v"], ROOT2_REACH)
 
-    def partial(row):
-        qid, sid = np.asarray(row.qid), np.asarray(row.r_sid)
-        order = np.argsort(sid, kind="stable")
-        sid, sx, sy, sv = sid[order], np.asarray(row.r_x)[order], np.asarray(row.r_y)[order], np.asarray(row.r_v)[order]
+    def block_of(row):
+        """Nearest ``k`` of one block of samples: distance, id, place and value per query."""
+        order = np.argsort(row.r_sid, kind="stable")
+        sid, sx, sy, sv = (np.asarray(a)[order] for a in (row.r_sid, row.r_x, row.r_y, row.r_v))
         dx = np.asarray(row.x)[:, None] - sx[None, :]
         dy = np.asarray(row.y)[:, None] - sy[None, :]
         dist = np.sqrt(dx * dx + dy * dy)
-        near = np.argsort(dist, axis=1, kind="stable")[:, :k]
-        flat = near.ravel()
-        data = {c: np.repeat([getattr(row, c)], flat.size) for c in by}
-        data["qid"] = np.repeat(qid, near.shape[1])
-        data["sid"], data["sx"], data["sy"], data["v"] = sid[flat], sx[flat], sy[flat], sv[flat]
-        data["d"] = np.take_along_axis(dist, near, axis=1).ravel()
-        return pd.DataFrame(data)
+        near = _lowest(dist, k)
+        return [np.take_along_axis(dist, near, axis=1), sid[near], sx[near], sy[near], sv[near]]
+
+    def merged(a, b):
+        both = [np.hstack(p) for p in zip(a, b)]
+        order = np.lexsort((both[1], both[0]))[:, :k]
+        return [np.take_along_axis(p, order, axis=1) for p in both]
+
+    def too_far(row, best):
+        """No sample of the block can come before the ``k`` already found for any query."""
+        if best[0].shape[1] < k:
+            return False
+        gap_x = max(0.0, np.min(row.r_x) - np.max(row.x), np.min(row.x) - np.max(row.r_x))
+        gap_y = max(0.0, np.min(row.r_y) - np.max(row.y), np.min(row.y) - np.max(row.r_y))
+        return math.hypot(gap_x, gap_y) > best[0][:, -1].max() * (1 + 1e-12)
+
+    def frame(row, best):
+        width = best[0].shape[1]
+        data = {c: np.repeat([getattr(row, c)], best[0].size) for c in by}
+        data["qid"] = np.repeat(np.asarray(row.qid), width)
+        for name, values in zip(("d", "sid", "sx", "sy", "v"), best):
+            data[name] = values.ravel()
+        return pd.DataFrame(data)[columns]
 
     types = {f.name: f.dataType.simpleString() for f in queries.schema.fields}
-    schema = ", ".join([*[f"{c} {types[c]}" for c in by], "qid bigint", "sid bigint", "d double", "sx double", "sy double", "v double"])
-    near = map_blocks(pairs, partial, schema)
+    schema = ", ".join([*[f"{c} {types[c]}" for c in by], "qid bigint, sid bigint, d double, sx double, sy double, v double"])
+    columns = [*by, "qid", "sid", "d", "sx", "sy", "v"]
+
+    def run(batches):
+        # partners of a query block arrive in a row: keep its k best, emit when the next block starts
+        last = best = None
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                key = tuple(getattr(row, c) for c in (*by, "lv", "ix", "iy", "block"))
+                if last is not None and key != last[0]:
+                    yield frame(last[1], best)
+                    best = None
+                if best is None:
+                    best = block_of(row)
+                elif not too_far(row, best):
+                    best = merged(best, block_of(row))
+                last = (key, row)
+        if last is not None:
+            yield frame(last[1], best)
+
+    near = pairs.drop("same").mapInPandas(run, schema)
     w = Window.partitionBy(*by, "qid").orderBy("d", "sid")
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -188,28 +188,24 @@ def group_means(df: DataFrame, by: Sequence[str], value: str, plot: str) -> Data
 
 # ------------------------------------------------------------- correlations
 
-WIDE_LIMIT = 40
+WIDE_LIMIT = 6
 
 
 def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise-complete r and n of every unordered pair, in one scan."""
+    """Pairwise-complete r and n of every unordered pair.
+
+    A few columns become one row per pair, summed per pair before the shuffle
+    (one aggregate with a buffer set per pair outgrows the code generator).
+    Many columns go through cross-product matrices.
+    """
     if len(columns) > WIDE_LIMIT:
         return _pearson_pairs_wide(df, columns)
-    aggs = []
-    for a, b in combinations(columns, 2):
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        aggs.append(F.corr(x, y).alias(f"r_{a}_{b}"))
-        aggs.append(F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n_{a}_{b}"))
-    items = [
-        F.struct(
-            F.lit(a).alias("var1"),
-            F.lit(b).alias("var2"),
-            F.col(f"r_{a}_{b}").alias("r"),
-            F.col(f"n_{a}_{b}").alias("n"),
-        )
-        for a, b in combinations(columns, 2)
-    ]
-    return df.agg(*aggs).select(F.inline(F.array(*items)))
+    pairs = list(combinations(columns, 2))
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    stacked = values.select(
+        F.stack(F.lit(len(pairs)), *[x for a, b in pairs for x in (F.lit(a), F.lit(b), F.col(a), F.col(b))]).alias("var1", "var2", "_x", "_y")
+    )
+    return stacked.groupBy("var1", "var2").agg(F.corr("_x", "_y").alias("r"), F.count(F.col("_x") + F.col("_y")).alias("n"))
 
 
 def _pearson_pairs_wide(df: DataFrame, columns: Sequence[str]) -> DataFrame:
