@@ -30,7 +30,7 @@ def hash_rank(df: DataFrame, ids: Sequence[str], seed: int, by: Sequence[str] =
     The md5 spreads unique ids evenly, so its first digits make equal buckets.
     """
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in ids]))
-    rows = df.withColumn("_h", key).withColumn("_b", F.substring("_h", 1, 2))
+    rows = df.withColumn("_h", key).withColumn("_b", F.substring("_h", 1, 3))
     offsets = _offsets(rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n")), by, "_b").drop("_n")
     w = Window.partitionBy(*by, "_b").orderBy("_h", *ids)
     return (
@@ -70,7 +70,7 @@ def sample_rows(df: DataFrame, ids: Sequence[str], n: int, seed: int, by: Sequen
 
 
 def value_counts_before(
-    df: DataFrame, value: str, by: Sequence[str] = (), buckets: int = 256, weight: Column | None = None
+    df: DataFrame, value: str, by: Sequence[str] = (), buckets: int = 1024, weight: Column | None = None
 ) -> DataFrame:
     """Distinct values with ``_count``, the rows before them ``_below`` and the group ``_total``.
 
@@ -82,7 +82,7 @@ def value_counts_before(
         .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_count"))
     )
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = vals.agg(F.percentile_approx(F.col(value).cast("double"), probs, 20 * buckets)).first()[0] or []
+    cuts = vals.agg(F.percentile_approx(F.col(value).cast("double"), probs, 10 * buckets)).first()[0] or []
     splits = [-INF, *sorted(set(cuts)), INF]
     binned = (
         Bucketizer(splits=splits, inputCol="_v", outputCol="_b")
@@ -127,7 +127,7 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
 
 
 def holm(df: DataFrame, p: str, family: Sequence[str], out: str = "p_holm", tie: Sequence[str] = ()) -> DataFrame:
-    """Holm step-down p within each family."""
+    """Holm step-down p within each family of a result table (families of a few dozen tests)."""
     order = Window.partitionBy(*family).orderBy(F.col(p), *tie)
     size = F.count(F.col(p)).over(Window.partitionBy(*family))
     step = (size - F.row_number().over(order) + 1) * F.col(p)
@@ -139,6 +139,12 @@ def holm(df: DataFrame, p: str, family: Sequence[str], out: str = "p_holm", tie:
     )
 
 
+def holm_long(df: DataFrame, p: str, family: Sequence[str], tie: str, out: str = "p_holm") -> DataFrame:
+    """Holm step-down p in families of any size, numeric unique ``tie``; no family is sorted in one task."""
+    placed = positions(df, p, tie, family).withColumn("_step", (F.col("_total") - F.col("_pos")) * F.col(p))
+    return running_max(placed, "_step", family).withColumn(out, F.least(F.lit(1.0), F.col("_max"))).drop("_step", "_max", "_pos", "_total")
+
+
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """First ``n`` rows of each group; Spark prunes to ``n`` per task before the shuffle."""
     w = Window.partitionBy(*by).orderBy(*order)
@@ -164,17 +170,27 @@ def positions(df: DataFrame, order: str, tie: str, by: Sequence[str] = ()) -> Da
     )
 
 
-def running_sum(df: DataFrame, value: str, by: Sequence[str] = (), buckets: int = 256) -> DataFrame:
-    """Add ``_sum``: running total of ``value`` along ``_pos``."""
+def _running(df: DataFrame, value: str, by: Sequence[str], out: str, total, buckets: int) -> DataFrame:
+    """Running ``total`` (sum or max) of ``value`` along ``_pos``, bucket by bucket."""
     by = list(by)
     rows = df.withColumn("_b", F.floor(F.col("_pos") * buckets / F.col("_total")).cast("int"))
-    offsets = _offsets(rows.groupBy(*by, "_b").agg(F.sum(value).alias("_n")), by, "_b").select(*by, "_b", "_before")
+    earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*by, "_b").agg(total(F.col(value)).alias("_n"))
+    before = ends.withColumn("_before", total(F.col("_n")).over(earlier)).drop("_n")
     w = Window.partitionBy(*by, "_b").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        rows.join(offsets, [*by, "_b"])
-        .withColumn("_sum", F.col("_before") + F.sum(value).over(w))
-        .drop("_b", "_before")
-    )
+    return rows.join(before, [*by, "_b"]).withColumn(out, total(F.col(value)).over(w)).drop("_b")
+
+
+def running_sum(df: DataFrame, value: str, by: Sequence[str] = (), buckets: int = 1024) -> DataFrame:
+    """Add ``_sum``: running total of ``value`` along ``_pos``."""
+    d = _running(df, value, by, "_sum", F.sum, buckets)
+    return d.withColumn("_sum", F.col("_sum") + F.coalesce("_before", F.lit(0.0))).drop("_before")
+
+
+def running_max(df: DataFrame, value: str, by: Sequence[str] = (), buckets: int = 1024) -> DataFrame:
+    """Add ``_max``: running maximum of ``value`` along ``_pos``."""
+    d = _running(df, value, by, "_max", F.max, buckets)
+    return d.withColumn("_max", F.greatest("_max", "_before")).drop("_before")
 
 
 def rolling_mean(df: DataFrame, by: Sequence[str], order: str, tie: str, value: str, window: int) -> DataFrame:

@@ -218,6 +218,8 @@ def assign_classes(values: DataFrame, breaks: DataFrame, value: str, by: Sequenc
 
 ROOT2_REACH = 2  # cells a disc of radius cell*sqrt(2) can touch on either side
 MAX_DEPTH = 20
+BLOCK_ROWS = 512
+BROADCAST_ROWS = 500_000  # 32 bytes each: samples on all levels that may be broadcast
 
 
 def _lowest(dist: np.ndarray, k: int) -> np.ndarray:
@@ -238,7 +240,9 @@ def nearest_samples(queries: DataFrame, samples: DataFrame, k: int, by: Sequence
 
     ``queries(by, qid, x, y)``, ``samples(by, sid, x, y, v)``, ids BIGINT. Each
     query searches on the finest level of a halving grid where its own cell
-    holds ``k`` samples: its neighbours then lie within two cells. Samples
+    holds ``k`` samples: its neighbours then lie within two cells. Both sides
+    travel in blocks, the cells of a quadtree that hold a few hundred rows, and
+    blocks out of reach of the neighbours already found are passed over. Samples
     sharing a place keep their ``k`` lowest ids, which loses no neighbour.
     """
     by = list(by)
@@ -268,39 +272,53 @@ def nearest_samples(queries: DataFrame, samples: DataFrame, k: int, by: Sequence
         )
 
     every_level = F.explode(F.sequence(F.lit(0), F.lit(depth)))
+    cell = [*by, "lv", "ix", "iy"]
+
+    def counted(fine: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Ancestors of each fine cell, and the rows of every cell of every level."""
+        up = at_level(fine.withColumn("lv", every_level))
+        return up, up.groupBy(*cell).agg(F.sum("_c").alias("_n"))
+
+    def leaf_of(up: DataFrame, sizes: DataFrame) -> DataFrame:
+        """Coarsest level at which a fine cell's rows fit one block, and the blocks it takes."""
+        fits = up.join(sizes, cell).filter((F.col("_n") <= rows) | (F.col("lv") == depth))
+        leaf = fits.groupBy(*by, "_fx", "_fy").agg(F.min_by(F.struct("lv", "_n"), "lv").alias("_l"))
+        return leaf.select(*by, "_fx", "_fy", F.col("_l.lv").alias("leaf"), F.ceil(F.col("_l._n") / rows).alias("_parts"))
+
+    def packed(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+        """Blocks of at most about ``rows`` rows of one leaf, under the cell they are searched by."""
+        unit = F.pow(F.lit(2.0), F.lit(depth) - F.greatest("leaf", "lv"))
+        part = F.struct("leaf", F.floor(F.col("_fx") / unit), F.floor(F.col("_fy") / unit), F.pmod(F.xxhash64(key), F.col("_parts")))
+        blocks = df.withColumn("block", F.xxhash64(part)).groupBy(*cell, "block").agg(F.collect_list(F.struct(*fields)).alias("_p"))
+        return blocks.select(*cell, "block", *[F.col(f"_p.{f}").alias(f) for f in fields])
+
+    rows = BLOCK_ROWS
     place = Window.partitionBy(*by, "x", "y").orderBy("sid")
     kept = located(
         samples.select(*by, "sid", "x", "y", "v").withColumn("_r", F.row_number().over(place)).filter(F.col("_r") <= k).drop("_r")
     )
-    held = (
-        at_level(
-            kept.groupBy(*by, "_fx", "_fy").agg(F.count(F.lit(1)).alias("_c")).withColumn("lv", every_level)
-        )
-        .groupBy(*by, "lv", "ix", "iy")
-        .agg(F.sum("_c").alias("_c"))
-        .filter((F.col("_c") >= k) | (F.col("lv") == 0))
-        .drop("_c")
-    )
     asked = located(queries.select(*by, "qid", "x", "y"))
-    cells = at_level(asked.select(*by, "_fx", "_fy").distinct().withColumn("lv", every_level))
-    level = cells.join(held, [*by, "lv", "ix", "iy"]).groupBy(*by, "_fx", "_fy").agg(F.max("lv").alias("lv"))
-    level = broadcast_if_small(level)
-    qrows = at_level(asked.join(level, [*by, "_fx", "_fy"]))
+    s_up, s_sizes = counted(kept.groupBy(*by, "_fx", "_fy").agg(F.count(F.lit(1)).alias("_c")))
+    q_up, q_sizes = counted(asked.groupBy(*by, "_fx", "_fy").agg(F.count(F.lit(1)).alias("_c")))
+    held = s_sizes.filter((F.col("_n") >= k) | (F.col("lv") == 0)).drop("_n")
+    level = q_up.join(held, cell).groupBy(*by, "_fx", "_fy").agg(F.max("lv").alias("lv"))
+    q_cells = broadcast_if_small(level.join(leaf_of(q_up, q_sizes), [*by, "_fx", "_fy"]))
+    s_cells = broadcast_if_small(leaf_of(s_up, s_sizes))
     span = F.sequence(F.lit(-ROOT2_REACH), F.lit(ROOT2_REACH))
     wanted = (
-        at_level(level)
-        .select(*by, "lv", "ix", "iy")
+        at_level(q_cells)
+        .select(*cell)
         .distinct()
         .withColumn("_dx", F.explode(span))
         .withColumn("_dy", F.explode(span))
         .select(*by, "lv", (F.col("ix") + F.col("_dx")).alias("ix"), (F.col("iy") + F.col("_dy")).alias("iy"))
         .distinct()
     )
-    srows = at_level(kept.withColumn("lv", every_level)).join(wanted, [*by, "lv", "ix", "iy"], "left_semi")
-    keys = [*by, "lv", "ix", "iy"]
-    qb = make_blocks(qrows, keys, ["qid", "x", "y"], ["qid"])
-    sb = make_blocks(srows, keys, ["sid", "x", "y", "v"], ["sid"])
-    pairs = join_blocks(qb, sb, [*by, "lv"], ["qid", "x", "y"], ["sid", "x", "y", "v"], ROOT2_REACH)
+    here = at_level(kept.join(s_cells, [*by, "_fx", "_fy"]).withColumn("lv", every_level)).join(wanted, cell, "left_semi")
+    qb = packed(at_level(asked.join(q_cells, [*by, "_fx", "_fy"])), "qid", ["qid", "x", "y"])
+    sb = packed(here, "sid", ["sid", "x", "y", "v"])
+    few = s[4] * (depth + 1) <= BROADCAST_ROWS
+    pairs = join_blocks(qb, sb, [*by, "lv"], ["qid", "x", "y"], ["sid", "x", "y", "v"], ROOT2_REACH, small_right=few)
 
     def block_of(row):
         """Nearest ``k`` of one block of samples: distance, id, place and value per query."""

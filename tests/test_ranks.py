@@ -93,6 +93,8 @@ def test_holm(spark):
         want[i] = min(1.0, running)
     assert got == pytest.approx(want)
     assert all(got[i] >= p[i] for i in got)
+    long = {r["i"]: r["p_holm"] for r in ranks.holm_long(d, "p", ["f"], "i").collect()}
+    assert long == pytest.approx(want)
 
 
 def test_normal_scores(spark):
