@@ -130,7 +130,7 @@ def random_settings(trials: int, seed: int, trees=(100, 600), depth=(5, 30), lea
 def tune_forest(train: DataFrame, features: Sequence[str], label: str, inner: str, folds: int, settings: Sequence[Mapping], parallelism: int = 4):
     """Setting with the lowest mean RMSE over the inner folds, refitted on all rows.
 
-    Returns (model, best setting, mean RMSE of every setting).
+    ``train`` is read by every fit: pass a stored table (``cut_lineage``). Returns (model, best setting, mean RMSE of every setting).
     """
     pipe = forest(features, label, settings[0])
     rf = pipe.getStages()[1]
@@ -171,9 +171,8 @@ def nested_cv(
         train, test = rows.filter(F.col("fold") != f), rows.filter(F.col("fold") == f)
         stats = fit_statistics(train, numeric, categorical)
         ready, names = apply_statistics(train, stats, numeric, categorical)
-        ready = assign_folds(ready.select(*ids, label, *names), ids, inner, seed + f, out="inner").persist()
+        ready = cut_lineage(assign_folds(ready.select(*ids, label, *names), ids, inner, seed + f, out="inner"))
         model, best, scores = tune_forest(ready, names, label, "inner", inner, settings, parallelism)
-        ready.unpersist()
         held, _ = apply_statistics(test, stats, numeric, categorical)
         part = model.transform(held).select(*ids, F.lit(f).alias("fold"), F.col(label).cast("double").alias("obs"), F.col("prediction").alias("pred"))
         predictions = part if predictions is None else predictions.unionByName(part)
@@ -190,9 +189,8 @@ def final_model(
     rows = df.filter(F.col(label).isNotNull())
     stats = cut_lineage(fit_statistics(rows, numeric, categorical))
     ready, names = apply_statistics(rows, stats, numeric, categorical)
-    ready = assign_folds(ready.select(*ids, label, *names), ids, inner, seed, out="inner").persist()
+    ready = cut_lineage(assign_folds(ready.select(*ids, label, *names), ids, inner, seed, out="inner"))
     model, best, _ = tune_forest(ready, names, label, "inner", inner, settings, parallelism)
-    ready.unpersist()
     return model, stats, names, best
 
 

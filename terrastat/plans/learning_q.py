@@ -10,7 +10,7 @@ from terrastat.operators.summary import cv_summary, metrics
 from terrastat.plans.data import BLOCK_COLUMNS, FEATURES, GAPPY, TRIPLE, block, gappy, survey, triple
 from terrastat.plans.prep_q import PAIRS_SQL
 from terrastat.plans.registry import query, r, rnd
-from terrastat.session import local_table, new_path
+from terrastat.session import cut_lineage, local_table, new_path
 from terrastat.sources import sinks
 
 ABC = ["a", "b", "c"]
@@ -177,7 +177,7 @@ def _(t):
 @query("ml_16_tuning")
 def _(t):
     d, names = prepared(t)
-    folds = assign_folds(d, ["id"], 4, 1, out="inner")
+    folds = cut_lineage(assign_folds(d, ["id"], 4, 1, out="inner"))
     _model, _best, scores = learn.tune_forest(folds, names, "target", "inner", 4, SETTINGS)
     rows = [(i, s["trees"], s["depth"], s["leaf"], s["subset"], v) for i, (s, v) in enumerate(zip(SETTINGS, scores))]
     return local_table(t.spark, rows, "trial int, trees int, depth int, leaf int, subset string, rmse double")
