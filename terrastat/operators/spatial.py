@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from terrastat.config import GAP_SHARE_LIMIT
 from terrastat.functions.scalar import break_label, category_code, pixel_col, pixel_row, semivariance
-from terrastat.operators.blocks import join_blocks, make_blocks, map_blocks
+from terrastat.operators.blocks import crowding, join_blocks, make_blocks, map_blocks
 from terrastat.operators.summary import exact_percentiles, join_groups
 from terrastat.session import broadcast_if_small
 
@@ -318,7 +318,12 @@ def nearest_samples(queries: DataFrame, samples: DataFrame, k: int, by: Sequence
     qb = packed(at_level(asked.join(q_cells, [*by, "_fx", "_fy"])), "qid", ["qid", "x", "y"])
     sb = packed(here, "sid", ["sid", "x", "y", "v"])
     few = s[4] * (depth + 1) <= BROADCAST_ROWS
-    pairs = join_blocks(qb, sb, [*by, "lv"], ["qid", "x", "y"], ["sid", "x", "y", "v"], ROOT2_REACH, small_right=few)
+    crowd = None
+    if not few:
+        unit = F.pow(F.lit(2.0), F.lit(depth) - F.greatest("leaf", "lv"))
+        leaves = at_level(q_cells).select(*cell, "leaf", F.floor(F.col("_fx") / unit).alias("_lx"), F.floor(F.col("_fy") / unit).alias("_ly"), "_parts")
+        crowd = broadcast_if_small(leaves.distinct().groupBy(*cell).agg(F.sum("_parts").alias("_blocks")).filter(F.col("_blocks") > 1))
+    pairs = join_blocks(qb, sb, [*by, "lv"], ["qid", "x", "y"], ["sid", "x", "y", "v"], ROOT2_REACH, crowd, small_right=few)
 
     def block_of(row):
         """Nearest ``k`` of one block of samples: distance, id, place and value per query."""
@@ -392,8 +397,9 @@ def near_pair_sums(points: DataFrame, max_lag: float) -> DataFrame:
     ``points(id, x, y, v)``.
     """
     rows = _cells(points.select("id", "x", "y", "v"), max_lag)
-    blocks = make_blocks(rows, ["ix", "iy"], ["id", "x", "y", "v"], ["id"])
-    pairs = join_blocks(blocks, blocks, [], ["id", "x", "y", "v"], ["id", "x", "y", "v"], 1)
+    crowd = crowding(rows, ["ix", "iy"])
+    blocks = make_blocks(rows, ["ix", "iy"], ["id", "x", "y", "v"], ["id"], crowd)
+    pairs = join_blocks(blocks, blocks, [], ["id", "x", "y", "v"], ["id", "x", "y", "v"], 1, crowd)
 
     def partial(row):
         x, y, v, i = (np.asarray(a) for a in (row.x, row.y, row.v, row.id))
@@ -431,8 +437,10 @@ def semivariogram(points: DataFrame, n_lags: Sequence[int], max_lag: float, by:
     )
     fields = ["x", "y", "c", "s1", "s2"]
     keys = [*by, "ix", "iy"]
-    blocks = make_blocks(_cells(sites, max_lag), keys, fields, ["x", "y"])
-    pairs = join_blocks(blocks, blocks, by, fields, fields, 1, half=True)
+    placed = _cells(sites, max_lag)
+    crowd = crowding(placed, keys)
+    blocks = make_blocks(placed, keys, fields, ["x", "y"], crowd)
+    pairs = join_blocks(blocks, blocks, by, fields, fields, 1, crowd, half=True)
 
     def partial(row):
         x, y, c, s1, s2 = (np.asarray(getattr(row, f)) for f in fields)
@@ -579,8 +587,10 @@ def point_density(points: DataFrame, by: Sequence[str] = (), tail: float = 9.0)
     v = ((F.col("y") - F.col("_my")) - l21 * u) / l22
     white = d.select(*by, "id", (u / band).alias("x"), (v / band).alias("y"))
     sites = white.groupBy(*by, "x", "y").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    cells = make_blocks(_cells(sites, tail), [*by, "ix", "iy"], ["x", "y", "c"], ["x", "y"])
-    pairs = join_blocks(cells, cells, by, ["x", "y"], ["x", "y", "c"], 1)
+    placed, keys = _cells(sites, tail), [*by, "ix", "iy"]
+    crowd = crowding(placed, keys)
+    cells = make_blocks(placed, keys, ["x", "y", "c"], ["x", "y"], crowd)
+    pairs = join_blocks(cells, cells, by, ["x", "y"], ["x", "y", "c"], 1, crowd)
 
     def partial(row):
         x, y = np.asarray(row.x), np.asarray(row.y)
