@@ -150,8 +150,11 @@ def pattern_sums(df: DataFrame, design: Design) -> DataFrame:
     )
     plots = rows.groupBy("plot", "s", "l").agg(
         *[F.count_if(F.col("d") == j).cast("double").alias(f"c{j}") for j in range(k)],
+        *[F.coalesce(F.sum(F.when(F.col("d") == j, F.col("y"))), F.lit(0.0)).alias(f"y{j}") for j in range(k)],
         F.sum("y").alias("t0"),
         F.sum(F.col("x") * F.col("y")).alias("t1"),
+        F.sum(F.col("y") * F.col("y")).alias("yy"),
+        F.count_if(F.col("d").isNull() | F.col("y").isNull()).alias("bad"),
     )
     codes = [float(c) for c in design.codes]
     n = sum((F.col(f"c{j}") for j in range(k)), F.lit(0.0))
@@ -168,30 +171,32 @@ def pattern_sums(df: DataFrame, design: Design) -> DataFrame:
         F.sum(t0 * t0).alias("tt_0"),
         F.sum(t0 * t1).alias("tt_1"),
         F.sum(t1 * t1).alias("tt_2"),
+        *[F.sum(c[j]).alias(f"n_{j}") for j in range(k)],
+        *[F.sum(f"y{j}").alias(f"y_{j}") for j in range(k)],
+        F.sum("yy").alias("yy"),
+        F.sum("bad").alias("bad"),
     )
 
 
 def collect_sums(df: DataFrame, design: Design) -> Sums:
-    """Run the two aggregations and hand their few rows to the optimiser."""
+    """Run the aggregation and hand its few rows to the optimiser."""
     k, ns, nl = len(design.depths), len(design.sites), len(design.covers)
-    cells = df.groupBy(design.index("site").alias("s"), design.index("lc").alias("l"), design.index("depth").alias("d")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(design.y).cast("double")).alias("sy"), F.sum(F.pow(F.col(design.y).cast("double"), F.lit(2.0))).alias("syy")
-    )
-    cell_n, cell_y, yy = np.zeros((ns, nl, k)), np.zeros((ns, nl, k)), 0.0
-    for r in cells.collect():
-        if r["s"] is None or r["l"] is None or r["d"] is None or r["sy"] is None:
-            raise ValueError("missing response or a factor value outside the declared levels")
-        cell_n[r["s"], r["l"], r["d"]], cell_y[r["s"], r["l"], r["d"]] = r["n"], r["sy"]
-        yy += r["syy"]
     p = pattern_sums(df, design).toArrow().to_pandas().sort_values(["s", "l"], ignore_index=True)
+    if p["bad"].sum() or p[["s", "l"]].isna().any(axis=None):
+        raise ValueError("missing response or a factor value outside the declared levels")
+    cell_n, cell_y = np.zeros((ns, nl, k)), np.zeros((ns, nl, k))
+    s, cover = p["s"].to_numpy(int), p["l"].to_numpy(int)
+    for j in range(k):
+        np.add.at(cell_n[:, :, j], (s, cover), p[f"n_{j}"].to_numpy(float))
+        np.add.at(cell_y[:, :, j], (s, cover), p[f"y_{j}"].to_numpy(float))
     cc = np.zeros((len(p), k, k))
     for i in range(k):
         for j in range(i, k):
             cc[:, i, j] = cc[:, j, i] = p[f"cc_{i}_{j}"]
     ct = np.stack([np.stack([p[f"ct_{i}_{e}"] for e in (0, 1)], axis=-1) for i in range(k)], axis=1)
     return Sums(
-        design, int(cell_n.sum()), int(p["m"].sum()), float(yy), cell_n, cell_y, p["s"].to_numpy(int), p["l"].to_numpy(int),
-        p["m"].to_numpy(float), p[["n", "s1", "s2"]].to_numpy(float), cc, ct, p[["tt_0", "tt_1", "tt_2"]].to_numpy(float),
+        design, int(cell_n.sum()), int(p["m"].sum()), float(p["yy"].sum()), cell_n, cell_y, s, cover, p["m"].to_numpy(float),
+        p[["n", "s1", "s2"]].to_numpy(float), cc, ct, p[["tt_0", "tt_1", "tt_2"]].to_numpy(float),
     )
 
 
