@@ -37,11 +37,11 @@ _P = "(SELECT o_orderstatus AS family, o_custkey AS test, avg(o_orderkey % 1000)
 
 @query(
     "win_03_holm",
-    f"SELECT family, test, {r('p', 9)} AS p, {r('least(1, max(step) OVER (PARTITION BY family ORDER BY p, test ROWS UNBOUNDED PRECEDING))', 8)} AS p_holm FROM (SELECT *, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, test) + 1) * p AS step FROM {_P})",
+    f"SELECT family, test, {r('p', 9)} AS p, {r('least(1, max(step) OVER (PARTITION BY family ORDER BY p, test ROWS UNBOUNDED PRECEDING))', 11)} AS p_holm FROM (SELECT *, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, test) + 1) * p AS step FROM {_P})",
 )
 def _(t):
     p = t.orders.groupBy(F.col("o_orderstatus").alias("family"), F.col("o_custkey").alias("test")).agg((F.avg(F.col("o_orderkey") % 1000) / 100000.0).alias("p"))
-    return rnd(rnd(ranks.holm_long(p, "p", ["family"], "test"), 9, "p"), 8, "p_holm")
+    return rnd(rnd(ranks.holm_long(p, "p", ["family"], "test"), 9, "p"), 11, "p_holm")
 
 
 _P5 = "(SELECT o_orderstatus AS family, o_orderpriority AS test, avg(o_orderkey % 1000) / 100000e0 AS p FROM orders GROUP BY 1, 2)"
@@ -49,11 +49,11 @@ _P5 = "(SELECT o_orderstatus AS family, o_orderpriority AS test, avg(o_orderkey
 
 @query(
     "win_03_holm_families",
-    f"SELECT family, test, {r('least(1, max(step) OVER (PARTITION BY family ORDER BY p, test ROWS UNBOUNDED PRECEDING))', 8)} AS p_holm FROM (SELECT *, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, test) + 1) * p AS step FROM {_P5})",
+    f"SELECT family, test, {r('least(1, max(step) OVER (PARTITION BY family ORDER BY p, test ROWS UNBOUNDED PRECEDING))', 11)} AS p_holm FROM (SELECT *, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, test) + 1) * p AS step FROM {_P5})",
 )
 def _(t):
     p = t.orders.groupBy(F.col("o_orderstatus").alias("family"), F.col("o_orderpriority").alias("test")).agg((F.avg(F.col("o_orderkey") % 1000) / 100000.0).alias("p"))
-    return rnd(ranks.holm(p, "p", ["family"], tie=["test"]).drop("p"), 8, "p_holm")
+    return rnd(ranks.holm(p, "p", ["family"], tie=["test"]).drop("p"), 11, "p_holm")
 
 
 @query("win_04_first_per_panel", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k = 1")
