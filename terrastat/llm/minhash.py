@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from terrastat.llm import arrays
 from terrastat.llm.shared import components, stored
+from terrastat.session import broadcast_if_small
 
 PERMUTATIONS = 48
 ROWS = 4
@@ -150,3 +151,14 @@ def near_duplicates(
         F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"),
         (F.col("doc_id") == F.coalesce("root", "doc_id")).alias("kept"),
     )
+
+
+def deduplicated(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one document of each group, the one of the smallest ``doc_id``; its columns stay as they are.
+
+    Rows without ``doc_id`` cannot be compared and stay. Rows that repeat a ``doc_id`` are one document, which stays if one of
+    them does.
+    """
+    groups = near_duplicates(docs, **options).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = stored(groups.where("not kept").select("doc_id"))
+    return docs.join(broadcast_if_small(gone, 200_000), "doc_id", "left_anti").select(*docs.columns)

@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from terrastat.llm.decontaminate import benchmark_hits
+from terrastat.llm.langid import identify
 from terrastat.llm.minhash import near_duplicates
 from terrastat.llm.packing import pack
+from terrastat.llm.quality import learn_quality, quality_scores
+from terrastat.llm.recurrent import language_scores
+from terrastat.llm.repeats import repeated_strings
 from terrastat.llm.rules import quality_rules
 from terrastat.llm.secrets import secret_report
+from terrastat.llm.toxicity import learn_severity, severity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +38,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def crc_mod(k: int) -> Column:
+    """crc32 of ``doc_id`` as text, modulo ``k``; a missing id counts as 0."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % k, F.lit(0))
+
+
 @query("op1_packing")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
@@ -38,11 +50,24 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, with_tokens=False)
 
 
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held_out = table(spark, folder, "documents"), crc_mod(5) == 0
+    model = learn_quality(docs, table(spark, folder, "labels"), ~held_out)
+    return quality_scores(docs, model, cut=0.3).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query("op3_secret_scans")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return secret_report(table(spark, folder, "documents"))
 
 
+@query("op4_toxicity")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return severity(docs, learn_severity(docs, table(spark, folder, "labels")))
+
+
 OP5_SQL = r"""
 WITH RECURSIVE w AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
@@ -67,6 +92,30 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), words=4, similarity=80)
 
 
+@query("op6_decontamination")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op7_suffix_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_strings(table(spark, folder, "documents"), length=400)
+
+
 @query("op8_quality_rules")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = crc_mod(3) == 1
+    return identify(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_recurrent_scores")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = crc_mod(7) == 2
+    rows = language_scores(table(spark, folder, "documents"), ~held_out)
+    return rows.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

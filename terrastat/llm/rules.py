@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from terrastat.llm import arrays
 from terrastat.session import broadcast_if_small
@@ -53,15 +54,16 @@ def _repeated(w: arrays.Words, hashes: np.ndarray) -> np.ndarray:
     return np.bincount(text[np.cumsum(edge[:-1]) > 0], minlength=n)
 
 
-def text_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` with the counts of ``COUNTS`` (long) per row; a missing text has none of anything.
+def text_counts(docs: DataFrame, text: str = "text", keep: bool = False) -> DataFrame:
+    """The columns of ``docs``, without ``text`` unless ``keep``, and the counts of ``COUNTS`` (long) per row.
 
-    Words are runs without ASCII blanks; lines are cut at line feeds and count if they hold a word. Needs columns
-    ``doc_id`` and ``text`` and a column ``key`` to carry.
+    Words are runs without ASCII blanks; lines are cut at line feeds and count if they hold a word. A missing text has none of
+    anything. ``docs`` must not have columns with the names of the counts.
     """
+    carried = [f for f in docs.schema.fields if keep or f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in arrays.slices(batches):
+        for batch, texts in arrays.slices(batches, text):
             w = arrays.split_words(texts)
             n = len(texts)
             owner = np.repeat(np.arange(n), w.counts)
@@ -85,11 +87,11 @@ def text_counts(docs: DataFrame) -> DataFrame:
                 "n_distinct_words": np.bincount(owner[seen], minlength=n),
             }
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("stratum"), *[pa.array(out[c].astype(np.int64)) for c in COUNTS]],
-                names=["doc_id", "stratum", *COUNTS],
+                [*[batch.column(f.name) for f in carried], *[pa.array(out[c].astype(np.int64)) for c in COUNTS]],
+                names=[*[f.name for f in carried], *COUNTS],
             )
 
-    return docs.mapInArrow(run, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.mapInArrow(run, StructType([*carried, *[StructField(c, LongType()) for c in COUNTS]]))
 
 
 class Measure(NamedTuple):
@@ -155,6 +157,32 @@ def chosen_cutoffs(strata: list[dict], measures: tuple[Measure, ...], risk: floa
 MOST_STRATA = 4096
 
 
+BASE = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
+
+
+def learned_cutoffs(rows: DataFrame, labels: DataFrame, risk: float, error: float, measures: tuple[Measure, ...]) -> DataFrame:
+    """``stratum, cuts``: one cut-off per measure or null, from the labelled rows of ``rows (doc_id, stratum, text)``."""
+    marked = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    held = text_counts(rows).where(f"not ({BASE})").join(marked, "doc_id")
+    over = {(i, j): F.expr(f"{m.value} > {cut}") for i, m in enumerate(measures) for j, cut in enumerate(m.cutoffs)}
+    sums = [F.sum(((F.col("quality") == q) & hit).cast("long")).alias(f"{n}_{i}_{j}") for (i, j), hit in over.items() for q, n in ((1, "good"), (0, "bad"))]
+    good = F.sum((F.col("quality") == 1).cast("long")).alias("good")
+    strata = [r.asDict() for r in held.groupBy("stratum").agg(good, *sums).limit(MOST_STRATA + 1).collect()]
+    if len(strata) > MOST_STRATA:
+        raise ValueError(f"more than {MOST_STRATA} strata: give a coarser one")
+    picks = list(chosen_cutoffs(strata, measures, risk, error).items())
+    return broadcast_if_small(rows.sparkSession.createDataFrame(picks, "stratum string, cuts array<double>"))
+
+
+def rejected_by(measures: tuple[Measure, ...], cuts: Column) -> Column:
+    """Names of the measures over their cut-offs, comma-joined."""
+    return F.concat_ws(",", F.array_compact(F.array(*[F.when(F.expr(m.value) > cuts[i], F.lit(m.name)) for i, m in enumerate(measures)])))
+
+
+def stratum_of(stratum: str | Column) -> Column:
+    return F.coalesce((F.col(stratum) if isinstance(stratum, str) else stratum).cast("string"), F.lit("?")).alias("stratum")
+
+
 def quality_rules(
     docs: DataFrame, labels: DataFrame, stratum: str | Column = "lang", risk: float = 0.05, error: float = 0.05, measures: tuple[Measure, ...] = MEASURES
 ) -> DataFrame:
@@ -164,28 +192,23 @@ def quality_rules(
     and for rows over a cut-off of their stratum. Labels (``doc_id``, ``quality``) are the holdout: nothing else is fitted
     on them, and rows that fail the base rules do not count there. Strata without enough good labels, so also unseen ones
     and empty label tables, get no cut-offs: their rows stand by the base rules. A missing stratum is one of its own. A
-    missing ``doc_id`` is judged like any other row. Repeated labels of one document count once, the worse one.
+    missing ``doc_id`` is judged like any other row. Repeated labels of one document count once, the worse one. Other
+    columns are ignored.
     """
-    plain = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
-        F.coalesce((F.col(stratum) if isinstance(stratum, str) else stratum).cast("string"), F.lit("?")).alias("stratum"),
-    )
-    counts = text_counts(plain).withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
-    marked = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    held = text_counts(plain.join(marked.select("doc_id"), "doc_id", "left_semi")).where("n_words >= 20 and 100 * n_repeat_words <= 30 * n_words").join(marked, "doc_id")
-    over = {(i, j): F.expr(f"{m.value} > {cut}") for i, m in enumerate(measures) for j, cut in enumerate(m.cutoffs)}
-    sums = [F.sum(F.when(F.col("quality") == q, hit).otherwise(False).cast("long")).alias(f"{n}_{i}_{j}") for (i, j), hit in over.items() for q, n in ((1, "good"), (0, "bad"))]
-    good = F.sum((F.col("quality") == 1).cast("long")).alias("good")
-    strata = [r.asDict() for r in held.groupBy("stratum").agg(good, *sums).limit(MOST_STRATA + 1).collect()]
-    if len(strata) > MOST_STRATA:
-        raise ValueError(f"more than {MOST_STRATA} strata: give a coarser one")
-    picks = [(name, p) for name, p in chosen_cutoffs(strata, measures, risk, error).items()]
-    table = docs.sparkSession.createDataFrame(picks, "stratum string, cuts array<double>")
-    rows = counts.join(broadcast_if_small(table), "stratum", "left")
-    rejected = [F.coalesce(F.expr(f"{m.value} > cuts[{i}]"), F.lit(False)) for i, m in enumerate(measures)]
-    named = F.array_compact(F.array(*[F.when(hit, F.lit(m.name)) for hit, m in zip(rejected, measures)]))
-    rows = rows.withColumn("rejected_by", F.concat_ws(",", named))
-    return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("rejected_by") == "")).alias("kept"), "rejected_by"
-    )
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), stratum_of(stratum))
+    cuts = learned_cutoffs(plain, labels, risk, error, measures)
+    rows = text_counts(plain).withColumn("base_failed", F.expr(BASE)).join(cuts, "stratum", "left").withColumn("rejected_by", rejected_by(measures, F.col("cuts")))
+    kept = (~F.col("base_failed") & (F.col("rejected_by") == "")).alias("kept")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept, "rejected_by")
+
+
+def passing(
+    docs: DataFrame, labels: DataFrame, stratum: str | Column = "lang", risk: float = 0.05, error: float = 0.05, measures: tuple[Measure, ...] = MEASURES
+) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns, judged where they are read."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), stratum_of(stratum))
+    cuts = learned_cutoffs(plain, labels, risk, error, measures)
+    inner = [f"column_{i}" for i in range(len(docs.columns))]
+    named = docs.select(*[F.col(c).alias(i) for c, i in zip(docs.columns, inner)], F.col("text").cast("string").alias("text"), stratum_of(stratum))
+    rows = text_counts(named).where(f"not ({BASE})").join(cuts, "stratum", "left").where(rejected_by(measures, F.col("cuts")) == "")
+    return rows.select(*[F.col(i).alias(c) for c, i in zip(docs.columns, inner)])

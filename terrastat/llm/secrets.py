@@ -102,16 +102,22 @@ def rule_spans(text: Column, order: int, rule: Rule) -> Column:
     return F.aggregate(sizes, empty, add)["out"]
 
 
-def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``secrets``, an array of (start, rank, stop, kind) in code points by start and rule.
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores as it takes to clash with no column."""
+    while name in columns:
+        name += "_"
+    return name
+
+
+def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "secrets") -> DataFrame:
+    """``docs`` with ``into``, an array of (start, rank, stop, kind) in code points by start and rule.
 
     Matches of one rule are leftmost and do not overlap; those of different rules may. A rule without mandatory trigrams
     reads every text, any other rule only the texts that the index proposes. A missing text counts as empty; rows without
     ``doc_id`` cannot be looked up in the index and are read by every rule; rows that repeat a ``doc_id`` are read by what
-    the index proposes for any of them. Other columns stay, whatever they are called, but ``secrets`` is replaced.
+    the index proposes for any of them. Other columns stay, whatever they are called, but one named ``into`` is replaced.
     """
-    taken = set(docs.columns)
-    bits = next(c for c in (f"rules{'_' * i}" for i in range(len(taken) + 1)) if c not in taken)
+    bits = unused("rules", docs.columns)
     plain = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     proposed = candidates(plain, rules).withColumnRenamed("rules", bits)
     rows = docs.join(proposed, "doc_id", "left").select(*docs.columns, bits)
@@ -126,7 +132,7 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             # a text without a match needs no further work on its gaps
             asked = text.rlike(rule.pattern)
         found.append(F.when(asked, spans).otherwise(none))
-    return rows.withColumn("secrets", F.array_sort(F.concat(*found))).drop(bits)
+    return rows.withColumn(into, F.array_sort(F.concat(*found))).drop(bits)
 
 
 def listed(spans: Column) -> Column:
@@ -144,7 +150,8 @@ def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every secret span of ``text`` replaced by ``mark``; spans that touch or overlap become one."""
-    rows = secret_spans(docs, rules)
+    spans = unused("secrets", docs.columns)
+    rows = secret_spans(docs, rules, spans)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col("text")
 
@@ -153,6 +160,6 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] =
         kept = F.concat(seen["out"], text.substr(seen["at"] + 1, s["start"] - seen["at"]), F.lit(mark))
         return F.struct(F.greatest(seen["at"], s["stop"]).alias("at"), F.when(inside, seen["out"]).otherwise(kept).alias("out"))
 
-    done = F.aggregate("secrets", start, step)
+    done = F.aggregate(spans, start, step)
     new = F.concat(done["out"], text.substr(done["at"] + 1, F.length(text) - done["at"]))
-    return rows.withColumn("text", F.when((F.size("secrets") > 0) & text.isNotNull(), new).otherwise(text)).drop("secrets")
+    return rows.withColumn("text", F.when((F.size(spans) > 0) & text.isNotNull(), new).otherwise(text)).select(*docs.columns)
