@@ -68,3 +68,16 @@ def test_large_group_of_mutated_copies_and_a_chain(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(empty(spark)).count() == 0
+
+
+def test_copies_that_are_alike_but_not_linked_meet_in_tiles(spark):
+    r = random.Random(8)
+    base = words(120, 19, 3000)
+    rows = []
+    for i in range(330):
+        mine = list(base)
+        for p in r.sample(range(len(mine)), r.choice([1, 2, 3, 3, 4])):
+            mine[p] = f"n{r.randrange(10**6)}"
+        rows.append((i, " ".join(mine)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, near_duplicates(docs, words=4).collect()), key=repr) == brute(rows, 4)
