@@ -87,7 +87,7 @@ def prototypes(rows: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str]
     if len(found) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     names = [r.lang for r in found]
-    table = np.array([[e.x for e in r.v] for r in found]).reshape(len(names), -1)
+    table = np.array([[e.x for e in r.v] for r in found]).reshape(len(names), dimensions)
     if len(names):
         table /= np.linalg.norm(table, axis=1, keepdims=True)
     return names, table

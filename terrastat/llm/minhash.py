@@ -188,7 +188,7 @@ def near_duplicates(
     link is given up.
 
     Missing or blank texts have 0 shingles and stay alone. A missing ``doc_id`` gives a missing component and ``kept``.
-    Rows that repeat a ``doc_id`` are judged by their own texts. Other columns are ignored; an empty table gives no rows.
+    Rows that repeat a ``doc_id`` must repeat its text. Other columns are ignored; an empty table gives no rows.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signs = stored(signatures(plain, words, permutations, rows))
