@@ -14,9 +14,7 @@ SCORE_BINS = {
     "P": [-INF, 4, 7, 10, 15, INF],
     "C": [-INF, 1, 2, 3, 5, INF],
 }
-SCORE_LABELS = [1, 2, 3, 4, 5]
 PH_LABELS = [1, 2, 3, 4, 5, 4, 3, 2, 1]
-N_CLASSES = 5
 
 # Texture names, their codes and the score of each code.
 TEXTURE_CODE = {
@@ -52,16 +50,6 @@ TEXTURE_SCORE = {
 CLASS_BREAKS = [-INF, 0.25, 0.50, 0.75, 0.90, INF]
 CLASS_LABELS = ["Very low", "Low", "Moderate", "High", "Very high"]
 
-# Indicator measured -> score column carrying its weight.
-INDICATOR_SCORE = {
-    "pH": "pH_score",
-    "CEC": "CEC_score",
-    "clay": "texture_score",
-    "K": "K_score",
-    "P": "P_score",
-    "C": "C_score",
-}
-
 # Thresholds of the tests and screens.
 ALPHA = 0.05
 STRONG_R = 0.75
@@ -72,8 +60,3 @@ EXPORT_NODATA = -9999.0
 DEPTH_SD_RATIO_LIMIT = 2.0
 
 # Survey design of the mixed models (first level = reference).
-SITES = ["CH", "SE", "NW"]
-LAND_COVERS = ["Grassland", "Forest", "Shrubland", "Reforestation"]
-DEPTHS = ["0-10", "10-20", "20-30", "30-60", "60-90"]
-DEPTH_MID_CM = [5.0, 15.0, 25.0, 55.0, 85.0]
-BETWEEN_PLOT_PARAMETERS = 12

@@ -33,14 +33,11 @@ FIXED = {
     "M4": [*MAIN, ("site", "lc"), ("site", "depth"), ("lc", "depth")],
     "M5": [*MAIN, ("site", "lc"), ("site", "depth"), ("lc", "depth"), ("site", "lc", "depth")],
 }
-# The random structures.
-STRUCTURES = {
-    "A": "random intercept, common variance",
-    "B": "random intercept and slope, correlated, common variance",
-    "C": "random intercept, variance per site",
-    "D": "random intercept and slope, uncorrelated, variances per site",
-    "E": "random intercept and slope, correlated, variances per site",
-}
+# Random structures. A: random intercept, common variance.
+# B: random intercept and slope, correlated, common variance.
+# C: random intercept, variance per site.
+# D: random intercept and slope, uncorrelated, variances per site.
+# E: random intercept and slope, correlated, variances per site.
 
 
 @dataclass(frozen=True)

@@ -84,11 +84,6 @@ def _(t):
     return kriging.search_variogram(folds, MAX_LAG, _CANDIDATES, [6, 10, 14], [True, False], k=16)
 
 
-@query("spa_06_global_kriging")
-def _(t):
-    return kriging.krige_global(located(t).select("qid", "x", "y"), samples(t), fitted(t))
-
-
 @query("spa_07_local_kriging")
 def _(t):
     return kriging.krige_local(located(t).select("qid", "x", "y"), samples(t), fitted(t), 32)

@@ -42,7 +42,9 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = os.environ.setdefault("TERRASTAT_LOCAL_DIR", tempfile.mkdtemp(prefix="terrastat-"))
+    folder = os.environ.get("TERRASTAT_LOCAL_DIR")
+    if not folder:
+        folder = os.environ["TERRASTAT_LOCAL_DIR"] = tempfile.mkdtemp(prefix="terrastat-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
