@@ -8,6 +8,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The blanks of the word pattern ``[^\x20\x09-\x0D]+``.
 BLANK = np.zeros(256, dtype=bool)
@@ -16,7 +17,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes that begin a code point.
 LEADS = (np.arange(256) & 0xC0) != 0x80
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -138,15 +139,16 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of the batches with at most about ``limit`` bytes of text (one text alone may have more)."""
     for batch in batches:
-        texts = as_bytes(batch.column(column))
         start = size = 0
-        for i, t in enumerate(texts):
-            if i > start and size + len(t) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            if i > start and size + n > limit:
+                part = batch.slice(start, i - start)
+                yield part, as_bytes(part.column(column))
                 start, size = i, 0
-            size += len(t) + 1
-        if texts:
-            yield batch.slice(start), texts[start:]
+            size += n + 1
+        if batch.num_rows:
+            part = batch.slice(start)
+            yield part, as_bytes(part.column(column))
 
 
 def signed(x: np.ndarray) -> pa.Array:

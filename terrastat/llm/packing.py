@@ -15,7 +15,7 @@ from terrastat.llm import arrays
 
 LONGEST = 4096
 #: Token lists of words held by a Python worker; a full store is emptied, which costs time only.
-MOST_WORDS = 400_000
+MOST_WORDS = 150_000
 #: One run of these bytes after a letter or digit is a token source of its own in the tokenizer's word pattern.
 MARKS = np.zeros(256, dtype=bool)
 MARKS[list(b".,!%&$*#;:?")] = True

@@ -209,6 +209,6 @@ def passing(
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), stratum_of(stratum))
     cuts = learned_cutoffs(plain, labels, risk, error, measures)
     inner = [f"column_{i}" for i in range(len(docs.columns))]
-    named = docs.select(*[F.col(c).alias(i) for c, i in zip(docs.columns, inner)], F.col("text").cast("string").alias("text"), stratum_of(stratum))
-    rows = text_counts(named).where(f"not ({BASE})").join(cuts, "stratum", "left").where(rejected_by(measures, F.col("cuts")) == "")
+    named = docs.select(*[F.col(c).alias(i) for c, i in zip(docs.columns, inner)], stratum_of(stratum))
+    rows = text_counts(named, inner[docs.columns.index("text")], keep=True).where(f"not ({BASE})").join(cuts, "stratum", "left").where(rejected_by(measures, F.col("cuts")) == "")
     return rows.select(*[F.col(i).alias(c) for c, i in zip(docs.columns, inner)])
