@@ -19,21 +19,53 @@ GRADES = 4
 MARKERS = 64
 
 
+def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """32-bit features of all words, their bounds per text, and a 64-bit identity of each text's words with their counts."""
+    hashes, first = plain_words(texts)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(arrays.mix(hashes), out=total[1:])
+    return (hashes >> np.uint64(32)).astype(np.uint32), first, total[first[1:]] - total[first[:-1]]
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """``doc_id, copy`` per row of ``rows (doc_id, text)``; rows with the same words equally often have the same ``copy``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in arrays.slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), arrays.signed(_features(texts)[2])], names=["doc_id", "copy"])
+
+    return rows.mapInArrow(run, "doc_id long, copy long")
+
+
 def _word_lists(rows: DataFrame) -> DataFrame:
-    """``doc_id, y, words, times, n``: distinct word hashes of each text with their counts."""
+    """``doc_id, copy, words`` with the distinct features of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in arrays.slices(batches):
+            terms, first, copy = _features(texts)
+            found = [np.unique(terms[first[d] : first[d + 1]]).view(np.int32) for d in range(len(texts))]
+            at = pa.array(np.r_[0, np.cumsum([len(f) for f in found])], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), arrays.signed(copy), pa.ListArray.from_arrays(at, pa.array(np.concatenate(found)))], names=["doc_id", "copy", "words"])
+
+    return rows.mapInArrow(run, "doc_id long, copy long, words array<int>")
+
+
+def _marked_words(rows: DataFrame, terms: np.ndarray, marks: np.ndarray) -> DataFrame:
+    """``doc_id, copy, slots, marks``: places in ``terms`` of each text's distinct features, and how many of its words are in ``marks``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in arrays.slices(batches):
-            hashes, first = plain_words(texts)
-            found = [np.unique(hashes[first[d] : first[d + 1]], return_counts=True) for d in range(len(texts))]
-            at = pa.array(np.r_[0, np.cumsum([len(f[0]) for f in found])], pa.int32())
-            flat = [np.concatenate([f[i] for f in found]) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("y"), pa.ListArray.from_arrays(at, arrays.signed(flat[0])), pa.ListArray.from_arrays(at, pa.array(flat[1], pa.int32()))],
-                names=["doc_id", "y", "words", "times"],
-            )
+            words, first, copy = _features(texts)
+            slots, times = [], np.zeros(len(texts), np.int64)
+            for d in range(len(texts)):
+                own, count = np.unique(words[first[d] : first[d + 1]], return_counts=True)
+                slots.append(np.flatnonzero(np.isin(terms, own)))
+                times[d] = count[np.isin(own, marks)].sum()
+            bounds = pa.array(np.r_[0, np.cumsum([len(f) for f in slots])], pa.int32())
+            cols = [batch.column("doc_id"), arrays.signed(copy), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(slots), pa.int32())), pa.array(times)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "copy", "slots", "marks"])
 
-    return rows.mapInArrow(run, "doc_id long, y int, words array<long>, times array<int>")
+    return rows.mapInArrow(run, "doc_id long, copy long, slots array<int>, marks long")
 
 
 class Severity:
@@ -43,13 +75,13 @@ class Severity:
         order = np.argsort(terms)
         self.terms, self.weights, self.thresholds = terms[order], weights[order], thresholds
 
-    def values(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Sum of weights of the distinct known words of each text."""
+    def values(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Sum of weights of the distinct known features of each text."""
         n = len(first) - 1
-        if not len(self.terms) or not len(hashes):
+        if not len(self.terms) or not len(words):
             return np.zeros(n)
-        slot = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        known = np.flatnonzero(self.terms[slot] == hashes)
+        slot = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
+        known = np.flatnonzero(self.terms[slot] == words)
         text = np.searchsorted(first, known, side="right") - 1
         pairs = np.unique(text * len(self.terms) + slot[known])
         return np.bincount(pairs // len(self.terms), self.weights[pairs % len(self.terms)], n)
@@ -98,35 +130,37 @@ def learn_severity(docs: DataFrame, labels: DataFrame, features: int = FEATURES,
 
     The labels say only whether a text is toxic. Grade 0 is a text that is not; toxic texts get grades from 1 by how many words
     they have of those that mark toxic texts, cut at quantiles. The ``features`` words that separate the classes best come
-    from counts over all labelled rows; the regression itself is fitted on at most ``sample`` labelled rows, those of the
-    lowest hashes, with up to half of them toxic. Both bounds are parameters.
+    from counts over all labelled rows, equal texts counted once; the regression itself is fitted on at most ``sample`` labelled
+    rows, those of the lowest hashes, with up to half of them toxic. Both bounds are parameters. A feature is 32 bits of a word's
+    hash. Labels meet identities of texts first, so only the features of labelled texts that count are moved, and once.
     """
     marked = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(marked, "doc_id")
-    lists = stored(_word_lists(held.select("doc_id", "y", "text")).withColumn("copy", F.xxhash64("words", "times")))
-    lists = stored(lists.dropDuplicates(["copy"]))  # one of equal texts
-    size = {r.y: r.n for r in lists.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    plain = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    known = _copies(plain).groupBy("doc_id", "copy").agg(F.count("*").alias("n")).join(marked, "doc_id")
+    # one of equal texts, toxic if a label of any says so; rows that repeat both id and text share one count
+    one = stored(known.groupBy("copy").agg(F.max("y").alias("y"), F.min(F.struct("doc_id", "n")).alias("of")).select("of.doc_id", "copy", "y", (1 / F.col("of.n")).alias("share")))
+    size = {r.y: r.n for r in one.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not size.get(0) or not size.get(1):
         return None
-    counts = lists.select("y", F.explode("words").alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where("a + b >= 3")
+    terms = _word_lists(plain).join(one, ["doc_id", "copy"]).select("y", "share", F.explode("words").alias("term"))
+    counts = terms.groupBy("term").agg(F.round(F.sum(F.col("share") * F.col("y"))).alias("a"), F.round(F.sum(F.col("share") * (1 - F.col("y")))).alias("b")).where("a + b >= 3")
     gap = F.expr(f"ln((a + 0.5) / ({size[1]} - a + 0.5)) - ln((b + 0.5) / ({size[0]} - b + 0.5))")
     spread = F.expr(f"sqrt(1 / (a + 0.5) + 1 / ({size[1]} - a + 0.5) + 1 / (b + 0.5) + 1 / ({size[0]} - b + 0.5))")
     best = counts.select("term", gap.alias("gap"), spread.alias("spread")).where("abs(gap) > spread")
     best = best.orderBy(F.expr("spread - abs(gap)"), "term").limit(features).collect()
-    terms = np.array([r.term for r in best], np.int64).view(np.uint64)
-    marks = np.array([r.term for r in best if r.gap - 2 * r.spread > 2][:MARKERS], np.int64)
-    table = docs.sparkSession.createDataFrame([(int(t), i, bool(t in set(marks.tolist()))) for i, t in enumerate(terms.view(np.int64))], "term long, slot int, marker boolean")
-    drawn = [lists.where(f"y = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(k) for y, k in ((1, sample // 2), (0, sample - min(size[1], sample // 2)))]
-    rows = drawn[0].union(drawn[1])
-    flat = rows.select("doc_id", "y", F.explode(F.arrays_zip("words", "times")).alias("e")).select("doc_id", "y", F.col("e.words").alias("term"), F.col("e.times").alias("times"))
-    cells = flat.join(F.broadcast(table), "term").groupBy("doc_id").agg(F.collect_list("slot").alias("slots"), F.sum(F.when(F.col("marker"), F.col("times")).otherwise(0)).alias("marks"))
-    got = rows.select("doc_id", "y").join(cells, "doc_id", "left").orderBy("doc_id").collect()
+    terms = np.array([r.term for r in best], np.int32).view(np.uint32)
+    marks = np.array([r.term for r in best if r.gap - 2 * r.spread > 2][:MARKERS], np.int32).view(np.uint32)
+    drawn = [one.where(f"y = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(k) for y, k in ((1, sample // 2), (0, sample - min(size[1], sample // 2)))]
+    rows = stored(drawn[0].union(drawn[1]).select("doc_id", "copy", "y"))  # at most ``sample``, so broadcast
+    texts = plain.join(F.broadcast(rows.select("doc_id").distinct()), "doc_id")
+    cells = _marked_words(texts, terms, marks).join(F.broadcast(rows), ["doc_id", "copy"])
+    got = cells.groupBy("doc_id", "copy").agg(F.first("y").alias("y"), F.first("slots").alias("slots"), F.first("marks").alias("marks")).orderBy("doc_id", "copy").collect()
     y = np.array([r.y for r in got])
-    marks_of = np.array([r.marks or 0 for r in got])
+    marks_of = np.array([r.marks for r in got])
     cuts = np.quantile(marks_of[y == 1], np.arange(1, grades - 1) / (grades - 1))
     grade = np.where(y == 1, 1 + np.searchsorted(cuts, marks_of, side="right"), 0)
-    n = np.array([len(r.slots or ()) for r in got])
-    columns = np.array([s for r in got for s in (r.slots or ())], np.int64)
+    n = np.array([len(r.slots) for r in got])
+    columns = np.array([s for r in got for s in r.slots], np.int64)
     weights, thresholds = fit_ordinal(np.repeat(np.arange(len(got)), n), columns, np.minimum(grade, grades - 1), len(terms), grades)
     return Severity(terms, weights, thresholds)
 
@@ -142,7 +176,7 @@ def severity(docs: DataFrame, model: Severity | None, cut: float = 0.3) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in arrays.slices(batches):
             n = len(texts)
-            above = model.above(model.values(*plain_words(texts))) if model else np.zeros((n, 1))
+            above = model.above(model.values(*_features(texts)[:2])) if model else np.zeros((n, 1))
             each = np.c_[np.ones(n), above] - np.c_[above, np.zeros(n)]
             cols = [pa.array(above.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(above[:, 0]), pa.array(above[:, 0] >= cut)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", "severity", "grade", "p_toxic", "toxic"])

@@ -159,6 +159,16 @@ def test_severity_grows_with_marked_words(spark):
     assert severity(awkward(spark), model).count() == awkward(spark).count() and severity(empty(spark), model).count() == 0
 
 
+def test_equal_texts_count_once_and_repeated_rows_change_nothing(spark):
+    rows = [(i, " ".join([*words(30, i, 200), *(["zxscum"] if i % 3 == 0 else [])]), int(i % 3 == 0)) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    more = docs.union(docs.where("doc_id < 9")).union(spark.createDataFrame([(500 + i, rows[0][1], 1) for i in range(40)] + [(None, "zxscum", 0), (700, None, None)], docs.schema))
+    one, two = (learn_severity(d, d.select("doc_id", "toxic")) for d in (docs, more))
+    assert np.array_equal(one.terms, two.terms) and len(one.terms) and np.allclose(one.weights, two.weights)
+    same = spark.createDataFrame([(i, f"only{i}", i % 2) for i in range(20)], "doc_id long, text string, toxic int")
+    assert not len(learn_severity(same, same.select("doc_id", "toxic")).terms)  # no word in three texts
+
+
 # recurrent scores
 
 
