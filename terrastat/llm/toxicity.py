@@ -142,7 +142,8 @@ def learn_severity(docs: DataFrame, labels: DataFrame, features: int = FEATURES,
     size = {r.y: r.n for r in one.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not size.get(0) or not size.get(1):
         return None
-    terms = _word_lists(plain).join(one, ["doc_id", "copy"]).select("y", "share", F.explode("words").alias("term"))
+    # a merge join at every size: the labelled texts have no bound that would allow a broadcast
+    terms = _word_lists(plain).join(one.hint("merge"), ["doc_id", "copy"]).select("y", "share", F.explode("words").alias("term"))
     counts = terms.groupBy("term").agg(F.round(F.sum(F.col("share") * F.col("y"))).alias("a"), F.round(F.sum(F.col("share") * (1 - F.col("y")))).alias("b")).where("a + b >= 3")
     gap = F.expr(f"ln((a + 0.5) / ({size[1]} - a + 0.5)) - ln((b + 0.5) / ({size[0]} - b + 0.5))")
     spread = F.expr(f"sqrt(1 / (a + 0.5) + 1 / ({size[1]} - a + 0.5) + 1 / (b + 0.5) + 1 / ({size[0]} - b + 0.5))")
