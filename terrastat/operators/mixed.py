@@ -359,8 +359,8 @@ def fit(sums: Sums, terms: Sequence[tuple], structure: str = "D", reml: bool = T
 
 
 def coefficient_table(spark: SparkSession, f: Fit) -> DataFrame:
-    rows = [(i, n, float(b), float(math.sqrt(v))) for i, (n, b, v) in enumerate(zip(f.names, f.beta, np.diag(f.cov)))]
-    return local_table(spark, rows, "i int, term string, estimate double, se double")
+    rows = [(i, n, float(b), float(math.sqrt(v)), f.converged) for i, (n, b, v) in enumerate(zip(f.names, f.beta, np.diag(f.cov)))]
+    return local_table(spark, rows, "i int, term string, estimate double, se double, converged boolean")
 
 
 def variance_table(spark: SparkSession, f: Fit) -> DataFrame:
@@ -389,9 +389,9 @@ def is_singular(f: Fit) -> bool:
 
 
 def criteria_table(spark: SparkSession, fits: dict[str, Fit]) -> DataFrame:
-    """Parameters, log-likelihood, AIC, BIC by samples and by plots, and differences to the best."""
-    rows = [(k, f.n_params, f.loglik, f.sums.n_obs, f.sums.n_plots, is_singular(f) if f.structure != "N" else False) for k, f in fits.items()]
-    df = local_table(spark, rows, "model string, k int, loglik double, n_obs long, n_plots long, singular boolean")
+    """Parameters, log-likelihood, AIC, BIC by samples and by plots, differences to the best, and whether the optimiser converged."""
+    rows = [(k, f.n_params, f.loglik, f.sums.n_obs, f.sums.n_plots, is_singular(f) if f.structure != "N" else False, f.converged) for k, f in fits.items()]
+    df = local_table(spark, rows, "model string, k int, loglik double, n_obs long, n_plots long, singular boolean, converged boolean")
     return information_criteria(df)
 
 

@@ -191,13 +191,13 @@ def _(t):
 
 @query("ml_17_nested_cv_summary")
 def _(t):
-    pred, _best = learn.nested_cv(survey(t), ["id"], "target", FEATURES, ["soil"], SETTINGS[:1], outer=5, inner=2)
+    pred, _best = learn.nested_cv(survey(t), ["id"], "target", FEATURES, ["soil"], SETTINGS, outer=5, inner=4)
     m = metrics(pred.withColumn("response", F.lit("target")), ["response", "fold"])
     return cv_summary(m, ["response"], ["r2", "rmse", "mae", "rpiq", "ccc"])
 
 
 def _final(t):
-    return learn.final_model(survey(t), ["id"], "target", FEATURES, ["soil"], SETTINGS[:1], inner=2)
+    return learn.final_model(survey(t), ["id"], "target", FEATURES, ["soil"], SETTINGS, inner=4)
 
 
 @query("ml_18_final_model")
@@ -219,7 +219,7 @@ def _(t):
 @query("ml_19_bootstrap_ensemble")
 def _(t):
     d, names = prepared(t)
-    models = learn.bootstrap_models(d, ["id"], names, "target", {**SMALL, "trees": 3}, 5, 11)
+    models = learn.bootstrap_models(d, ["id"], names, "target", {**SMALL, "trees": 3}, 30, 11)
     return learn.ensemble_predict(d, models).select("id", "mean", "sd")
 
 

@@ -353,12 +353,12 @@ def _(t):
 def _(t):
     got = sums(t)
     fits = {m: mx.fit(got, mx.FIXED[m], "D") for m in ("M3", "M4")}
-    return ct.annotations(clustered(t), DESIGN, fits, ct.figure_specs(), df2(got))
+    return ct.annotations(clustered(t), DESIGN, fits, ct.panel_specs(), df2(got))
 
 
-@query("mix_19_panel_counts", f"SELECT 'site_by_landcover' AS spec, site AS panel, lc AS x_level, count(*) AS n_samples, count(DISTINCT plot) AS n_plots FROM {SAMPLES} GROUP BY 2, 3 UNION ALL SELECT 'global_depth', 'All', CAST(depth AS VARCHAR), count(*), count(DISTINCT plot) FROM {SAMPLES} GROUP BY 3")
+@query("mix_19_panel_counts", f"SELECT 'lc_within_site' AS spec, site AS panel, lc AS x_level, count(*) AS n_samples, count(DISTINCT plot) AS n_plots FROM {SAMPLES} GROUP BY 2, 3 UNION ALL SELECT 'depth_overall', 'All', CAST(depth AS VARCHAR), count(*), count(DISTINCT plot) FROM {SAMPLES} GROUP BY 3")
 def _(t):
-    specs = [x for x in ct.figure_specs() if x[0] in ("site_by_landcover", "global_depth")]
+    specs = [x for x in ct.panel_specs() if x[0] in ("lc_within_site", "depth_overall")]
     return ct.panel_counts(samples(t), DESIGN, specs)
 
 

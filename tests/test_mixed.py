@@ -181,10 +181,10 @@ def test_published_letter_pattern():
 def test_annotations_cover_every_panel_and_level(spark, data):
     _p, d, sums = data
     fits = {m: mx.fit(sums, mx.FIXED[m], "D") for m in ("M3", "M4")}
-    got = ct.annotations(d, DESIGN, fits, ct.figure_specs(), 80).toPandas()
+    got = ct.annotations(d, DESIGN, fits, ct.panel_specs(), 80).toPandas()
     assert len(got) == 3 + 3 + 4 + 9 + 9 + 12 + 12 + 12 + 12
     assert (got.letter != "").all() and (got.n_samples > 0).all() and (got.df2 == 80).all()
-    assert set(got[got.model == "M4"].figure) == {"landcover_by_depth", "depth_by_landcover"}
+    assert set(got[got.model == "M4"].figure) == {"lc_within_depth", "depth_within_lc"}
 
 
 def test_three_holm_families_grow(spark, data):
