@@ -15,6 +15,7 @@ from terrastat.plans.windows_q import FILLED
 from terrastat.session import local_table
 
 MAX_LAG = 0.3
+LAG_COUNTS = list(range(6, 21))
 SETTINGS = random_settings(2, 42, trees=(4, 8), depth=(3, 5))  # small search so that a run stays short
 
 
@@ -81,7 +82,7 @@ def fitted(t):
 @query("spa_05_variogram_search")
 def _(t):
     folds = assign_folds(samples(t), ["sid"], 4, 1, out="inner")
-    return kriging.search_variogram(folds, MAX_LAG, _CANDIDATES, [6, 10, 14], [True, False], k=16)
+    return kriging.search_variogram(folds, MAX_LAG, _CANDIDATES, LAG_COUNTS, [True, False], k=32)
 
 
 @query("spa_07_local_kriging")
@@ -115,7 +116,7 @@ def _(t):
 
 
 def _nested(t):
-    return rk.nested_cv_rk(survey(t), "target", FEATURES, ["soil"], SETTINGS, MAX_LAG, n_lags=[8], weighted=[True], k=16, outer=5, inner=2, steps=10)
+    return rk.nested_cv_rk(survey(t), "target", FEATURES, ["soil"], SETTINGS, MAX_LAG, n_lags=LAG_COUNTS, weighted=[True, False], k=32, outer=5, inner=4, steps=20)
 
 
 @query("spa_09_rk_nested_cv")
@@ -127,19 +128,19 @@ def _(t):
 
 @query("spa_10_rk_final_model")
 def _(t):
-    fit = rk.final_rk(survey(t), "target", FEATURES, ["soil"], SETTINGS, MAX_LAG, [8], [True], k=16, inner=2, steps=10)
+    fit = rk.final_rk(survey(t), "target", FEATURES, ["soil"], SETTINGS, MAX_LAG, LAG_COUNTS, [True, False], k=32, inner=4, steps=20)
     spread = fit["residuals"].agg(F.struct(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd_resid")).alias("s")).scalar()
     return fit["fitted"].withColumn("s", spread).select("model", "sill", "reach", "nugget", "s.n", "s.sd_resid")
 
 
 @query("spa_11_rk_point_map")
 def _(t):
-    fit = rk.final_rk(survey(t), "target", FEATURES, ["soil"], SETTINGS, MAX_LAG, [8], [True], k=16, inner=2, steps=10)
+    fit = rk.final_rk(survey(t), "target", FEATURES, ["soil"], SETTINGS, MAX_LAG, LAG_COUNTS, [True, False], k=32, inner=4, steps=20)
     px = located(t).select(
         "qid", "x", "y", *[(F.sin(F.col("qid") * (i + 1)) * 0.2).alias(f) for i, f in enumerate(FEATURES)], (F.col("size") % 10).cast("int").cast("string").alias("soil")
     )
     ready, _ = apply_statistics(px, fit["stats"], FEATURES, ["soil"])
-    out = rk.predict_map(ready, fit["model"], fit["residuals"], fit["fitted"], k=16)
+    out = rk.predict_map(ready, fit["model"], fit["residuals"], fit["fitted"], k=32)
     return out.select("qid", "x", "y", "trend", "prediction")
 
 
