@@ -13,12 +13,47 @@ from pyspark.sql import functions as F
 from terrastat.config import ALPHA, STRONG_R
 from terrastat.functions.scalar import is_finite
 from terrastat.functions.tails import f_test_p, t_test_p
-from terrastat.session import broadcast_if_small, local_table
+from terrastat.session import broadcast_if_small, cut_lineage, fetched, local_table
 
 
 # ---------------------------------------------------------------- quantiles
 
 
+GRID = 256
+
+
+def _with_brackets(rows: DataFrame, by: Sequence[str], brackets: DataFrame) -> DataFrame:
+    """Rows with the size ``_n`` and the brackets ``_q`` of their group; a table without groups has one row of both."""
+    if not by:
+        one = brackets.first()
+        each = [F.struct(*[F.lit(q[c]).cast("double").alias(c) for c in ("prob", "lo", "hi")]) for q in one["_q"]]
+        return rows.withColumns({"_n": F.lit(one["_n"]), "_q": F.array(*each)})
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    return rows.join(broadcast_if_small(brackets.select(*keys, "_n", "_q")), same).select(*rows.columns, "_n", "_q")
+
+
+def _narrowed(base: DataFrame, by: Sequence[str], brackets: DataFrame, most: int, accuracy: int) -> DataFrame:
+    """Brackets with more than ``most`` rows between their ends, cut to a few steps of a grid of percentiles of those rows."""
+    rows = _with_brackets(base, by, brackets).select(*by, "_v", "_n", F.explode("_q").alias("_b")).filter(F.col("_v") <= F.col("_b.hi"))
+    inside = F.when((F.col("_v") > F.col("_b.lo")) & (F.col("_v") < F.col("_b.hi")), F.col("_v"))
+    met = rows.groupBy(*by, "_n", "_b").agg(
+        F.count_if(F.col("_v") <= F.col("_b.lo")).alias("_below"),
+        F.count(inside).alias("_in"),
+        F.percentile_approx(inside, [i / GRID for i in range(GRID + 1)], accuracy).alias("_grid"),
+    )
+    h = (F.col("_n") - 1) * F.col("_b.prob")
+
+    def step(rank: Column) -> Column:
+        return F.floor((rank - F.col("_below")) * GRID / F.col("_in")).cast("int")
+
+    lo = F.coalesce(F.get("_grid", step(F.floor(h)) - 1), F.col("_b.lo"))
+    hi = F.coalesce(F.get("_grid", step(F.ceil(h)) + 2), F.col("_b.hi"))
+    wide = F.col("_in") > most
+    cut = F.struct(F.col("_b.prob").alias("prob"), F.when(wide, lo).otherwise(F.col("_b.lo")).alias("lo"), F.when(wide, hi).otherwise(F.col("_b.hi")).alias("hi"))
+    return cut_lineage(met.groupBy(*by, "_n").agg(F.collect_list(cut).alias("_q")))
+
+
 def exact_percentiles(
     df: DataFrame,
     value: str,
@@ -26,12 +61,15 @@ def exact_percentiles(
     by: Sequence[str] = (),
     accuracy: int = 2000,
     small: int = 20_000,
+    most: int = 100_000,
 ) -> DataFrame:
     """Linear-interpolation percentiles as ``by, prob, n, percentile``, exact at any row count.
 
     The built-in ``percentile`` keeps every distinct value of a group in one
-    buffer. Here a fixed-size sketch brackets each percentile, rows outside the
-    bracket are only counted, and the few inside are ranked.
+    buffer. Here a fixed-size sketch brackets each percentile, and sketches of
+    the rows between its ends narrow it until at most about ``most`` of them are
+    left: each round leaves 2 % of the rows, so four serve 1e11. Rows outside are
+    only counted, values inside are ranked; a value held by many rows is one.
     """
     v = F.col(value).cast("double")
     base = df.filter(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("_v"))
@@ -47,22 +85,19 @@ def exact_percentiles(
     stats = base.groupBy(*by).agg(
         n.alias("_n"), edges(F.min("_v"), low).alias("_lo"), edges(F.max("_v"), high).alias("_hi")
     )
-    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
-    if by:
-        bounds = broadcast_if_small(stats.select(*keys, "_n", "_lo", "_hi"))
-        same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
-        rows = base.join(bounds, same)
-    else:
-        one = stats.select(F.struct("_n", "_lo", "_hi").alias("_s")).scalar()
-        rows = base.withColumn("_s", one).select("_v", "_s._n", "_s._lo", "_s._hi")
-    brackets = F.array(
-        *[
-            F.struct(F.lit(float(p)).alias("prob"), F.col("_lo")[i].alias("lo"), F.col("_hi")[i].alias("hi"))
-            for i, p in enumerate(probs)
-        ]
-    )
+    each = [
+        F.struct(F.lit(float(p)).alias("prob"), F.col("_lo")[i].alias("lo"), F.col("_hi")[i].alias("hi"))
+        for i, p in enumerate(probs)
+    ]
+    brackets, largest = fetched(stats.select(*by, "_n", F.array(*each).alias("_q")), "_n")
+    # rows that the sketch's error bound leaves between the ends of the largest bracket
+    width = largest * (2 * eps + 2.0 / accuracy) if largest > small else 0.0
+    while width > most:
+        brackets = _narrowed(base, by, brackets, most, accuracy)
+        width *= 4.0 / GRID + 2.0 / accuracy
     counted = (
-        rows.select(*by, "_v", "_n", F.explode(brackets).alias("_q"))
+        _with_brackets(base, by, brackets)
+        .select(*by, "_v", "_n", F.explode("_q").alias("_q"))
         .filter(F.col("_v") <= F.col("_q.hi"))
         .groupBy(*by, F.col("_q.prob").alias("prob"), "_n", F.when(F.col("_v") >= F.col("_q.lo"), F.col("_v")).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))

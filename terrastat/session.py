@@ -82,3 +82,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
     if rows.num_rows > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def fetched(df: DataFrame, count: str, max_rows: int = 20_000) -> tuple[DataFrame, int]:
+    """``df`` as a table that costs nothing to read again, and its largest ``count`` (0 without rows).
+
+    At most ``max_rows`` rows come to the driver; a longer table is stored.
+    """
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows <= max_rows:
+        return df.sparkSession.createDataFrame(rows, df.schema), max(rows.column(count).to_pylist(), default=0)
+    kept = cut_lineage(df)
+    return kept, kept.agg(F.max(count)).first()[0]

@@ -31,6 +31,31 @@ def test_percentiles_equal_numpy(spark, small):
     assert [whole[q] for q in probs] == pytest.approx(list(np.percentile(p.x, [100 * q for q in probs])))
 
 
+def test_percentiles_by_repeated_narrowing(spark):
+    """Distinct values, a sixth of the rows at the smallest and a sixth at one in between; brackets are cut to 200 rows."""
+    rng = np.random.default_rng(5)
+    n = 200_000
+    u = rng.random(n)
+    x = np.where(u < 1 / 6, -9.0, np.where(u < 1 / 3, 0.25, rng.normal(0, 1, n)))
+    g = np.where(np.arange(n) % 3 == 0, "a", "b")
+    d = spark.createDataFrame(pd.DataFrame({"g": g, "x": x}))
+    probs = [0.0, 0.1, 0.4, 0.731]
+    whole = {r["prob"]: r["percentile"] for r in s.exact_percentiles(d, "x", probs, small=10, most=200).collect()}
+    assert [whole[q] for q in probs] == pytest.approx(list(np.percentile(x, [100 * q for q in probs])), abs=1e-14)
+    got = {(r["g"], r["prob"]): r["percentile"] for r in s.exact_percentiles(d, "x", probs, ["g"], small=10, most=200).collect()}
+    for k in "ab":
+        assert [got[k, q] for q in probs] == pytest.approx(list(np.percentile(x[g == k], [100 * q for q in probs])), abs=1e-14)
+
+
+def test_narrowing_leaves_few_rows(spark):
+    rng = np.random.default_rng(6)
+    d = spark.createDataFrame(pd.DataFrame({"_v": np.where(rng.random(100_000) < 0.4, 0.5, rng.random(100_000))}))
+    q = F.array(*[F.struct(F.lit(p).alias("prob"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")) for p in (0.1, 0.3, 0.69, 0.9)])
+    brackets = s._narrowed(d, [], d.agg(F.count("_v").alias("_n")).withColumn("_q", q), 100, 2000)
+    for b in brackets.first()["_q"]:
+        assert d.where((F.col("_v") > b["lo"]) & (F.col("_v") < b["hi"])).count() <= 100_000 * (4 / s.GRID + 2 / 2000)
+
+
 def test_percentiles_with_null_group_and_one_row(spark):
     d = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0), ("a", None)], "g string, x double")
     got = {r["g"]: (r["n"], r["percentile"]) for r in s.exact_percentiles(d, "x", [0.25], ["g"]).collect()}
