@@ -8,14 +8,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrastat.functions.scalar import hash_uniform, poisson_one
-from terrastat.operators.ranks import assign_folds, sample_rows
+from terrastat.operators.ranks import assign_folds
 from terrastat.operators.summary import exact_percentiles, to_long
 from terrastat.session import cut_lineage, local_table
 
@@ -103,7 +102,7 @@ def apply_statistics(df: DataFrame, stats: DataFrame, numeric: Sequence[str], ca
 
 
 def forest(features: Sequence[str], label: str, params: Mapping, weight: str | None = None, seed: int = 42) -> Pipeline:
-    """Assembler and random forest; ``params``: trees, depth, leaf, subset."""
+    """Assembler and random forest; ``params``: trees, depth, leaf, subset and, if rows shall not be resampled, bootstrap."""
     rf = RandomForestRegressor(
         featuresCol="features",
         labelCol=label,
@@ -111,6 +110,7 @@ def forest(features: Sequence[str], label: str, params: Mapping, weight: str | N
         maxDepth=int(params["depth"]),
         minInstancesPerNode=int(params["leaf"]),
         featureSubsetStrategy=params["subset"],
+        bootstrap=params.get("bootstrap", True),
         seed=seed,
     )
     if weight:
@@ -228,88 +228,10 @@ def ensemble_predict(df: DataFrame, models: Sequence[PipelineModel]) -> DataFram
 # ---------------------------------------------------------------- attribution
 
 
-def _walks(rows: DataFrame, background: DataFrame, features: Sequence[str], n_perm: int, seed: int) -> DataFrame:
-    """Each row paired with ``n_perm`` feature orders and one background row per order."""
-    base = sample_rows(background.select("id", F.array(*[F.col(f).cast("double") for f in features]).alias("z")), ["id"], n_perm, seed)
-    z = [r["z"] for r in base.collect()]
-    zs = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in z])
-    order = F.transform(
-        F.array_sort(
-            F.array(
-                *[F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("perm").cast("string"), F.col("id").cast("string"), F.lit(f))).alias("h"), F.lit(i).alias("i")) for i, f in enumerate(features)]
-            )
-        ),
-        lambda s: s["i"],
-    )
-    return (
-        rows.select("id", F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
-        .withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(len(z) - 1))))
-        .withColumn("order", order)
-        .withColumn("z", F.element_at(zs, F.col("perm") + 1))
-    )
-
-
-def _predict(df: DataFrame, model: PipelineModel, values: str) -> DataFrame:
-    regressor = model.stages[-1].copy().setPredictionCol("f")
-    return regressor.transform(df.withColumn("features", array_to_vector(F.col(values)))).drop("features")
-
-
-def attribution(model: PipelineModel, rows: DataFrame, background: DataFrame, features: Sequence[str], n_perm: int, seed: int = 123) -> DataFrame:
-    """Shapley values by permutation sampling: ``id, feature, value, phi``.
-
-    Along each random order the features switch one by one from a background row
-    to the explained row; the steps of a walk sum to the difference of its ends,
-    so the values of a row sum to f(row) minus the mean background prediction.
-    They estimate interventional values and equal tree-path values in form only.
-    """
-    k = len(features)
-    names = F.array(*[F.lit(f) for f in features])
-    w = _walks(rows, background, features, n_perm, seed)
-    steps = w.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(k)))).withColumn(
-        "v",
-        F.transform("x", lambda xv, i: F.when(F.array_position("order", i) <= F.col("step"), xv).otherwise(F.element_at("z", i + 1))),
-    )
-    scored = _predict(steps, model, "v")
-    prev = F.lag("f").over(Window.partitionBy("id", "perm").orderBy("step"))
-    moves = scored.withColumn("_d", F.col("f") - prev).filter(F.col("step") > 0)
-    at = F.element_at("order", F.col("step"))
-    return (
-        moves.select("id", F.element_at(names, at + 1).alias("feature"), F.element_at("x", at + 1).alias("value"), "_d")
-        .groupBy("id", "feature")
-        .agg(F.first("value").alias("value"), F.avg("_d").alias("phi"))
-    )
-
-
 def mean_abs_attribution(phi: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return phi.groupBy(*by, "feature").agg(F.avg(F.abs("phi")).alias("mean_abs"), F.count(F.lit(1)).alias("n"))
 
 
-def interactions(model: PipelineModel, rows: DataFrame, background: DataFrame, features: Sequence[str], top: Sequence[str], n_perm: int, seed: int = 123) -> DataFrame:
-    """Mean absolute second difference of each pair of ``top`` features over random coalitions."""
-    pairs = [(a, b) for i, a in enumerate(top) for b in top[i + 1 :]]
-    at = {f: i for i, f in enumerate(features)}
-    pair_array = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(at[a]).alias("ia"), F.lit(at[b]).alias("ib")) for a, b in pairs])
-    w = _walks(rows, background, features, n_perm, seed)
-    cut = F.pmod(F.xxhash64("id", "perm"), F.lit(len(features) - 1)).cast("int")
-    corners = (
-        w.withColumn("cut", cut)
-        .withColumn("p", F.explode(pair_array))
-        .withColumn("on", F.explode(F.array(*[F.lit(i) for i in range(4)])))
-    )
-
-    def mixed(xv, i):
-        own = (i == F.col("p.ia")) | (i == F.col("p.ib"))
-        switched = ((i == F.col("p.ia")) & (F.col("on").bitwiseAND(1) > 0)) | ((i == F.col("p.ib")) & (F.col("on").bitwiseAND(2) > 0))
-        given = ~own & (F.array_position("order", i) <= F.col("cut"))
-        return F.when(switched | given, xv).otherwise(F.element_at("z", i + 1))
-
-    scored = _predict(corners.withColumn("v", F.transform("x", mixed)), model, "v")
-    sign = F.when((F.col("on") == 0) | (F.col("on") == 3), 1.0).otherwise(-1.0)
-    per_row = scored.groupBy("id", F.col("p.a").alias("a"), F.col("p.b").alias("b"), "perm").agg(F.sum(sign * F.col("f")).alias("_d"))
-    mean = per_row.groupBy("id", "a", "b").agg(F.avg("_d").alias("_m"))
-    return mean.groupBy("a", "b").agg(F.avg(F.abs("_m")).alias("strength"))
-
-
 def importances(model: PipelineModel, features: Sequence[str]) -> DataFrame:
     """Impurity importance of each feature."""
     from pyspark.sql import SparkSession

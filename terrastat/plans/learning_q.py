@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrastat.operators import index, learn, screen
+from terrastat.operators import index, learn, screen, shapley
 from terrastat.operators.ranks import assign_folds, spearman
 from terrastat.operators.summary import cv_summary, metrics
-from terrastat.plans.data import BLOCK_COLUMNS, FEATURES, GAPPY, TRIPLE, block, gappy, survey, triple
+from terrastat.plans.data import BLOCK, BLOCK_COLUMNS, FEATURES, GAPPY, TRIPLE, block, gappy, survey, triple
 from terrastat.plans.prep_q import PAIRS_SQL
+from terrastat.plans.summary_q import poisson_sql
 from terrastat.plans.registry import query, r, rnd
 from terrastat.session import cut_lineage, local_table, new_path
 from terrastat.sources import sinks
@@ -107,6 +108,32 @@ def _(t):
     return out
 
 
+_V3 = """(SELECT *, (1 - r23 * r23) / det AS v1, (1 - r13 * r13) / det AS v2, (1 - r12 * r12) / det AS v3 FROM
+(SELECT *, 1 + 2 * r12 * r13 * r23 - r12 * r12 - r13 * r13 - r23 * r23 AS det FROM
+(SELECT corr(price, net) AS r12, corr(price, charge) AS r13, corr(net, charge) AS r23 FROM {rows})))"""
+# the worst goes first; of the two left both have the same factor, and the first goes if it reaches the limit
+_STEP1 = f"""(SELECT *, greatest(v1, v2, v3) AS worst, CASE greatest(v1, v2, v3) WHEN v1 THEN ['price', 'net', 'charge'] WHEN v2 THEN ['net', 'price', 'charge'] ELSE ['charge', 'price', 'net'] END AS names,
+1 / (1 - power(CASE greatest(v1, v2, v3) WHEN v1 THEN r23 WHEN v2 THEN r13 ELSE r12 END, 2)) AS pair FROM {_V3.format(rows=BLOCK)})"""
+
+
+@query(
+    "ml_09_vif_three",
+    f"""SELECT predictor, {r('vif', 5)} AS vif FROM (SELECT unnest(CASE WHEN worst < 10 THEN ['price', 'net', 'charge'] WHEN pair < 10 THEN names[2:3] ELSE names[3:3] END) AS predictor,
+unnest(CASE WHEN worst < 10 THEN [v1, v2, v3] WHEN pair < 10 THEN [pair, pair] ELSE [1e0] END) AS vif FROM {_STEP1})""",
+)
+def _(t):
+    kept, _log = screen.eliminate(block(t), ["price", "net", "charge"])
+    return rnd(kept.select("predictor", "vif"), 5, "vif")
+
+
+@query(
+    "ml_09_vif_three_log",
+    f"SELECT 0 AS step, names[1] AS dropped, {r('worst', 2)} AS vif_at_drop FROM {_STEP1} WHERE worst >= 10 UNION ALL SELECT 1, names[2], {r('pair', 2)} FROM {_STEP1} WHERE worst >= 10 AND pair >= 10",
+)
+def _(t):
+    return screen.eliminate(block(t), ["price", "net", "charge"])[1].select("step", "dropped", "vif_at_drop")
+
+
 @query("ml_10_retained_correlations", f"SELECT var2 AS row_name, var1 AS col_name, {r('r', 8)} AS r FROM ({PAIRS_SQL})")
 def _(t):
     return rnd(screen.retained_correlations(block(t), BLOCK_COLUMNS).select("row_name", "col_name", "r"), 8, "r")
@@ -234,10 +261,131 @@ def _(t):
     return rnd(d.select("id", mean.alias("mean"), sd.alias("sd")), 7, "mean", "sd")
 
 
+# one split on ten levels has an exact statement: the cut with the largest sum of squared sums over counts
+STUMP = {"trees": 1, "depth": 1, "leaf": 1, "subset": "all", "bootstrap": False}
+STUMPS = [{**STUMP, "depth": 0}, STUMP]  # no split or one
+_ST = """(SELECT vec_id AS id, CAST(label AS DOUBLE) AS x, 3 * e[5] - 2 * e[6] + e[7] * e[8] * 10 + sin(e[1] * 12) + label * 0.05e0 AS target
+FROM (SELECT *, [CAST(v AS DOUBLE) FOR v IN embedding] AS e FROM embeddings))"""
+
+
+def stumps(t):
+    return survey(t).select("id", F.col("soil").cast("double").alias("x"), "target")
+
+
+def _cuts(rows: str, g: str, w: str = "1e0") -> str:
+    """Per group ``g`` of ``rows``: best cut, mean at or below it, mean above, mean of all."""
+    levels = f"(SELECT {g} AS g, x, sum({w}) AS n, sum({w} * target) AS s FROM {rows} GROUP BY 1, 2)"
+    upto = f"(SELECT *, sum(n) OVER (PARTITION BY g ORDER BY x) AS nl, sum(s) OVER (PARTITION BY g ORDER BY x) AS sl, sum(n) OVER (PARTITION BY g) AS na, sum(s) OVER (PARTITION BY g) AS sa FROM {levels})"
+    return f"(SELECT g, x AS cut, sl / nl AS ml, (sa - sl) / (na - nl) AS mr, sa / na AS m FROM {upto} WHERE nl < na QUALIFY row_number() OVER (PARTITION BY g ORDER BY sl * sl / nl + (sa - sl) * (sa - sl) / (na - nl) DESC, x) = 1)"
+
+
+_SIDE = "CASE WHEN x <= cut THEN ml ELSE mr END"
+
+
+def _scores(rows: str, g: str) -> str:
+    """Per group ``g`` of ``rows (inner)``: mean error over four inner folds without a split and with one."""
+    fits = _cuts(f"(SELECT d.*, {g} * 10 + f AS gi FROM {rows} d, range(1, 5) AS k(f) WHERE d.inner_fold <> f)", "gi")
+    each = f"(SELECT g, sqrt(avg(power(target - m, 2))) AS e0, sqrt(avg(power(target - ({_SIDE}), 2))) AS e1 FROM (SELECT *, {g} * 10 + inner_fold AS gi FROM {rows}) JOIN {fits} ON g = gi GROUP BY 1)"
+    return f"(SELECT g // 10 AS g, avg(e0) AS r0, avg(e1) AS r1 FROM {each} GROUP BY 1)"
+
+
+_INNER = f"(SELECT *, 0 AS o, CAST(ntile(4) OVER (ORDER BY md5('{{seed}}:' || id), id) AS INTEGER) AS inner_fold FROM {_ST})"
+
+
+@query("ml_15_stump", f"SELECT id, {r('target', 6)} AS obs, {r(_SIDE, 6)} AS pred FROM {_ST}, {_cuts(_ST, '0')}")
+def _(t):
+    d = stumps(t)
+    model = learn.forest(["x"], "target", STUMP).fit(d)
+    return rnd(model.transform(d).select("id", F.col("target").alias("obs"), F.col("prediction").alias("pred")), 6, "obs", "pred")
+
+
+@query(
+    "ml_16_tuning_stumps",
+    f"SELECT k AS depth, {r('CASE k WHEN 0 THEN r0 ELSE r1 END', 8)} AS rmse FROM {_scores(_INNER.format(seed=1), 'o')}, (VALUES (0), (1)) AS v(k)",
+)
+def _(t):
+    folds = cut_lineage(assign_folds(stumps(t), ["id"], 4, 1, out="inner"))
+    _model, _best, scores = learn.tune_forest(folds, ["x"], "target", "inner", 4, STUMPS)
+    return rnd(local_table(t.spark, [(s["depth"], v) for s, v in zip(STUMPS, scores)], "depth int, rmse double"), 8, "rmse")
+
+
+_OUTER = f"(SELECT *, CAST(ntile(5) OVER (ORDER BY md5('123:' || id), id) AS INTEGER) AS fold FROM {_ST})"
+_TRAINED = f"(SELECT *, CAST(ntile(4) OVER (PARTITION BY o ORDER BY md5((123 + o) || ':' || id), id) AS INTEGER) AS inner_fold FROM (SELECT d.*, o FROM {_OUTER} d, range(1, 6) AS k(o) WHERE d.fold <> o))"
+
+
+@query(
+    "ml_17_nested_cv_stumps",
+    f"SELECT id, fold, {r('target', 6)} AS obs, {r(f'CASE WHEN r0 <= r1 THEN m ELSE {_SIDE} END', 6)} AS pred FROM {_OUTER} d JOIN {_cuts(_TRAINED, 'o')} c ON c.g = d.fold JOIN {_scores(_TRAINED, 'o')} e ON e.g = d.fold",
+)
+def _(t):
+    pred, _best = learn.nested_cv(stumps(t), ["id"], "target", ["x"], [], STUMPS, outer=5, inner=4)
+    return rnd(pred, 6, "obs", "pred")
+
+
+_FINAL = f"SELECT id, {r(f'CASE WHEN r0 <= r1 THEN m ELSE {_SIDE} END', 6)} AS prediction FROM {_ST}, {_cuts(_ST, '0')}, {_scores(_INNER.format(seed=123), 'o')}"
+
+
+def _final_stump(t):
+    return learn.final_model(stumps(t), ["id"], "target", ["x"], [], STUMPS, inner=4)
+
+
+@query("ml_18_final_stump", _FINAL)
+def _(t):
+    model, stats, _names, _best = _final_stump(t)
+    ready, _ = learn.apply_statistics(stumps(t), stats, ["x"], [])
+    return rnd(model.transform(ready).select("id", "prediction"), 6, "prediction")
+
+
+@query("src_12_stump_bundle", _FINAL)
+def _(t):
+    model, stats, _names, _best = _final_stump(t)
+    path = new_path(t.spark, "bundle")
+    sinks.save_bundle(model, stats, path)
+    again, back = sinks.load_bundle(t.spark, path)
+    ready, _ = learn.apply_statistics(stumps(t), back, ["x"], [])
+    return rnd(again.transform(ready).select("id", "prediction"), 6, "prediction")
+
+
+_DRAWN = f"(SELECT *, {poisson_sql('u')} AS w FROM (SELECT d.*, b, (('0x' || substr(md5('11:' || b || ':' || id), 1, 8))::BIGINT / 4294967296e0) AS u FROM {_ST} d, range(1, 31) AS k(b)))"
+
+
+@query(
+    "ml_19_bootstrap_stumps",
+    f"SELECT id, {r('avg(p)', 6)} AS mean, {r('stddev_samp(p)', 6)} AS sd FROM (SELECT id, {_SIDE} AS p FROM {_ST}, {_cuts(f'(SELECT * FROM {_DRAWN} WHERE w > 0)', 'b', 'w')}) GROUP BY 1",
+)
+def _(t):
+    d = stumps(t)
+    models = learn.bootstrap_models(d, ["id"], ["x"], "target", STUMP, 30, 11)
+    return rnd(learn.ensemble_predict(d, models).select("id", "mean", "sd"), 6, "mean", "sd")
+
+
+_PHI = f"(SELECT id, x, ({_SIDE}) - m AS phi FROM {_ST}, {_cuts(_ST, '0')})"
+
+
+def _stump_phi(t):
+    d = stumps(t)
+    return shapley.attribution(learn.forest(["x"], "target", STUMP).fit(d), d, ["x"])
+
+
+@query("ml_20_stump_attribution", f"SELECT id, 'x' AS feature, x AS value, {r('phi', 6)} AS phi FROM {_PHI}")
+def _(t):
+    return rnd(_stump_phi(t), 6, "phi")
+
+
+@query("ml_20_stump_mean_attribution", f"SELECT 'x' AS feature, {r('avg(abs(phi))', 6)} AS mean_abs, count(*) AS n FROM {_PHI}")
+def _(t):
+    return rnd(learn.mean_abs_attribution(_stump_phi(t)), 6, "mean_abs")
+
+
+@query("ml_23_stump_dependence", f"SELECT id, x AS value, {r('phi', 6)} AS phi FROM {_PHI}")
+def _(t):
+    return rnd(learn.dependence_rows(_stump_phi(t), 3).select("id", "value", "phi"), 6, "phi")
+
+
 def _phi(t):
     d, names = prepared(t)
     model = learn.forest(names, "target", SMALL).fit(d)
-    return model, d, names, learn.attribution(model, d, d, names, n_perm=4)
+    return model, d, names, shapley.attribution(model, d, names)
 
 
 @query("ml_20_attribution")
@@ -254,7 +402,7 @@ def _(t):
 def _(t):
     d, names = prepared(t)
     model = learn.forest(names, "target", SMALL).fit(d)
-    return learn.interactions(model, d, d, names, FEATURES, n_perm=3)
+    return shapley.interactions(model, d, names, FEATURES)
 
 
 @query("ml_22_importance_validation")

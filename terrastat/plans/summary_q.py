@@ -244,7 +244,7 @@ def _(t):
     return rnd(spatial.region_statistics(inside, "price", ["region", "response"]), 2, "min_value", "max_value")
 
 
-def _poisson(u: str) -> str:
+def poisson_sql(u: str) -> str:
     total, term, parts = 0.0, 0.36787944117144233, []
     for k in range(1, 12):
         total += term
@@ -260,7 +260,7 @@ _U = "(('0x' || substr(md5('7:' || b || ':' || id), 1, 8))::BIGINT / 4294967296e
 @query(
     "agg_27_bootstrap_interval",
     f"""SELECT m.feature, {r('m.m', 8)} AS mean_abs, {r('b.lo', 8)} AS ci_lo, {r('b.hi', 8)} AS ci_hi FROM (SELECT feature, avg(abs(phi)) AS m FROM {_LONG} GROUP BY 1) m JOIN
-(SELECT feature, quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi FROM (SELECT feature, b, sum(w * abs(phi)) / sum(w) AS v FROM (SELECT *, {_poisson('u')} AS w FROM (SELECT *, {_U} AS u FROM {_LONG}, range(1, 201) AS g(b))) GROUP BY 1, 2) GROUP BY 1) b USING (feature)""",
+(SELECT feature, quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi FROM (SELECT feature, b, sum(w * abs(phi)) / sum(w) AS v FROM (SELECT *, {poisson_sql('u')} AS w FROM (SELECT *, {_U} AS u FROM {_LONG}, range(1, 201) AS g(b))) GROUP BY 1, 2) GROUP BY 1) b USING (feature)""",
 )
 def _(t):
     e = F.col("embedding")

@@ -1,11 +1,14 @@
 """Components, screening, preparation, forests and attribution."""
 
+import itertools
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from terrastat.operators import index, learn, screen
+from terrastat.operators import index, learn, screen, shapley
 from terrastat.operators import summary as s
 
 # Published correlations (n = 1523) of six indicators, their
@@ -164,20 +167,59 @@ def test_ensemble_mean_and_sd(spark):
     assert got["mean"].to_numpy() == pytest.approx(each.mean(0)) and got["sd"].to_numpy() == pytest.approx(each.std(0, ddof=1))
 
 
-def test_attributions_add_up(spark):
-    d = rows(spark, 60)
-    names = ["f1", "f2"]
-    model = learn.forest(names, "t", SMALL).fit(d)
-    n_perm = 6
-    phi = learn.attribution(model, d, d, names, n_perm, seed=3)
-    total = phi.groupBy("id").agg(F.sum("phi").alias("s")).toPandas().set_index("id").s
-    f = model.transform(d).toPandas().set_index("id").prediction
-    from terrastat.operators.ranks import sample_rows
-
-    base = model.transform(sample_rows(d, ["id"], n_perm, 3)).agg(F.avg("prediction")).first()[0]
-    assert total.sort_index().to_numpy() == pytest.approx((f - base).sort_index().to_numpy(), abs=1e-9)
-    strength = {r["feature"]: r["mean_abs"] for r in learn.mean_abs_attribution(phi).collect()}
-    assert strength["f1"] > strength["f2"]
+def by_definition(nodes, x, pairs):
+    """Shapley values and pair interactions of one tree from all coalitions; ``nodes``: id -> (feature, cut, left, right, weight, prediction)."""
+    k = len(x)
+
+    def game(own, n=0):
+        f, cut, left, right, weight, pred = nodes[n]
+        if left < 0:
+            return pred
+        if f in own:
+            return game(own, left if x[f] <= cut else right)
+        return sum(nodes[c][4] / weight * game(own, c) for c in (left, right))
+
+    def mean(rest, gain, scale):
+        return sum(
+            math.factorial(len(s)) * math.factorial(len(rest) - len(s)) / scale * gain(set(s)) for n in range(len(rest) + 1) for s in itertools.combinations(rest, n)
+        )
+
+    phi = [mean([j for j in range(k) if j != i], lambda s, i=i: game(s | {i}) - game(s), math.factorial(k)) for i in range(k)]
+    both = [
+        mean([f for f in range(k) if f not in (i, j)], lambda s, i=i, j=j: game(s | {i, j}) - game(s | {i}) - game(s | {j}) + game(s), 2 * math.factorial(k - 1))
+        for i, j in pairs
+    ]
+    return np.array(phi), np.array(both)
+
+
+def test_attributions_and_interactions_follow_their_definition(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    names, pairs = ["f1", "f2", "f3", "f4"], [(0, 1), (0, 2), (1, 3)]
+    p = pd.DataFrame(np.round(rng.normal(0, 1, (150, 4)), 1), columns=names).assign(id=np.arange(150))
+    p["t"] = p.f1 * p.f2 + 2 * p.f3 - p.f4 * p.f1
+    d = spark.createDataFrame(p)
+    model = learn.forest(names, "t", {"trees": 3, "depth": 4, "leaf": 1, "subset": "all"}).fit(d)
+    model.stages[-1].save(str(tmp_path / "m"))
+    trees = {}
+    for r in spark.read.parquet(str(tmp_path / "m" / "data")).collect():
+        n = r.nodeData
+        cut = n.split.leftCategoriesOrThreshold
+        trees.setdefault(r.treeID, {})[n.id] = (n.split.featureIndex, cut[0] if cut else None, n.leftChild, n.rightChild, n.impurityStats[0], n.prediction)
+    want = [[by_definition(t, x, pairs) for t in trees.values()] for x in p[names].to_numpy()[:25]]
+    phi = np.array([np.mean([w[0] for w in row], axis=0) for row in want])
+    both = np.array([np.mean([w[1] for w in row], axis=0) for row in want])
+    found = shapley.leaves(model)
+    assert shapley.values(found, p[names].to_numpy()[:25]) == pytest.approx(phi, abs=1e-10)
+    assert shapley.pair_values(found, p[names].to_numpy()[:25], pairs) == pytest.approx(both, abs=1e-10)
+    got = shapley.attribution(model, d, names)
+    total = got.groupBy("id").agg(F.sum("phi").alias("s")).toPandas().set_index("id").s.sort_index()
+    f = model.transform(d).toPandas().set_index("id").prediction.sort_index()
+    assert total.to_numpy() == pytest.approx(f.to_numpy() - shapley.expected(found), abs=1e-9)
+    assert {(r["id"], r["feature"]): r["value"] for r in got.collect()}[(7, "f3")] == p.f3[7]
+    strength = {(r["a"], r["b"]): r["strength"] for r in shapley.interactions(model, d, names, names).collect()}
+    mean = np.abs(shapley.pair_values(found, p[names].to_numpy(), pairs)).mean(axis=0)
+    assert len(strength) == 6 and [strength[names[i], names[j]] for i, j in pairs] == pytest.approx(list(mean))
+    assert learn.mean_abs_attribution(got).count() == 4
 
 
 def test_interactions_of_an_additive_model_are_small(spark):
@@ -185,10 +227,17 @@ def test_interactions_of_an_additive_model_are_small(spark):
     names = ["f1", "f2", "f3"]
     d = d.withColumn("f3", F.rand(2))
     model = learn.forest(names, "t", {**SMALL, "trees": 20, "depth": 6}).fit(d)
-    got = {(r["a"], r["b"]): r["strength"] for r in learn.interactions(model, d, d, names, names, 4).collect()}
+    got = {(r["a"], r["b"]): r["strength"] for r in shapley.interactions(model, d, names, names).collect()}
     assert got[("f1", "f2")] > 3 * max(got[("f1", "f3")], got[("f2", "f3")])
 
 
+def test_attribution_of_a_single_leaf_is_zero(spark):
+    d = rows(spark, 20)
+    model = learn.forest(["f1", "f2"], "t", {**SMALL, "depth": 0}).fit(d)
+    assert {r["phi"] for r in shapley.attribution(model, d, ["f1", "f2"]).collect()} == {0.0}
+    assert shapley.attribution(model, d.limit(0), ["f1", "f2"]).count() == 0
+
+
 def test_bundle_round_trip(spark, tmp_path):
     from terrastat.sources.sinks import load_bundle, save_bundle
 
