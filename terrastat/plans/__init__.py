@@ -1,6 +1,7 @@
 """Every operator bound to the given tables."""
 
 from terrastat.plans import (  # noqa: F401
+    balanced_q,
     functions_q,
     joins_q,
     learning_q,
