@@ -18,16 +18,17 @@ MID_CM = [5.0, 15.0, 25.0, 35.0, 55.0, 75.0, 95.0]
 DESIGN = Design(SITES, COVERS, DEPTHS, [float(d - 4) for d in DEPTHS])
 
 
-def samples(t: Tables) -> DataFrame:
-    """One response per plot and depth, with the factors of the plot."""
+def samples(t: Tables, *more: str) -> DataFrame:
+    """One response per plot and depth, with the factors of the plot and ``more`` columns of its order."""
     per = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg((F.avg("l_extendedprice") / 1000.0).alias("y"))
-    plots = t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    plots = t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority", *more)
     return per.join(plots, per.l_orderkey == plots.o_orderkey).select(
         F.col("l_orderkey").alias("plot"),
         F.col("l_linenumber").alias("depth"),
         F.col("o_orderstatus").alias("site"),
         F.col("o_orderpriority").alias("lc"),
         "y",
+        *more,
     )
 
 

@@ -16,7 +16,7 @@ from terrastat.operators import summary as s
 from terrastat.operators.prep import missing_cells, slope_levels
 from terrastat.plans.data import COVERS, DEPTHS, DESIGN, MID_CM, SAMPLES, SITES, samples
 from terrastat.plans.registry import Tables, query, r, rnd
-from terrastat.session import local_table
+from terrastat.session import cut_lineage, local_table
 
 K = len(SITES) * len(COVERS) * len(DEPTHS)
 BETWEEN = len(SITES) * len(COVERS)  # between-plot coefficients: the df of the t tests are plots minus these
@@ -24,8 +24,7 @@ BETWEEN = len(SITES) * len(COVERS)  # between-plot coefficients: the df of the t
 
 def clustered(t: Tables):
     """Samples whose plots differ in level and in slope over depth, by their order's amounts."""
-    plots = t.orders.select(F.col("o_orderkey").alias("plot"), "o_totalprice", "o_custkey")
-    d = samples(t).join(plots, "plot")
+    d = samples(t, "o_totalprice", "o_custkey")
     y = F.col("y") + F.col("o_totalprice") / 10000.0 + (F.col("depth") - 4) * (F.col("o_custkey") % 97) / 20.0
     return d.select("plot", "site", "lc", "depth", y.alias("y"))
 
@@ -351,9 +350,10 @@ def _(t):
 
 @query("mix_19_figure_annotations")
 def _(t):
-    got = sums(t)
+    rows = cut_lineage(clustered(t))
+    got = mx.collect_sums(rows, DESIGN)
     fits = {m: mx.fit(got, mx.FIXED[m], "D") for m in ("M3", "M4")}
-    return ct.annotations(clustered(t), DESIGN, fits, ct.panel_specs(), df2(got))
+    return ct.annotations(rows, DESIGN, fits, ct.panel_specs(), df2(got))
 
 
 @query("mix_19_panel_counts", f"SELECT 'lc_within_site' AS spec, site AS panel, lc AS x_level, count(*) AS n_samples, count(DISTINCT plot) AS n_plots FROM {SAMPLES} GROUP BY 2, 3 UNION ALL SELECT 'depth_overall', 'All', CAST(depth AS VARCHAR), count(*), count(DISTINCT plot) FROM {SAMPLES} GROUP BY 3")
@@ -394,13 +394,14 @@ def _(t):
 
 @query("mix_23_run_summary")
 def _(t):
-    rows, got = clustered(t), sums(t)
+    rows = cut_lineage(clustered(t))
+    got = mx.collect_sums(rows, DESIGN)
     fits = {c: mx.fit(got, mx.FIXED["M3"], c) for c in "ABCDE"}
     kept = mx.retained_structure(fits)
     f = fits[kept]
     lrt = {name: p for name, _x, _d, p in mx.lr_table(t.spark, _lrt(got, kept, "M4")).collect()}
     r2 = mx.r_squared(rows, f)
-    resid = mx.fitted_rows(rows, f).withColumn("e", F.col("y") - F.col("fitted"))
+    resid = cut_lineage(mx.fitted_rows(rows, f).select("depth", (F.col("y") - F.col("fitted")).alias("e")))
     shape = s.join_groups(s.shape_moments(resid, "e"), s.spread_ratio(s.spread_by_group(resid, "e", "depth")).select("sd_ratio"), [])
     gaps = missing_cells(rows, "plot", "depth", DEPTHS, []).agg(F.count(F.lit(1)).alias("missing"))
     d = s.join_groups(s.join_groups(r2, shape, []), gaps, [])

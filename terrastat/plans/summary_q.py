@@ -109,6 +109,22 @@ def _(t):
     return s.pearson_p(s.pearson_pairs(block(t), BLOCK_COLUMNS))
 
 
+# whole degrees of freedom: the t tail is a finite sum, one form for even and one for odd ones
+_R_BY_NATION = "(SELECT c_nationkey AS nation, corr(c_acctbal, length(c_name) + c_custkey) AS r, count(*) AS n FROM customer GROUP BY 1)"
+_ANGLE = f"(SELECT *, n - 2 AS v, atan(abs(r) / sqrt(1 - r * r)) AS th, unnest(range(0, (n - 2) // 2)) AS i FROM {_R_BY_NATION} WHERE n > 4)"
+
+
+@query(
+    "agg_11_pearson_p_small",
+    f"""SELECT nation, {r('r', 8)} AS r, n, {r('1 - CASE WHEN v % 2 = 0 THEN sin(th) * sum(exp(lgamma(i + 0.5e0) - lgamma(i + 1)) / sqrt(pi()) * power(cos(th), 2 * i)) ELSE 2 / pi() * (th + sin(th) * cos(th) * sum(exp(lgamma(i + 1) - lgamma(i + 1.5e0)) * sqrt(pi()) / 2 * power(cos(th), 2 * i))) END', 8)} AS p
+FROM {_ANGLE} GROUP BY nation, r, n, v, th""",
+)
+def _(t):
+    x = F.length("c_name") + F.col("c_custkey")
+    pairs = t.customer.groupBy(F.col("c_nationkey").alias("nation")).agg(F.corr("c_acctbal", x.cast("double")).alias("r"), F.count(F.lit(1)).alias("n"))
+    return rnd(s.pearson_p(pairs.filter("n > 4")), 8, "r", "p")
+
+
 @query("agg_12_pair_table", f"SELECT var1, var2, {r('r', 8)} AS r, n, abs(r) > 0.75 AS strong FROM ({PAIRS_SQL})")
 def _(t):
     d = s.pearson_pairs(block(t), BLOCK_COLUMNS).orderBy(F.abs("r").desc(), "var1", "var2")
