@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +17,14 @@ from terrastat.llm.shared import stored
 WORDS = 8190
 MEMBERS = 96
 SIZE = 16
-#: Steps of truncated backpropagation, texts side by side, rounds of averaging, share of the texts that teach in each.
+#: Steps of truncated backpropagation, texts side by side, rounds of averaging that share the texts among them.
 WINDOW = 24
 STREAMS = 64
 ROUNDS = 3
-SHARE = 32
 RATE = 0.02
+#: Tokens that a task holds before it trains on them; rows of one class that the training step multiplies at once.
+LESSON = 2_000_000
+ROWS = 16
 #: Frequent words whose counts every task holds; the counts of all others are joined.
 FREQUENT = 400_000
 SLICE = 6_000_000
@@ -105,17 +108,22 @@ class Network:
         order = np.argsort(of, kind="stable")
         for rows in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else []:
             c = int(of[rows[0]])
-            s = states[rows] @ self.p["member"][c] + self.p["member_bias"][c]
-            s = np.exp(s - s.max(axis=1, keepdims=True))
-            yield c, rows, s / s.sum(axis=1, keepdims=True)
+            for part in (rows[a : a + 2048] for a in range(0, len(rows), 2048)):
+                s = states[part] @ self.p["member"][c] + self.p["member_bias"][c]
+                s = np.exp(s - s.max(axis=1, keepdims=True))
+                s /= s.sum(axis=1, keepdims=True)
+                yield c, part, s
 
     def log_probability(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         out = np.empty(len(target))
         for a in range(0, len(target), 65536):
             h, t = states[a : a + 65536], target[a : a + 65536]
-            s = h @ self.p["class"] + self.p["class_bias"]
-            top = s.max(axis=1, keepdims=True)
-            log = s[np.arange(len(t)), t // MEMBERS] - top[:, 0] - np.log(np.exp(s - top).sum(axis=1))
+            log = np.empty(len(t))
+            for b in range(0, len(t), 2048):  # what stays in the cache
+                s = h[b : b + 2048] @ self.p["class"] + self.p["class_bias"]
+                s -= s.max(axis=1, keepdims=True)
+                own = s[np.arange(len(s)), t[b : b + 2048] // MEMBERS]
+                log[b : b + 2048] = own - np.log(np.exp(s, out=s).sum(axis=1))
             for c, rows, prob in self.by_class(h, t):
                 log[rows] += np.log(np.maximum(prob[np.arange(len(rows)), t[rows] - c * MEMBERS], 1e-38))
             out[a : a + 65536] = log
@@ -151,17 +159,22 @@ class Network:
             total += np.bincount(order[np.concatenate(who)], log, len(size))
         return total
 
-    def train(self, docs: list[np.ndarray], rate: float = RATE) -> int:
+    def train(self, docs: list[np.ndarray], rate: float = RATE, past: dict | None = None) -> int:
         """Truncated backpropagation over ``docs``, ``STREAMS`` side by side, each stream document after document; Adam.
 
         Returns the tokens seen. The state is set to zero where a document begins and carried over windows otherwise.
+        ``past`` holds the steps and moments of earlier calls, which this one goes on with.
         """
+        size = [len(d) for d in docs]
         streams = [[] for _ in range(min(STREAMS, len(docs)))]
-        for d in sorted(docs, key=len, reverse=True):
-            min(streams, key=lambda s: sum(map(len, s))).append(d)
-        length = max((sum(map(len, s)) for s in streams), default=0)
-        target = np.full((length, len(streams)), -1)
-        given = np.full((length, len(streams)), END)
+        load = [(0, j) for j in range(len(streams))]
+        for i in sorted(range(len(docs)), key=size.__getitem__, reverse=True):
+            held, j = load[0]
+            streams[j].append(docs[i])
+            heapq.heapreplace(load, (held + size[i], j))
+        length = max((held for held, _ in load), default=0)
+        target = np.full((length, len(streams)), -1, np.int32)
+        given = np.full((length, len(streams)), END, np.int32)
         fresh = np.zeros((length, len(streams)), bool)
         for j, s in enumerate(streams):
             at = 0
@@ -169,64 +182,108 @@ class Network:
                 target[at : at + len(d), j], given[at + 1 : at + len(d), j], fresh[at, j] = d, d[:-1], True
                 at += len(d)
         h = np.zeros((len(streams), SIZE), np.float32)
-        m, v = ({n: np.zeros_like(x) for n, x in self.p.items()} for _ in range(2))
-        for turn, a in enumerate(range(0, length, WINDOW), 1):
+        past = {} if past is None else past
+        if not past:
+            past |= {"turn": 0, "m": {n: np.zeros_like(x) for n, x in self.p.items()}, "v": {n: np.zeros_like(x) for n, x in self.p.items()}}
+        for a in range(0, length, WINDOW):
             h, g = self._window(given[a : a + WINDOW], target[a : a + WINDOW], fresh[a : a + WINDOW], h)
+            past["turn"] += 1
+            fast, slow = rate / (1 - 0.9 ** past["turn"]), 1 / (1 - 0.99 ** past["turn"])
             for n, x in self.p.items():
-                m[n] += 0.1 * (g[n] - m[n])
-                v[n] += 0.01 * (g[n] ** 2 - v[n])
-                x -= rate * (m[n] / (1 - 0.9**turn)) / (np.sqrt(v[n] / (1 - 0.99**turn)) + 1e-6)
+                m, v, d = past["m"][n], past["v"][n], g[n]
+                m *= 0.9
+                m += 0.1 * d
+                np.square(d, out=d)
+                d *= 0.01
+                v *= 0.99
+                v += d
+                np.sqrt(np.multiply(v, slow, out=d), out=d)
+                d += 1e-6
+                np.divide(m, d, out=d)
+                d *= fast
+                x -= d
         return int((target >= 0).sum())
 
     def _window(self, given: np.ndarray, target: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         p = self.p
-        table = p["embed"] @ p["in"] + p["bias"]
-        steps = []
+        sums = p["embed"][given] @ p["in"] + p["bias"]
+        steps, out, keep = [], [], (~fresh[:, :, None]).astype(np.float32)
         for t in range(len(given)):
-            h = np.where(fresh[t][:, None], 0, h).astype(np.float32)
-            after, z, r, n, inner = self.step(table[given[t]], h)
+            h = h * keep[t]
+            after, z, r, n, inner = self.step(sums[t], h)
             steps.append((h, z, r, n, inner))
+            out.append(after)
             h = after
-        out = np.stack([s[0] for s in steps[1:]] + [h])
-        for t in range(len(given) - 1):  # a state that the next step replaces by zero is still this step's output
-            _, z, r, n, _ = steps[t]
-            out[t] = n + z * (steps[t][0] - n)
+        before, z, r, n, inner = (np.stack(x) for x in zip(*steps))
         used = target >= 0
-        states, goal = out[used], target[used]
+        states, goal = np.stack(out)[used], target[used]
         count = max(1, len(goal))
         s = states @ p["class"] + p["class_bias"]
-        s = np.exp(s - s.max(axis=1, keepdims=True))
+        s -= s.max(axis=1, keepdims=True)
+        np.exp(s, out=s)
         s /= s.sum(axis=1, keepdims=True)
         s[np.arange(len(goal)), goal // MEMBERS] -= 1
         s /= count
-        g = {n: np.zeros_like(x) for n, x in p.items()}
-        g["class"], g["class_bias"] = states.T @ s, s.sum(axis=0)
+        g = {"class": states.T @ s, "class_bias": s.sum(axis=0)}
         back = s @ p["class"].T
-        for c, rows, prob in self.by_class(states, goal):
-            prob[np.arange(len(rows)), goal[rows] - c * MEMBERS] -= 1
-            prob /= count
-            g["member"][c], g["member_bias"][c] = states[rows].T @ prob, prob.sum(axis=0)
-            back[rows] += prob @ p["member"][c].T
-        to_out = np.zeros_like(out)
+        g["member"], g["member_bias"] = self._members(states, goal, back, count)
+        to_out = np.zeros((*given.shape, SIZE), back.dtype)
         to_out[used] = back
-        to_gates = np.zeros((len(given), given.shape[1], 3 * SIZE), np.float32)
-        dh = np.zeros_like(h)
+        # what a change of the state after a step does to the sums of its gates
+        to_n = (1 - z) * (1 - n * n)
+        by_gate = np.stack([(before - n) * z * (1 - z), to_n * inner * r * (1 - r), to_n * r], axis=2)
+        own = np.empty((*given.shape, 3 * SIZE), by_gate.dtype)
+        through, dh = p["state"].T, np.zeros_like(h)
         for t in range(len(given) - 1, -1, -1):
-            before, z, r, n, inner = steps[t]
-            d = to_out[t] + dh
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * inner * r * (1 - r)
-            own = np.concatenate([dz, dr, dn * r], axis=1)
-            g["state"] += before.T @ own
-            dh = (d * z + own @ p["state"].T) * ~fresh[t][:, None]
-            to_gates[t] = np.concatenate([dz, dr, dn], axis=1)
-        flat, words = to_gates.reshape(-1, 3 * SIZE), given.ravel()
+            d = to_out[t] = to_out[t] + dh
+            np.multiply(d[:, None, :], by_gate[t], out=own[t].reshape(-1, 3, SIZE))
+            dh = (d * z[t] + own[t] @ through) * keep[t]
+        flat, words = own.reshape(-1, 3 * SIZE), given.ravel()
+        g["state"] = before.reshape(-1, SIZE).T @ flat
+        flat[:, 2 * SIZE :] = (to_out * to_n).reshape(-1, SIZE)
         g["bias"] = flat.sum(axis=0)
         g["in"] = p["embed"][words].T @ flat
-        np.add.at(g["embed"], words, flat @ p["in"].T)
+        order = np.argsort(words, kind="stable")
+        begin = np.flatnonzero(np.r_[True, np.diff(words[order]) > 0])
+        g["embed"] = np.zeros_like(p["embed"])
+        g["embed"][words[order[begin]]] = np.add.reduceat((flat @ p["in"].T)[order], begin)
         return h, g
 
+    def _members(self, states: np.ndarray, goal: np.ndarray, back: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients of the members' weights and biases; adds those of ``states`` to ``back``.
+
+        The rows of a class fill blocks of ``ROWS``, the last with rows of weight 0, and all blocks are multiplied at once.
+        """
+        weights, biases = np.zeros_like(self.p["member"]), np.zeros_like(self.p["member_bias"])
+        if not len(goal):
+            return weights, biases
+        of = goal // MEMBERS
+        order = np.argsort(of, kind="stable")
+        has = np.bincount(of, minlength=self.c)
+        blocks = -(-has // ROWS)
+        shift = (np.cumsum(blocks) - blocks) * ROWS - (np.cumsum(has) - has)
+        place = np.arange(len(order)) + shift[of[order]]
+        c = np.repeat(np.arange(self.c), blocks)
+        x = np.zeros((len(c) * ROWS, SIZE), states.dtype)
+        x[place] = states[order]
+        x = x.reshape(-1, ROWS, SIZE)
+        w = self.p["member"][c]
+        s = x @ w
+        s += self.p["member_bias"][c][:, None, :]
+        s -= s.max(axis=2, keepdims=True)
+        np.exp(s, out=s)
+        real = np.zeros(len(c) * ROWS, s.dtype)
+        real[place] = 1 / count
+        s *= real.reshape(-1, ROWS, 1) / s.sum(axis=2, keepdims=True)
+        s.reshape(-1, MEMBERS)[place, goal[order] - of[order] * MEMBERS] -= 1 / count
+        back[order] += (s @ w.transpose(0, 2, 1)).reshape(-1, SIZE)[place]
+        by_block, ends = x.transpose(0, 2, 1) @ s, np.cumsum(blocks)
+        weights[c], biases[c] = by_block, s.sum(axis=1)
+        for k in np.flatnonzero(blocks > 1):
+            weights[k] = by_block[ends[k] - blocks[k] : ends[k]].sum(axis=0)
+            biases[k] = s[ends[k] - blocks[k] : ends[k]].sum(axis=(0, 1))
+        return weights, biases
+
 
 class Vocabulary:
     """Number in the network of a word by its hash; words outside are ``OTHER``."""
@@ -272,6 +329,11 @@ def corpus_counts(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return both.where("kind = 0").select(F.col("key").alias("word"), F.col("n").alias("c")), table
 
 
+def teaches(turn: int) -> Column:
+    """Whether a row of ``doc_id, text`` teaches in round ``turn``: each does in one round, copies of a text in different ones."""
+    return F.pmod(F.xxhash64("text", "doc_id"), F.lit(ROUNDS)) == turn
+
+
 def averaged(rows: DataFrame, start: np.ndarray, counts: np.ndarray, vocabulary: Vocabulary, turn: int) -> np.ndarray:
     """Weights after one round: every task trains on its texts of this round, the results are averaged by tokens.
 
@@ -282,15 +344,20 @@ def averaged(rows: DataFrame, start: np.ndarray, counts: np.ndarray, vocabulary:
 
     def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, seen, vocab = shared.value
+        net, past, weight = Network(seen).load(values), {}, 0
         docs: list[np.ndarray] = []
+        held = 0
         for _, texts in arrays.slices(batches, limit=SLICE):
             w, hashes = token_stream(texts)
-            ids, first = documents(vocab.ids(hashes), w.first)
-            docs += [ids[first[d] : first[d + 1]].astype(np.int32) for d in range(len(texts))]
-        if not docs:
+            ids, first = documents(vocab.ids(hashes).astype(np.int32), w.first)
+            docs += [ids[first[d] : first[d + 1]] for d in range(len(texts))]
+            held += len(ids)
+            if held >= LESSON:
+                weight += net.train(docs, RATE / (1 + turn), past)
+                docs, held = [], 0
+        weight += net.train(docs, RATE / (1 + turn), past)
+        if not weight:
             return
-        net = Network(seen).load(values)
-        weight = net.train(docs, RATE / (1 + turn))
         flat = net.flat()
         parts = [flat[a : a + PIECE] for a in range(0, len(flat), PIECE)]
         at = pa.array(np.r_[0, np.cumsum([len(x) for x in parts])], pa.int32())
@@ -322,8 +389,8 @@ def language_scores(docs: DataFrame, learn: Column) -> DataFrame:
 
     Tokens are words with A-Z in lower case and one end per document. ``base_score`` is the add-one unigram score and ``score``
     the network's, both log10 of the whole text, learned from rows where ``learn`` holds. All of these are counted: words,
-    spelling and the network's unigram start; its weights are trained on other ``1 / SHARE`` of the texts in each round,
-    in every task, and averaged, so the lesson grows with the input. Words outside the network's vocabulary are one symbol
+    spelling and the network's unigram start; its weights are trained on another share of the rows in each of ``ROUNDS``
+    rounds, so that each row teaches once, in every task, and averaged. Words outside the network's vocabulary are one symbol
     of it and spelled byte by byte after it; the probabilities of all texts add up to one.
 
     A missing text is empty and has the end alone; with nothing to learn from, counts are 0 and the network is uniform over
@@ -343,7 +410,7 @@ def language_scores(docs: DataFrame, learn: Column) -> DataFrame:
     known = np.r_[ends, max(0, (total.n or 0) - inside.sum()), inside].astype(np.float64)
     weights = Network(known).flat()
     for turn in range(ROUNDS):
-        weights = averaged(lessons.where(F.pmod(F.xxhash64("text"), F.lit(SHARE)) == turn), weights, known, vocabulary, turn)
+        weights = averaged(lessons.where(teaches(turn)).select("text"), weights, known, vocabulary, turn)
     order = np.argsort(frequent)
     shared = session.sparkContext.broadcast((weights, known, vocabulary, frequent[order], times[order], spelled))
     all_of = float(n_train + n_distinct + 1)

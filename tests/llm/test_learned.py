@@ -259,3 +259,21 @@ def test_recurrent_gradients_and_training():
     for _ in range(6):
         net.train(docs)
     assert net.score(flat, first).sum() > 0.7 * before
+
+
+def test_every_text_teaches_in_one_round_and_copies_spread(spark):
+    same = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(i, same) for i in range(600)] + [(None, same), (5, None), (6, "")], "doc_id long, text string")
+    rounds = [docs.where(recurrent.teaches(turn)).count() for turn in range(recurrent.ROUNDS)]
+    assert sum(rounds) == docs.count() and min(rounds) > 100
+    # a network at its unigram start gives the same words the same score in any order
+    asked = spark.createDataFrame([(1001, same), (1002, " ".join(reversed(same.split())))], docs.schema)
+    got = {r.doc_id: r.score for r in language_scores(docs.union(asked), F.coalesce(F.col("doc_id"), F.lit(0)) < 1000).collect()}
+    assert got[1001] > got[1002] + 0.1
+
+
+def test_a_lesson_in_parts_goes_on_with_its_moments():
+    docs = [np.r_[np.tile([2 + i % 20, 3 + i % 20], 30), 0] for i in range(64)]
+    net, past = Network(np.r_[50.0, 0, np.full(40, 100.0)]), {}
+    assert [net.train(part, past=past) for part in (docs[:30], docs[30:], [])] == [30 * 61, 34 * 61, 0]
+    assert past["turn"] == 2 * -(-61 // recurrent.WINDOW)
