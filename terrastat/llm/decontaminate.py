@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +17,16 @@ from terrastat.session import broadcast_if_small
 
 PUNCTUATION = np.zeros(256, dtype=bool)
 PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+PUNCTUATION_BYTES = bytes(np.flatnonzero(PUNCTUATION).tolist())
 BLOCK = 16
 #: Words of test items in one index, which every task holds; more items make more indexes, one scan each.
 INDEX_WORDS = 1_000_000
+#: Items of fewer words have no statistics to score by: they are looked for as they are.
 LEAST_WORDS = 5
+#: Letters of scripts that set no blanks between words.
+UNSPACED = re.compile("[\u0e00-\u109f\u1780-\u17ff\u2e80-\u9fff\ua000-\ua4cf\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff]")
+#: Leading bytes by which such an item is looked up.
+ANCHOR = 8
 GRAM = 3
 K1, B = 1.2, 0.75
 
@@ -108,16 +115,102 @@ class ItemIndex:
         return back[cells[hit] // len(self.ids)], cells[hit] % len(self.ids), score[hit]
 
 
-def _indexes(items: DataFrame, answer_share: float) -> Iterator[ItemIndex]:
-    """Indexes over all items, each of at most about ``INDEX_WORDS`` words; term statistics are those of all items."""
+def unspaced(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the texts in lower case without blanks, each text closed by a blank, their bounds, and the place before."""
+    buffer, at = arrays.joined(texts)
+    keep = ~arrays.BLANK[buffer]
+    keep[at[1:] - 1] = True
+    run = np.r_[0, np.cumsum(keep)]
+    return arrays.LOWER[buffer[keep]], run[at], np.flatnonzero(keep), at
+
+
+def anchors(buffer: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` bytes from each place as one number."""
+    out = np.zeros(len(at), np.uint64)
+    for j in range(size):
+        out |= buffer[np.minimum(at + j, len(buffer) - 1)].astype(np.uint64) << np.uint64(8 * j)
+    return out
+
+
+class ShortItems:
+    """Items of fewer than ``LEAST_WORDS`` words by all of their words, or by all of their bytes where a script sets no blanks."""
+
+    def __init__(self, ids: list[int], words: list[np.ndarray], runs: list[bytes | None]):
+        self.by_words, self.by_bytes = [], []
+        for k in range(1, LEAST_WORDS):
+            own = [(int(arrays.window_hashes(w, k)[0]), i) for i, w, r in zip(ids, words, runs) if r is None and len(w) == k]
+            if own:
+                own.sort()
+                self.by_words.append((k, np.array([h for h, _ in own], np.uint64), np.array([i for _, i in own], np.int64)))
+        for size in range(1, ANCHOR + 1):
+            own = [(r, i) for i, r in zip(ids, runs) if r is not None and min(len(r), ANCHOR) == size]
+            if own:
+                table: dict[int, list[tuple[bytes, int]]] = {}
+                for r, i in own:
+                    table.setdefault(int.from_bytes(r[:size], "little"), []).append((r, i))
+                leads = np.zeros(256, bool)
+                leads[[r[0] for r, _ in own]] = True
+                self.by_bytes.append((size, np.array(sorted(table), np.uint64), table, leads))
+
+    def find(self, texts: list[bytes]) -> list[tuple[int, int, int]]:
+        """(text, item, words before its first place) of each item in each text."""
+        found: dict[tuple[int, int], int] = {}
+        if self.by_words:
+            hashes, first = plain_words(texts)
+            for k, keys, ids in self.by_words:
+                runs = arrays.window_hashes(hashes, k)
+                low, high = np.searchsorted(keys, runs, "left"), np.searchsorted(keys, runs, "right")
+                for a in np.flatnonzero(high > low).tolist():
+                    d = int(np.searchsorted(first, a, side="right") - 1)
+                    if a + k <= first[d + 1]:
+                        for i in ids[low[a] : high[a]].tolist():
+                            found.setdefault((d, i), a - int(first[d]))
+        if self.by_bytes:
+            buffer, bound, place, start = unspaced(texts)
+            whole = buffer.tobytes()
+            for size, keys, table, leads in self.by_bytes:
+                at = np.flatnonzero(leads[buffer])
+                key = anchors(buffer, at, size)
+                hit = np.isin(key, keys)
+                for a, x in zip(at[hit].tolist(), key[hit].tolist()):
+                    d = int(np.searchsorted(bound, a, side="right") - 1)
+                    for r, i in table[x]:
+                        if (d, i) not in found and whole.startswith(r, a):
+                            before = texts[d][: int(place[a] - start[d])]
+                            n = len(plain_words([before])[0])
+                            found[d, i] = n - (n > 0 and not arrays.BLANK[before[-1]] and not PUNCTUATION[before[-1]])
+        return [(d, i, n) for (d, i), n in found.items()]
+
+
+def _worded(items: DataFrame) -> DataFrame:
+    """``item_id, words, run, size`` per item with words; ``run`` are the bytes of a short item in a script without blanks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in arrays.slices(batches):
             hashes, first = plain_words(texts)
-            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.ListArray.from_arrays(pa.array(first, pa.int32()), arrays.signed(hashes))], names=["item_id", "words"])
+            bare = [unspaced([t])[0].tobytes()[:-1].strip(PUNCTUATION_BYTES) if n < LEAST_WORDS and UNSPACED.search(t.decode()) else None for t, n in zip(texts, np.diff(first))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("item_id"), pa.ListArray.from_arrays(pa.array(first, pa.int32()), arrays.signed(hashes)), pa.array(bare, pa.binary()), pa.array([len(t.decode().strip()) for t in texts], pa.int32())],
+                names=["item_id", "words", "run", "points"],
+            )
 
     plain = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    found = plain.mapInArrow(run, "item_id long, words array<long>").where(f"size(words) >= {LEAST_WORDS}").withColumn("size", F.size("words"))
+    found = plain.mapInArrow(run, "item_id long, words array<long>, run binary, points int").withColumn("size", F.size("words"))
+    return found.where("size > 0 and points > 1").drop("points")
+
+
+def _short(items: DataFrame) -> Iterator[ShortItems]:
+    """All items of fewer than ``LEAST_WORDS`` words, in parts of at most about ``INDEX_WORDS`` words."""
+    own = _worded(items).where(f"size < {LEAST_WORDS}").dropDuplicates(["item_id", "words", "run"])
+    shards = -(-(own.agg(F.sum("size")).first()[0] or 0) // INDEX_WORDS)
+    for k in range(shards):
+        rows = own.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).collect()
+        yield ShortItems([r.item_id for r in rows], [np.array(r.words, np.int64).view(np.uint64) for r in rows], [None if r.run is None else bytes(r.run) for r in rows])
+
+
+def _indexes(items: DataFrame, answer_share: float) -> Iterator[ItemIndex]:
+    """Indexes over all items, each of at most about ``INDEX_WORDS`` words; term statistics are those of all items."""
+    found = _worded(items).where(f"size >= {LEAST_WORDS}")
     total = found.agg(F.count("*").alias("n"), F.sum("size").alias("words")).first()
     if not total.n:
         return
@@ -171,6 +264,21 @@ def _search(docs: DataFrame, index: ItemIndex, least: float, question: float, an
     return docs.mapInArrow(run, "doc_id long, item_id long, passage_start long, bm25 double, question_overlap double, answer_overlap double")
 
 
+def _search_short(docs: DataFrame, items: ShortItems) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in arrays.slices(batches):
+            d, i, n = zip(*got) if (got := shared.value.find(texts)) else [()] * 3
+            one = pa.array(np.ones(len(d)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(d, pa.int64())), pa.array(i, pa.int64()), pa.array(n, pa.int64()), one, one, one],
+                names=["doc_id", "item_id", "passage_start", "bm25", "question_overlap", "answer_overlap"],
+            )
+
+    return docs.mapInArrow(run, "doc_id long, item_id long, passage_start long, bm25 double, question_overlap double, answer_overlap double")
+
+
 def benchmark_hits(
     docs: DataFrame, items: DataFrame, least: float = 0.6, question: float = 0.6, answer: float = 0.6, answer_share: float = 0.25
 ) -> DataFrame:
@@ -180,8 +288,9 @@ def benchmark_hits(
     overlapping, so any run as long as an item lies whole in one. Items with ``least`` or more of their own BM25 score are
     checked: the shares of their question's and their answer's three-word runs that the passage holds. ``items (item_id,
     text)`` has one text per item, whose last ``answer_share`` is taken as the answer. Words are compared in lower case
-    without marks at their ends. Items of fewer than five words prove nothing and are left out, as are missing ids and texts;
-    repeated rows count as one; ties go to the first passage. Documents without a hit, without text or without an id have
+    without marks at their ends. An item of fewer than five words is held where all of its words stand in a row, or all of its
+    letters where its script sets no blanks (blanks are passed over then); its passage starts there and its shares are 1.
+    Items of one letter or of marks alone prove nothing and are left out, as are missing ids and texts; repeated rows count as one; ties go to the first passage. Documents without a hit, without text or without an id have
     no row; other columns are ignored.
     """
     plain = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -189,6 +298,9 @@ def benchmark_hits(
     for index in _indexes(items, answer_share):
         one = _search(plain, index, least, question, answer)
         found = one if found is None else found.union(one)
+    for part in _short(items):
+        one = _search_short(plain, part)
+        found = one if found is None else found.union(one)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, passage_start long, bm25 double, question_overlap double, answer_overlap double")
     best = F.max_by(F.struct("passage_start", "bm25", "question_overlap", "answer_overlap"), F.struct(F.col("question_overlap") + F.col("answer_overlap"), "bm25", -F.col("passage_start")))
