@@ -119,17 +119,20 @@ class ByteNet:
 def learn_quality(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES, epochs: int = EPOCHS) -> ByteNet | None:
     """A network from the texts of ``docs`` where ``learn`` holds and ``labels.quality`` is known; ``None`` without both classes.
 
-    At most ``rows`` labelled rows are drawn, those of the lowest id hashes and up to half of each class, with whole texts
-    until ``size`` bytes are reached; both bounds are parameters. Labels that repeat an id count once, the worse one.
+    At most ``rows`` labelled rows are drawn, those of the lowest id hashes and up to half of each class, with whole texts of
+    ``size`` bytes together, passing over those that do not fit; both bounds are parameters. Labels that repeat an id count once, the worse one.
     """
     marked = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"))
     plain = docs.where(learn).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = plain.select("doc_id").join(marked, "doc_id")
     drawn = [ids.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2) for k in (0, 1)]
     held = plain.join(drawn[0].union(drawn[1]).dropDuplicates(["doc_id"]), "doc_id").withColumn("bytes", F.octet_length("text"))
-    small = held.select("doc_id", "bytes").toPandas().assign(order=lambda t: t.doc_id.map(lambda i: arrays.mix(np.array([i], np.int64).view(np.uint64))[0]))
-    small = small.sort_values(["order", "doc_id"]).assign(total=lambda t: t.bytes.cumsum())
-    taken = [(int(i),) for i in small.doc_id[(small.total <= size)].unique()]
+    small = held.groupBy("doc_id").agg(F.sum("bytes").alias("bytes")).toPandas().assign(order=lambda t: t.doc_id.map(lambda i: arrays.mix(np.array([i], np.int64).view(np.uint64))[0]))
+    taken, total = [], 0
+    for i, n in small.sort_values(["order", "doc_id"])[["doc_id", "bytes"]].itertuples(index=False):
+        if total + n <= size:  # what does not fit is passed over
+            taken.append((int(i),))
+            total += int(n)
     if not taken:
         return None
     got = held.join(docs.sparkSession.createDataFrame(taken, "doc_id long"), "doc_id").select("doc_id", "text", "y").orderBy("doc_id", "text").collect()
