@@ -305,19 +305,15 @@ def documents(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def corpus_counts(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """How often each word of ``rows (text)`` occurs, by its hash, and byte transitions of the words each task meets."""
+    """How often each word of ``rows (text)`` occurs, by its hash, and the byte transitions of all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelled = np.zeros(65536, np.int64)
         for _, texts in arrays.slices(batches, limit=SLICE):
             w, hashes = token_stream(texts)
-            words, at, n = np.unique(hashes, return_index=True, return_counts=True)
-            some = arrays.Words(w.buffer, w.text_start, w.starts[np.sort(at)], w.ends[np.sort(at)], w.first)
+            words, n = np.unique(hashes, return_counts=True)
             cell = Spelling.cells(w)
-            inside = np.zeros(len(cell) + 1, np.int8)
-            inside[some.starts] += 1
-            inside[some.ends + 1] -= 1  # the place after a word, its end, counts too
-            spelled += np.bincount(cell[(np.cumsum(inside[:-1]) > 0) & (cell >= 0)], minlength=65536)
+            spelled += np.bincount(cell[cell >= 0], minlength=65536)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(words), np.int32)), arrays.signed(words), pa.array(n)], names=["kind", "key", "n"])
         cell = np.flatnonzero(spelled)
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(cell), np.int32)), pa.array(cell), pa.array(spelled[cell])], names=["kind", "key", "n"])

@@ -277,3 +277,14 @@ def test_a_lesson_in_parts_goes_on_with_its_moments():
     net, past = Network(np.r_[50.0, 0, np.full(40, 100.0)]), {}
     assert [net.train(part, past=past) for part in (docs[:30], docs[30:], [])] == [30 * 61, 34 * 61, 0]
     assert past["turn"] == 2 * -(-61 // recurrent.WINDOW)
+
+
+def test_transitions_count_each_word_as_often_as_it_occurs(spark):
+    texts = ["Ab ab  ca", " ab\n", "", None, "b"] * 8
+    want = Counter()
+    for x in texts:
+        for word in WORD.findall(lower(x)):
+            want.update(zip(b"\0" + word.encode(), word.encode() + b"\0"))
+    for parts in (1, 5):
+        table = recurrent.corpus_counts(spark.createDataFrame([(x,) for x in texts], "text string").repartition(parts))[1]
+        assert {divmod(int(c), 256): table[c] for c in np.flatnonzero(table)} == want
