@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrastat.llm.conversations import damaged, repair_report
 from terrastat.llm.decontaminate import benchmark_hits
 from terrastat.llm.langid import identify
 from terrastat.llm.minhash import near_duplicates
@@ -17,6 +18,8 @@ from terrastat.llm.repeats import repeated_strings
 from terrastat.llm.rules import quality_rules
 from terrastat.llm.secrets import secret_report
 from terrastat.llm.toxicity import learn_severity, severity
+from terrastat.llm.vectorcodes import encode
+from terrastat.llm.warc import archive_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +122,19 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     held_out = crc_mod(7) == 2
     rows = language_scores(table(spark, folder, "documents"), ~held_out)
     return rows.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op11_vector_codes")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    rows = encode(table(spark, folder, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    return rows.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+@query("op12_warc")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return archive_report(table(spark, folder, "pages"), least_bytes=0)
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return repair_report(damaged(table(spark, folder, "conversations")))
