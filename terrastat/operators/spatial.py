@@ -214,174 +214,6 @@ def assign_classes(values: DataFrame, breaks: DataFrame, value: str, by: Sequenc
     return d.withColumn("class", F.least(below, F.size("_e") - 1) - 1).drop("_e")
 
 
-# --------------------------------------------------------------- neighbours
-
-ROOT2_REACH = 2  # cells a disc of radius cell*sqrt(2) can touch on either side
-MAX_DEPTH = 20
-BLOCK_ROWS = 512
-BROADCAST_ROWS = 500_000  # 32 bytes each: samples on all levels that may be broadcast
-
-
-def _lowest(dist: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the ``k`` smallest values of each row in order, ties by column."""
-    if k >= dist.shape[1]:
-        return np.argsort(dist, axis=1, kind="stable")
-    near = np.sort(np.argpartition(dist, k - 1, axis=1)[:, :k], axis=1)
-    values = np.take_along_axis(dist, near, axis=1)
-    out = np.take_along_axis(near, np.argsort(values, axis=1, kind="stable"), axis=1)
-    tied = (dist <= values.max(axis=1)[:, None]).sum(axis=1) > k
-    if tied.any():
-        out[tied] = np.argsort(dist[tied], axis=1, kind="stable")[:, :k]
-    return out
-
-
-def nearest_samples(queries: DataFrame, samples: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
-    """The ``k`` nearest samples of every query, exact, ties by sample id.
-
-    ``queries(by, qid, x, y)``, ``samples(by, sid, x, y, v)``, ids BIGINT. Each
-    query searches on the finest level of a halving grid where its own cell
-    holds ``k`` samples: its neighbours then lie within two cells. Both sides
-    travel in blocks, the cells of a quadtree that hold a few hundred rows, and
-    blocks out of reach of the neighbours already found are passed over. Samples
-    sharing a place keep their ``k`` lowest ids, which loses no neighbour.
-    """
-    by = list(by)
-    s = samples.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
-    q = queries.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if not s[4]:
-        raise ValueError("no samples")
-    lows, highs = [v for r in (s, q) for v in (r[0], r[2])], [v for r in (s, q) for v in (r[1], r[3])]
-    x0 = min(v for v in lows[::2] if v is not None)
-    y0 = min(v for v in lows[1::2] if v is not None)
-    x1 = max(v for v in highs[::2] if v is not None)
-    y1 = max(v for v in highs[1::2] if v is not None)
-    side = max(x1 - x0, y1 - y0, 1e-300) * (1 + 1e-9)
-    depth = int(min(MAX_DEPTH, max(1, math.ceil(math.log2(max(s[4] / k, 1.0)) / 2) + 4)))
-    grid = float(2**depth) / side
-
-    def located(df: DataFrame) -> DataFrame:
-        return df.withColumn("_fx", F.floor((F.col("x") - x0) * grid).cast("long")).withColumn(
-            "_fy", F.floor((F.col("y") - y0) * grid).cast("long")
-        )
-
-    def at_level(df: DataFrame) -> DataFrame:
-        """Cell of the level in ``lv``."""
-        unit = F.pow(F.lit(2.0), F.lit(depth) - F.col("lv"))
-        return df.withColumn("ix", F.floor(F.col("_fx") / unit).cast("long")).withColumn(
-            "iy", F.floor(F.col("_fy") / unit).cast("long")
-        )
-
-    every_level = F.explode(F.sequence(F.lit(0), F.lit(depth)))
-    cell = [*by, "lv", "ix", "iy"]
-
-    def counted(fine: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Ancestors of each fine cell, and the rows of every cell of every level."""
-        up = at_level(fine.withColumn("lv", every_level))
-        return up, up.groupBy(*cell).agg(F.sum("_c").alias("_n"))
-
-    def leaf_of(up: DataFrame, sizes: DataFrame) -> DataFrame:
-        """Coarsest level at which a fine cell's rows fit one block, and the blocks it takes."""
-        fits = up.join(sizes, cell).filter((F.col("_n") <= rows) | (F.col("lv") == depth))
-        leaf = fits.groupBy(*by, "_fx", "_fy").agg(F.min_by(F.struct("lv", "_n"), "lv").alias("_l"))
-        return leaf.select(*by, "_fx", "_fy", F.col("_l.lv").alias("leaf"), F.ceil(F.col("_l._n") / rows).alias("_parts"))
-
-    def packed(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-        """Blocks of at most about ``rows`` rows of one leaf, under the cell they are searched by."""
-        unit = F.pow(F.lit(2.0), F.lit(depth) - F.greatest("leaf", "lv"))
-        part = F.struct("leaf", F.floor(F.col("_fx") / unit), F.floor(F.col("_fy") / unit), F.pmod(F.xxhash64(key), F.col("_parts")))
-        blocks = df.withColumn("block", F.xxhash64(part)).groupBy(*cell, "block").agg(F.collect_list(F.struct(*fields)).alias("_p"))
-        return blocks.select(*cell, "block", *[F.col(f"_p.{f}").alias(f) for f in fields])
-
-    rows = BLOCK_ROWS
-    place = Window.partitionBy(*by, "x", "y").orderBy("sid")
-    kept = located(
-        samples.select(*by, "sid", "x", "y", "v").withColumn("_r", F.row_number().over(place)).filter(F.col("_r") <= k).drop("_r")
-    )
-    asked = located(queries.select(*by, "qid", "x", "y"))
-    s_up, s_sizes = counted(kept.groupBy(*by, "_fx", "_fy").agg(F.count(F.lit(1)).alias("_c")))
-    q_up, q_sizes = counted(asked.groupBy(*by, "_fx", "_fy").agg(F.count(F.lit(1)).alias("_c")))
-    held = s_sizes.filter((F.col("_n") >= k) | (F.col("lv") == 0)).drop("_n")
-    level = q_up.join(held, cell).groupBy(*by, "_fx", "_fy").agg(F.max("lv").alias("lv"))
-    q_cells = broadcast_if_small(level.join(leaf_of(q_up, q_sizes), [*by, "_fx", "_fy"]))
-    s_cells = broadcast_if_small(leaf_of(s_up, s_sizes))
-    span = F.sequence(F.lit(-ROOT2_REACH), F.lit(ROOT2_REACH))
-    wanted = (
-        at_level(q_cells)
-        .select(*cell)
-        .distinct()
-        .withColumn("_dx", F.explode(span))
-        .withColumn("_dy", F.explode(span))
-        .select(*by, "lv", (F.col("ix") + F.col("_dx")).alias("ix"), (F.col("iy") + F.col("_dy")).alias("iy"))
-        .distinct()
-    )
-    here = at_level(kept.join(s_cells, [*by, "_fx", "_fy"]).withColumn("lv", every_level)).join(wanted, cell, "left_semi")
-    qb = packed(at_level(asked.join(q_cells, [*by, "_fx", "_fy"])), "qid", ["qid", "x", "y"])
-    sb = packed(here, "sid", ["sid", "x", "y", "v"])
-    few = s[4] * (depth + 1) <= BROADCAST_ROWS
-    crowd = None
-    if not few:
-        unit = F.pow(F.lit(2.0), F.lit(depth) - F.greatest("leaf", "lv"))
-        leaves = at_level(q_cells).select(*cell, "leaf", F.floor(F.col("_fx") / unit).alias("_lx"), F.floor(F.col("_fy") / unit).alias("_ly"), "_parts")
-        crowd = broadcast_if_small(leaves.distinct().groupBy(*cell).agg(F.sum("_parts").alias("_blocks")).filter(F.col("_blocks") > 1))
-    pairs = join_blocks(qb, sb, [*by, "lv"], ["qid", "x", "y"], ["sid", "x", "y", "v"], ROOT2_REACH, crowd, small_right=few)
-
-    def block_of(row):
-        """Nearest ``k`` of one block of samples: distance, id, place and value per query."""
-        order = np.argsort(row.r_sid, kind="stable")
-        sid, sx, sy, sv = (np.asarray(a)[order] for a in (row.r_sid, row.r_x, row.r_y, row.r_v))
-        dx = np.asarray(row.x)[:, None] - sx[None, :]
-        dy = np.asarray(row.y)[:, None] - sy[None, :]
-        dist = np.sqrt(dx * dx + dy * dy)
-        near = _lowest(dist, k)
-        return [np.take_along_axis(dist, near, axis=1), sid[near], sx[near], sy[near], sv[near]]
-
-    def merged(a, b):
-        both = [np.hstack(p) for p in zip(a, b)]
-        order = np.lexsort((both[1], both[0]))[:, :k]
-        return [np.take_along_axis(p, order, axis=1) for p in both]
-
-    def too_far(row, best):
-        """No sample of the block can come before the ``k`` already found for any query."""
-        if best[0].shape[1] < k:
-            return False
-        gap_x = max(0.0, np.min(row.r_x) - np.max(row.x), np.min(row.x) - np.max(row.r_x))
-        gap_y = max(0.0, np.min(row.r_y) - np.max(row.y), np.min(row.y) - np.max(row.r_y))
-        return math.hypot(gap_x, gap_y) > best[0][:, -1].max() * (1 + 1e-12)
-
-    def frame(row, best):
-        width = best[0].shape[1]
-        data = {c: np.repeat([getattr(row, c)], best[0].size) for c in by}
-        data["qid"] = np.repeat(np.asarray(row.qid), width)
-        for name, values in zip(("d", "sid", "sx", "sy", "v"), best):
-            data[name] = values.ravel()
-        return pd.DataFrame(data)[columns]
-
-    types = {f.name: f.dataType.simpleString() for f in queries.schema.fields}
-    schema = ", ".join([*[f"{c} {types[c]}" for c in by], "qid bigint, sid bigint, d double, sx double, sy double, v double"])
-    columns = [*by, "qid", "sid", "d", "sx", "sy", "v"]
-
-    def run(batches):
-        # partners of a query block arrive in a row: keep its k best, emit when the next block starts
-        last = best = None
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                key = tuple(getattr(row, c) for c in (*by, "lv", "ix", "iy", "block"))
-                if last is not None and key != last[0]:
-                    yield frame(last[1], best)
-                    best = None
-                if best is None:
-                    best = block_of(row)
-                elif not too_far(row, best):
-                    best = merged(best, block_of(row))
-                last = (key, row)
-        if last is not None:
-            yield frame(last[1], best)
-
-    near = pairs.drop("same").mapInPandas(run, schema)
-    w = Window.partitionBy(*by, "qid").orderBy("d", "sid")
-    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 # ---------------------------------------------------------------- variogram
 
 

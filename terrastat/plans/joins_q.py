@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terrastat.config import ALPHA
 from terrastat.operators import prep, spatial
+from terrastat.operators.neighbours import nearest_samples
 from terrastat.plans.data import COVERS, DEPTHS, INSIDE, LOCATED, POINTS, RASTER, SITES, STRIP, TRANSFORM, WIDTH, located, pixels, points, raster, region_edges, samples, SAMPLES
 from terrastat.plans.registry import query, r, rnd
 
@@ -108,7 +109,7 @@ def _(t):
 )
 def _(t):
     s = points(t).select(F.col("id").alias("sid"), "x", "y", "v")
-    d = spatial.nearest_samples(located(t).select("qid", "x", "y"), s, 8)
+    d = nearest_samples(located(t).select("qid", "x", "y"), s, 8)
     return rnd(d.select("qid", "sid", F.col("rank").cast("long").alias("rank"), "d"), 9, "d")
 
 

@@ -105,6 +105,16 @@ def _(t):
     return rnd(kriging.krige_local(located(t).select("qid", "x", "y"), samples(t), model, 2), 7, "estimate", "variance")
 
 
+# without spatial structure all neighbours weigh the same: their mean, and the nugget plus the variance of that mean
+@query(
+    "spa_07_nugget_kriging",
+    f"SELECT qid, {r('avg(v)', 8)} AS estimate, {r('0.1e0 * (1 + 1e0 / count(*))', 8)} AS variance FROM {_NEAR} WHERE k <= 32 GROUP BY qid",
+)
+def _(t):
+    model = local_table(t.spark, [("linear", 0.0, 1.0, 0.1)], "model string, sill double, reach double, nugget double")
+    return rnd(kriging.krige_local(located(t).select("qid", "x", "y"), samples(t), model, 32), 8, "estimate", "variance")
+
+
 @query(
     "spa_08_combine",
     f"SELECT o_orderkey AS qid, {r('o_totalprice + coalesce(m, 0)', 2)} AS prediction FROM orders LEFT JOIN (SELECT l_orderkey, max(l_quantity) AS m FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey",
