@@ -241,12 +241,13 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
     A byte goes if a string of ``length`` bytes over it also starts anywhere else, in the same text or another; strings are
     judged on the texts as given and never cross texts. Missing texts count as empty; texts shorter than ``length`` keep
-    everything. ``doc_id`` may be missing or repeated: rows are told apart by their place in the table, so ``docs`` must read
-    the same twice. Other columns are ignored; an empty table gives no rows.
+    everything. ``doc_id`` may be missing or repeated: rows are told apart by a number stored with their text in the shared folder,
+    so ``docs`` is read once and may come out in any order. Other columns are ignored; an empty table gives no rows.
 
     ``length`` must be a multiple of ``PERIOD``.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    plain = stored(plain.withColumn("row", F.monotonically_increasing_id()))
     runs = stored(runs_of(plain, length, gram))
     one = F.min(F.struct("row", "lo", "off", "n")).alias("first")
     kinds = runs.groupBy("key", "same").agg(F.count("*").alias("times"), one)
