@@ -1,4 +1,4 @@
-"""Tail areas of Student t, F, chi-square and the normal quantile.
+"""Tail areas of Student t, F and chi-square.
 
 Spark has no such built-ins; these are Arrow functions over numpy, meant for
 result tables (tests and contrasts).
@@ -62,12 +62,12 @@ def beta_inc(a, b, x):
 
 
 def f_tail(f, d1, d2):
-    f, d1, d2 = (np.asarray(v, float) for v in (f, d1, d2))
+    f, d1, d2 = (np.minimum(np.asarray(v, float), 1e300 if v is f else 1e9) for v in (f, d1, d2))
     return beta_inc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * np.maximum(f, 0.0)))
 
 
 def t_two_sided(t, df):
-    t, df = np.asarray(t, float), np.asarray(df, float)
+    t, df = np.asarray(t, float), np.minimum(np.asarray(df, float), 1e9)
     return beta_inc(df / 2.0, 0.5, df / (df + t * t))
 
 
@@ -102,30 +102,14 @@ def chi2_tail(x, df):
     return np.where(z <= 0, 1.0, out)
 
 
-def normal_quantile(p):
-    """Inverse normal distribution function by safeguarded Newton steps on erfc."""
-    p = np.atleast_1d(np.asarray(p, float))
-    q = np.minimum(p, 1.0 - p)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = np.sqrt(-2.0 * np.log(q))
-        x = np.where(q > 0.25, (0.5 - q) * math.sqrt(2 * math.pi), t - np.log(np.maximum(t, 1.0)) / t)
-        for _ in range(60):
-            tail = 0.5 * _each(math.erfc, x / math.sqrt(2.0))
-            dens = np.exp(-0.5 * x * x) / math.sqrt(2 * math.pi)
-            step = np.clip((tail - q) / dens, -0.5, 0.5)
-            x = x + step
-            if np.nanmax(np.abs(np.where(np.isfinite(step), step, 0.0)), initial=0.0) < 1e-15:
-                break
-    x = np.where(q <= 0, np.inf, x)
-    return np.where(p < 0.5, -x, x)
-
-
-def t_critical(alpha: float, df: float) -> float:
-    """Two-sided critical value of Student t, by bisection on the tail."""
-    lo, hi = 0.0, 1e6
+def t_critical(alpha: float, df):
+    """Two-sided critical values of Student t, by bisection on the tail."""
+    df = np.minimum(np.asarray(df, float), 1e9)  # beyond that the normal distribution, to all digits
+    lo, hi = np.zeros_like(df), np.full_like(df, 1e6)
     for _ in range(200):
         mid = (lo + hi) / 2.0
-        lo, hi = (mid, hi) if float(t_two_sided(mid, df)) > alpha else (lo, mid)
+        above = t_two_sided(mid, df) > alpha
+        lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
     return (lo + hi) / 2.0
 
 
@@ -152,8 +136,3 @@ def f_test_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def chi2_test_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return _masked(chi2_tail, x, df)
-
-
-@F.pandas_udf(DoubleType())
-def normal_score(p: pd.Series) -> pd.Series:
-    return _masked(normal_quantile, p)

@@ -1,19 +1,19 @@
 """Global ranks, folds and running sums without a single-task sort.
 
-An unpartitioned window sends every row to one task. Here rows are cut into
-buckets in the order of interest, bucket totals (a few hundred rows) are summed
-once, and the window runs inside each bucket.
+Rows are put in a stored global order by one range partitioning and numbered
+inside their runs (``ordered``); folds cut the rows by the first digits of a hash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrastat.config import INF
+from terrastat.functions.scalar import normal_quantile
+from terrastat.operators.ordered import before_runs, numbered, rolling_sums
+from terrastat.session import broadcast_if_small
 
 
 def _offsets(totals: DataFrame, by: Sequence[str], bucket: str) -> DataFrame:
@@ -69,33 +69,20 @@ def sample_rows(df: DataFrame, ids: Sequence[str], n: int, seed: int, by: Sequen
     )
 
 
-def value_counts_before(
-    df: DataFrame, value: str, by: Sequence[str] = (), buckets: int = 1024, weight: Column | None = None
-) -> DataFrame:
+def value_counts_before(df: DataFrame, value: str, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     """Distinct values with ``_count``, the rows before them ``_below`` and the group ``_total``.
 
-    Equal values collapse first, so one value held by many rows is one row here.
+    Equal values collapse first, so one value held by many rows is one row here; they are put in order by one range partitioning.
     """
+    by = list(by)
     vals = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*by, value)
-        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_count"))
-    )
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = vals.agg(F.percentile_approx(F.col(value).cast("double"), probs, 10 * buckets)).first()[0] or []
-    splits = [-INF, *sorted(set(cuts)), INF]
-    binned = (
-        Bucketizer(splits=splits, inputCol="_v", outputCol="_b")
-        .transform(vals.withColumn("_v", F.col(value).cast("double")))
-        .drop("_v")
-    )
-    offsets = _offsets(binned.groupBy(*by, "_b").agg(F.sum("_count").alias("_n")), by, "_b").drop("_n")
-    w = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        binned.join(offsets, [*by, "_b"])
-        .withColumn("_below", F.col("_before") + F.coalesce(F.sum("_count").over(w), F.lit(0)))
-        .drop("_before", "_b")
+        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).cast("long").alias("_count"))
     )
+    rows = numbered(vals, by, [value], "_count")
+    runs = before_runs(rows.groupBy(*by, "_run").agg(F.sum("_count").alias("_n")), by)
+    return rows.join(runs, "_run").withColumn("_below", F.col("_before") + F.col("_in")).drop("_run", "_in", "_before")
 
 
 def average_rank() -> Column:
@@ -140,9 +127,15 @@ def holm(df: DataFrame, p: str, family: Sequence[str], out: str = "p_holm", tie:
 
 
 def holm_long(df: DataFrame, p: str, family: Sequence[str], tie: str, out: str = "p_holm") -> DataFrame:
-    """Holm step-down p in families of any size, numeric unique ``tie``; no family is sorted in one task."""
-    placed = positions(df, p, tie, family).withColumn("_step", (F.col("_total") - F.col("_pos")) * F.col(p))
-    return running_max(placed, "_step", family).withColumn(out, F.least(F.lit(1.0), F.col("_max"))).drop("_step", "_max", "_pos", "_total")
+    """Holm step-down p in families of any size, unique ``tie``; no family is sorted in one task."""
+    family = list(family)
+    placed = _placed(df, [p, tie], family).withColumn("_step", (F.col("_total") - F.col("_pos")) * F.col(p))
+    earlier = Window.partitionBy(*family).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    ends = placed.groupBy(*family, "_run").agg(F.max("_step").alias("_n"))
+    ends = broadcast_if_small(ends.select("_run", F.max("_n").over(earlier).alias("_so_far")))
+    inside = F.max("_step").over(Window.partitionBy("_run").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    done = placed.join(ends, "_run").withColumn(out, F.least(F.lit(1.0), F.greatest(inside, F.col("_so_far"))))
+    return done.drop("_step", "_so_far", "_pos", "_total", "_run")
 
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -157,71 +150,37 @@ def share_of_group_max(df: DataFrame, value: str, by: Sequence[str], out: str) -
     return df.withColumn(out, F.when(top > 0, F.col(value) / top).otherwise(F.col(value)))
 
 
-def positions(df: DataFrame, order: str, tie: str, by: Sequence[str] = ()) -> DataFrame:
-    """Add ``_pos`` (from 0) and ``_total``: the place of each row in its group by ``order``, ties by a unique id."""
-    by = list(by)
-    first = value_counts_before(df, order, by).select(*by, order, F.col("_below").alias("_start"), "_total")
-    within = value_counts_before(df, tie, [*by, order]).select(*by, order, tie, F.col("_below").alias("_inside"))
-    return (
-        df.join(within, [*by, order, tie])
-        .join(first, [*by, order])
-        .withColumn("_pos", F.col("_start") + F.col("_inside"))
-        .drop("_start", "_inside")
-    )
+def _placed(df: DataFrame, order: Sequence[str], by: list[str]) -> DataFrame:
+    """``positions`` with the run of each row."""
+    rows = numbered(df, by, order)
+    runs = before_runs(rows.groupBy(*by, "_run").agg(F.count(F.lit(1)).alias("_n")), by)
+    return rows.join(runs, "_run").withColumn("_pos", F.col("_before") + F.col("_in")).drop("_in", "_before")
 
 
-def _running(df: DataFrame, value: str, by: Sequence[str], out: str, total, buckets: int) -> DataFrame:
-    """Running ``total`` (sum or max) of ``value`` along ``_pos``, bucket by bucket."""
-    by = list(by)
-    rows = df.withColumn("_b", F.floor(F.col("_pos") * buckets / F.col("_total")).cast("int"))
-    earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    ends = rows.groupBy(*by, "_b").agg(total(F.col(value)).alias("_n"))
-    before = ends.withColumn("_before", total(F.col("_n")).over(earlier)).drop("_n")
-    w = Window.partitionBy(*by, "_b").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.join(before, [*by, "_b"]).withColumn(out, total(F.col(value)).over(w)).drop("_b")
-
-
-def running_sum(df: DataFrame, value: str, by: Sequence[str] = (), buckets: int = 1024) -> DataFrame:
-    """Add ``_sum``: running total of ``value`` along ``_pos``."""
-    d = _running(df, value, by, "_sum", F.sum, buckets)
-    return d.withColumn("_sum", F.col("_sum") + F.coalesce("_before", F.lit(0.0))).drop("_before")
-
-
-def running_max(df: DataFrame, value: str, by: Sequence[str] = (), buckets: int = 1024) -> DataFrame:
-    """Add ``_max``: running maximum of ``value`` along ``_pos``."""
-    d = _running(df, value, by, "_max", F.max, buckets)
-    return d.withColumn("_max", F.greatest("_max", "_before")).drop("_before")
+def positions(df: DataFrame, order: str, tie: str, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``_pos`` (from 0) and ``_total``: the place of each row in its group by ``order``, ties by a unique id."""
+    return _placed(df, [order, tie], list(by)).drop("_run")
 
 
 def rolling_mean(df: DataFrame, by: Sequence[str], order: str, tie: str, value: str, window: int) -> DataFrame:
-    """Centred moving average over ``window`` rows; outside the series counts as zero.
+    """Centred moving average over ``window`` rows; outside the series counts as zero, as does a missing value.
 
-    A difference of two running totals, so neither a long series nor a wide
-    window needs a task of its own.
+    Every mean is a direct sum of its window (see ``rolling_sums``), so decimals survive series of any length.
     """
-    by = list(by)
-    left, right = window // 2, (window - 1) // 2
-    sums = running_sum(positions(df.select(*by, order, tie, value), order, tie, by), value, by)
-    upper = sums.select(*by, F.col("_pos").alias("_hi"), F.col("_sum").alias("_upper"))
-    lower = sums.select(*by, F.col("_pos").alias("_lo"), F.col("_sum").alias("_lower"))
-    rows = sums.withColumn("_hi", F.least(F.col("_pos") + right, F.col("_total") - 1)).withColumn("_lo", F.col("_pos") - left - 1)
-    smooth = (F.col("_upper") - F.coalesce("_lower", F.lit(0.0))) / float(window)
-    joined = rows.join(upper, [*by, "_hi"]).join(lower, [*by, "_lo"], "left")
-    return joined.select(*by, order, tie, value, smooth.alias("smooth"))
+    sums = rolling_sums(df.select(*by, order, tie, value), by, [order, tie], value, window // 2, (window - 1) // 2)
+    return sums.withColumn("smooth", F.col("_sum") / float(window)).drop("_sum")
 
 
 def normal_scores(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Distinct values with the normal quantile of ``(rank - 0.5) / n`` at their first and last rank."""
-    from terrastat.functions.tails import normal_score
-
     v = value_counts_before(df, value, by)
     n = F.col("_total").cast("double")
     return v.select(
         *by,
         value,
         F.col("_count").alias("n_rows"),
-        normal_score((F.col("_below") + 0.5) / n).alias("score_first"),
-        normal_score((F.col("_below") + F.col("_count") - 0.5) / n).alias("score_last"),
+        normal_quantile((F.col("_below") + 0.5) / n).alias("score_first"),
+        normal_quantile((F.col("_below") + F.col("_count") - 0.5) / n).alias("score_last"),
     )
 
 

@@ -204,14 +204,26 @@ def design_counts(df: DataFrame, by: Sequence[str], plot: str) -> DataFrame:
 
 
 def grouping_set_counts(df: DataFrame, sets: Sequence[Sequence[str]], plot: str) -> DataFrame:
-    """Samples and plots over several groupings from one pre-aggregated table."""
+    """Samples and plots over several groupings: ``columns, grouping, n_samples, n_plots``.
+
+    Samples are counted per cell and the few cells rolled up. A plot lists its cells once and counts in each group of theirs, so
+    the rows are neither repeated for every grouping nor for the distinct count.
+    """
     cols = sorted({c for s in sets for c in s})
+    types = {f.name: f.dataType for f in df.schema.fields}
     base = df.groupBy(*cols, plot).agg(F.count(F.lit(1)).alias("_n"))
-    return base.groupingSets([[F.col(c) for c in s] for s in sets], *cols).agg(
-        F.grouping_id().cast("int").alias("grouping"),
-        F.sum("_n").alias("n_samples"),
-        F.count_distinct(plot).alias("n_plots"),
-    )
+    cells = base.groupBy(*cols).agg(F.sum("_n").alias("_n"))
+    samples = cells.groupingSets([[F.col(c) for c in s] for s in sets], *cols).agg(F.grouping_id().cast("int").alias("grouping"), F.sum("_n").alias("n_samples"))
+    plots = base.filter(F.col(plot).isNotNull()).groupBy(plot).agg(F.collect_set(F.struct(*cols)).alias("_c"))
+    at = [(sum(2 ** (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in s), set(s)) for s in sets]
+
+    def shown(bits: int, inside: set) -> Column:
+        return F.transform("_c", lambda c: F.struct(F.lit(bits).alias("_g"), *[(c[k] if k in inside else F.lit(None).cast(types[k])).alias(f"_{k}") for k in cols]))
+
+    groups = plots.select(F.inline(F.array_distinct(F.flatten(F.array(*[shown(*a) for a in at])))))
+    counted = groups.groupBy("_g", *[f"_{c}" for c in cols]).agg(F.count(F.lit(1)).alias("n_plots"))
+    same = [F.col("grouping") == F.col("_g"), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cols]]
+    return samples.join(broadcast_if_small(counted), same, "left").select(*cols, "grouping", "n_samples", F.coalesce("n_plots", F.lit(0)).alias("n_plots"))
 
 
 def group_means(df: DataFrame, by: Sequence[str], value: str, plot: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrastat.operators.mixed import Design
 from terrastat.plans.registry import Tables, is_key
+from terrastat.sources.raster import Grid, raster_of
 from terrastat.sources.tables import polygon_edges
 
 # ------------------------------------------------- samples: plot x depth rows
@@ -180,6 +181,14 @@ def pixels(t: Tables) -> DataFrame:
     return raster(t).unpivot(["row", "col"], BANDS, "band", "value")
 
 
+GRID = Grid(WIDTH, TILE, TRANSFORM)
+
+
+def raster_path(t: Tables) -> str:
+    """The pixel table as a tiled raster, written once."""
+    return raster_of(pixels(t), GRID, f"{t.folder}/part.parquet")
+
+
 PIXELS = f"(SELECT row, col, band, value FROM {RASTER} UNPIVOT INCLUDE NULLS (value FOR band IN (price, size, kind)))"
 
 TILE_OF = f"((row // {TILE}) * {-(-WIDTH // TILE)} + (col // {TILE}) + 1)"
@@ -200,6 +209,23 @@ def located(t: Tables) -> DataFrame:
     )
 
 
+def covariate_pixels(t: Tables) -> DataFrame:
+    """Pixels with covariates from columns of the part table, in the ranges of the survey's."""
+    from terrastat.functions.scalar import pixel_x, pixel_y
+
+    row, column = F.floor(F.col("p_partkey") / WIDTH), F.pmod("p_partkey", F.lit(WIDTH))
+    return t.part.select(
+        F.col("p_partkey").alias("qid"),
+        pixel_x(column, TRANSFORM).alias("x"),
+        pixel_y(row, TRANSFORM).alias("y"),
+        ((F.col("p_size") - 25.5) / 100.0).alias("f1"),
+        ((F.col("p_retailprice") - 950.0) / 200.0).alias("f2"),
+        ((F.length("p_name") - 12) / 30.0).alias("f3"),
+        ((F.substring("p_brand", 7, 9).cast("double") - 12.0) / 40.0).alias("f4"),
+        F.pmod("p_size", F.lit(10)).cast("string").alias("soil"),
+    )
+
+
 LOCATED = f"""(SELECT row * {WIDTH} + col AS qid, row, col, -0.5e0 + (col + 0.5e0) * 0.02e0 AS x, -0.5e0 + (row + 0.5e0) * 0.025e0 AS y,
 CASE WHEN price = -9999e0 THEN NULL ELSE price END AS price, size FROM {RASTER})"""
 

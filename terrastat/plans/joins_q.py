@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from terrastat.config import ALPHA
 from terrastat.operators import prep, spatial
 from terrastat.operators.neighbours import nearest_samples
-from terrastat.plans.data import COVERS, DEPTHS, INSIDE, LOCATED, POINTS, RASTER, SITES, STRIP, TRANSFORM, WIDTH, located, pixels, points, raster, region_edges, samples, SAMPLES
+from terrastat.plans.data import COVERS, DEPTHS, GRID, INSIDE, LOCATED, POINTS, RASTER, SAMPLES, SITES, STRIP, located, points, raster_path, region_edges, samples
 from terrastat.plans.registry import query, r, rnd
+from terrastat.sources.raster import sample_raster
 
 _ROWCOL = "CAST(floor((y - (-0.5e0)) / 0.025e0) AS BIGINT) AS row, CAST(floor((x - (-0.5e0)) / 0.02e0) AS BIGINT) AS col"
 
@@ -18,7 +19,7 @@ _ROWCOL = "CAST(floor((y - (-0.5e0)) / 0.025e0) AS BIGINT) AS row, CAST(floor((x
     f"SELECT p.id, p.row, p.col, {r('g.size', 2)} AS size, {r('g.price', 2)} AS price FROM (SELECT id, {_ROWCOL} FROM {POINTS}) p LEFT JOIN {RASTER} g ON g.row = p.row AND g.col = p.col",
 )
 def _(t):
-    d = spatial.sample_at_points(points(t), raster(t), TRANSFORM)
+    d = sample_raster(points(t), t.spark, raster_path(t), GRID, ["size", "price"])
     return rnd(d.select("id", "row", "col", "size", "price"), 2, "size", "price")
 
 
@@ -27,8 +28,7 @@ def _(t):
     f"SELECT p.id, {r('g.price', 2)} AS price, {r('g.size', 2)} AS size, g.kind FROM (SELECT id, {_ROWCOL} FROM {POINTS}) p JOIN {RASTER} g ON g.row = p.row AND g.col = p.col",
 )
 def _(t):
-    bands = spatial.bands_to_wide(pixels(t), ["price", "size", "kind"], ["row", "col"])
-    d = spatial.sample_at_points(points(t), bands.withColumn("hit", F.lit(True)), TRANSFORM).filter("hit")
+    d = sample_raster(points(t), t.spark, raster_path(t), GRID, ["price", "size", "kind"], "inner")
     return rnd(d.select("id", "price", "size", "kind"), 2, "price", "size")
 
 

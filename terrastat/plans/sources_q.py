@@ -9,10 +9,11 @@ from terrastat.functions.scalar import nodata_to_null, right_closed_bin, code_lo
 from terrastat.operators.index import classify, weighted_index
 from terrastat.operators.spatial import tile_index
 from terrastat.operators.summary import value_counts
-from terrastat.plans.data import BANDS, EDGES, LOCATED, NODATA, PIXELS, POINTS, RASTER, TILE, TILE_OF, WIDTH, located, pixels, points, raster, region_edges
+from terrastat.plans.data import BANDS, EDGES, GRID, LOCATED, NODATA, PIXELS, POINTS, RASTER, TILE, TILE_OF, WIDTH, located, pixels, points, raster, raster_path, region_edges
 from terrastat.plans.registry import Tables, query, r, rnd
 from terrastat.session import new_path
 from terrastat.sources import sinks, tables
+from terrastat.sources.raster import read_raster_window
 
 # Fixed values of the example index on parts.
 SIZE_BINS = [float("-inf"), 10, 20, 30, 40, float("inf")]
@@ -115,9 +116,7 @@ def tiled(t: Tables):
     f"""SELECT row, col, {r('value', 4)} AS value FROM {PIXELS} WHERE band = 'size' AND row BETWEEN 0 AND 1000000 AND col BETWEEN 16 AND 31""",
 )
 def _(t):
-    path = new_path(t.spark, "pixels")
-    pixels(t).write.partitionBy("band").parquet(path)
-    strip = tables.read_window(t.spark.read.parquet(path), "size", 0, TILE, 1_000_001, TILE)
+    strip = read_raster_window(t.spark, raster_path(t), GRID, "size", 0, TILE, 1_000_001, TILE)
     return rnd(strip.select("row", "col", "value"), 4, "value")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from terrastat.operators.index import best_component
 from terrastat.operators.learn import training_rows
 from terrastat.operators.smooth import lowess
 from terrastat.operators.spatial import fill_gaps, tile_index
-from terrastat.plans.data import NODATA, RASTER, TILE, TILE_OF, WIDTH, points, predicted, raster
+from terrastat.plans.data import NODATA, POINTS, PREDICTED, RASTER, TILE, TILE_OF, WIDTH, points, predicted, raster
 from terrastat.plans.registry import query, r, rnd
 
 _PRIO = "(SELECT o_orderpriority AS level, sum(o_totalprice) AS v FROM orders GROUP BY 1)"
@@ -115,9 +117,28 @@ def _(t):
     return rnd(d.select("o_orderstatus", "o_orderkey", "smooth"), 2, "smooth")
 
 
-@query("win_10_normal_scores")
+# the statement inverts the series of the normal distribution by Newton steps from a rough rational start
+_ODD = [math.prod(range(1, 2 * k + 2, 2)) for k in range(75)]
+
+
+def _newton(name: str, p: str, source: str, steps: int = 4) -> str:
+    t = f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+    start = f"sign({p} - 0.5e0) * ({t} - (2.515517e0 + 0.802853e0 * {t} + 0.010328e0 * {t} * {t}) / (1 + 1.432788e0 * {t} + 0.189269e0 * {t} * {t} + 0.001308e0 * {t} * {t} * {t}))"
+    out = f"(SELECT *, {start} AS {name} FROM {source})"
+    for _ in range(steps):
+        series = f"list_sum([power({name}, 2 * i - 1) / [{', '.join(f'{float(v)!r}' for v in _ODD)}][i] FOR i IN range(1, {len(_ODD) + 1})])"
+        out = f"(SELECT * EXCLUDE ({name}), {name} - (0.5e0 - {p}) * sqrt(2 * pi()) * exp({name} * {name} / 2) - {series} AS {name} FROM {out})"
+    return out
+
+
+@query(
+    "win_10_normal_scores",
+    f"SELECT response, obs, n_rows, {r('a', 6)} AS score_first, {r('b', 6)} AS score_last FROM "
+    + _newton("b", "pb", _newton("a", "pa", "(SELECT response, obs, count(*) AS n_rows, (min(k) - 0.5e0) / any_value(n) AS pa, (max(k) - 0.5e0) / any_value(n) AS pb FROM "
+    f"(SELECT response, obs, row_number() OVER (PARTITION BY response ORDER BY obs) AS k, count(*) OVER (PARTITION BY response) AS n FROM {PREDICTED}) GROUP BY 1, 2)")),
+)
 def _(t):
-    return ranks.normal_scores(predicted(t), "obs", ["response"])
+    return rnd(ranks.normal_scores(predicted(t), "obs", ["response"]), 6, "score_first", "score_last")
 
 
 _IMP = "(SELECT p_brand AS response, p_type AS feature, abs(avg(p_retailprice) - 950) AS v FROM part GROUP BY 1, 2)"
@@ -143,6 +164,23 @@ def _(t):
     return rnd(best.withColumn("position", F.row_number().over(w).cast("long")).filter("position <= 3"), 8, "best")
 
 
-@query("win_09_lowess")
+_D = "abs(b.x - a.x) / CASE WHEN a.h > 0 THEN a.h ELSE 1 END"
+_TRICUBE = f"CASE WHEN {_D} <= 0.001 THEN 1e0 WHEN {_D} >= 0.999 THEN 0e0 ELSE power(1 - power({_D}, 3), 3) END"
+
+
+def _lowess_sql() -> str:
+    """Four fits, each by a join of the table with itself, with bisquare weights from the residuals in between."""
+    steps = """p0 AS MATERIALIZED (SELECT id, x, v AS y, row_number() OVER (ORDER BY x, id) - 1 AS p, count(*) OVER () AS n, CAST(floor(count(*) OVER () * 0.4e0 + 1e-10) AS BIGINT) AS k FROM """ + POINTS + """),
+m AS MATERIALIZED (SELECT a.x + b.x AS m FROM p0 a JOIN p0 b ON b.p = a.p + a.k),
+p1 AS MATERIALIZED (SELECT a.id, a.x, a.y, a.p, a.k, (SELECT count(*) FROM m WHERE m.m < 2 * a.x) AS l FROM p0 a),
+r0 AS MATERIALIZED (SELECT a.*, greatest(a.x - lo.x, hi.x - a.x) AS h, 1e0 AS rw FROM p1 a JOIN p0 lo ON lo.p = a.l JOIN p0 hi ON hi.p = a.l + a.k - 1)"""
+    for i in range(4):
+        steps += f", f{i} AS MATERIALIZED (SELECT id, x, y, p, l, k, h, s FROM (SELECT id, x, y, p, l, k, h, CASE WHEN s0 <= 0 THEN y WHEN s0 * s2 - s1 * s1 <= 1e-12 * s0 * s0 THEN t0 / s0 ELSE (t0 * s2 - s1 * t1) / (s0 * s2 - s1 * s1) END AS s FROM (SELECT id, x, y, p, l, k, h, sum(w) AS s0, sum(w * dx) AS s1, sum(w * dx * dx) AS s2, sum(w * yb) AS t0, sum(w * dx * yb) AS t1 FROM (SELECT a.id, a.x, a.y, a.p, a.l, a.k, a.h, b.x - a.x AS dx, b.y AS yb, {_TRICUBE} * b.rw AS w FROM r{i} a JOIN r{i} b ON b.p >= a.l AND b.p < a.l + a.k) GROUP BY ALL)))"
+        if i < 3:
+            steps += f", r{i + 1} AS MATERIALIZED (SELECT id, x, y, p, l, k, h, CASE WHEN med <= 0 OR u <= 0.001 THEN 1e0 WHEN u >= 0.999 THEN 0e0 ELSE power(1 - u * u, 2) END AS rw FROM (SELECT *, abs(y - s) / (6 * med) AS u FROM (SELECT *, median(abs(y - s)) OVER () AS med FROM f{i})))"
+    return f"WITH {steps} SELECT id, {r('x', 9)} AS x, {r('y', 9)} AS y, {r('s', 8)} AS smooth FROM f3"
+
+
+@query("win_09_lowess", _lowess_sql())
 def _(t):
-    return lowess(points(t).select("id", "x", F.col("v").alias("y")))
+    return rnd(lowess(points(t).select("id", "x", F.col("v").alias("y"))), 9, "x", "y").withColumn("smooth", F.round("smooth", 8))

@@ -94,6 +94,39 @@ def test_rolling_mean_equals_convolution(spark, window):
         assert mine.smooth.to_numpy() == pytest.approx(want, abs=1e-9)
 
 
+@pytest.mark.parametrize("window, parts", [(25, 40), (7, 200), (64, 30)])
+def test_rolling_mean_over_partitions_shorter_than_the_window(spark, window, parts):
+    """Runs of a few rows, groups of one row, missing values, a missing group."""
+    p = skewed(500)
+    p.loc[p.id % 11 == 0, "y"] = np.nan
+    p["g"] = np.where(p.id % 50 == 3, "g" + p.id.astype(str), p.g)
+    p["g"] = p.g.where(p.id % 9 != 0, None)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ranks.rolling_mean(spark.createDataFrame(p), ["g"], "x", "id", "y", window).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(got) == len(p)
+    for g, part in p.groupby("g", dropna=False):
+        part = part.sort_values(["x", "id"])
+        v = np.r_[np.zeros(window), np.nan_to_num(part.y.to_numpy()), np.zeros(window)]
+        want = [v[window + i - window // 2 : window + i + (window - 1) // 2 + 1].sum() / window for i in range(len(part))]
+        mine = got[got.g.isna() if pd.isna(g) else got.g == g].sort_values(["x", "id"])
+        assert mine.smooth.to_numpy() == pytest.approx(want, abs=1e-9)
+
+
+def test_rolling_mean_keeps_decimals_in_long_series():
+    """What a running total of 1e9 values of 1e5 would lose: sums never cover more than two windows."""
+    from terrastat.operators.ordered import moving_sums
+
+    v = np.full(3_000_000, 1e5) + np.arange(3_000_000) % 7 / 100
+    got = moving_sums(v, 12, 12)
+    i = 2_999_000
+    assert got[i] == pytest.approx(v[i - 12 : i + 13].sum(), abs=1e-8)
+
+
 def test_folds_are_balanced_complete_and_stable(spark):
     d = spark.range(1003).withColumnRenamed("id", "k")
     a = ranks.assign_folds(d, ["k"], 5, 9).toPandas()

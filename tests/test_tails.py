@@ -62,11 +62,27 @@ def test_t_closed_forms_and_critical_value():
     assert float(tails.t_two_sided(crit, 295)) == pytest.approx(0.05, rel=1e-12)
 
 
-def test_normal_quantile_inverts_the_tail():
-    p = np.array([1e-12, 1e-4, 0.2, 0.5, 0.9, 0.975])
-    z = tails.normal_quantile(p)
-    assert [0.5 * math.erfc(-v / math.sqrt(2)) for v in z] == pytest.approx(list(p), rel=1e-9)
-    assert tails.normal_quantile([0.975])[0] == pytest.approx(1.959963984540054, abs=1e-12)
+def test_normal_quantile_inverts_the_tail(spark):
+    """Against bisection on the complementary error function, in all three ranges of the approximation."""
+    from pyspark.sql import functions as F
+
+    from terrastat.functions.scalar import normal_quantile
+
+    p = [1e-300, 1e-30, 1e-12, 1e-4, 0.0749, 0.0751, 0.2, 0.5, 0.9, 0.925, 0.975, 1 - 1e-9]
+    d = spark.createDataFrame([(v,) for v in [*p, 0.0, 1.0, -0.1, None]], "p double")
+    got = [r["z"] for r in d.select(normal_quantile(F.col("p")).alias("z")).collect()]
+
+    def plain(v):
+        lo, hi = -40.0, 40.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if 0.5 * math.erfc(-mid / math.sqrt(2)) < v else (lo, mid)
+        return (lo + hi) / 2
+
+    for z, v in zip(got, p):
+        want = plain(v) if v < 0.5 else -plain(1 - v)
+        assert z == pytest.approx(want, rel=1e-12, abs=1e-15)
+    assert got[len(p) :] == [-math.inf, math.inf, None, None]
 
 
 def test_missing_statistics_stay_missing(spark):
