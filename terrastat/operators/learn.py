@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import random
+import math
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrastat.functions.scalar import hash_uniform, poisson_one
+from terrastat.operators.forests import Forest, Sample, fit_large, fit_many, held_sample, job_of, left_out_errors, with_predictions
 from terrastat.operators.ranks import assign_folds
+from terrastat.operators.search import FOREST_SPACE, Search
 from terrastat.operators.summary import exact_percentiles, to_long
 from terrastat.session import cut_lineage, local_table
 
@@ -101,57 +99,100 @@ def apply_statistics(df: DataFrame, stats: DataFrame, numeric: Sequence[str], ca
 # -------------------------------------------------------------------- forests
 
 
-def forest(features: Sequence[str], label: str, params: Mapping, weight: str | None = None, seed: int = 42) -> Pipeline:
-    """Assembler and random forest; ``params``: trees, depth, leaf, subset and, if rows shall not be resampled, bootstrap."""
-    rf = RandomForestRegressor(
-        featuresCol="features",
-        labelCol=label,
-        numTrees=int(params["trees"]),
-        maxDepth=int(params["depth"]),
-        minInstancesPerNode=int(params["leaf"]),
-        featureSubsetStrategy=params["subset"],
-        bootstrap=params.get("bootstrap", True),
-        seed=seed,
-    )
-    if weight:
-        rf = rf.setWeightCol(weight)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), rf])
-
-
-def random_settings(trials: int, seed: int, trees=(100, 600), depth=(5, 30), leaf=(1, 8), subsets=("sqrt", "log2", "all")) -> list[dict]:
-    """Seeded draw of forest settings inside the search ranges."""
-    rng = random.Random(seed)
-    return [
-        {"trees": rng.randint(*trees), "depth": rng.randint(*depth), "leaf": rng.randint(*leaf), "subset": rng.choice(list(subsets))}
-        for _ in range(trials)
-    ]
-
-
-def tune_forest(train: DataFrame, features: Sequence[str], label: str, inner: str, folds: int, settings: Sequence[Mapping], parallelism: int = 4):
-    """Setting with the lowest mean RMSE over the inner folds, refitted on all rows.
-
-    ``train`` is read by every fit: pass a stored table (``cut_lineage``). Returns (model, best setting, mean RMSE of every setting).
+class Trainer(NamedTuple):
+    """A forest to be fitted; ``params``: trees, depth, leaf, subset, split (rows of a node that may be split) and bootstrap (rows are drawn)."""
+
+    features: Sequence[str]
+    label: str
+    params: Mapping
+    weight: str | None = None
+    seed: int = 42
+
+    def fit(self, df: DataFrame) -> Forest:
+        by = [*self.features, self.label, *([self.weight] if self.weight else [])]  # an order that does not depend on partitions
+        sample = held_sample(df, by, self.features, self.label, weights=[F.col(self.weight)] if self.weight else [])
+        if sample is None:
+            return fit_large(df, self.features, self.label, self.params, self.seed, self.weight)
+        return fit_many(df.sparkSession, [sample], [job_of(self.params, self.seed, weight=0 if self.weight else -1)])[0]
+
+
+def forest(features: Sequence[str], label: str, params: Mapping, weight: str | None = None, seed: int = 42) -> Trainer:
+    return Trainer(list(features), label, params, weight, seed)
+
+
+class Budget(NamedTuple):
+    """A sequential search: seeded trials over the ranges of a forest's settings, ``batch`` of them at a time."""
+
+    trials: int = 50
+    seed: int = 42
+    batch: int = 10
+    space: Mapping = FOREST_SPACE
+
+
+def _tuned_held(spark, samples: Sequence[Sample], folds: int, settings: Sequence[Mapping] | Budget) -> list[tuple[list[dict], list[float]]]:
+    """Settings tried on each table and their mean errors; a batch of trials of all tables and folds is one job."""
+    budget = settings if isinstance(settings, Budget) else None
+    studies = [Search(budget.space, budget.seed) for _ in samples] if budget else []
+    rounds = -(-budget.trials // budget.batch) if budget else 1
+    tried: list[tuple[list[dict], list[float]]] = [([], []) for _ in samples]
+    for i in range(rounds):
+        asked = [s.ask(min(budget.batch, budget.trials - i * budget.batch)) for s in studies] if budget else [list(map(dict, settings)) for _ in samples]
+        jobs = [job_of(p, 42, t, f) for t, ps in enumerate(asked) for p in ps for f in range(1, folds + 1)]
+        errors = iter(left_out_errors(spark, samples, jobs))
+        for t, ps in enumerate(asked):
+            scores = [sum(next(errors) for _ in range(folds)) / folds for _ in ps]
+            tried[t][0].extend(ps)
+            tried[t][1].extend(scores)
+            if budget:
+                studies[t].tell(ps, scores)
+    return tried
+
+
+def _tuned_large(train: DataFrame, features: Sequence[str], label: str, inner: str, folds: int, settings: Sequence[Mapping] | Budget) -> tuple[list[dict], list[float]]:
+    """The same search fold by fold over a table that tasks cannot hold."""
+    budget = settings if isinstance(settings, Budget) else None
+    study = Search(budget.space, budget.seed) if budget else None
+    tried, scores = [], []
+    while len(tried) < (budget.trials if budget else len(settings)):
+        ps = study.ask(min(budget.batch, budget.trials - len(tried))) if budget else list(map(dict, settings))
+        found = []
+        for p in ps:
+            errors = []
+            for f in range(1, folds + 1):
+                model = fit_large(train.filter(F.col(inner) != f), features, label, p, 42)
+                held = model.transform(train.filter(F.col(inner) == f).select(*features, label), "_p")
+                errors.append(held.agg(F.sqrt(F.avg(F.pow(F.col("_p") - F.col(label), F.lit(2.0))))).first()[0])
+            found.append(sum(errors) / folds)
+        if study:
+            study.tell(ps, found)
+        tried, scores = tried + ps, scores + found
+    return tried, scores
+
+
+def tune_tables(tables: Sequence[tuple[DataFrame, Sequence[str]]], ids: Sequence[str], label: str, inner: str, folds: int, settings: Sequence[Mapping] | Budget) -> list[tuple[Forest, dict, list[dict], list[float]]]:
+    """For each table (rows, features) the model refitted with its best setting, that setting, and all settings tried with their mean errors.
+
+    ``inner`` numbers the inner folds from 1. Tables that tasks can hold are searched together: all folds and tables of a batch of trials are
+    one job. Stored tables (``cut_lineage``) save reading them again.
     """
-    pipe = forest(features, label, settings[0])
-    rf = pipe.getStages()[1]
-    maps = [
-        ParamGridBuilder()
-        .baseOn({rf.numTrees: s["trees"], rf.maxDepth: s["depth"], rf.minInstancesPerNode: s["leaf"], rf.featureSubsetStrategy: s["subset"]})
-        .build()[0]
-        for s in settings
-    ]
-    cv = CrossValidator(
-        estimator=pipe,
-        estimatorParamMaps=maps,
-        evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"),
-        numFolds=folds,
-        foldCol="_inner0",
-        parallelism=parallelism,
-    )
-    fitted = cv.fit(train.withColumn("_inner0", (F.col(inner) - 1).cast("int")))
-    scores = [float(v) for v in fitted.avgMetrics]
-    best = min(range(len(scores)), key=lambda i: (scores[i], i))
-    return fitted.bestModel, dict(settings[best]), scores
+    samples = [held_sample(df, ids, names, label, inner) for df, names in tables]
+    held = [i for i, s in enumerate(samples) if s is not None]
+    spark = tables[0][0].sparkSession
+    tried = dict(zip(held, _tuned_held(spark, [samples[i] for i in held], folds, settings))) if held else {}
+    for i, (df, names) in enumerate(tables):
+        if i not in tried:
+            tried[i] = _tuned_large(df, names, label, inner, folds, settings)
+    best = {i: ps[min(range(len(ps)), key=lambda j: (math.isnan(es[j]), es[j], j))] for i, (ps, es) in tried.items()}
+    models = dict(zip(held, fit_many(spark, [samples[i] for i in held], [job_of(best[i], 42, n) for n, i in enumerate(held)]))) if held else {}
+    for i, (df, names) in enumerate(tables):
+        if i not in models:
+            models[i] = fit_large(df, names, label, best[i], 42)
+    return [(models[i], dict(best[i]), *tried[i]) for i in range(len(tables))]
+
+
+def tune_forest(train: DataFrame, features: Sequence[str], label: str, inner: str, folds: int, settings: Sequence[Mapping] | Budget, ids: Sequence[str] = ("id",)) -> tuple[Forest, dict, list[dict], list[float]]:
+    """``tune_tables`` for one table."""
+    return tune_tables([(train, features)], ids, label, inner, folds, settings)[0]
 
 
 def fold_tables(df: DataFrame, ids: Sequence[str], label: str, outer: int, inner: int, seed: int) -> DataFrame:
@@ -159,48 +200,64 @@ def fold_tables(df: DataFrame, ids: Sequence[str], label: str, outer: int, inner
     return assign_folds(df.filter(F.col(label).isNotNull()), ids, outer, seed)
 
 
-def nested_cv(
-    df: DataFrame, ids: Sequence[str], label: str, numeric: Sequence[str], categorical: Sequence[str], settings: Sequence[Mapping],
-    outer: int = 5, inner: int = 4, seed: int = 123, parallelism: int = 4,
-) -> tuple[DataFrame, DataFrame]:
-    """Out-of-fold predictions ``ids, fold, obs, pred`` and the chosen settings per fold."""
-    rows = cut_lineage(fold_tables(df, ids, label, outer, inner, seed))
-    spark = df.sparkSession
-    predictions, chosen = None, []
+def prepared_folds(
+    rows: DataFrame, ids: Sequence[str], keep: Sequence[str], label: str, numeric: Sequence[str], categorical: Sequence[str], outer: int, inner: int, seed: int
+) -> list[tuple[DataFrame, list[str], DataFrame]]:
+    """Per outer fold the training rows with inner folds, the feature names, and the rows left out, both prepared by training statistics only."""
+    out = []
     for f in range(1, outer + 1):
         train, test = rows.filter(F.col("fold") != f), rows.filter(F.col("fold") == f)
-        stats = fit_statistics(train, numeric, categorical)
+        stats = cut_lineage(fit_statistics(train, numeric, categorical))
         ready, names = apply_statistics(train, stats, numeric, categorical)
-        ready = cut_lineage(assign_folds(ready.select(*ids, label, *names), ids, inner, seed + f, out="inner"))
-        model, best, scores = tune_forest(ready, names, label, "inner", inner, settings, parallelism)
+        ready = cut_lineage(assign_folds(ready.select(*ids, *keep, label, *names), ids, inner, seed + f, out="inner"))
         held, _ = apply_statistics(test, stats, numeric, categorical)
+        out.append((ready, names, held.select(*ids, *keep, label, *names)))
+    return out
+
+
+def nested_cv(
+    df: DataFrame, ids: Sequence[str], label: str, numeric: Sequence[str], categorical: Sequence[str], settings: Sequence[Mapping] | Budget,
+    outer: int = 5, inner: int = 4, seed: int = 123,
+) -> tuple[DataFrame, DataFrame]:
+    """Out-of-fold predictions ``ids, fold, obs, pred`` and the chosen settings per fold; the folds are searched together."""
+    rows = cut_lineage(fold_tables(df, ids, label, outer, inner, seed))
+    folds = prepared_folds(rows, ids, [], label, numeric, categorical, outer, inner, seed)
+    predictions, chosen = None, []
+    tuned = tune_tables([(ready, names) for ready, names, _ in folds], ids, label, "inner", inner, settings)
+    for f, ((_, _, held), (model, best, _, scores)) in enumerate(zip(folds, tuned), 1):
         part = model.transform(held).select(*ids, F.lit(f).alias("fold"), F.col(label).cast("double").alias("obs"), F.col("prediction").alias("pred"))
         predictions = part if predictions is None else predictions.unionByName(part)
-        chosen.append((f, best["trees"], best["depth"], best["leaf"], best["subset"], float(min(scores))))
-    best_df = local_table(spark, chosen, "fold int, trees int, depth int, leaf int, subset string, inner_rmse double")
+        chosen.append((f, best["trees"], best["depth"], best["leaf"], best.get("split", 2), best["subset"], float(min(scores))))
+    best_df = local_table(df.sparkSession, chosen, "fold int, trees int, depth int, leaf int, split int, subset string, inner_rmse double")
     return predictions, best_df
 
 
 def final_model(
-    df: DataFrame, ids: Sequence[str], label: str, numeric: Sequence[str], categorical: Sequence[str], settings: Sequence[Mapping],
-    inner: int = 4, seed: int = 123, parallelism: int = 4,
-) -> tuple[PipelineModel, DataFrame, list[str], dict]:
+    df: DataFrame, ids: Sequence[str], label: str, numeric: Sequence[str], categorical: Sequence[str], settings: Sequence[Mapping] | Budget,
+    inner: int = 4, seed: int = 123,
+) -> tuple[Forest, DataFrame, list[str], dict]:
     """Model tuned and fitted on every row with a label, with its statistics and feature names."""
     rows = df.filter(F.col(label).isNotNull())
     stats = cut_lineage(fit_statistics(rows, numeric, categorical))
     ready, names = apply_statistics(rows, stats, numeric, categorical)
     ready = cut_lineage(assign_folds(ready.select(*ids, label, *names), ids, inner, seed, out="inner"))
-    model, best, _ = tune_forest(ready, names, label, "inner", inner, settings, parallelism)
+    model, best, *_ = tune_forest(ready, names, label, "inner", inner, settings, ids)
     return model, stats, names, best
 
 
-def bootstrap_models(train: DataFrame, ids: Sequence[str], features: Sequence[str], label: str, params: Mapping, n_models: int, seed: int) -> list[PipelineModel]:
-    """Forests refitted on Poisson(1) resamples; the weight is a hash of row and resample."""
+def bootstrap_models(train: DataFrame, ids: Sequence[str], features: Sequence[str], label: str, params: Mapping, n_models: int, seed: int) -> list[Forest]:
+    """Forests refitted on Poisson(1) resamples; the weight is a hash of row and resample. All of them are one job."""
+
+    def drawn(b: int):
+        return poisson_one(hash_uniform(F.lit(str(seed)), F.lit(b), *ids))
+
+    sample = held_sample(train, ids, features, label, weights=[drawn(b) for b in range(1, n_models + 1)])
+    if sample is not None:
+        return fit_many(train.sparkSession, [sample], [job_of(params, seed + b, weight=b - 1) for b in range(1, n_models + 1)])
     out = []
     for b in range(1, n_models + 1):
-        w = poisson_one(hash_uniform(F.lit(str(seed)), F.lit(b), *ids))
-        rows = train.withColumn("_w", w.cast("double")).filter(F.col("_w") > 0)
-        out.append(forest(features, label, params, "_w", seed + b).fit(rows))
+        rows = train.withColumn("_w", drawn(b).cast("double")).filter(F.col("_w") > 0)
+        out.append(fit_large(rows, features, label, params, seed + b, "_w"))
     return out
 
 
@@ -213,16 +270,11 @@ def ensemble_statistics(predictions: Sequence[str]) -> tuple:
     return mean, F.sqrt(ss / (n - 1.0))
 
 
-def ensemble_predict(df: DataFrame, models: Sequence[PipelineModel]) -> DataFrame:
+def ensemble_predict(df: DataFrame, models: Sequence[Forest]) -> DataFrame:
     """Mean and sd of all models per row, in one pass and without a shuffle."""
-    d = models[0].stages[0].transform(df)
-    names = []
-    for b, m in enumerate(models):
-        name = f"_p{b}"
-        d = m.stages[-1].copy().setPredictionCol(name).transform(d)
-        names.append(name)
+    names = [f"_p{b}" for b in range(len(models))]
     mean, sd = ensemble_statistics(names)
-    return d.withColumn("mean", mean).withColumn("sd", sd).drop("features", *names)
+    return with_predictions(df, dict(zip(names, models))).withColumn("mean", mean).withColumn("sd", sd).drop(*names)
 
 
 # ---------------------------------------------------------------- attribution
@@ -232,11 +284,11 @@ def mean_abs_attribution(phi: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return phi.groupBy(*by, "feature").agg(F.avg(F.abs("phi")).alias("mean_abs"), F.count(F.lit(1)).alias("n"))
 
 
-def importances(model: PipelineModel, features: Sequence[str]) -> DataFrame:
+def importances(model: Forest, features: Sequence[str]) -> DataFrame:
     """Impurity importance of each feature."""
     from pyspark.sql import SparkSession
 
-    v = model.stages[-1].featureImportances.toArray()
+    v = model.importances()
     return local_table(SparkSession.active(), [(f, float(x)) for f, x in zip(features, v)], "feature string, importance double")
 
 

@@ -323,6 +323,7 @@ class Fit:
     loglik: float
     converged: bool
     x: np.ndarray = field(repr=False)
+    theta: np.ndarray = field(default_factory=lambda: np.zeros(0), repr=False)
 
     @property
     def n_params(self) -> int:
@@ -351,10 +352,68 @@ def fit(sums: Sums, terms: Sequence[tuple], structure: str = "D", reml: bool = T
     dev, beta, xvx, s2 = _profile(sums, x, rel, reml)
     return Fit(
         sums, terms, structure, reml, column_names(sums.design, terms), beta, s2 * np.linalg.inv(xvx), s2,
-        s2 * rel @ rel.transpose(0, 2, 1), -dev / 2, ok, x,
+        s2 * rel @ rel.transpose(0, 2, 1), -dev / 2, ok, x, theta,
     )
 
 
+# ----------------------------------------------------------- degrees of freedom
+
+
+@dataclass
+class VarianceCurvature:
+    """Covariance of the variance parameters, and how the coefficients' covariance changes with each of them."""
+
+    cov: np.ndarray
+    slopes: np.ndarray  # parameter x coefficient x coefficient
+    inverse: np.ndarray
+
+    def degrees(self, rows: np.ndarray) -> np.ndarray:
+        """Satterthwaite degrees of freedom of each contrast: twice its squared variance over the variance of that variance."""
+        var = np.einsum("ij,jk,ik->i", rows, self.cov, rows)
+        change = np.einsum("ij,pjk,ik->ip", rows, self.slopes, rows)
+        spread = np.einsum("ip,pq,iq->i", change, self.inverse, change)
+        return np.where(spread > 0, 2 * var * var / np.where(spread > 0, spread, 1.0), np.inf)
+
+
+def curvature(f: Fit) -> VarianceCurvature:
+    """From the Hessian of the (restricted) deviance in the relative factors and the residual sd, on the collected sums alone."""
+    ns = len(f.sums.design.sites)
+    free = f.sums.n_obs - (len(f.beta) if f.reml else 0)
+
+    def parts(theta: np.ndarray) -> tuple[float, float, np.ndarray]:
+        dev, _beta, xvx, s2 = _profile(f.sums, f.x, relative_factor(f.structure, theta, ns), f.reml)
+        return dev - free * (math.log(2 * math.pi * s2) + 1), s2 * free, xvx
+
+    def deviance(p: np.ndarray) -> float:
+        fixed, rss, _ = parts(p[:-1])
+        return free * math.log(2 * math.pi * p[-1] ** 2) + fixed + rss / p[-1] ** 2
+
+    at = np.r_[f.theta, math.sqrt(f.sigma2)]
+    step = 1e-3 * np.maximum(np.abs(at), 1e-2)
+    q = len(at)
+    hessian = np.empty((q, q))
+    middle = deviance(at)
+    for i in range(q):
+        for j in range(i, q):
+            e, g = np.eye(q)[i] * step[i], np.eye(q)[j] * step[j]
+            if i == j:
+                # five points: the error falls with the fourth power of the step
+                far, near = deviance(at + 2 * e) + deviance(at - 2 * e), deviance(at + e) + deviance(at - e)
+                hessian[i, i] = (-far + 16 * near - 30 * middle) / (12 * step[i] ** 2)
+            else:
+                value = deviance(at + e + g) - deviance(at + e - g) - deviance(at - e + g) + deviance(at - e - g)
+                hessian[i, j] = hessian[j, i] = value / (4 * step[i] * step[j])
+    values, turn = np.linalg.eigh(hessian)
+    kept = values > 1e-8 * max(values.max(), 1e-300)  # directions on the boundary have no curvature
+    inverse = 2 * (turn[:, kept] / values[kept]) @ turn[:, kept].T
+    slopes = [2 * at[-1] * np.linalg.inv(parts(f.theta)[2])]
+    for i in range(q - 1):
+        e = np.eye(q - 1)[i] * step[i]
+        up, down = (at[-1] ** 2 * np.linalg.inv(parts(f.theta + d)[2]) for d in (e, -e))
+        slopes.insert(-1, (up - down) / (2 * step[i]))
+    return VarianceCurvature(f.cov, np.array(slopes), inverse)
+
+
 # ---------------------------------------------------------------------- tables
 
 

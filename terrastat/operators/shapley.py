@@ -13,11 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrastat.session import new_path
+from terrastat.operators.forests import Forest
 
 #: Rows times leaves held at once.
 CELLS = 400_000
@@ -50,38 +49,27 @@ class Leaves:
         return out
 
 
-def leaves(model: PipelineModel) -> list[Leaves]:
-    """The leaves of a fitted forest, as many numbers as the model has nodes. Splits must be thresholds."""
-    spark = SparkSession.active()
-    path = new_path(spark, "forest")
-    model.stages[-1].save(path)
-    node = spark.read.parquet(f"{path}/data").select(
-        "treeID", "nodeData.id", "nodeData.prediction", F.col("nodeData.impurityStats")[0].alias("weight"), "nodeData.leftChild", "nodeData.rightChild",
-        F.col("nodeData.split.featureIndex").alias("feature"), F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("cut"),
-        F.col("nodeData.split.numCategories").alias("categories"),
-    )
-    nodes = {(r.treeID, r.id): r for r in node.collect()}
-    trees = sorted({t for t, _ in nodes})
+def leaves(model: Forest) -> list[Leaves]:
+    """The leaves of a fitted forest, as many numbers as the model has nodes."""
+    cols = [getattr(model, c).tolist() for c in ("feature", "cut", "left", "right", "value", "weight")]
+    feature, cut, left, right, value, weight = cols
     found: dict[int, list] = {}
-    for t in trees:
-        todo = [(nodes[t, 0], {})]
+    for root in model.roots.tolist():
+        todo: list[tuple[int, dict]] = [(root, {})]
         while todo:
             n, path_of = todo.pop()
-            if n.leftChild < 0:
+            if feature[n] < 0:
                 places = sorted(path_of.items())
-                found.setdefault(len(places), []).append(([f for f, _ in places], *zip(*[p for _, p in places])) + (n.prediction,) if places else ([], (), (), (), n.prediction))
+                found.setdefault(len(places), []).append(([f for f, _ in places], *zip(*[p for _, p in places])) + (value[n],) if places else ([], (), (), (), value[n]))
                 continue
-            if n.categories >= 0:
-                raise ValueError("splits by category are not supported")
-            low, high, share = path_of.get(n.feature, (-math.inf, math.inf, 1.0))
-            for child, ends in ((n.leftChild, (low, min(high, n.cut))), (n.rightChild, (max(low, n.cut), high))):
-                below = nodes[t, child]
-                todo.append((below, {**path_of, n.feature: (*ends, share * below.weight / n.weight)}))
+            low, high, share = path_of.get(feature[n], (-math.inf, math.inf, 1.0))
+            for child, ends in ((left[n], (low, min(high, cut[n]))), (right[n], (max(low, cut[n]), high))):
+                todo.append((child, {**path_of, feature[n]: (*ends, share * weight[child] / weight[n])}))
     out = []
     for m, rows in sorted(found.items()):
         shape = (len(rows), m)
         f, lo, hi, z = (np.array([r[i] for r in rows], float).reshape(shape) for i in range(4))
-        out.append(Leaves(f.astype(int), lo, hi, z, np.array([r[4] for r in rows]) / len(trees)))
+        out.append(Leaves(f.astype(int), lo, hi, z, np.array([r[4] for r in rows]) / len(model.roots)))
     return out
 
 
@@ -133,7 +121,7 @@ def _matrix(batch: pa.RecordBatch, width: int) -> np.ndarray:
     return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def attribution(model: PipelineModel, rows: DataFrame, features: Sequence[str]) -> DataFrame:
+def attribution(model: Forest, rows: DataFrame, features: Sequence[str]) -> DataFrame:
     """Shapley values of the forest for every row: ``id, feature, value, phi``; they add up to the prediction minus ``expected``."""
     shared = rows.sparkSession.sparkContext.broadcast(leaves(model))
     k = len(features)
@@ -150,7 +138,7 @@ def attribution(model: PipelineModel, rows: DataFrame, features: Sequence[str])
     return told.select("id", F.inline(each))
 
 
-def interactions(model: PipelineModel, rows: DataFrame, features: Sequence[str], top: Sequence[str]) -> DataFrame:
+def interactions(model: Forest, rows: DataFrame, features: Sequence[str], top: Sequence[str]) -> DataFrame:
     """Mean absolute interaction value of each pair of ``top`` features over the rows: ``a, b, strength``."""
     shared = rows.sparkSession.sparkContext.broadcast(leaves(model))
     k = len(features)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrastat.config import GAP_SHARE_LIMIT
-from terrastat.functions.scalar import break_label, category_code, pixel_col, pixel_row, semivariance
+from terrastat.functions.scalar import break_label, category_code, semivariance
 from terrastat.operators.blocks import crowding, join_blocks, make_blocks, map_blocks
 from terrastat.operators.summary import exact_percentiles, join_groups
 from terrastat.session import broadcast_if_small
@@ -27,17 +27,6 @@ def tile_index(row: str | Column, column: str | Column, size: int, n_columns: in
     return (F.floor(r / size) * across + F.floor(c / size) + 1).cast("long")
 
 
-def bands_to_wide(pixels: DataFrame, bands: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """One row per pixel, one column per band."""
-    return pixels.groupBy(*keys).agg(*[F.max(F.when(F.col("band") == b, F.col("value"))).alias(b) for b in bands])
-
-
-def sample_at_points(points: DataFrame, pixels: DataFrame, transform: Sequence[float]) -> DataFrame:
-    """Value of the pixel under each point, NULL outside the raster (equi-join on row and column)."""
-    located = points.withColumn("row", pixel_row("y", transform)).withColumn("col", pixel_col("x", transform))
-    return located.join(pixels, ["row", "col"], "left")
-
-
 def anchored(wide: DataFrame, anchors: Sequence[str]) -> DataFrame:
     """Pixels where every anchor band has a value."""
     return wide.na.drop(subset=list(anchors))
@@ -229,9 +218,9 @@ def near_pair_sums(points: DataFrame, max_lag: float) -> DataFrame:
     ``points(id, x, y, v)``.
     """
     rows = _cells(points.select("id", "x", "y", "v"), max_lag)
-    crowd = crowding(rows, ["ix", "iy"])
-    blocks = make_blocks(rows, ["ix", "iy"], ["id", "x", "y", "v"], ["id"], crowd)
-    pairs = join_blocks(blocks, blocks, [], ["id", "x", "y", "v"], ["id", "x", "y", "v"], 1, crowd)
+    crowd = crowding(rows, ["ix", "iy"], max_lag)
+    blocks = make_blocks(rows, ["ix", "iy"], ["id", "x", "y", "v"], ["id"], crowd, max_lag)
+    pairs = join_blocks(blocks, blocks, [], ["id", "x", "y", "v"], ["id", "x", "y", "v"], 1, crowd, max_lag)
 
     def partial(row):
         x, y, v, i = (np.asarray(a) for a in (row.x, row.y, row.v, row.id))
@@ -270,9 +259,9 @@ def semivariogram(points: DataFrame, n_lags: Sequence[int], max_lag: float, by:
     fields = ["x", "y", "c", "s1", "s2"]
     keys = [*by, "ix", "iy"]
     placed = _cells(sites, max_lag)
-    crowd = crowding(placed, keys)
-    blocks = make_blocks(placed, keys, fields, ["x", "y"], crowd)
-    pairs = join_blocks(blocks, blocks, by, fields, fields, 1, crowd, half=True)
+    crowd = crowding(placed, keys, max_lag)
+    blocks = make_blocks(placed, keys, fields, ["x", "y"], crowd, max_lag)
+    pairs = join_blocks(blocks, blocks, by, fields, fields, 1, crowd, max_lag, half=True)
 
     def partial(row):
         x, y, c, s1, s2 = (np.asarray(getattr(row, f)) for f in fields)
@@ -332,72 +321,140 @@ def near_lag_weight(h: Column, lo: Column, hi: Column) -> Column:
     return F.coalesce(F.try_divide(F.lit(1.0), 1.0 + F.exp(-rate * (0.7 * (hi - lo) + lo - h))), F.lit(1.0))
 
 
+def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once, inside other higher-order functions too."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def shape_slope(model: Column, reach: Column, h: Column) -> Column:
+    """Change of a model of sill 1 with its range or exponent."""
+    u = h / reach
+    return (
+        F.when(model == "power", F.when(h > 0, F.pow(h, reach) * F.ln(F.when(h > 0, h).otherwise(1.0))).otherwise(0.0))
+        .when(model == "gaussian", -6.125 * u * u / reach * F.exp(-3.0625 * u * u))
+        .when(model == "exponential", -3.0 * u / reach * F.exp(-3.0 * u))
+        .when(model == "spherical", F.when(h <= reach, -1.5 * u * (1.0 - u * u) / reach).otherwise(0.0))
+        .otherwise(0.0)
+    )
+
+
+def _straight(model: Column, reach: Column, lags: Column) -> Column:
+    """Best ``sill, nugget`` (both >= 0) of one model at one range, with its weighted ``sse`` and half of minus its slope ``down``.
+
+    The model is a straight line in its shape. Sill and nugget being best, the error changes with the range only through the shape.
+    """
+    one = F.lit(1.0)
+
+    def lag(e: Column) -> Column:
+        return F.struct(e["w"].alias("w"), e["gamma"].alias("y"), semivariance(model, one, reach, F.lit(0.0), e["h"]).alias("g"), shape_slope(model, reach, e["h"]).alias("dg"))
+
+    def sums(rows: Column) -> Column:
+        names = ("sw", "sg", "sy", "sgg", "sgy")
+
+        def add(acc: Column, e: Column) -> Column:
+            terms = (e["w"], e["w"] * e["g"], e["w"] * e["y"], e["w"] * e["g"] * e["g"], e["w"] * e["g"] * e["y"])
+            return F.struct(*[(acc[n] + t).alias(n) for n, t in zip(names, terms)])
+
+        return F.aggregate(rows, F.struct(*[F.lit(0.0).alias(n) for n in names]), add)
+
+    def line(s: Column) -> Column:
+        det = s["sw"] * s["sgg"] - s["sg"] * s["sg"]
+        slope = F.coalesce(F.try_divide(s["sw"] * s["sgy"] - s["sg"] * s["sy"], det), F.lit(0.0))
+        through_zero = F.greatest(F.coalesce(F.try_divide(s["sgy"], s["sgg"]), F.lit(0.0)), F.lit(0.0))
+
+        def bounded(slope: Column) -> Column:
+            level = (s["sy"] - slope * s["sg"]) / s["sw"]
+            sill = F.when(slope < 0, 0.0).when(level < 0, through_zero).otherwise(slope)
+            nugget = F.when(slope < 0, s["sy"] / s["sw"]).when(level < 0, 0.0).otherwise(level)
+            return F.struct(sill.alias("sill"), nugget.alias("nugget"))
+
+        return _let(slope, bounded)
+
+    def judged(rows: Column) -> Column:
+        def errors(ab: Column) -> Column:
+            def add(acc: Column, e: Column) -> Column:
+                miss = e["y"] - ab["sill"] * e["g"] - ab["nugget"]
+                return F.struct((acc["sse"] + e["w"] * miss * miss).alias("sse"), (acc["down"] + e["w"] * miss * ab["sill"] * e["dg"]).alias("down"))
+
+            total = F.aggregate(rows, F.struct(F.lit(0.0).alias("sse"), F.lit(0.0).alias("down")), add)
+            return _let(total, lambda t: F.struct(ab["sill"].alias("sill"), ab["nugget"].alias("nugget"), t["sse"].alias("sse"), t["down"].alias("down")))
+
+        return _let(_let(sums(rows), line), errors)
+
+    return _let(F.transform(lags, lag), judged)
+
+
+HALVINGS = 60
+
+
 def fit_variogram(
     empirical: DataFrame, candidates: Sequence[tuple[str, float]], weighted: Sequence[bool], by: Sequence[str] = (),
     per_model: bool = False,
 ) -> DataFrame:
     """Best ``model, sill, reach, nugget`` by weighted least squares, sill and nugget >= 0.
 
-    With range or exponent fixed the model is a straight line in its shape, so
-    every candidate is five weighted sums; the best candidate wins.
+    With range or exponent fixed the model is a straight line in its shape. The best candidate of a family only brackets its range: between
+    the candidates beside it (and a hundredth of the smallest), halving on the sign of the error's slope finds the range to the last digits; a family
+    whose error falls up to its largest candidate takes that. All groups, families and weightings are rows of one job, the lags an array.
     """
     keys = [*by, "weighted"]
-    cand = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(float(r)).alias("reach")) for m, r in candidates])
+    grid: dict[str, list[float]] = {}
+    for m, r in candidates:
+        grid.setdefault(m, []).append(float(r))
+    families = F.array(*[F.struct(F.lit(m).alias("model"), F.array(*[F.lit(r) for r in sorted(rs)]).alias("tried")) for m, rs in grid.items()])
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    shape = semivariance(F.col("model"), F.lit(1.0), F.col("reach"), F.lit(0.0), F.col("h"))
     near = near_lag_weight(F.col("h"), F.col("_lo"), F.col("_hi"))
-    d = (
+    lags = (
         empirical.withColumn("_lo", F.min("h").over(w))
         .withColumn("_hi", F.max("h").over(w))
         .withColumn("weighted", F.explode(F.array(*[F.lit(b) for b in weighted])))
-        .withColumn("_w", F.when(F.col("weighted") & (F.col("_hi") > F.col("_lo")), near).otherwise(1.0))
-        .withColumn("_c", F.explode(cand))
-        .select(*keys, "h", "gamma", "_w", F.col("_c.model").alias("model"), F.col("_c.reach").alias("reach"))
-        .withColumn("_g", shape)
+        .withColumn("w", F.when(F.col("weighted") & (F.col("_hi") > F.col("_lo")), near).otherwise(1.0))
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(F.struct("h", "gamma", "w"))).alias("_lags"))
+        .withColumn("_syy", F.aggregate("_lags", F.lit(0.0), lambda acc, e: acc + e["w"] * e["gamma"] * e["gamma"]))
     )
-    g, y, wt = F.col("_g"), F.col("gamma"), F.col("_w")
-    s = d.groupBy(*keys, "model", "reach").agg(
-        F.sum(wt).alias("_sw"),
-        F.sum(wt * g).alias("_sg"),
-        F.sum(wt * y).alias("_sy"),
-        F.sum(wt * g * g).alias("_sgg"),
-        F.sum(wt * g * y).alias("_sgy"),
-        F.sum(wt * y * y).alias("_syy"),
-    )
-    det = F.col("_sw") * F.col("_sgg") - F.col("_sg") * F.col("_sg")
-    slope = F.coalesce(F.try_divide(F.col("_sw") * F.col("_sgy") - F.col("_sg") * F.col("_sy"), det), F.lit(0.0))
-    level = (F.col("_sy") - slope * F.col("_sg")) / F.col("_sw")
-    through_zero = F.greatest(F.coalesce(F.try_divide(F.col("_sgy"), F.col("_sgg")), F.lit(0.0)), F.lit(0.0))
-    sill = F.when(slope < 0, 0.0).when(level < 0, through_zero).otherwise(slope)
-    nugget = F.when(slope < 0, F.col("_sy") / F.col("_sw")).when(level < 0, 0.0).otherwise(level)
-    a, b = F.col("sill"), F.col("nugget")
-    sse = (
-        F.col("_syy")
-        - 2.0 * (a * F.col("_sgy") + b * F.col("_sy"))
-        + a * a * F.col("_sgg")
-        + 2.0 * a * b * F.col("_sg")
-        + b * b * F.col("_sw")
-    )
-    fitted = s.withColumn("sill", sill).withColumn("nugget", nugget).withColumn("sse", sse)
-    group = [*keys, "model"] if per_model else keys
-    misfit = F.round(F.coalesce(F.try_divide(F.col("sse"), F.col("_syy")), F.lit(0.0)), 10)
-    best = Window.partitionBy(*group).orderBy(misfit, "model", "reach")
-    return (
-        fitted.withColumn("_r", F.row_number().over(best))
-        .filter(F.col("_r") == 1)
-        .select(*keys, "model", "sill", "reach", "nugget", "sse")
+    model, row = F.col("model"), F.col("_lags")
+    misfit = lambda sse: F.round(F.coalesce(F.try_divide(sse, F.col("_syy")), F.lit(0.0)), 10)
+    tried = lags.withColumn("_f", F.explode(families)).select(*keys, "_lags", "_syy", "_f.*")
+    at = F.transform("tried", lambda r, i: F.struct(misfit(_straight(model, r, row)["sse"]).alias("miss"), i.alias("i")))
+    tried = tried.withColumn("_i", F.array_min(at)["i"] + 1)
+    start = F.element_at("tried", F.col("_i"))
+    below = F.when(F.col("_i") > 1, F.element_at("tried", F.greatest(F.col("_i") - 1, F.lit(1)))).otherwise(start / 100.0)
+    above = F.element_at("tried", F.least(F.col("_i") + 1, F.size("tried")))
+
+    def halve(s: Column, _: Column) -> Column:
+        def half(mid: Column) -> Column:
+            falls = _straight(model, mid, row)["down"] > 0  # the error still falls with the range
+            return F.struct(F.when(falls, mid).otherwise(s["lo"]).alias("lo"), F.when(falls, s["hi"]).otherwise(mid).alias("hi"))
+
+        return _let((s["lo"] + s["hi"]) / 2.0, half)
+
+    bracket = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), F.struct(below.alias("lo"), above.alias("hi")), halve)
+    tried = tried.withColumn("_start", start).withColumn("_found", _let(bracket, lambda s: (s["lo"] + s["hi"]) / 2.0))
+    both = F.transform(
+        F.array("_start", "_found"),
+        lambda r: _let(_straight(model, r, row), lambda b: F.struct(misfit(b["sse"]).alias("miss"), (r != F.col("_found")).alias("coarse"), r.alias("reach"), b.alias("fit"))),
     )
+    flat = (F.col("_best.fit.sill") == 0) | (model == "linear")  # then every range fits the same: the candidate stays
+    fitted = tried.withColumn("_best", F.array_min(both)).select(
+        *keys, "model", F.col("_best.fit.sill").alias("sill"), F.when(flat, F.col("_start")).otherwise(F.col("_best.reach")).alias("reach"),
+        F.col("_best.fit.nugget").alias("nugget"), F.col("_best.fit.sse").alias("sse"), F.col("_best.miss").alias("_miss"),
+    )
+    if per_model:
+        return fitted.drop("_miss")
+    best = Window.partitionBy(*keys).orderBy("_miss", "model", "reach")
+    return fitted.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") == 1).drop("_r", "_miss")
 
 
 # ------------------------------------------------------------ point density
 
 
-def point_density(points: DataFrame, by: Sequence[str] = (), tail: float = 9.0) -> DataFrame:
+def point_density(points: DataFrame, by: Sequence[str] = (), error: float = 1e-9) -> DataFrame:
     """Gaussian kernel density at every point, scaled to [0, 1] per group: ``by, id, density``.
 
     ``points(by, id, x, y)``. Bandwidth is the covariance times ``n^(-1/3)``.
-    In whitened units the kernel is below double precision beyond ``tail``
-    bandwidths, so points meet only blocks of neighbouring cells.
+    Every point's kernel sum is at least its own 1, and what lies beyond ``sqrt(2 log(n / error))`` bandwidths adds less than
+    ``error`` to it for all ``n`` points together, so points meet only blocks within that reach.
     """
     by = list(by)
     types = {f.name: f.dataType.simpleString() for f in points.schema.fields}
@@ -419,10 +476,12 @@ def point_density(points: DataFrame, by: Sequence[str] = (), tail: float = 9.0)
     v = ((F.col("y") - F.col("_my")) - l21 * u) / l22
     white = d.select(*by, "id", (u / band).alias("x"), (v / band).alias("y"))
     sites = white.groupBy(*by, "x", "y").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    placed, keys = _cells(sites, tail), [*by, "ix", "iy"]
-    crowd = crowding(placed, keys)
-    cells = make_blocks(placed, keys, ["x", "y", "c"], ["x", "y"], crowd)
-    pairs = join_blocks(cells, cells, by, ["x", "y"], ["x", "y", "c"], 1, crowd)
+    largest = m.agg(F.max("_n")).first()[0] or 1.0
+    reach = math.sqrt(2.0 * math.log(max(largest, 2.0) / error))
+    placed, keys = _cells(sites, reach), [*by, "ix", "iy"]
+    crowd = crowding(placed, keys, reach)
+    cells = make_blocks(placed, keys, ["x", "y", "c"], ["x", "y"], crowd, reach)
+    pairs = join_blocks(cells, cells, by, ["x", "y"], ["x", "y", "c"], 1, crowd, reach)
 
     def partial(row):
         x, y = np.asarray(row.x), np.asarray(row.y)

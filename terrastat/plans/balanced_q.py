@@ -121,31 +121,48 @@ _SPEC = [("Depth", (), "depth", "M")]
 
 
 def _tests(t):
-    f = model(t, DEPTH)
-    return {"M": f}, float(f.sums.n_plots - 1)
+    return {"M": model(t, DEPTH)}, ct.SATTERTHWAITE
 
 
-@query("mix_09_balanced_means", f"SELECT x_level, {r('emm', 6)} AS emm, {r('sqrt((tau2 + s2) / m)', 5)} AS se FROM (SELECT CAST(depth AS VARCHAR) AS x_level, avg(y) AS emm FROM {_ROWS} GROUP BY 1), {_BY_DEPTH}")
+# a mean's variance is a sum of two independent mean squares, a difference's is one of them
+_LAMBDA = f"(s2 + {K} * tau2)"
+_MEAN_DF = f"(m - 1) * power({_LAMBDA} + {K - 1} * s2, 2) / (power({_LAMBDA}, 2) + {K - 1} * s2 * s2)"
+
+
+@query("mix_09_balanced_means", f"SELECT x_level, {r('emm', 6)} AS emm, {r('sqrt((tau2 + s2) / m)', 5)} AS se, {r(_MEAN_DF, 1)} AS df FROM (SELECT CAST(depth AS VARCHAR) AS x_level, avg(y) AS emm FROM {_ROWS} GROUP BY 1), {_BY_DEPTH}")
 def _(t):
     fits, df2 = _tests(t)
-    d = ct.marginal_means(t.spark, PLAIN, fits, _SPEC, df2).select("x_level", "emm", "se")
-    return rnd(rnd(d, 6, "emm"), 5, "se")
+    d = ct.marginal_means(t.spark, PLAIN, fits, _SPEC, df2).select("x_level", "emm", "se", "df")
+    return rnd(rnd(rnd(d, 6, "emm"), 5, "se"), 1, "df")
 
 
 _LEVELS = f"(SELECT depth, avg(y) AS v FROM {_ROWS} GROUP BY 1)"
 
 
-@query("mix_10_balanced_contrasts", f"SELECT CAST(a.depth AS VARCHAR) AS a, CAST(b.depth AS VARCHAR) AS b, {r('a.v - b.v', 6)} AS estimate, {r('sqrt(2 * s2 / m)', 5)} AS se FROM {_LEVELS} a JOIN {_LEVELS} b ON a.depth < b.depth, {_BY_DEPTH}")
+@query("mix_10_balanced_contrasts", f"SELECT CAST(a.depth AS VARCHAR) AS a, CAST(b.depth AS VARCHAR) AS b, {r('a.v - b.v', 6)} AS estimate, {r('sqrt(2 * s2 / m)', 5)} AS se, (m - 1) * {K - 1} AS df FROM {_LEVELS} a JOIN {_LEVELS} b ON a.depth < b.depth, {_BY_DEPTH}")
 def _(t):
     fits, df2 = _tests(t)
-    d = ct.pairwise(t.spark, PLAIN, fits, _SPEC, df2).select("a", "b", "estimate", "se")
-    return rnd(rnd(d, 6, "estimate"), 5, "se")
+    d = ct.pairwise(t.spark, PLAIN, fits, _SPEC, df2).select("a", "b", "estimate", "se", "df")
+    return rnd(rnd(rnd(d, 6, "estimate"), 5, "se"), 1, "df")
 
 
-@query("mix_11_balanced_joint_test", f"SELECT {r(f'ssd / {K - 1} / s2', 4)} AS F, {K - 1}e0 AS df1, m - 1 AS df2 FROM {_BY_DEPTH}")
+@query("mix_11_balanced_joint_test", f"SELECT {r(f'ssd / {K - 1} / s2', 4)} AS F, {K - 1}e0 AS df1, (m - 1) * {K - 1} AS df2 FROM {_BY_DEPTH}")
 def _(t):
     fits, df2 = _tests(t)
-    return rnd(ct.joint_tests(t.spark, PLAIN, fits, _SPEC, df2).select("F", "df1", "df2"), 4, "F")
+    return rnd(rnd(ct.joint_tests(t.spark, PLAIN, fits, _SPEC, df2).select("F", "df1", "df2"), 4, "F"), 1, "df2")
+
+
+# an even numerator gives the tail of F as a short sum
+_TAIL = "power(x, a) * (1 + a * (1 - x) + a * (a + 1) / 2 * power(1 - x, 2))"
+
+
+@query(
+    "mix_06_balanced_term_test",
+    f"SELECT 'depth' AS term, {r('f', 4)} AS F, {K - 1}e0 AS df1, d AS df2, {r(_TAIL, 7)} AS p FROM (SELECT f, d, d / (d + {K - 1} * f) AS x, d / 2 AS a FROM (SELECT ssd / {K - 1} / s2 AS f, (m - 1) * {K - 1} AS d FROM {_BY_DEPTH}))",
+)
+def _(t):
+    d = ct.term_tests(t.spark, model(t, DEPTH))
+    return rnd(rnd(rnd(d, 4, "F"), 1, "df2"), 7, "p")
 
 
 @query("mix_16_balanced_effects", f"SELECT plot, {r('(p - g) / stddev_samp(p) OVER ()', 6)} AS scaled FROM (SELECT plot, any_value(p) AS p, any_value(g) AS g FROM {_PARTS} GROUP BY 1)")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terrastat.operators import index, learn, screen, shapley
 from terrastat.operators.ranks import assign_folds, spearman
+from terrastat.operators.search import FOREST_SPACE
 from terrastat.operators.summary import cv_summary, metrics
 from terrastat.plans.data import BLOCK, BLOCK_COLUMNS, FEATURES, GAPPY, TRIPLE, block, gappy, survey, triple
 from terrastat.plans.prep_q import PAIRS_SQL
@@ -184,8 +185,8 @@ def _(t):
 
 # -------------------------------------------------------------------- forests
 
-SMALL = {"trees": 8, "depth": 5, "leaf": 2, "subset": "all"}  # small forest so that a run stays short
-SETTINGS = learn.random_settings(2, 42, trees=(4, 8), depth=(3, 5))
+FOREST = {"trees": 100, "depth": 12, "leaf": 2, "split": 4, "subset": "all"}
+BUDGET = learn.Budget(50, 42, 10, {**FOREST_SPACE, "trees": (20, 60)})
 
 
 def prepared(t):
@@ -197,7 +198,7 @@ def prepared(t):
 @query("ml_15_forest")
 def _(t):
     d, names = prepared(t)
-    model = learn.forest(names, "target", SMALL).fit(d)
+    model = learn.forest(names, "target", FOREST).fit(d)
     return model.transform(d).select("id", F.col("target").alias("obs"), F.col("prediction").alias("pred"))
 
 
@@ -205,26 +206,26 @@ def _(t):
 def _(t):
     d, names = prepared(t)
     folds = cut_lineage(assign_folds(d, ["id"], 4, 1, out="inner"))
-    _model, _best, scores = learn.tune_forest(folds, names, "target", "inner", 4, SETTINGS)
-    rows = [(i, s["trees"], s["depth"], s["leaf"], s["subset"], v) for i, (s, v) in enumerate(zip(SETTINGS, scores))]
-    return local_table(t.spark, rows, "trial int, trees int, depth int, leaf int, subset string, rmse double")
+    _model, _best, tried, scores = learn.tune_forest(folds, names, "target", "inner", 4, BUDGET)
+    rows = [(i, s["trees"], s["depth"], s["split"], s["leaf"], s["subset"], v) for i, (s, v) in enumerate(zip(tried, scores))]
+    return local_table(t.spark, rows, "trial int, trees int, depth int, split int, leaf int, subset string, rmse double")
 
 
 @query("ml_17_nested_cv")
 def _(t):
-    pred, _best = learn.nested_cv(survey(t), ["id"], "target", FEATURES, ["soil"], SETTINGS, outer=5, inner=4)
+    pred, _best = learn.nested_cv(survey(t), ["id"], "target", FEATURES, ["soil"], BUDGET, outer=5, inner=4)
     return pred
 
 
 @query("ml_17_nested_cv_summary")
 def _(t):
-    pred, _best = learn.nested_cv(survey(t), ["id"], "target", FEATURES, ["soil"], SETTINGS, outer=5, inner=4)
+    pred, _best = learn.nested_cv(survey(t), ["id"], "target", FEATURES, ["soil"], BUDGET, outer=5, inner=4)
     m = metrics(pred.withColumn("response", F.lit("target")), ["response", "fold"])
     return cv_summary(m, ["response"], ["r2", "rmse", "mae", "rpiq", "ccc"])
 
 
 def _final(t):
-    return learn.final_model(survey(t), ["id"], "target", FEATURES, ["soil"], SETTINGS, inner=4)
+    return learn.final_model(survey(t), ["id"], "target", FEATURES, ["soil"], BUDGET, inner=4)
 
 
 @query("ml_18_final_model")
@@ -246,7 +247,7 @@ def _(t):
 @query("ml_19_bootstrap_ensemble")
 def _(t):
     d, names = prepared(t)
-    models = learn.bootstrap_models(d, ["id"], names, "target", {**SMALL, "trees": 3}, 30, 11)
+    models = learn.bootstrap_models(d, ["id"], names, "target", FOREST, 30, 11)
     return learn.ensemble_predict(d, models).select("id", "mean", "sd")
 
 
@@ -305,8 +306,8 @@ def _(t):
 )
 def _(t):
     folds = cut_lineage(assign_folds(stumps(t), ["id"], 4, 1, out="inner"))
-    _model, _best, scores = learn.tune_forest(folds, ["x"], "target", "inner", 4, STUMPS)
-    return rnd(local_table(t.spark, [(s["depth"], v) for s, v in zip(STUMPS, scores)], "depth int, rmse double"), 8, "rmse")
+    _model, _best, tried, scores = learn.tune_forest(folds, ["x"], "target", "inner", 4, STUMPS)
+    return rnd(local_table(t.spark, [(s["depth"], v) for s, v in zip(tried, scores)], "depth int, rmse double"), 8, "rmse")
 
 
 _OUTER = f"(SELECT *, CAST(ntile(5) OVER (ORDER BY md5('123:' || id), id) AS INTEGER) AS fold FROM {_ST})"
@@ -384,7 +385,7 @@ def _(t):
 
 def _phi(t):
     d, names = prepared(t)
-    model = learn.forest(names, "target", SMALL).fit(d)
+    model = learn.forest(names, "target", FOREST).fit(d)
     return model, d, names, shapley.attribution(model, d, names)
 
 
@@ -401,7 +402,7 @@ def _(t):
 @query("ml_21_interactions")
 def _(t):
     d, names = prepared(t)
-    model = learn.forest(names, "target", SMALL).fit(d)
+    model = learn.forest(names, "target", FOREST).fit(d)
     return shapley.interactions(model, d, names, FEATURES)
 
 

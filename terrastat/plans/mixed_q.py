@@ -212,6 +212,16 @@ def _(t):
     return ct.pairwise(t.spark, DESIGN, {"M3": mx.fit(got, mx.FIXED["M3"], "D")}, ct.effect_sets(), df2(got))
 
 
+@query("mix_10_satterthwaite_contrasts")
+def _(t):
+    return ct.pairwise(t.spark, DESIGN, {"M3": mx.fit(sums(t), mx.FIXED["M3"], "D")}, ct.effect_sets(), ct.SATTERTHWAITE)
+
+
+@query("mix_06_interaction_f")
+def _(t):
+    return ct.term_tests(t.spark, mx.fit(sums(t), mx.FIXED["M3"], "D"))
+
+
 # independent means: the joint test is their weighted spread; four numerator df have a closed tail
 @query(
     "mix_11_joint_test_cells",
@@ -231,6 +241,12 @@ def _(t):
     return ct.joint_tests(t.spark, DESIGN, {"M3": mx.fit(got, mx.FIXED["M3"], "D")}, specs, df2(got))
 
 
+@query("mix_11_satterthwaite_tests")
+def _(t):
+    specs = [("Land cover within site", ("site",), "lc", "M3"), ("Depth within site", ("site",), "depth", "M3")]
+    return ct.joint_tests(t.spark, DESIGN, {"M3": mx.fit(sums(t), mx.FIXED["M3"], "D")}, specs, ct.SATTERTHWAITE)
+
+
 @query("mix_12_pairwise_families")
 def _(t):
     got = sums(t)
@@ -272,6 +288,60 @@ def _(t):
     return ct.cover_against_reference(t.spark, DESIGN, mx.fit(got, mx.FIXED["M5"], "D"), df2(got))[0]
 
 
+def _t_p(t: str, nu: str) -> str:
+    """Two-sided tail of Student t as the finite sum it is for whole degrees of freedom."""
+    c2 = f"(ln({nu}) - ln({nu} + power({t}, 2)))"
+    sine = f"abs({t}) / sqrt({nu} + power({t}, 2))"
+    even = f"{sine} * list_sum([exp(lgamma(k + 0.5e0) - lgamma(k + 1) + k * {c2}) FOR k IN range(0, CAST({nu} / 2 AS BIGINT))]) / sqrt(pi())"
+    odd = f"2 / pi() * (atan(abs({t}) / sqrt({nu})) + {sine} * exp({c2} / 2) * sqrt(pi()) / 2 * list_sum([exp(lgamma(k + 1) - lgamma(k + 1.5e0) + k * {c2}) FOR k IN range(0, CAST(({nu} - 1) / 2 AS BIGINT))]))"
+    return f"greatest(0, 1 - CASE WHEN CAST({nu} AS BIGINT) % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+def _holm_sql(p: str, family: str, tie: str) -> str:
+    """Step-down p inside a family, from a column that holds p."""
+    return f"least(1, max(step) OVER (PARTITION BY {family} ORDER BY {p}, {tie} ROWS UNBOUNDED PRECEDING))"
+
+
+def _holm_column(source: str, name: str, family: str, tie: str) -> str:
+    steps = f"(SELECT *, (count(*) OVER (PARTITION BY {family}) - row_number() OVER (PARTITION BY {family} ORDER BY p, {tie}) + 1) * p AS step FROM {source})"
+    return f"(SELECT * EXCLUDE (step), {_holm_sql('p', family, tie)} AS {name} FROM {steps})"
+
+
+_TRIPLES = f"(SELECT *, {_t_p('(estimate / se)', 'nu')} AS p FROM (SELECT a.site, CAST(a.depth AS VARCHAR) AS depth, a.lc || ' - ' || b.lc AS contrast, a.m - b.m AS estimate, sqrt(s2 / a.n + s2 / b.n) AS se, CAST(nplots - {BETWEEN} AS DOUBLE) AS nu FROM {_CELL} a JOIN {_CELL} b ON a.site = b.site AND a.depth = b.depth AND a.lc < b.lc, {_S2}, {_PLOTS}))"
+_TRIPLES = _holm_column(_TRIPLES, "p_holm_cell", "site, depth", "contrast")
+_TRIPLES = _holm_column(_TRIPLES, "p_holm_site", "site", "depth, contrast")
+_TRIPLES = _holm_column(_TRIPLES, "p_holm_all", "1", "site, depth, contrast")
+_HOLMS = ["p", "p_holm_cell", "p_holm_site", "p_holm_all"]
+
+
+@query("mix_15_cover_pairs_cells", f"SELECT site, depth, contrast, {r('estimate', 6)} AS estimate, {', '.join(f'{r(c, 7)} AS {c}' for c in _HOLMS)} FROM {_TRIPLES}")
+def _(t):
+    got, f = plain(t)
+    d = ct.triple_pairs(t.spark, DESIGN, f, df2(got)).select("site", "depth", "contrast", "estimate", *_HOLMS)
+    return rnd(rnd(d, 6, "estimate"), 7, *_HOLMS)
+
+
+# three levels ordered by their means: who differs from whom leaves one way to share letters
+_SITES = " UNION ALL ".join(f"SELECT * FROM {m}" for m in (_means("'All'", "Site", "site", "lc, depth"), _means("lc", "Site within land cover", "site", "depth"), _means("CAST(depth AS VARCHAR)", "Site within depth", "site", "lc")))
+_SITE_PAIRS = f"(SELECT *, {_t_p('(estimate / se)', 'nu')} AS p FROM (SELECT a.spec, a.panel, a.x_level AS a, b.x_level AS b, a.emm - b.emm AS estimate, sqrt((a.v + b.v) * s2) AS se, CAST(nplots - {BETWEEN} AS DOUBLE) AS nu FROM ({_SITES}) a JOIN ({_SITES}) b ON a.spec = b.spec AND a.panel = b.panel AND a.x_level < b.x_level, {_S2}, {_PLOTS}))"
+_SITE_PAIRS = _holm_column(_SITE_PAIRS, "p_holm", "spec, panel", "a || ' - ' || b")
+
+
+@query(
+    "mix_13_site_letters_cells",
+    f"""WITH m AS MATERIALIZED (SELECT spec, panel, x_level, row_number() OVER (PARTITION BY spec, panel ORDER BY emm DESC) AS k FROM ({_SITES})), q AS MATERIALIZED (SELECT spec, panel, a, b, p_holm < 0.05 AS differ FROM {_SITE_PAIRS}),
+d AS (SELECT q.spec, q.panel, bool_or(differ) FILTER (x.k + y.k = 3) AS d12, bool_or(differ) FILTER (x.k + y.k = 4) AS d13, bool_or(differ) FILTER (x.k + y.k = 5) AS d23 FROM q
+JOIN m x ON x.spec = q.spec AND x.panel = q.panel AND x.x_level = q.a JOIN m y ON y.spec = q.spec AND y.panel = q.panel AND y.x_level = q.b GROUP BY 1, 2)
+SELECT m.spec, m.panel, m.x_level, CASE k WHEN 1 THEN CASE WHEN d23 AND NOT d12 AND NOT d13 THEN 'ab' ELSE 'a' END
+WHEN 2 THEN CASE WHEN NOT d12 AND d13 AND NOT d23 THEN 'ab' WHEN NOT d12 THEN 'a' ELSE 'b' END
+ELSE CASE WHEN d12 AND NOT d13 AND NOT d23 THEN 'ab' WHEN d12 AND d13 AND d23 THEN 'c' WHEN NOT d13 AND (d12 OR NOT d23) THEN 'a' ELSE 'b' END END AS letter FROM m JOIN d ON d.spec = m.spec AND d.panel = m.panel""",
+)
+def _(t):
+    got, f = plain(t)
+    specs = [x for x in ct.pairwise_families("M5", "M5") if x[2] == "site"]
+    return ct.letters(ct.marginal_means(t.spark, DESIGN, {"M5": f}, specs, df2(got)), ct.pairwise(t.spark, DESIGN, {"M5": f}, specs, df2(got)))
+
+
 @query("mix_14_cell_means")
 def _(t):
     got = sums(t)

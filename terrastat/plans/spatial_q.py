@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrastat.operators import kriging, rk, spatial
-from terrastat.operators.learn import apply_statistics, random_settings
+from terrastat.operators.learn import Budget, apply_statistics
 from terrastat.operators.ranks import assign_folds
+from terrastat.operators.search import FOREST_SPACE
 from terrastat.operators.summary import metrics
 from terrastat.functions.scalar import nodata_to_null
-from terrastat.plans.data import EDGES, FEATURES, INSIDE, LOCATED, NODATA, POINTS, RASTER, STRIP, TILE, TILE_OF, WIDTH, located, points, raster, region_edges, survey
+from terrastat.plans.data import EDGES, FEATURES, INSIDE, LOCATED, NODATA, POINTS, RASTER, STRIP, TILE, TILE_OF, WIDTH, covariate_pixels, located, points, raster, region_edges, survey
 from terrastat.plans.registry import query, r, rnd
 from terrastat.plans.windows_q import FILLED
 from terrastat.session import local_table
 
 MAX_LAG = 0.3
 LAG_COUNTS = list(range(6, 21))
-SETTINGS = random_settings(2, 42, trees=(4, 8), depth=(3, 5))  # small search so that a run stays short
+BUDGET = Budget(50, 42, 10, {**FOREST_SPACE, "trees": (20, 60)})
 
 
 @query("spa_01_tile_index", f"SELECT row, col, {TILE_OF} AS tile FROM {RASTER}")
@@ -52,25 +53,52 @@ def _(t):
     return rnd(d.select("lag", "n", "h", "gamma"), 9, "h", "gamma")
 
 
-_CANDIDATES = spatial.variogram_candidates(MAX_LAG, 20)
-_CAND = ", ".join(f"('{m}', {c!r}::DOUBLE)" for m, c in _CANDIDATES)
+_CANDIDATES = spatial.variogram_candidates(MAX_LAG)
 _SHAPE = """CASE model WHEN 'linear' THEN h WHEN 'power' THEN power(h, reach) WHEN 'gaussian' THEN 1 - exp(-power(1.75e0 * h / reach, 2))
 WHEN 'exponential' THEN 1 - exp(-3 * h / reach) ELSE CASE WHEN h <= reach THEN 1.5e0 * h / reach - 0.5e0 * power(h / reach, 3) ELSE 1e0 END END"""
+_SLOPE = """CASE model WHEN 'linear' THEN 0e0 WHEN 'power' THEN power(h, reach) * ln(h) WHEN 'gaussian' THEN -6.125e0 * h * h / power(reach, 3) * exp(-power(1.75e0 * h / reach, 2))
+WHEN 'exponential' THEN -3 * h / (reach * reach) * exp(-3 * h / reach) ELSE CASE WHEN h <= reach THEN 1.5e0 * (h * h * h / power(reach, 4) - h / (reach * reach)) ELSE 0e0 END END"""
+
+
+def _over(term: str) -> str:
+    return f"list_sum([{term} FOR i IN range(1, len(hs) + 1)])"
+
+
+def _straight(source: str) -> str:
+    """Sill and nugget of each row's model at its range, the error, and half of minus its slope."""
+    return f"""(SELECT *, {_over('ws[i] * power(ys[i] - sill * gs[i] - nugget, 2)')} AS sse, {_over('ws[i] * (ys[i] - sill * gs[i] - nugget) * sill * ds[i]')} AS down FROM
+(SELECT *, CASE WHEN slope < 0 THEN 0e0 WHEN level < 0 THEN greatest(sgy / sgg, 0) ELSE slope END AS sill, CASE WHEN slope < 0 THEN sy / sw WHEN level < 0 THEN 0e0 ELSE level END AS nugget FROM
+(SELECT *, (sy - slope * sg) / sw AS level FROM (SELECT *, coalesce((sw * sgy - sg * sy) / nullif(sw * sgg - sg * sg, 0), 0) AS slope FROM
+(SELECT *, list_sum(ws) AS sw, {_over('ws[i] * gs[i]')} AS sg, {_over('ws[i] * ys[i]')} AS sy, {_over('ws[i] * gs[i] * gs[i]')} AS sgg, {_over('ws[i] * gs[i] * ys[i]')} AS sgy FROM
+(SELECT *, [{_SHAPE} FOR h IN hs] AS gs, [{_SLOPE} FOR h IN hs] AS ds FROM ({source})))))))"""
+
+
+def _fits(lags: str, families: tuple[str, ...], weights: str = "(true), (false)", keys: str = "") -> str:
+    """Least-squares variograms by halving the bracket around the best candidate: one row per family and weighting.
+
+    ``lags`` has ``h, gamma`` and the columns ``keys`` (each followed by a comma).
+    """
+    cand = ", ".join(f"('{m}', {c!r}::DOUBLE, {i})" for f in families for i, (m, c) in enumerate(sorted(x for x in _CANDIDATES if x[0] == f), 1))
+    over = f"PARTITION BY {keys[:-2]}" if keys else ""
+    return f"""(WITH RECURSIVE l AS (SELECT {keys}weighted, list(h ORDER BY h) AS hs, list(gamma ORDER BY h) AS ys, list(w ORDER BY h) AS ws, sum(w * gamma * gamma) AS syy FROM
+(SELECT *, CASE WHEN weighted AND hi > lo THEN 1 / (1 + exp(-2.1972e0 / (0.1e0 * (hi - lo)) * (0.7e0 * (hi - lo) + lo - h))) ELSE 1e0 END AS w FROM
+(SELECT *, min(h) OVER ({over}) AS lo, max(h) OVER ({over}) AS hi FROM {lags}), (VALUES {weights}) AS b(weighted)) GROUP BY ALL),
+g AS (SELECT *, lag(reach) OVER (PARTITION BY {keys}weighted, model ORDER BY i) AS prev, lead(reach) OVER (PARTITION BY {keys}weighted, model ORDER BY i) AS next,
+row_number() OVER (PARTITION BY {keys}weighted, model ORDER BY round(sse / syy, 10), i) AS k FROM {_straight(f"SELECT l.*, c.* FROM l, (VALUES {cand}) AS c(model, reach, i)")}),
+b AS (SELECT {keys}weighted, model, hs, ys, ws, syy, reach AS first, coalesce(prev, reach / 100) AS lo, coalesce(next, reach) AS hi, 0 AS n FROM g WHERE k = 1
+UNION ALL SELECT {keys}weighted, model, hs, ys, ws, syy, first, CASE WHEN down > 0 THEN reach ELSE lo END, CASE WHEN down > 0 THEN hi ELSE reach END, n + 1 FROM {_straight("SELECT *, (lo + hi) / 2 AS reach FROM b WHERE n < 60")}),
+z AS (SELECT *, row_number() OVER (PARTITION BY {keys}weighted, model ORDER BY round(sse / syy, 10), coarse) AS k FROM {_straight("SELECT *, (lo + hi) / 2 AS reach, false AS coarse FROM b WHERE n = 60 UNION ALL SELECT *, first AS reach, true AS coarse FROM b WHERE n = 60")})
+SELECT {keys}weighted, model, sill, CASE WHEN sill = 0 OR model = 'linear' THEN first ELSE reach END AS reach, nugget, sse FROM z WHERE k = 1)"""
 
 
 @query(
     "spa_04_variogram_fit",
-    f"""SELECT weighted, model, {r('sill', 8)} AS sill, {r('reach', 6)} AS reach, {r('nugget', 8)} AS nugget FROM (SELECT *, row_number() OVER (PARTITION BY weighted, model ORDER BY round((syy - 2 * (sill * sgy + nugget * sy) + sill * sill * sgg + 2 * sill * nugget * sg + nugget * nugget * sw) / syy, 10), reach) AS k FROM
-(SELECT *, CASE WHEN slope < 0 THEN 0e0 WHEN level < 0 THEN greatest(sgy / sgg, 0) ELSE slope END AS sill, CASE WHEN slope < 0 THEN sy / sw WHEN level < 0 THEN 0e0 ELSE level END AS nugget FROM
-(SELECT *, (sy - slope * sg) / sw AS level FROM (SELECT *, (sw * sgy - sg * sy) / (sw * sgg - sg * sg) AS slope FROM
-(SELECT weighted, model, reach, sum(w) AS sw, sum(w * g) AS sg, sum(w * gamma) AS sy, sum(w * g * g) AS sgg, sum(w * g * gamma) AS sgy, sum(w * gamma * gamma) AS syy FROM
-(SELECT *, {_SHAPE} AS g, CASE WHEN weighted THEN 1 / (1 + exp(-2.1972e0 / (0.1e0 * (hi - lo)) * (0.7e0 * (hi - lo) + lo - h))) ELSE 1e0 END AS w FROM
-(SELECT *, min(h) OVER () AS lo, max(h) OVER () AS hi FROM {_lags(12)}), (VALUES (true), (false)) AS b(weighted), (VALUES {_CAND}) AS c(model, reach)) GROUP BY 1, 2, 3))))) WHERE k = 1""",
+    f"SELECT weighted, model, {r('sill', 8)} AS sill, {r('reach', 8)} AS reach, {r('nugget', 8)} AS nugget FROM {_fits(_lags(12), spatial.VARIOGRAM_MODELS)}",
 )
 def _(t):
     emp = spatial.semivariogram(points(t).select("x", "y", "v"), [12], MAX_LAG)
     d = spatial.fit_variogram(emp, _CANDIDATES, [True, False], per_model=True)
-    return rnd(rnd(d.drop("sse"), 8, "sill", "nugget"), 6, "reach")
+    return rnd(d.drop("sse"), 8, "sill", "nugget", "reach")
 
 
 def fitted(t):
@@ -126,7 +154,7 @@ def _(t):
 
 
 def _nested(t):
-    return rk.nested_cv_rk(survey(t), "target", FEATURES, ["soil"], SETTINGS, MAX_LAG, n_lags=LAG_COUNTS, weighted=[True, False], k=32, outer=5, inner=4, steps=20)
+    return rk.nested_cv_rk(survey(t), "target", FEATURES, ["soil"], BUDGET, MAX_LAG, n_lags=LAG_COUNTS, weighted=[True, False], k=32, outer=5, inner=4)
 
 
 @query("spa_09_rk_nested_cv")
@@ -138,18 +166,15 @@ def _(t):
 
 @query("spa_10_rk_final_model")
 def _(t):
-    fit = rk.final_rk(survey(t), "target", FEATURES, ["soil"], SETTINGS, MAX_LAG, LAG_COUNTS, [True, False], k=32, inner=4, steps=20)
+    fit = rk.final_rk(survey(t), "target", FEATURES, ["soil"], BUDGET, MAX_LAG, LAG_COUNTS, [True, False], k=32, inner=4)
     spread = fit["residuals"].agg(F.struct(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd_resid")).alias("s")).scalar()
     return fit["fitted"].withColumn("s", spread).select("model", "sill", "reach", "nugget", "s.n", "s.sd_resid")
 
 
 @query("spa_11_rk_point_map")
 def _(t):
-    fit = rk.final_rk(survey(t), "target", FEATURES, ["soil"], SETTINGS, MAX_LAG, LAG_COUNTS, [True, False], k=32, inner=4, steps=20)
-    px = located(t).select(
-        "qid", "x", "y", *[(F.sin(F.col("qid") * (i + 1)) * 0.2).alias(f) for i, f in enumerate(FEATURES)], (F.col("size") % 10).cast("int").cast("string").alias("soil")
-    )
-    ready, _ = apply_statistics(px, fit["stats"], FEATURES, ["soil"])
+    fit = rk.final_rk(survey(t), "target", FEATURES, ["soil"], BUDGET, MAX_LAG, LAG_COUNTS, [True, False], k=32, inner=4)
+    ready, _ = apply_statistics(covariate_pixels(t), fit["stats"], FEATURES, ["soil"])
     out = rk.predict_map(ready, fit["model"], fit["residuals"], fit["fitted"], k=32)
     return out.select("qid", "x", "y", "trend", "prediction")
 

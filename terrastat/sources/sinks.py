@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrastat.config import EXPORT_NODATA
+from terrastat.operators.forests import Forest
 from terrastat.sources.tables import _exists, read_stage
 
 
@@ -37,14 +37,14 @@ def write_tiles(df: DataFrame, path: str, value: str = "value") -> None:
     )
 
 
-def save_bundle(model: PipelineModel, fit_stats: DataFrame, path: str) -> None:
-    """Fitted pipeline beside the statistics it was fitted with."""
-    model.write().overwrite().save(f"{path}/model")
+def save_bundle(model: Forest, fit_stats: DataFrame, path: str) -> None:
+    """Fitted forest beside the statistics it was fitted with."""
+    model.save(fit_stats.sparkSession, f"{path}/model")
     write_table(fit_stats, f"{path}/fit_stats")
 
 
-def load_bundle(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame]:
-    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/fit_stats")
+def load_bundle(spark: SparkSession, path: str) -> tuple[Forest, DataFrame]:
+    return Forest.load(spark, f"{path}/model"), spark.read.parquet(f"{path}/fit_stats")
 
 
 def materialise_once(df: DataFrame, path: str) -> DataFrame:

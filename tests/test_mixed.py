@@ -158,6 +158,31 @@ def test_means_contrasts_and_joint_tests(spark, data):
     assert tests.loc["NW", "F"] == pytest.approx(want) and tests.loc["NW", "df1"] == 2
 
 
+def test_degrees_of_freedom_of_independent_rows(spark, data):
+    """Without random effects every contrast has the residual degrees of freedom, under REML."""
+    _p, _d, sums = data
+    f = mx.fit(sums, mx.FIXED["M3"], "N")
+    got = ct.pairwise(spark, DESIGN, {"M3": f}, ct.pairwise_families(), ct.SATTERTHWAITE).toPandas()
+    assert got.df.to_numpy() == pytest.approx(sums.n_obs - len(f.beta), rel=1e-5)
+    joint = ct.joint_tests(spark, DESIGN, {"M3": f}, [("x", ("site",), "lc", "M3")], ct.SATTERTHWAITE).toPandas()
+    assert joint.df2.to_numpy() == pytest.approx(sums.n_obs - len(f.beta), rel=1e-5)
+
+
+def test_degrees_of_freedom_between_and_within_plots(spark):
+    """Balanced random intercept: differences of plots use the plots, differences inside plots the rest."""
+    p = survey(7, gaps=0.0)
+    sums = mx.collect_sums(spark.createDataFrame(p), DESIGN)
+    f = mx.fit(sums, mx.FIXED["M3"], "A")
+    got = ct.pairwise(spark, DESIGN, {"M3": f}, ct.pairwise_families(), ct.SATTERTHWAITE).toPandas()
+    between = sums.n_plots - len(SITES) * len(COVERS)
+    assert got[got.x_var == "lc"].df.to_numpy() == pytest.approx(between, rel=1e-3)
+    within = sums.n_obs - sums.n_plots - len(SITES) * (len(DEPTHS) - 1)
+    assert got[got.x_var == "depth"].df.to_numpy() == pytest.approx(within, rel=1e-3)
+    terms = ct.term_tests(spark, f).toPandas().set_index("term")
+    assert terms.loc["site x lc", "df1"] == 4 and terms.loc["site x lc", "df2"] == pytest.approx(between, rel=1e-3)
+    assert terms.loc["site x depth", "df1"] == 6 and terms.loc["site x depth", "df2"] == pytest.approx(within, rel=1e-3)
+
+
 def test_letters_are_shared_exactly_by_levels_that_do_not_differ():
     rng = np.random.default_rng(0)
     for _ in range(300):

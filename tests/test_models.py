@@ -199,12 +199,13 @@ def test_attributions_and_interactions_follow_their_definition(spark, tmp_path):
     p["t"] = p.f1 * p.f2 + 2 * p.f3 - p.f4 * p.f1
     d = spark.createDataFrame(p)
     model = learn.forest(names, "t", {"trees": 3, "depth": 4, "leaf": 1, "subset": "all"}).fit(d)
-    model.stages[-1].save(str(tmp_path / "m"))
+    model.save(spark, str(tmp_path / "m"))
+    nodes = spark.read.parquet(str(tmp_path / "m" / "nodes")).orderBy("node").collect()
     trees = {}
-    for r in spark.read.parquet(str(tmp_path / "m" / "data")).collect():
-        n = r.nodeData
-        cut = n.split.leftCategoriesOrThreshold
-        trees.setdefault(r.treeID, {})[n.id] = (n.split.featureIndex, cut[0] if cut else None, n.leftChild, n.rightChild, n.impurityStats[0], n.prediction)
+    for r in nodes:
+        first = min(n["node"] for n in nodes if n["tree"] == r["tree"])
+        child = [r[c] - first if r["feature"] >= 0 else -1 for c in ("left", "right")]
+        trees.setdefault(r["tree"], {})[r["node"] - first] = (r["feature"], r["cut"], *child, r["weight"], r["value"])
     want = [[by_definition(t, x, pairs) for t in trees.values()] for x in p[names].to_numpy()[:25]]
     phi = np.array([np.mean([w[0] for w in row], axis=0) for row in want])
     both = np.array([np.mean([w[1] for w in row], axis=0) for row in want])
