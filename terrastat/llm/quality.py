@@ -43,16 +43,25 @@ class ByteNet:
         data = b"".join(t.ljust(int(n) * BLOCK, b"\0") for t, n in zip(texts, blocks)) + b"\0" * (WIDTH - 1)
         return np.frombuffer(data, np.uint8), np.r_[0, np.cumsum(blocks)]
 
-    def _conv(self, data: np.ndarray) -> np.ndarray:
-        n = len(data) - WIDTH + 1
-        x = self.p["filters"][0][data[:n]]
+    @staticmethod
+    def _ahead(data: np.ndarray, first: np.ndarray, j: int) -> np.ndarray:
+        """The byte ``j`` places on; behind the end of a text stand zeros, not the next text."""
+        out = data[j : len(data) - WIDTH + 1 + j]
+        if j:
+            out = out.copy()
+            for k in range(1, j + 1):
+                out[first[1:] * BLOCK - k] = 0
+        return out
+
+    def _conv(self, data: np.ndarray, first: np.ndarray) -> np.ndarray:
+        x = self.p["filters"][0][self._ahead(data, first, 0)]
         for j in range(1, WIDTH):
-            x += self.p["filters"][j][data[j : n + j]]
+            x += self.p["filters"][j][self._ahead(data, first, j)]
         x += self.p["bias"]
         return np.maximum(x, 0, out=x)
 
     def forward(self, data: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
-        active = self._conv(data)
+        active = self._conv(data, first)
         blocks = active.reshape(-1, BLOCK, CHANNELS).sum(axis=1)
         whole = np.ones(len(blocks), bool)
         whole[first[1:] - 1] = False
@@ -88,7 +97,7 @@ class ByteNet:
         g["bias"] = to_byte.sum(axis=0)
         g["filters"] = np.zeros((WIDTH, 256, CHANNELS))
         for j in range(WIDTH):
-            cell = data[where + j].astype(np.int64)[:, None] * CHANNELS + np.arange(CHANNELS)
+            cell = self._ahead(data, first, j)[where].astype(np.int64)[:, None] * CHANNELS + np.arange(CHANNELS)
             g["filters"][j] = np.bincount(cell.ravel(), to_byte.ravel(), 256 * CHANNELS).reshape(256, CHANNELS)
         return g
 
