@@ -42,7 +42,7 @@ def document_vectors(texts: list[bytes], dimensions: int) -> tuple[np.ndarray, n
     points = np.concatenate(pieces)
     owner = np.repeat(np.arange(n), size)
     points = np.where(letters()[points], points, 0)
-    keep = np.r_[True, (points[1:] != 0) | (points[:-1] != 0)]  # one blank between words
+    keep = np.r_[True, (points[1:] != 0) | (points[:-1] != 0) | (owner[1:] != owner[:-1])]  # one blank between words, and at both ends of a text
     points, owner = points[keep], owner[keep]
     seen = np.bincount(owner[points != 0], minlength=n)
     alphabet, code = np.unique(points, return_inverse=True)
