@@ -210,7 +210,7 @@ def _short(items: DataFrame) -> Iterator[ShortItems]:
 
 def _indexes(items: DataFrame, answer_share: float) -> Iterator[ItemIndex]:
     """Indexes over all items, each of at most about ``INDEX_WORDS`` words; term statistics are those of all items."""
-    found = _worded(items).where(f"size >= {LEAST_WORDS}")
+    found = stored(_worded(items).where(f"size >= {LEAST_WORDS}").dropDuplicates(["item_id", "words"]))
     total = found.agg(F.count("*").alias("n"), F.sum("size").alias("words")).first()
     if not total.n:
         return
