@@ -106,7 +106,7 @@ def t_critical(alpha: float, df):
     """Two-sided critical values of Student t, by bisection on the tail."""
     df = np.minimum(np.asarray(df, float), 1e9)  # beyond that the normal distribution, to all digits
     lo, hi = np.zeros_like(df), np.full_like(df, 1e6)
-    for _ in range(200):
+    for _ in range(75):
         mid = (lo + hi) / 2.0
         above = t_two_sided(mid, df) > alpha
         lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)

@@ -406,6 +406,36 @@ def _(t):
     return shapley.interactions(model, d, names, FEATURES)
 
 
+# two features of two values each and a tree that asks for both: the joint effect follows from the four means
+_HALVES = f"(SELECT id, CAST(x >= 5 AS DOUBLE) AS a, x % 2 AS b, target FROM {_ST})"
+_QUARTERS = f"(SELECT a, b, count(*) AS n, avg(target) AS m FROM {_HALVES} GROUP BY 1, 2)"
+_MEANS_OF = f"(SELECT *, sum(n * m) OVER (PARTITION BY a) / sum(n) OVER (PARTITION BY a) AS ma, sum(n) OVER (PARTITION BY a) AS na, sum(n * m) OVER (PARTITION BY b) / sum(n) OVER (PARTITION BY b) AS mb, sum(n) OVER (PARTITION BY b) AS nb, sum(n * m) OVER () / sum(n) OVER () AS mm, sum(n) OVER () AS nn FROM {_QUARTERS})"
+_BOTH_WAYS = f"(SELECT *, sum(na * m) OVER (PARTITION BY b) / nn AS over_a, sum(nb * m) OVER (PARTITION BY a) / nn AS over_b, sum(n * ma * ma) OVER () >= sum(n * mb * mb) OVER () AS a_first FROM {_MEANS_OF})"
+
+
+def _two(t):
+    d = stumps(t).select("id", (F.col("x") >= 5).cast("double").alias("a"), F.pmod("x", F.lit(2.0)).alias("b"), "target")
+    return d, learn.forest(["a", "b"], "target", {**STUMP, "depth": 2}).fit(d)
+
+
+@query("ml_21_pair_strength", f"SELECT 'a' AS a, 'b' AS b, {r('sum(n * abs(m - CASE WHEN a_first THEN ma + over_a ELSE mb + over_b END + mm) / 2) / sum(n)', 8)} AS strength FROM {_BOTH_WAYS}")
+def _(t):
+    d, model = _two(t)
+    return rnd(shapley.interactions(model, d, ["a", "b"], ["a", "b"]), 8, "strength")
+
+
+_FIRST = "sum(n * power({m} - mm, 2))"
+_SPLIT = f"(SELECT any_value(a_first) AS a_first, {_FIRST.format(m='ma')} AS ga, {_FIRST.format(m='mb')} AS gb, {_FIRST.format(m='m')} AS gm FROM {_BOTH_WAYS})"
+
+
+@query(
+    "ml_22_two_importances",
+    f"SELECT 'a' AS feature, {r('CASE WHEN a_first THEN ga ELSE gm - gb END / gm', 8)} AS importance FROM {_SPLIT} UNION ALL SELECT 'b', {r('CASE WHEN a_first THEN gm - ga ELSE gb END / gm', 8)} FROM {_SPLIT}",
+)
+def _(t):
+    return rnd(learn.importances(_two(t)[1], ["a", "b"]), 8, "importance")
+
+
 @query("ml_22_importance_validation")
 def _(t):
     model, _d, names, phi = _phi(t)
