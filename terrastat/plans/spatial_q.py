@@ -11,6 +11,7 @@ from terrastat.operators.search import FOREST_SPACE
 from terrastat.operators.summary import metrics
 from terrastat.functions.scalar import nodata_to_null
 from terrastat.plans.data import EDGES, FEATURES, INSIDE, LOCATED, NODATA, POINTS, RASTER, STRIP, TILE, TILE_OF, WIDTH, covariate_pixels, located, points, raster, region_edges, survey
+from terrastat.plans.learning_q import STUMP, _OUTER, _SIDE, _ST, _TRAINED, _cuts
 from terrastat.plans.registry import query, r, rnd
 from terrastat.plans.windows_q import FILLED
 from terrastat.session import local_table
@@ -113,6 +114,20 @@ def _(t):
     return kriging.search_variogram(folds, MAX_LAG, _CANDIDATES, LAG_COUNTS, [True, False], k=32)
 
 
+# one neighbour takes all the weight whatever the variogram: the score of every setting is that of the nearest sample of other folds
+_FOLDED = f"(SELECT *, CAST(ntile(4) OVER (ORDER BY md5('1:' || id), id) AS INTEGER) AS f FROM {POINTS})"
+_LEFT_OUT = f"(SELECT a.f, a.v - arg_min(b.v, struct_pack(d := sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), i := b.id)) AS e FROM {_FOLDED} a JOIN {_FOLDED} b ON a.f <> b.f GROUP BY a.f, a.id, a.v)"
+
+
+@query(
+    "spa_05_nearest_search",
+    f"SELECT model, CAST(n_lags AS INTEGER) AS n_lags, weighted, rmse, 4::BIGINT AS n_folds FROM (SELECT {r('avg(q)', 8)} AS rmse FROM (SELECT sqrt(avg(e * e)) AS q FROM {_LEFT_OUT} GROUP BY f)), (VALUES {', '.join(f'({m!r})' for m in spatial.VARIOGRAM_MODELS)}) AS m(model), (VALUES (6), (12)) AS n(n_lags), (VALUES (true), (false)) AS w(weighted)",
+)
+def _(t):
+    folds = assign_folds(samples(t), ["sid"], 4, 1, out="inner")
+    return rnd(kriging.search_variogram(folds, MAX_LAG, _CANDIDATES, [6, 12], [True, False], k=1), 8, "rmse")
+
+
 @query("spa_07_local_kriging")
 def _(t):
     return kriging.krige_local(located(t).select("qid", "x", "y"), samples(t), fitted(t), 32)
@@ -179,6 +194,51 @@ def _(t):
     return out.select("qid", "x", "y", "trend", "prediction")
 
 
+# a trend of one split and one neighbour: the prediction is the side's mean plus the residual of the nearest training sample
+def stump_survey(t):
+    return survey(t).select("id", "x", "y", F.col("soil").cast("double").alias("s"), "target")
+
+
+def _final_stump(t):
+    return rk.final_rk(stump_survey(t), "target", ["s"], [], [STUMP], MAX_LAG, [6, 12], [True, False], k=1, inner=4)
+
+
+_RESID = f"(SELECT id, target - {_SIDE} AS e FROM {_ST}, {_cuts(_ST, '0')})"
+_OF_SAMPLE = f"(SELECT p.id, p.x, p.y, e FROM {POINTS} p JOIN {_RESID} q ON q.id = p.id)"
+
+
+@query("spa_10_stump_residuals", f"SELECT count(*) AS n, {r('stddev_samp(e)', 7)} AS sd_resid FROM {_RESID}")
+def _(t):
+    spread = _final_stump(t)["residuals"].agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd_resid"))
+    return rnd(spread, 7, "sd_resid")
+
+
+@query(
+    "spa_11_stump_map",
+    f"""SELECT qid, {r(_SIDE, 6)} AS trend, {r(f'{_SIDE} + e', 6)} AS prediction FROM (SELECT a.qid, any_value(a.s) AS x, arg_min(b.e, struct_pack(d := sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), i := b.id)) AS e
+FROM (SELECT l.*, CAST(p_size % 10 AS DOUBLE) AS s FROM {LOCATED} l JOIN part ON p_partkey = qid) a, {_OF_SAMPLE} b GROUP BY a.qid), {_cuts(_ST, '0')}""",
+)
+def _(t):
+    fit = _final_stump(t)
+    px = covariate_pixels(t).select("qid", "x", "y", F.col("soil").cast("double").alias("s"))
+    ready, _ = apply_statistics(px, fit["stats"], ["s"], [])
+    return rnd(rk.predict_map(ready, fit["model"], fit["residuals"], fit["fitted"], k=1).select("qid", "trend", "prediction"), 6, "trend", "prediction")
+
+
+_OUT = f"(SELECT d.id, d.fold, d.target, d.x, cut, ml, mr FROM {_OUTER} d JOIN {_cuts(_TRAINED, 'o')} c ON c.g = d.fold)"
+_IN = f"(SELECT d.o, d.id, d.target - {_SIDE} AS e FROM {_TRAINED} d JOIN {_cuts(_TRAINED, 'o')} c ON c.g = d.o)"
+
+
+@query(
+    "spa_09_stump_cv",
+    f"""SELECT id, fold, {r('target', 6)} AS obs, {r(_SIDE, 6)} AS pred_rf, {r(f'{_SIDE} + e', 6)} AS pred_rk FROM {_OUT} JOIN
+(SELECT a.id AS aid, arg_min(i.e, struct_pack(d := sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), i := b.id)) AS e FROM {_OUT} q JOIN {POINTS} a ON a.id = q.id JOIN {_IN} i ON i.o = q.fold JOIN {POINTS} b ON b.id = i.id GROUP BY a.id) ON aid = id""",
+)
+def _(t):
+    out, _best = rk.nested_cv_rk(stump_survey(t), "target", ["s"], [], [STUMP], MAX_LAG, n_lags=[6, 12], weighted=[True, False], k=1, outer=5, inner=4)
+    return rnd(out.select("id", "fold", "obs", "pred_rf", "pred_rk"), 6, "obs", "pred_rf", "pred_rk")
+
+
 @query(
     "spa_12_region_list",
     f"SELECT region, count(DISTINCT ring) AS n_parts, count(*) AS n_edges, {r('min(least(x1, x2))', 9)} AS x_min, {r('max(greatest(x1, x2))', 9)} AS x_max, {r('min(least(y1, y2))', 9)} AS y_min, {r('max(greatest(y1, y2))', 9)} AS y_max FROM {EDGES} GROUP BY 1",
