@@ -17,11 +17,12 @@ from terrastat.llm.shared import stored
 WORDS = 8190
 MEMBERS = 96
 SIZE = 16
-#: Steps of truncated backpropagation, texts side by side, rounds of averaging that share the texts among them.
+#: Steps of truncated backpropagation, texts side by side, tokens of a text taught in one piece, rounds of averaging that share the texts among them.
 WINDOW = 24
-STREAMS = 64
+STREAMS = 256
+LONG = 512
 ROUNDS = 3
-RATE = 0.02
+RATE = 0.04
 #: Tokens that a task holds before it trains on them; rows of one class that the training step multiplies at once.
 LESSON = 2_000_000
 ROWS = 16
@@ -160,27 +161,31 @@ class Network:
         return total
 
     def train(self, docs: list[np.ndarray], rate: float = RATE, past: dict | None = None) -> int:
-        """Truncated backpropagation over ``docs``, ``STREAMS`` side by side, each stream document after document; Adam.
+        """Truncated backpropagation over ``docs``, ``STREAMS`` side by side, each stream piece after piece; Adam.
 
-        Returns the tokens seen. The state is set to zero where a document begins and carried over windows otherwise.
+        Returns the tokens seen. Documents are taught in pieces of up to ``LONG`` tokens, so that no stream is much longer than
+        the others; a piece begins with a state of zero and the token before it, and its state is carried over windows.
         ``past`` holds the steps and moments of earlier calls, which this one goes on with.
         """
-        size = [len(d) for d in docs]
-        streams = [[] for _ in range(min(STREAMS, len(docs)))]
+        pieces = [(d, a, min(a + LONG, len(d))) for d in docs for a in range(0, len(d), LONG)]
+        streams = [[] for _ in range(min(STREAMS, len(pieces)))]
         load = [(0, j) for j in range(len(streams))]
-        for i in sorted(range(len(docs)), key=size.__getitem__, reverse=True):
+        for d, a, z in sorted(pieces, key=lambda p: p[1] - p[2]):
             held, j = load[0]
-            streams[j].append(docs[i])
-            heapq.heapreplace(load, (held + size[i], j))
+            streams[j].append((d, a, z))
+            heapq.heapreplace(load, (held + z - a, j))
         length = max((held for held, _ in load), default=0)
         target = np.full((length, len(streams)), -1, np.int32)
         given = np.full((length, len(streams)), END, np.int32)
         fresh = np.zeros((length, len(streams)), bool)
         for j, s in enumerate(streams):
             at = 0
-            for d in s:
-                target[at : at + len(d), j], given[at + 1 : at + len(d), j], fresh[at, j] = d, d[:-1], True
-                at += len(d)
+            for d, a, z in s:
+                n = z - a
+                target[at : at + n, j], given[at + 1 : at + n, j], fresh[at, j] = d[a:z], d[a : z - 1], True
+                if a:
+                    given[at, j] = d[a - 1]
+                at += n
         h = np.zeros((len(streams), SIZE), np.float32)
         past = {} if past is None else past
         if not past:
