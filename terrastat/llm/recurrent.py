@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 from terrastat.llm import arrays
 from terrastat.llm.shared import stored
 
-#: Words of the network's own vocabulary, all others are spelled; members of an output class.
+#: Words of the network's own vocabulary, all others are spelled; output classes aimed at, and the smallest and largest of them.
 WORDS = 8190
-MEMBERS = 96
+CLASSES = 64
+NARROW, WIDE = 4, 1024
 SIZE = 16
 #: Steps of truncated backpropagation, texts side by side, tokens of a text taught in one piece, rounds of averaging that share the texts among them.
 WINDOW = 24
@@ -23,9 +25,8 @@ STREAMS = 256
 LONG = 512
 ROUNDS = 3
 RATE = 0.04
-#: Tokens that a task holds before it trains on them; rows of one class that the training step multiplies at once.
+#: Tokens that a task holds before it trains on them.
 LESSON = 2_000_000
-ROWS = 16
 #: Frequent words whose counts every task holds; the counts of all others are joined.
 FREQUENT = 400_000
 SLICE = 6_000_000
@@ -59,29 +60,65 @@ class Spelling:
         return run[w.ends + 1] - run[w.starts]
 
 
+def class_widths(share: np.ndarray, classes: int) -> list[int]:
+    """Members of each class, powers of two, over symbols whose shares fall.
+
+    A token pays for the members of its class, so a class at a place is as wide as one over the root of the share there: that makes
+    the least mean cost for a number of classes. Frequent symbols meet a few others, rare ones many.
+    """
+
+    def cut(scale: float) -> list[int]:
+        out, at = [], 0
+        while at < len(share):
+            width = 2 ** round(math.log2(scale / math.sqrt(share[at])))
+            out.append(int(min(WIDE, max(NARROW, width, out[-1] if out else 0))))
+            at += out[-1]
+        return out
+
+    low, high = 1e-6, 1e6
+    for _ in range(60):
+        mid = math.sqrt(low * high)
+        low, high = (mid, high) if len(cut(mid)) > classes else (low, mid)
+    return cut(high)
+
+
 class Network:
-    """Word vectors, one gated recurrent layer, class softmax and a softmax over the members of the class."""
+    """Word vectors, one gated recurrent layer, class softmax and a softmax over the members of the class.
 
-    def __init__(self, counts: np.ndarray, seed: int = 5):
+    Classes of one width are a level; the members of a level's classes are one array.
+    """
+
+    def __init__(self, counts: np.ndarray, seed: int = 5, classes: int = CLASSES):
         """``counts`` by vocabulary number; the output starts as the unigram model."""
         r = np.random.default_rng(seed)
-        k, c = len(counts), -(-len(counts) // MEMBERS)
-        filled = np.zeros(c * MEMBERS)
-        filled[:k] = counts + 0.5
-        by_class = filled.reshape(c, MEMBERS)
-        with np.errstate(divide="ignore"):
-            member = np.maximum(np.log(by_class / by_class.sum(axis=1, keepdims=True)), -1e4)
-        self.k, self.c = k, c
+        k = len(counts)
+        share = (counts + 0.5) / (counts + 0.5).sum()
+        order = np.argsort(-share, kind="stable")
+        widths = np.array(class_widths(share[order], classes))
+        begin = np.cumsum(widths) - widths
+        place = np.empty(k, np.int64)
+        place[order] = np.arange(k)
+        self.k, self.c = k, len(widths)
+        self.of = np.searchsorted(begin, place, side="right") - 1
+        self.slot = place - begin[self.of]
+        self.first = np.flatnonzero(np.r_[True, np.diff(widths) > 0])  # first class of each level
+        self.width = widths[self.first]
+        self.level = [(v, c - self.first[v]) for c, v in enumerate(np.searchsorted(self.first, np.arange(self.c), side="right") - 1)]
         self.p = {
-            "embed": r.normal(0, 0.3, (c * MEMBERS, SIZE)),
+            "embed": r.normal(0, 0.3, (k, SIZE)),
             "in": r.normal(0, 0.25, (SIZE, 3 * SIZE)),
             "state": r.normal(0, 0.25, (SIZE, 3 * SIZE)),
             "bias": np.zeros(3 * SIZE),
-            "class": np.zeros((SIZE, c)),
-            "class_bias": np.log(by_class.sum(axis=1) / by_class.sum()),
-            "member": np.zeros((c, SIZE, MEMBERS)),
-            "member_bias": member,
+            "class": np.zeros((SIZE, self.c)),
+            "class_bias": np.log(np.bincount(self.of, share, self.c)),
         }
+        for v, (a, z) in enumerate(zip(self.first, [*self.first[1:], self.c])):
+            filled = np.zeros((z - a, self.width[v]))
+            mine = (self.of >= a) & (self.of < z)
+            filled[self.of[mine] - a, self.slot[mine]] = share[mine]
+            with np.errstate(divide="ignore"):
+                self.p[f"member_bias{v}"] = np.maximum(np.log(filled / filled.sum(axis=1, keepdims=True)), -1e4)
+            self.p[f"member{v}"] = np.zeros((z - a, SIZE, self.width[v]))
         self.p = {n: v.astype(np.float32) for n, v in self.p.items()}
 
     def flat(self) -> np.ndarray:
@@ -103,30 +140,40 @@ class Network:
         n = np.tanh(given[:, 2 * SIZE :] + r * inner)
         return n + z * (h - n), z, r, n, inner
 
-    def by_class(self, states: np.ndarray, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Rows of each class that occurs among the targets, with their members' probabilities."""
-        of = target // MEMBERS
-        order = np.argsort(of, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else []:
-            c = int(of[rows[0]])
-            for part in (rows[a : a + 2048] for a in range(0, len(rows), 2048)):
-                s = states[part] @ self.p["member"][c] + self.p["member_bias"][c]
-                s = np.exp(s - s.max(axis=1, keepdims=True))
-                s /= s.sum(axis=1, keepdims=True)
-                yield c, part, s
+    def by_class(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray, int, int]]]:
+        """An order of the targets by class, and for each class that occurs its number, its members' weights and biases, and its run."""
+        order = np.argsort(self.of[target], kind="stable")
+        of = self.of[target][order]
+        begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else []
+        runs = []
+        for a, z in zip(begin, [*begin[1:], len(of)]):
+            c = int(of[a])
+            v, i = self.level[c]
+            runs.append((c, self.p[f"member{v}"][i], self.p[f"member_bias{v}"][i], int(a), int(z)))
+        return order, runs
 
     def log_probability(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         out = np.empty(len(target))
+
+        def chosen(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """Log of the softmax of each row at one place; ``s`` is used up."""
+            s -= s.max(axis=1, keepdims=True)
+            own = s[np.arange(len(s)), at]
+            return own - np.log(np.exp(s, out=s).sum(axis=1))
+
         for a in range(0, len(target), 65536):
             h, t = states[a : a + 65536], target[a : a + 65536]
             log = np.empty(len(t))
             for b in range(0, len(t), 2048):  # what stays in the cache
-                s = h[b : b + 2048] @ self.p["class"] + self.p["class_bias"]
-                s -= s.max(axis=1, keepdims=True)
-                own = s[np.arange(len(s)), t[b : b + 2048] // MEMBERS]
-                log[b : b + 2048] = own - np.log(np.exp(s, out=s).sum(axis=1))
-            for c, rows, prob in self.by_class(h, t):
-                log[rows] += np.log(np.maximum(prob[np.arange(len(rows)), t[rows] - c * MEMBERS], 1e-38))
+                log[b : b + 2048] = chosen(h[b : b + 2048] @ self.p["class"] + self.p["class_bias"], self.of[t[b : b + 2048]])
+            order, runs = self.by_class(t)
+            h, slot, inside = h[order], self.slot[t[order]], np.empty(len(t))
+            for _, weights, biases, first, last in runs:
+                step = max(64, 200_000 // len(biases))
+                for b in range(first, last, step):
+                    z = min(b + step, last)
+                    inside[b:z] = chosen(h[b:z] @ weights + biases, slot[b:z])
+            log[order] += inside
             out[a : a + 65536] = log
         return out
 
@@ -227,11 +274,11 @@ class Network:
         s -= s.max(axis=1, keepdims=True)
         np.exp(s, out=s)
         s /= s.sum(axis=1, keepdims=True)
-        s[np.arange(len(goal)), goal // MEMBERS] -= 1
+        s[np.arange(len(goal)), self.of[goal]] -= 1
         s /= count
         g = {"class": states.T @ s, "class_bias": s.sum(axis=0)}
         back = s @ p["class"].T
-        g["member"], g["member_bias"] = self._members(states, goal, back, count)
+        g |= self._members(states, goal, back, count)
         to_out = np.zeros((*given.shape, SIZE), back.dtype)
         to_out[used] = back
         # what a change of the state after a step does to the sums of its gates
@@ -254,40 +301,24 @@ class Network:
         g["embed"][words[order[begin]]] = np.add.reduceat((flat @ p["in"].T)[order], begin)
         return h, g
 
-    def _members(self, states: np.ndarray, goal: np.ndarray, back: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-        """Gradients of the members' weights and biases; adds those of ``states`` to ``back``.
-
-        The rows of a class fill blocks of ``ROWS``, the last with rows of weight 0, and all blocks are multiplied at once.
-        """
-        weights, biases = np.zeros_like(self.p["member"]), np.zeros_like(self.p["member_bias"])
-        if not len(goal):
-            return weights, biases
-        of = goal // MEMBERS
-        order = np.argsort(of, kind="stable")
-        has = np.bincount(of, minlength=self.c)
-        blocks = -(-has // ROWS)
-        shift = (np.cumsum(blocks) - blocks) * ROWS - (np.cumsum(has) - has)
-        place = np.arange(len(order)) + shift[of[order]]
-        c = np.repeat(np.arange(self.c), blocks)
-        x = np.zeros((len(c) * ROWS, SIZE), states.dtype)
-        x[place] = states[order]
-        x = x.reshape(-1, ROWS, SIZE)
-        w = self.p["member"][c]
-        s = x @ w
-        s += self.p["member_bias"][c][:, None, :]
-        s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        real = np.zeros(len(c) * ROWS, s.dtype)
-        real[place] = 1 / count
-        s *= real.reshape(-1, ROWS, 1) / s.sum(axis=2, keepdims=True)
-        s.reshape(-1, MEMBERS)[place, goal[order] - of[order] * MEMBERS] -= 1 / count
-        back[order] += (s @ w.transpose(0, 2, 1)).reshape(-1, SIZE)[place]
-        by_block, ends = x.transpose(0, 2, 1) @ s, np.cumsum(blocks)
-        weights[c], biases[c] = by_block, s.sum(axis=1)
-        for k in np.flatnonzero(blocks > 1):
-            weights[k] = by_block[ends[k] - blocks[k] : ends[k]].sum(axis=0)
-            biases[k] = s[ends[k] - blocks[k] : ends[k]].sum(axis=(0, 1))
-        return weights, biases
+    def _members(self, states: np.ndarray, goal: np.ndarray, back: np.ndarray, count: int) -> dict[str, np.ndarray]:
+        """Gradients of the members' weights and biases; adds those of ``states`` to ``back``."""
+        out = {n: np.zeros_like(v) for n, v in self.p.items() if n.startswith("member")}
+        order, runs = self.by_class(goal)
+        x, slot, more = states[order], self.slot[goal[order]], np.empty_like(states)
+        for c, weights, biases, a, z in runs:
+            s = x[a:z] @ weights
+            s += biases
+            s -= s.max(axis=1, keepdims=True)
+            np.exp(s, out=s)
+            s *= (1 / count) / s.sum(axis=1, keepdims=True)
+            s[np.arange(z - a), slot[a:z]] -= 1 / count
+            np.matmul(s, weights.T, out=more[a:z])
+            v, i = self.level[c]
+            np.matmul(x[a:z].T, s, out=out[f"member{v}"][i])
+            out[f"member_bias{v}"][i] = s.sum(axis=0)
+        back[order] += more
+        return out
 
 
 class Vocabulary:

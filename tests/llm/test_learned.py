@@ -193,7 +193,7 @@ def test_base_scores_equal_plain_counting(spark):
 
 
 def small_net():
-    net = Network(np.array([5.0, 3, *range(1, 200)]), seed=1)
+    net = Network(np.array([50.0, 3, *(2000 / np.arange(1, 200))]), seed=1, classes=16)
     r = np.random.default_rng(2)
     net.p = {k: (v + r.normal(0, 0.2, v.shape) * (v > -1e3)).astype(np.float32) for k, v in net.p.items()}
     return net
@@ -202,7 +202,8 @@ def small_net():
 def test_probabilities_of_the_next_word_add_up_to_one():
     net = small_net()
     h = np.random.default_rng(3).normal(size=(1, recurrent.SIZE)).astype(np.float32)
-    k = net.c * recurrent.MEMBERS
+    k = net.k
+    assert len(set(zip(net.of.tolist(), net.slot.tolist()))) == k and len(set(net.width.tolist())) > 1
     total = np.exp(net.log_probability(np.repeat(h, k, axis=0), np.arange(k))).sum()
     assert abs(total - 1) < 1e-4
     spelling = Spelling(np.random.default_rng(1).integers(0, 9, 65536))
@@ -244,7 +245,7 @@ def test_recurrent_gradients_and_training():
         return total / count
 
     g = net._window(given, target, fresh, np.zeros((3, recurrent.SIZE)))[1]
-    for name, at in (("state", (3, 40)), ("state", (2, 5)), ("in", (1, 20)), ("bias", (33,)), ("class", (4, 1)), ("member_bias", (0, 7)), ("embed", (int(given[2, 0]), 2))):
+    for name, at in (("state", (3, 40)), ("state", (2, 5)), ("in", (1, 20)), ("bias", (33,)), ("class", (4, 1)), ("member_bias0", (0, 2)), ("member0", (1, 5, 3)), ("member1", (1, 0, 6)), ("member_bias1", (0, 5)), ("embed", (int(given[2, 0]), 2))):
         old = net.p[name][at]
         net.p[name][at] = old + 1e-4
         up = loss()
@@ -261,6 +262,58 @@ def test_recurrent_gradients_and_training():
     assert net.score(flat, first).sum() > 0.7 * before
 
 
+def test_scores_equal_a_plain_loop_with_the_full_softmax():
+    """Gates, classes and members written out for one word after the other, over all words of the vocabulary."""
+    net, r = small_net(), np.random.default_rng(8)
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    docs = [r.integers(0, net.k, n) for n in (5, 40, 1)]
+    got = net.score(np.concatenate(docs), np.r_[0, np.cumsum([len(d) for d in docs])])
+    level = np.searchsorted(net.first, net.of, side="right") - 1
+    for d, score in zip(docs, got):
+        h, before, total = np.zeros(recurrent.SIZE), 0, 0.0
+        for t in d:
+            x, m = p["embed"][before] @ p["in"] + p["bias"], h @ p["state"]
+            z, u = (1 / (1 + np.exp(-(x[a : a + recurrent.SIZE] + m[a : a + recurrent.SIZE]))) for a in (0, recurrent.SIZE))
+            n = np.tanh(x[2 * recurrent.SIZE :] + u * m[2 * recurrent.SIZE :])
+            h = (1 - z) * n + z * h
+            classes = np.exp(h @ p["class"] + p["class_bias"])
+            every = np.zeros(net.k)
+            for w in range(net.k):
+                v, c = level[w], net.of[w]
+                members = np.exp(h @ p[f"member{v}"][c - net.first[v]] + p[f"member_bias{v}"][c - net.first[v]])
+                every[w] = classes[c] / classes.sum() * members[net.slot[w]] / members.sum()
+            assert abs(every.sum() - 1) < 1e-6
+            total += math.log(every[t])
+            before = t
+        assert abs(total - score) < 1e-3 * max(1, abs(score))
+
+
+def test_frequent_words_have_few_others_in_their_class():
+    share = 1 / np.arange(1, 8193)
+    widths = recurrent.class_widths(share / share.sum(), recurrent.CLASSES)
+    assert len(widths) <= recurrent.CLASSES and sum(widths) >= 8192 and widths == sorted(widths)
+    of = np.repeat(np.arange(len(widths)), widths)[:8192]
+    assert (share / share.sum() * np.array(widths)[of]).sum() < 64  # 96 with classes of equal size
+
+
+def test_long_documents_are_taught_in_pieces(monkeypatch):
+    """Every token is a target once, and its input is the token before it."""
+    monkeypatch.setattr(recurrent, "LONG", 7)
+    docs = [np.arange(2, 2 + n) for n in (20, 7, 3, 1)]
+    net, seen = Network(np.full(40, 10.0)), []
+
+    def window(given, target, fresh, h):
+        for t in range(len(target)):
+            for j in np.flatnonzero(target[t] >= 0):
+                seen.append((int(target[t, j]), int(given[t, j]), bool(fresh[t, j])))
+        return h, {n: np.zeros_like(v) for n, v in net.p.items()}
+
+    monkeypatch.setattr(net, "_window", window)
+    assert net.train(docs) == 31
+    want = [(t, t - 1 if t > 2 else 0, i % 7 == 0) for d in docs for i, t in enumerate(d.tolist())]
+    assert sorted(seen) == sorted(want)
+
+
 def test_every_text_teaches_in_one_round_and_copies_spread(spark):
     same = " ".join(f"w{i}" for i in range(12))
     docs = spark.createDataFrame([(i, same) for i in range(600)] + [(None, same), (5, None), (6, "")], "doc_id long, text string")
