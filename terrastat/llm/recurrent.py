@@ -27,6 +27,8 @@ ROUNDS = 3
 RATE = 0.04
 #: Tokens that a task holds before it trains on them.
 LESSON = 2_000_000
+#: Distinct words that a task counts before it passes them on.
+HELD = 500_000
 #: Frequent words whose counts every task holds; the counts of all others are joined.
 FREQUENT = 400_000
 SLICE = 6_000_000
@@ -134,11 +136,20 @@ class Network:
     def step(self, given: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """Next state from the input's gate sums and the state: update, reset, candidate."""
         mixed = h @ self.p["state"]
-        gates = 1 / (1 + np.exp(-(given[:, : 2 * SIZE] + mixed[:, : 2 * SIZE])))
+        gates = given[:, : 2 * SIZE] + mixed[:, : 2 * SIZE]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
         z, r = gates[:, :SIZE], gates[:, SIZE:]
         inner = mixed[:, 2 * SIZE :]
-        n = np.tanh(given[:, 2 * SIZE :] + r * inner)
-        return n + z * (h - n), z, r, n, inner
+        n = r * inner
+        n += given[:, 2 * SIZE :]
+        np.tanh(n, out=n)
+        after = h - n
+        after *= z
+        after += n
+        return after, z, r, n, inner
 
     def by_class(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray, int, int]]]:
         """An order of the targets by class, and for each class that occurs its number, its members' weights and biases, and its run."""
@@ -273,9 +284,8 @@ class Network:
         s = states @ p["class"] + p["class_bias"]
         s -= s.max(axis=1, keepdims=True)
         np.exp(s, out=s)
-        s /= s.sum(axis=1, keepdims=True)
-        s[np.arange(len(goal)), self.of[goal]] -= 1
-        s /= count
+        s *= (1 / count) / s.sum(axis=1, keepdims=True)
+        s[np.arange(len(goal)), self.of[goal]] -= 1 / count
         g = {"class": states.T @ s, "class_bias": s.sum(axis=0)}
         back = s @ p["class"].T
         g |= self._members(states, goal, back, count)
@@ -345,12 +355,22 @@ def corpus_counts(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelled = np.zeros(65536, np.int64)
+        words, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def told(words: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(words), np.int32)), arrays.signed(words), pa.array(n)], names=["kind", "key", "n"])
+
         for _, texts in arrays.slices(batches, limit=SLICE):
             w, hashes = token_stream(texts)
-            words, n = np.unique(hashes, return_counts=True)
+            own, times = np.unique(hashes, return_counts=True)
             cell = Spelling.cells(w)
             spelled += np.bincount(cell[cell >= 0], minlength=65536)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(words), np.int32)), arrays.signed(words), pa.array(n)], names=["kind", "key", "n"])
+            both, at = np.unique(np.concatenate([words, own]), return_inverse=True)
+            words, n = both, np.bincount(at, np.concatenate([n, times])).astype(np.int64)
+            if len(words) > HELD:
+                yield told(words, n)
+                words, n = words[:0], n[:0]
+        yield told(words, n)
         cell = np.flatnonzero(spelled)
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(cell), np.int32)), pa.array(cell), pa.array(spelled[cell])], names=["kind", "key", "n"])
 
