@@ -14,6 +14,8 @@ import __spark_entry__ as entry  # noqa: E402
 
 FOLDER = os.environ.get("TERRASTAT_TEST_DATA", "/root/testdata/sf0.001")
 ORACLES = entry.oracle_sql()
+#: All points of the smallest tables lie beside their raster.
+EMPTY = {"join_02_band_assembly"} if FOLDER.endswith("sf0.001") else set()
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no tables")
 
 
@@ -36,7 +38,7 @@ def test_query_equals_statement(spark, con, name):
     from check_oracles import compare
 
     why = compare(entry.queries()[name](spark, FOLDER), con, ORACLES[name])
-    assert why in ("", "no rows"), why
+    assert why == ("no rows" if name in EMPTY else ""), why
 
 
 def test_entry_returns_class_counts(spark):
