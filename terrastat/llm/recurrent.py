@@ -126,11 +126,16 @@ class Network:
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
 
-    def load(self, values: np.ndarray) -> "Network":
-        at = 0
+    def views(self, values: np.ndarray) -> dict[str, np.ndarray]:
+        """Parts of a vector in the shapes of the weights."""
+        out, at = {}, 0
         for n, v in self.p.items():
-            self.p[n] = values[at : at + v.size].reshape(v.shape).astype(np.float32)
+            out[n] = values[at : at + v.size].reshape(v.shape)
             at += v.size
+        return out
+
+    def load(self, values: np.ndarray) -> "Network":
+        self.p = self.views(values.astype(np.float32))
         return self
 
     def step(self, given: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -246,14 +251,17 @@ class Network:
                 at += n
         h = np.zeros((len(streams), SIZE), np.float32)
         past = {} if past is None else past
+        values = self.flat()
+        self.p, g = self.views(values), self.views(np.empty_like(values))
         if not past:
-            past |= {"turn": 0, "m": {n: np.zeros_like(x) for n, x in self.p.items()}, "v": {n: np.zeros_like(x) for n, x in self.p.items()}}
+            past |= {"turn": 0, "m": np.zeros_like(values), "v": np.zeros_like(values)}
+        change = g["embed"].base
         for a in range(0, length, WINDOW):
-            h, g = self._window(given[a : a + WINDOW], target[a : a + WINDOW], fresh[a : a + WINDOW], h)
+            h = self._window(given[a : a + WINDOW], target[a : a + WINDOW], fresh[a : a + WINDOW], h, g)[0]
             past["turn"] += 1
             fast, slow = rate / (1 - 0.9 ** past["turn"]), 1 / (1 - 0.99 ** past["turn"])
-            for n, x in self.p.items():
-                m, v, d = past["m"][n], past["v"][n], g[n]
+            for i in range(0, len(values), PIECE):  # what stays in the cache
+                x, m, v, d = (y[i : i + PIECE] for y in (values, past["m"], past["v"], change))
                 m *= 0.9
                 m += 0.1 * d
                 np.square(d, out=d)
@@ -267,8 +275,12 @@ class Network:
                 x -= d
         return int((target >= 0).sum())
 
-    def _window(self, given: np.ndarray, target: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    def _window(self, given: np.ndarray, target: np.ndarray, fresh: np.ndarray, h: np.ndarray, g: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """State after a window of steps and the gradients of its mean loss, written into ``g`` if given."""
         p = self.p
+        g = {n: np.empty_like(v) for n, v in p.items()} if g is None else g
+        for v in g.values():
+            v.fill(0)
         sums = p["embed"][given] @ p["in"] + p["bias"]
         steps, out, keep = [], [], (~fresh[:, :, None]).astype(np.float32)
         for t in range(len(given)):
@@ -281,14 +293,19 @@ class Network:
         used = target >= 0
         states, goal = np.stack(out)[used], target[used]
         count = max(1, len(goal))
-        s = states @ p["class"] + p["class_bias"]
-        s -= s.max(axis=1, keepdims=True)
-        np.exp(s, out=s)
-        s *= (1 / count) / s.sum(axis=1, keepdims=True)
-        s[np.arange(len(goal)), self.of[goal]] -= 1 / count
-        g = {"class": states.T @ s, "class_bias": s.sum(axis=0)}
-        back = s @ p["class"].T
-        g |= self._members(states, goal, back, count)
+        back = np.empty_like(states)
+        for a in range(0, len(goal), 1024):
+            x = states[a : a + 1024]
+            s = x @ p["class"]
+            s += p["class_bias"]
+            s -= s.max(axis=1, keepdims=True)
+            np.exp(s, out=s)
+            s *= (1 / count) / s.sum(axis=1, keepdims=True)
+            s[np.arange(len(x)), self.of[goal[a : a + 1024]]] -= 1 / count
+            g["class"] += x.T @ s
+            g["class_bias"] += s.sum(axis=0)
+            np.matmul(s, p["class"].T, out=back[a : a + 1024])
+        self._members(states, goal, back, count, g)
         to_out = np.zeros((*given.shape, SIZE), back.dtype)
         to_out[used] = back
         # what a change of the state after a step does to the sums of its gates
@@ -301,19 +318,17 @@ class Network:
             np.multiply(d[:, None, :], by_gate[t], out=own[t].reshape(-1, 3, SIZE))
             dh = (d * z[t] + own[t] @ through) * keep[t]
         flat, words = own.reshape(-1, 3 * SIZE), given.ravel()
-        g["state"] = before.reshape(-1, SIZE).T @ flat
+        g["state"][:] = before.reshape(-1, SIZE).T @ flat
         flat[:, 2 * SIZE :] = (to_out * to_n).reshape(-1, SIZE)
-        g["bias"] = flat.sum(axis=0)
-        g["in"] = p["embed"][words].T @ flat
+        g["bias"][:] = flat.sum(axis=0)
+        g["in"][:] = p["embed"][words].T @ flat
         order = np.argsort(words, kind="stable")
         begin = np.flatnonzero(np.r_[True, np.diff(words[order]) > 0])
-        g["embed"] = np.zeros_like(p["embed"])
         g["embed"][words[order[begin]]] = np.add.reduceat((flat @ p["in"].T)[order], begin)
         return h, g
 
-    def _members(self, states: np.ndarray, goal: np.ndarray, back: np.ndarray, count: int) -> dict[str, np.ndarray]:
-        """Gradients of the members' weights and biases; adds those of ``states`` to ``back``."""
-        out = {n: np.zeros_like(v) for n, v in self.p.items() if n.startswith("member")}
+    def _members(self, states: np.ndarray, goal: np.ndarray, back: np.ndarray, count: int, out: dict[str, np.ndarray]) -> None:
+        """Writes the gradients of the members' weights and biases to ``out``; adds those of ``states`` to ``back``."""
         order, runs = self.by_class(goal)
         x, slot, more = states[order], self.slot[goal[order]], np.empty_like(states)
         for c, weights, biases, a, z in runs:
@@ -328,7 +343,6 @@ class Network:
             np.matmul(x[a:z].T, s, out=out[f"member{v}"][i])
             out[f"member_bias{v}"][i] = s.sum(axis=0)
         back[order] += more
-        return out
 
 
 class Vocabulary:

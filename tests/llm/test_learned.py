@@ -302,11 +302,13 @@ def test_long_documents_are_taught_in_pieces(monkeypatch):
     docs = [np.arange(2, 2 + n) for n in (20, 7, 3, 1)]
     net, seen = Network(np.full(40, 10.0)), []
 
-    def window(given, target, fresh, h):
+    def window(given, target, fresh, h, g):
         for t in range(len(target)):
             for j in np.flatnonzero(target[t] >= 0):
                 seen.append((int(target[t, j]), int(given[t, j]), bool(fresh[t, j])))
-        return h, {n: np.zeros_like(v) for n, v in net.p.items()}
+        for v in g.values():
+            v.fill(0)
+        return h, g
 
     monkeypatch.setattr(net, "_window", window)
     assert net.train(docs) == 31
