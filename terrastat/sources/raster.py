@@ -24,11 +24,12 @@ class Grid(NamedTuple):
     transform: Sequence[float]
 
     def group(self, row: Column, column: Column) -> Column:
-        """Number of the group of tiles of a pixel: some neighbouring tiles of one line of tiles."""
+        """Number of the group of tiles of a pixel: some neighbouring tiles of one line of tiles, or whole lines where they are short."""
         across = -(-self.n_columns // self.tile)
         wide = min(across, max(1, GROUP_PIXELS // (self.tile * self.tile)))
         groups = -(-across // wide)
-        return (F.floor(row / self.tile) * groups + F.floor(column / (self.tile * wide))).cast("long")
+        lines = max(1, GROUP_PIXELS // (self.tile * self.tile * across)) if groups == 1 else 1
+        return (F.floor(row / (self.tile * lines)) * groups + F.floor(column / (self.tile * wide))).cast("long")
 
 
 def write_raster(pixels: DataFrame, grid: Grid, path: str) -> None:
