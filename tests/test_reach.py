@@ -1,8 +1,10 @@
 """Work per row of searches, variograms and kriging stays small, with the results of plain loops."""
 
 import numpy as np
+import pandas as pd
 import pytest
-from terrastat.operators import neighbours
+
+from terrastat.operators import kriging, neighbours, spatial
 
 
 @pytest.mark.parametrize("k", [1, 8, 32])
@@ -24,3 +26,37 @@ def test_queries_far_from_all_samples_meet_few_of_them(monkeypatch, k, far):
     assert (got == sid[order]).all() and (dist == np.take_along_axis(apart, order, axis=1)).all()
     if far:
         assert sum(met) <= 250 * (100 + 4 * k)  # it was up to all 4,000 for each
+
+
+def test_lags_of_all_choices_come_from_one_pass():
+    rng = np.random.default_rng(4)
+    d = np.r_[rng.random(20000) * 0.5, 0.3 * np.arange(21) / 20, 0.3 * np.arange(14) / 13, 0.3, np.nextafter(0.3, 1), np.inf]
+    n, s = rng.integers(1, 4, len(d)).astype(float), rng.random(len(d))
+    bins = spatial.LagBins.of(range(6, 21), 0.3)
+    for count in (None, n):
+        got = bins.sums(d, count, s)
+        ok = d <= 0.3
+        c = np.ones(ok.sum()) if count is None else n[ok]
+        for m in range(6, 21):
+            lag = np.minimum((d[ok] / (0.3 / m)).astype(int), m - 1)
+            mine = got[:, bins.n_lags == m]
+            assert (mine[0] == np.bincount(lag, c, m)).all()
+            assert mine[1] == pytest.approx(np.bincount(lag, c * d[ok], m)) and mine[2] == pytest.approx(np.bincount(lag, s[ok], m))
+
+
+def test_search_reads_each_neighbourhood_once(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    p = pd.DataFrame({"sid": np.arange(120), "x": rng.random(120), "y": rng.random(120)})
+    p["v"] = np.sin(6 * p.x) + rng.normal(0, 0.1, 120)
+    p["inner"] = p.sid % 3 + 1
+    d = spark.createDataFrame(p)
+    args = (d, 0.4, spatial.variogram_candidates(0.4, 8), [6, 9], [True, False], 6, 3)
+    keys = ["model", "n_lags", "weighted"]
+    monkeypatch.setattr(kriging, "SHARED", 1)  # more variograms than tasks may hold: a row per neighbourhood and variogram
+    joined = kriging.search_variogram(*args).toPandas().sort_values(keys)
+    monkeypatch.setattr(kriging, "SHARED", 20_000)
+    monkeypatch.setattr(kriging, "krige_neighbours", None)
+    shared = kriging.search_variogram(*args).toPandas().sort_values(keys)
+    assert len(shared) == 20 and (shared.n_folds == 3).all()
+    assert shared[keys].to_numpy().tolist() == joined[keys].to_numpy().tolist()
+    assert shared.rmse.to_numpy() == pytest.approx(joined.rmse.to_numpy(), rel=1e-9)
