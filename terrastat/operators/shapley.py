@@ -8,7 +8,7 @@ from the coefficients of a short polynomial, and a row is explained by itself: n
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from terrastat.operators.forests import Forest
 
-#: Rows times leaves held at once.
-CELLS = 400_000
+#: Leaves and rows met at once, places of a leaf whose patterns are tabulated (256 of them).
+LEAVES = 128
+ROWS = 64
+MOST_PLACES = 8
 
 
 @dataclass
@@ -37,16 +39,9 @@ class Leaves:
         v = x[:, self.feature]
         return ((~(v <= self.low)) & ((v <= self.high) | np.isinf(self.high))).astype(float)
 
-    def others(self, met: np.ndarray, left_out: tuple[int, ...]) -> list[np.ndarray]:
-        """Coefficients by coalition size of the product over all places but ``left_out``."""
-        out = [np.ones(met.shape[:2])]
-        for k in range(self.feature.shape[1]):
-            if k not in left_out:
-                grown = [c * self.share[:, k] for c in out] + [np.zeros(met.shape[:2])]
-                for s, c in enumerate(out):
-                    grown[s + 1] = grown[s + 1] + c * met[:, :, k]
-                out = grown
-        return out
+    def factors(self, met: np.ndarray, t: float) -> np.ndarray:
+        """Row x leaf x place: what a place leaves of the leaf when its feature is a member with probability ``t``."""
+        return self.share * (1.0 - t) + met * t
 
 
 def leaves(model: Forest) -> list[Leaves]:
@@ -78,49 +73,98 @@ def expected(found: Sequence[Leaves]) -> float:
     return float(sum((g.value * g.share.prod(axis=1)).sum() for g in found))
 
 
-def _blocks(found: Sequence[Leaves], x: np.ndarray, least: int) -> Iterator[tuple[Leaves, int, np.ndarray]]:
-    for g in found:
-        if g.feature.shape[1] >= least:
-            step = max(1, CELLS // len(g.value))
-            for a in range(0, len(x), step):
-                yield g, a, g.met(x[a : a + step])
+def _nodes(degree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Points and weights that integrate polynomials of that degree over [0, 1] exactly."""
+    t, w = np.polynomial.legendre.leggauss(degree // 2 + 1)
+    return (t + 1) / 2, w / 2
+
+
+def _by_rows(found: Sequence[Leaves], x: np.ndarray, width: int, game: Callable[[Leaves, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum over the leaves of ``game(leaves, met)``, which gives ``width`` numbers for each row and leaf: (rows, width).
+
+    What a leaf gives depends only on which of its places a row meets: the game is played once for every such pattern and looked up for
+    the rows, whose patterns add up feature by feature. Leaves of many places are played row by row.
+    """
+    out = np.zeros((len(x), width))
+    edges = [np.unique(np.concatenate([v[(g.feature == f) & np.isfinite(v)] for g in found for v in (g.low, g.high)] or [np.zeros(0)])) for f in range(x.shape[1])]
+    codes = [np.searchsorted(e, x[:, f]) for f, e in enumerate(edges)]
+    for whole in found:
+        m = whole.feature.shape[1]
+        for a in range(0, len(whole.value) if m else 0, LEAVES):
+            g = Leaves(*[c[a : a + LEAVES] for c in (whole.feature, whole.low, whole.high, whole.share, whole.value)])
+            if m > MOST_PLACES:
+                for i in range(0, len(x), ROWS):
+                    out[i : i + ROWS] += game(g, g.met(x[i : i + ROWS])).sum(axis=1)
+                continue
+            every = (np.arange(1 << m)[:, None, None] >> np.arange(m) & 1).astype(float)
+            table = np.ascontiguousarray(game(g, np.broadcast_to(every, (1 << m, len(g.value), m))).swapaxes(0, 1)).reshape(-1, width)
+            steps = []
+            for f in np.unique(g.feature).tolist():
+                leaf, place = np.nonzero(g.feature == f)
+                v = np.r_[edges[f], np.inf][:, None]
+                met = ~(v <= g.low[leaf, place]) & ((v <= g.high[leaf, place]) | np.isinf(g.high[leaf, place]))
+                bits = np.zeros((len(v), len(g.value)), dtype=np.int64)
+                bits[:, leaf] = met.astype(np.int64) << place
+                steps.append((codes[f], bits))
+            for i in range(0, len(x), ROWS):
+                at = np.arange(len(g.value)) << m
+                at = sum((bits[code[i : i + ROWS]] for code, bits in steps), at)
+                out[i : i + ROWS] += table.take(at.ravel(), axis=0).reshape(*at.shape, width).sum(axis=1)
+    return out
 
 
 def values(found: Sequence[Leaves], x: np.ndarray) -> np.ndarray:
-    """Shapley value of every row and feature."""
-    phi = np.zeros(x.shape)
-    for g, a, met in _blocks(found, x, 1):
-        n = g.feature.shape[1]
-        for i in range(n):
-            mean = sum(c * (math.factorial(s) * math.factorial(n - 1 - s) / math.factorial(n)) for s, c in enumerate(g.others(met, (i,))))
-            to = np.zeros((len(g.value), x.shape[1]))
-            to[np.arange(len(g.value)), g.feature[:, i]] = g.value
-            phi[a : a + len(met)] += ((met[:, :, i] - g.share[:, i]) * mean) @ to
-    return phi
+    """Shapley value of every row and feature.
+
+    The weights of the coalitions by size are integrals of t^s (1 - t)^(n - 1 - s): a value is the integral over t of a product over the other
+    places, which a few points give exactly. The product of all places is divided by one place's factor (above 0 inside the range).
+    """
+
+    def game(g: Leaves, met: np.ndarray) -> np.ndarray:
+        mean = np.zeros(met.shape)
+        for t, w in zip(*_nodes(g.feature.shape[1] - 1)):
+            each = g.factors(met, t)
+            mean += (w * each.prod(axis=2) * g.value)[:, :, None] / each
+        mean *= met - g.share
+        out = np.zeros((*met.shape[:2], x.shape[1]))
+        for i in range(met.shape[2]):
+            out[:, np.arange(met.shape[1]), g.feature[:, i]] = mean[:, :, i]
+        return out
+
+    return _by_rows(found, x, x.shape[1], game)
 
 
 def pair_values(found: Sequence[Leaves], x: np.ndarray, pairs: Sequence[tuple[int, int]]) -> np.ndarray:
     """Shapley interaction value of every row and pair: half of the joint effect, as it stands at (i, j) and at (j, i)."""
-    number = {frozenset(p): k for k, p in enumerate(pairs)}
-    out = np.zeros((len(x), len(pairs)))
-    for g, a, met in _blocks(found, x, 2):
-        n = g.feature.shape[1]
+    number = np.full((x.shape[1], x.shape[1]), -1)
+    for k, (i, j) in enumerate(pairs):
+        number[i, j] = number[j, i] = k
+
+    def game(g: Leaves, met: np.ndarray) -> np.ndarray:
+        n = met.shape[2]
+        out = np.zeros((*met.shape[:2], len(pairs)))
+        parts = [(w, e, e.prod(axis=2) * g.value) for t, w in zip(*_nodes(n - 2)) for e in [g.factors(met, t)]]
         for i in range(n):
             for j in range(i + 1, n):
-                to = np.zeros((len(g.value), len(pairs)))
-                for leaf, both in enumerate(zip(g.feature[:, i].tolist(), g.feature[:, j].tolist())):
-                    if frozenset(both) in number:
-                        to[leaf, number[frozenset(both)]] = g.value[leaf]
-                if to.any():
-                    mean = sum(c * (math.factorial(s) * math.factorial(n - 2 - s) / (2 * math.factorial(n - 1))) for s, c in enumerate(g.others(met, (i, j))))
-                    out[a : a + len(met)] += ((met[:, :, i] - g.share[:, i]) * (met[:, :, j] - g.share[:, j]) * mean) @ to
-    return out
+                k = number[g.feature[:, i], g.feature[:, j]]
+                own = np.flatnonzero(k >= 0)
+                if len(own):
+                    mean = sum(w * p[:, own] / (e[:, own, i] * e[:, own, j]) for w, e, p in parts) / 2
+                    out[:, own, k[own]] = (met[:, own, i] - g.share[own, i]) * (met[:, own, j] - g.share[own, j]) * mean
+        return out
+
+    return _by_rows([g for g in found if g.feature.shape[1] >= 2], x, len(pairs), game)
 
 
 def _matrix(batch: pa.RecordBatch, width: int) -> np.ndarray:
     return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out to all tasks: they are few for a file and costly to explain."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def attribution(model: Forest, rows: DataFrame, features: Sequence[str]) -> DataFrame:
     """Shapley values of the forest for every row: ``id, feature, value, phi``; they add up to the prediction minus ``expected``."""
     shared = rows.sparkSession.sparkContext.broadcast(leaves(model))
@@ -133,7 +177,7 @@ def attribution(model: Forest, rows: DataFrame, features: Sequence[str]) -> Data
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("x"), pa.ListArray.from_arrays(ends, pa.array(phi.ravel()))], names=["id", "x", "phi"])
 
     plain = rows.select("id", F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
-    told = plain.mapInArrow(run, f"id {plain.schema['id'].dataType.simpleString()}, x array<double>, phi array<double>")
+    told = _spread(plain).mapInArrow(run, f"id {plain.schema['id'].dataType.simpleString()}, x array<double>, phi array<double>")
     each = F.arrays_zip(F.array(*map(F.lit, features)).alias("feature"), F.col("x").alias("value"), F.col("phi").alias("phi"))
     return told.select("id", F.inline(each))
 
@@ -154,5 +198,5 @@ def interactions(model: Forest, rows: DataFrame, features: Sequence[str], top: S
         yield pa.RecordBatch.from_arrays([*cols, pa.array(total), pa.array([n] * len(names), pa.int64())], names=["a", "b", "total", "n"])
 
     plain = rows.select(F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
-    parts = plain.mapInArrow(run, "a string, b string, total double, n long")
+    parts = _spread(plain).mapInArrow(run, "a string, b string, total double, n long")
     return parts.groupBy("a", "b").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("strength"))

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from terrastat.operators import kriging, neighbours, spatial
+from terrastat.operators import forests, kriging, neighbours, shapley, spatial
 
 
 @pytest.mark.parametrize("k", [1, 8, 32])
@@ -60,3 +60,23 @@ def test_search_reads_each_neighbourhood_once(spark, monkeypatch):
     assert len(shared) == 20 and (shared.n_folds == 3).all()
     assert shared[keys].to_numpy().tolist() == joined[keys].to_numpy().tolist()
     assert shared.rmse.to_numpy() == pytest.approx(joined.rmse.to_numpy(), rel=1e-9)
+
+
+def test_attribution_plays_each_pattern_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(600, 5)), 1)
+    y = x[:, 0] * x[:, 1] + x[:, 2] + rng.normal(0, 0.1, 600)
+    cuts = [forests.cuts_of(x[:, f]) for f in range(5)]
+    codes = np.stack([np.searchsorted(c, x[:, f]) for f, c in enumerate(cuts)], axis=1).astype(np.uint8)
+    s = forests.Sample(list("abcde"), x, codes, cuts, y, np.zeros(600, int), np.zeros((600, 0)))
+    model = forests.joined(s.features, [forests.grow(s, forests.job_of({"trees": 3, "depth": 9, "leaf": 2, "subset": "all"}, 1), 0, 3)])
+    found, pairs = shapley.leaves(model), [(0, 1), (2, 4)]
+    x[0, 0] = np.nan  # goes right everywhere
+    played = []
+    plain = shapley.Leaves.factors
+    monkeypatch.setattr(shapley.Leaves, "factors", lambda self, met, t: played.append(met.shape[0]) or plain(self, met, t))
+    phi, both = shapley.values(found, x), shapley.pair_values(found, x, pairs)
+    assert max(played) <= 2**5  # patterns, not rows
+    assert phi.sum(axis=1)[1:] == pytest.approx((model.predict(x) - shapley.expected(found))[1:])
+    monkeypatch.setattr(shapley, "MOST_PLACES", 0)
+    assert shapley.values(found, x) == pytest.approx(phi) and shapley.pair_values(found, x, pairs) == pytest.approx(both)
