@@ -80,3 +80,18 @@ def test_attribution_plays_each_pattern_once(monkeypatch):
     assert phi.sum(axis=1)[1:] == pytest.approx((model.predict(x) - shapley.expected(found))[1:])
     monkeypatch.setattr(shapley, "MOST_PLACES", 0)
     assert shapley.values(found, x) == pytest.approx(phi) and shapley.pair_values(found, x, pairs) == pytest.approx(both)
+
+
+def test_one_forest_is_grown_by_all_tasks(spark, monkeypatch):
+    p = pd.DataFrame({"a": np.arange(60.0), "t": np.arange(60.0) % 7})
+    d, seen = spark.createDataFrame(p), []
+    plain = forests._units
+    monkeypatch.setattr(forests, "_units", lambda *args: seen.append(plain(*args)) or seen[-1])
+    s = forests.held_sample(d, ["a"], ["a"], "t")
+    job = forests.job_of({"trees": 40, "depth": 4, "leaf": 1, "subset": "all"}, 2)
+    model = forests.fit_many(spark, [s], [job])[0]
+    assert seen[0].count() >= 2 * spark.sparkContext.defaultParallelism  # it was 2: blocks of 20 trees
+    whole = forests.joined(s.features, [forests.grow(s, job, 0, 40)])
+    assert (model.predict_trees(s.x) == whole.predict_trees(s.x)).all()
+    missing = np.array([[np.nan], [3.0]])
+    assert model.predict_trees(missing).shape == (2, 40)
