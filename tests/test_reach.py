@@ -3,8 +3,9 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from terrastat.operators import forests, kriging, neighbours, shapley, spatial
+from terrastat.operators import blocks, forests, kriging, neighbours, shapley, spatial
 
 
 @pytest.mark.parametrize("k", [1, 8, 32])
@@ -95,3 +96,29 @@ def test_one_forest_is_grown_by_all_tasks(spark, monkeypatch):
     assert (model.predict_trees(s.x) == whole.predict_trees(s.x)).all()
     missing = np.array([[np.nan], [3.0]])
     assert model.predict_trees(missing).shape == (2, 40)
+
+
+def test_pairs_are_met_once_for_all_folds(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    n = 700
+    p = pd.DataFrame({"g": np.arange(n) % 2, "x": np.r_[rng.normal(0.2, 0.05, 500), rng.random(200)].round(3), "y": rng.normal(0.1, 0.1, n).round(3)})
+    p["v"] = np.sin(6 * p.x) + rng.normal(0, 0.1, n)
+    p["inner"] = rng.integers(1, 5, n)
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 16)  # crowded cells: blocks of one fold inside parts of a cell
+    d = spark.createDataFrame(p)
+    sums = spatial.pair_sums(d, [5, 9], 0.4, ["g"], "inner").persist()
+    total = 0
+    for g, own in p.groupby("g"):
+        dist = np.sqrt(np.subtract.outer(own.x.values, own.x.values) ** 2 + np.subtract.outer(own.y.values, own.y.values) ** 2)
+        total += int(np.count_nonzero(np.triu(dist <= 0.4, 1)))
+    assert sums.filter("n_lags = 5").agg({"n": "sum"}).first()[0] == total
+    keys = ["g", "fold", "n_lags", "lag"]
+    got = spatial.left_out_lag_means(sums, 4, ["g"]).toPandas().sort_values(keys)
+    parts = [spatial.semivariogram(d.filter(F.col("inner") != f), [5, 9], 0.4, ["g"]).withColumn("fold", F.lit(f)).toPandas() for f in range(1, 5)]
+    want = pd.concat(parts).sort_values(keys)
+    assert (got[[*keys, "n"]].values == want[[*keys, "n"]].values).all()
+    assert np.allclose(got[["h", "gamma"]].values, want[["h", "gamma"]].values, rtol=1e-10)
+    whole = spatial.lag_means(sums, ["g"]).toPandas().sort_values(["g", "n_lags", "lag"])
+    plain = spatial.semivariogram(d, [5, 9], 0.4, ["g"]).toPandas().sort_values(["g", "n_lags", "lag"])
+    assert (whole.n.values == plain.n.values).all() and np.allclose(whole.gamma.values, plain.gamma.values, rtol=1e-10)
+    sums.unpersist()
