@@ -135,6 +135,5 @@ def union_tagged(tables: Mapping[str, DataFrame], tag: str) -> DataFrame:
 
 
 def depth_wide(df: DataFrame, key: str, depth: str, levels: Sequence[int], value: str, prefix: str) -> DataFrame:
-    """One column per depth."""
-    wide = df.groupBy(key).pivot(depth, list(levels)).agg(F.first(value))
-    return wide.select(key, *[F.col(str(lv)).alias(f"{prefix}{lv}") for lv in levels])
+    """One column per depth, in one aggregate (a pivot groups by key and depth first)."""
+    return df.groupBy(key).agg(*[F.first(F.when(F.col(depth) == lv, F.col(value)), ignorenulls=True).alias(f"{prefix}{lv}") for lv in levels])

@@ -11,6 +11,7 @@ from terrastat.operators.spatial import anchored
 from terrastat.operators.summary import finite_pairs, pearson_p, pearson_pairs, strong_pairs
 from terrastat.plans.data import BLOCK, BLOCK_COLUMNS, COVERS, DEPTHS, GAPPY, LOCATED, MID_CM, NODATA, PREDICTED, RASTER, block, gappy, located, predicted, raster
 from terrastat.plans.registry import query, r, rnd
+from terrastat.session import keyed
 from terrastat.sources.tables import preview
 
 _TEXT = "CASE WHEN o_orderkey % 11 = 0 THEN 'n/a' ELSE replace(printf('%.2f', o_totalprice), '.', ',') END"
@@ -226,7 +227,8 @@ def _(t):
     "SELECT l_orderkey, " + ", ".join(f"max(CASE WHEN l_linenumber = {d} THEN {r('v', 4)} END) AS d{d}" for d in DEPTHS) + " FROM (SELECT l_orderkey, l_linenumber, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2) GROUP BY 1",
 )
 def _(t):
-    per = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.round(F.avg("l_extendedprice"), 4).alias("v"))
+    lines = keyed(t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_orderkey")
+    per = lines.groupBy("l_orderkey", "l_linenumber").agg(F.round(F.avg("l_extendedprice"), 4).alias("v"))
     return prep.depth_wide(per, "l_orderkey", "l_linenumber", DEPTHS, "v", "d")
 
 
