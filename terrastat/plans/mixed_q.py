@@ -365,6 +365,7 @@ def _(t):
 
 
 def performance(rows):
+    rows = cut_lineage(rows.select("y", "fixed", "fitted"))  # read several times
     long = rows.select(F.col("y").alias("obs"), F.col("fixed").alias("marginal"), F.col("fitted").alias("conditional")).unpivot(["obs"], ["marginal", "conditional"], "predictions", "pred")
     return s.metrics(long, ["predictions"]).select("predictions", "n", "sd_obs", "iqr_obs", "rmse", "rpd", "rpiq")
 
@@ -385,7 +386,7 @@ def _(t):
 
 def diagnostics(rows):
     """Shape of the residuals, Levene tests and spread by factor, as metric rows."""
-    d = rows.withColumn("e", F.col("y") - F.col("fitted"))
+    d = cut_lineage(rows.select("site", "lc", "depth", (F.col("y") - F.col("fitted")).alias("e")))  # read by every measure
     shape = s.shape_moments(d, "e")
     out = shape.select(F.lit("skewness").alias("metric"), F.col("skewness").alias("value")).unionByName(
         shape.select(F.lit("excess kurtosis").alias("metric"), F.col("excess_kurtosis").alias("value"))

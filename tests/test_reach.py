@@ -5,7 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from terrastat.operators import blocks, forests, kriging, neighbours, shapley, spatial
+from terrastat import session
+from terrastat.operators import blocks, forests, kriging, neighbours, prep, shapley, spatial, summary
+from terrastat.plans import data, mixed_q, registry
 
 
 @pytest.mark.parametrize("k", [1, 8, 32])
@@ -122,3 +124,38 @@ def test_pairs_are_met_once_for_all_folds(spark, monkeypatch):
     plain = spatial.semivariogram(d, [5, 9], 0.4, ["g"]).toPandas().sort_values(["g", "n_lags", "lag"])
     assert (whole.n.values == plain.n.values).all() and np.allclose(whole.gamma.values, plain.gamma.values, rtol=1e-10)
     sums.unpersist()
+
+
+def test_samples_are_dealt_out_once_to_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 200)
+    d = spark.range(6000).select((F.col("id") % 1500).alias("k"), (F.col("id") % 4).alias("depth"), F.rand(1).alias("v"))
+    dealt = session.keyed(d, "k")
+    sizes = [len(p) for p in dealt.rdd.glom().collect()]
+    assert len(sizes) == 30 and max(sizes) < 600
+    grouped = dealt.groupBy("k", "depth").agg(F.avg("v").alias("v"))
+    wide = prep.depth_wide(grouped, "k", "depth", [0, 1, 2, 3], "v", "d")
+    assert wide.count() == 1500
+    assert wide._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+    t = registry.Tables(spark, "/root/testdata/sf0.001")
+    plots = data.samples(t).groupBy("site", "lc", "depth", "plot").count()
+    assert plots._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") <= 2  # rows and plots
+
+
+def test_rows_of_many_measures_are_computed_once(spark):
+    rng = np.random.default_rng(3)
+    p = pd.DataFrame({"site": rng.choice(["a", "b"], 400), "lc": rng.choice(["u", "v", "w"], 400), "depth": rng.integers(1, 4, 400), "y": rng.normal(size=400)})
+    p["fixed"], p["fitted"] = p.y * 0.5, p.y * 0.9 + rng.normal(0, 0.1, 400)
+    base, seen = spark.createDataFrame(p), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    counted = base.mapInPandas(count, base.schema)
+    measures = [lambda d: summary.axis_limits(d, "y", [["site"], ["lc"], ["site", "lc"]]), mixed_q.performance, mixed_q.diagnostics]
+    for measure in measures:
+        before = seen.value
+        got = sorted(map(str, measure(counted).collect()))
+        assert seen.value - before == 400
+        assert got == sorted(map(str, measure(base).collect()))
