@@ -174,3 +174,38 @@ def test_budget_tries_all_trials_on_every_table(spark):
     assert min(one[3]) < min(two[3])
     again = learn.tune_forest(d.repartition(5), list("abcd"), "t", "inner", 4, budget)
     assert again[2] == one[2] and again[3] == pytest.approx(one[3])
+
+
+def test_exclusive_columns_are_one_category():
+    """Columns of one category are cut from one pass over the rows, with the sums each would get by itself (ml_16_tuning, ml_18_final_model, src_12_model_bundle)."""
+    rng = np.random.default_rng(8)
+    n, level = 3000, rng.integers(0, 6, 3000)
+    codes = np.c_[rng.integers(0, 9, n), level == 1, level == 2, rng.integers(0, 2, n), level == 4].astype(np.uint8)
+    found, own = forests.exclusive(codes, [9, 2, 2, 2, 2])
+    assert found == [1, 2, 4] and (own == np.select([level == 1, level == 2, level == 4], [1, 2, 3])).all()
+    w = rng.integers(1, 4, n).astype(float)
+    y, node = rng.normal(0, 1, n), rng.integers(0, 40, n)
+    totals = [np.bincount(node, v, 40) for v in (w, w * y, w)]
+    scores = forests._level_scores(node * 4 + own, 4, w, w * y, w, totals, 5)
+    for i, f in enumerate(found):
+        _best, want = forests._best_cuts(node * 2 + codes[:, f], 2, 40, w, w * y, w, 5)
+        assert (np.isfinite(want) == np.isfinite(scores[:, i])).all() and np.isfinite(want).any()
+        assert scores[np.isfinite(want), i] == pytest.approx(want[np.isfinite(want)], rel=1e-12)
+
+
+def test_trees_grow_in_pieces(spark, monkeypatch):
+    """Few trees at a time where a table is long give the same forests and errors; a table of 8 million cells is held (6 GB)."""
+    rng = np.random.default_rng(9)
+    x = np.c_[rng.normal(0, 1, (400, 2)), rng.integers(0, 2, 400)]
+    cuts = [forests.cuts_of(x[:, f]) for f in range(3)]
+    codes = np.stack([np.searchsorted(c, x[:, f]) for f, c in enumerate(cuts)], axis=1).astype(np.uint8)
+    s = forests.Sample(["a", "b", "c"], x, codes, cuts, x[:, 0] + rng.normal(0, 1, 400), rng.integers(1, 3, 400), np.zeros((400, 0)))
+    job = forests.job_of({"trees": 7, "depth": 6, "leaf": 2, "subset": "sqrt"}, 4, left_out=1)
+    whole, = forests.fit_many(spark, [s], [job])
+    error, = forests.left_out_errors(spark, [s], [job])
+    monkeypatch.setattr(forests, "MOST_ROWS", 800)
+    assert [len(f.roots) for f in forests.grow_in_pieces(s, job, 0, 7)] == [2, 2, 2, 1]
+    pieces, = forests.fit_many(spark, [s], [job])
+    assert all(np.array_equal(getattr(whole, c), getattr(pieces, c)) for c in forests.Forest._fields[1:])
+    assert forests.left_out_errors(spark, [s], [job]) == pytest.approx([error], rel=1e-12)
+    assert forests.MOST_CELLS >= 615_384 * 13
