@@ -5,9 +5,11 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ ROUNDS = 3
 RATE = 0.04
 #: Tokens that a task holds before it trains on them.
 LESSON = 2_000_000
+#: Tokens that a task scores side by side: the longest text takes as many steps as it has tokens, however few others run beside it.
+ASKED = 5_000_000
 #: Distinct words that a task counts before it passes them on.
 HELD = 500_000
 #: Frequent words whose counts every task holds; the counts of all others are joined.
@@ -36,9 +40,38 @@ END, OTHER = 0, 1
 PIECE = 8192
 
 
-def token_stream(texts: list[bytes]) -> tuple[arrays.Words, np.ndarray]:
-    w = arrays.split_words(texts)
-    return w, arrays.word_hashes(w)
+class Tokens(NamedTuple):
+    """Words of consecutive texts: ``code[first[d]:first[d + 1]]`` are those of text ``d``, as places among the distinct ones."""
+
+    words: arrays.Words
+    hashes: np.ndarray
+    code: np.ndarray
+    first: np.ndarray
+
+    @property
+    def counts(self) -> np.ndarray:
+        return np.diff(self.first)
+
+
+def token_stream(texts: list[bytes]) -> Tokens:
+    """Words with A-Z in lower case; each distinct one is hashed once."""
+    text = pa.large_utf8()
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_binary()).view(text)))
+    coded = split.flatten().dictionary_encode()
+    distinct, code, first = coded.dictionary, coded.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64)
+    none = pc.index(distinct, pa.scalar("", text)).as_py()  # before a blank at the start and after one at the end
+    if none >= 0:
+        filled = code != none
+        first = np.r_[0, np.cumsum(filled)][first]
+        code = code[filled]
+        code = code - (code > none)
+        distinct = pa.concat_arrays([distinct[:none], distinct[none + 1 :]])
+    _, at, held = pc.binary_join_element_wise(distinct, pa.scalar("", text), pa.scalar(" ", text)).buffers()
+    n = len(distinct)
+    at = np.frombuffer(at, np.int64)[: n + 1] if n else np.zeros(1, np.int64)
+    buffer = np.frombuffer(held, np.uint8)[: at[-1]] if n else np.zeros(0, np.uint8)
+    w = arrays.Words(buffer, at, at[:-1], at[1:] - 1, np.arange(n + 1))
+    return Tokens(w, arrays.word_hashes(w), code, first)
 
 
 class Spelling:
@@ -139,8 +172,11 @@ class Network:
         return self
 
     def step(self, given: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Next state from the input's gate sums and the state: update, reset, candidate."""
-        mixed = h @ self.p["state"]
+        """Next state from the input's gate sums and the state: update, reset, candidate.
+
+        One row per stream; quick on transposed arrays, where the streams of a unit and the units of a gate lie side by side.
+        """
+        mixed = (self.p["state"].T @ h.T).T
         gates = given[:, : 2 * SIZE] + mixed[:, : 2 * SIZE]
         np.negative(gates, out=gates)
         np.exp(gates, out=gates)
@@ -156,39 +192,54 @@ class Network:
         after += n
         return after, z, r, n, inner
 
-    def by_class(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray, int, int]]]:
-        """An order of the targets by class, and for each class that occurs its number, its members' weights and biases, and its run."""
-        order = np.argsort(self.of[target], kind="stable")
-        of = self.of[target][order]
+    def by_class(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+        """An order of the targets by class, and for each class that occurs its level, its place there and its run."""
+        of = self.of[target].astype(np.int16)  # 16 bits are sorted digit by digit
+        order = np.argsort(of, kind="stable")
+        of = of[order]
         begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else []
-        runs = []
-        for a, z in zip(begin, [*begin[1:], len(of)]):
-            c = int(of[a])
-            v, i = self.level[c]
-            runs.append((c, self.p[f"member{v}"][i], self.p[f"member_bias{v}"][i], int(a), int(z)))
-        return order, runs
+        return order, [(*self.level[of[a]], int(a), int(z)) for a, z in zip(begin, [*begin[1:], len(of)])]
+
+    def outputs(self, reach: float) -> list[tuple[np.ndarray, bool]]:
+        """Weights of the classes and of the members of each level, their biases as a last row, and whether they are calm.
+
+        Calm ones need no largest sum taken off: for states up to ``reach`` no power overflows and no class has only powers that vanish.
+        """
+        out = []
+        for name in ("class", *(f"member{v}" for v in range(len(self.first)))):
+            weights, biases = self.p[name], self.p[name.replace("class", "class_bias").replace("member", "member_bias")]
+            far = np.abs(weights).sum(axis=-2) * reach
+            calm = (biases + far).max() < 80 and (biases - far).max(axis=-1).min() > -80
+            out.append((np.concatenate([weights, biases[..., None, :]], axis=-2), bool(calm)))
+        return out
 
     def log_probability(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         out = np.empty(len(target))
+        (classes, calm), *levels = self.outputs(max(1.0, float(np.abs(states).max(initial=0))))
 
-        def chosen(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-            """Log of the softmax of each row at one place; ``s`` is used up."""
-            s -= s.max(axis=1, keepdims=True)
-            own = s[np.arange(len(s)), at]
-            return own - np.log(np.exp(s, out=s).sum(axis=1))
+        def chosen(weights: np.ndarray, calm: bool, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """Log of the softmax of each column at one place."""
+            s = weights.T @ x
+            if not calm:
+                s -= s.max(axis=0)
+            own = s[at, np.arange(len(at))]
+            return own - np.log(np.ones(len(s), s.dtype) @ np.exp(s, out=s))
 
         for a in range(0, len(target), 65536):
-            h, t = states[a : a + 65536], target[a : a + 65536]
-            log = np.empty(len(t))
+            t = target[a : a + 65536]
+            of, log, inside = self.of[t], np.empty(len(t)), np.empty(len(t))
+            h = np.ones((SIZE + 1, len(t)), states.dtype)
+            h[:SIZE] = states[a : a + 65536].T
             for b in range(0, len(t), 2048):  # what stays in the cache
-                log[b : b + 2048] = chosen(h[b : b + 2048] @ self.p["class"] + self.p["class_bias"], self.of[t[b : b + 2048]])
+                log[b : b + 2048] = chosen(classes, calm, h[:, b : b + 2048], of[b : b + 2048])
             order, runs = self.by_class(t)
-            h, slot, inside = h[order], self.slot[t[order]], np.empty(len(t))
-            for _, weights, biases, first, last in runs:
-                step = max(64, 200_000 // len(biases))
+            h, slot = h.take(order, axis=1), self.slot[t[order]]
+            for v, i, first, last in runs:
+                weights, quiet = levels[v][0][i], levels[v][1]
+                step = max(64, 200_000 // weights.shape[1])
                 for b in range(first, last, step):
                     z = min(b + step, last)
-                    inside[b:z] = chosen(h[b:z] @ weights + biases, slot[b:z])
+                    inside[b:z] = chosen(weights, quiet, h[:, b:z], slot[b:z])
             log[order] += inside
             out[a : a + 65536] = log
         return out
@@ -201,7 +252,7 @@ class Network:
         """
         size = np.diff(first)
         order = np.argsort(-size, kind="stable")
-        given = self.p["embed"] @ self.p["in"] + self.p["bias"]
+        given = np.ascontiguousarray((self.p["embed"] @ self.p["in"] + self.p["bias"]).T)
         total = np.zeros(len(size))
         h = np.zeros((len(size), SIZE), np.float32)
         begin, longest = first[:-1][order], int(size.max(initial=0))
@@ -212,14 +263,14 @@ class Network:
             states, targets, who, held = [], [], [], 0
             while t < longest and held < 200_000:
                 n = int(running[t])
-                h = self.step(given[previous[:n]], h[:n])[0]
+                h = self.step(given.take(previous[:n], axis=1).T, h[:n])[0]
                 previous = ids[begin[:n] + t]
-                states.append(h)
+                states.append(h.T)
                 targets.append(previous)
                 who.append(np.arange(n))
                 held += n
                 t += 1
-            log = self.log_probability(np.concatenate(states), np.concatenate(targets))
+            log = self.log_probability(np.concatenate(states, axis=1).T, np.concatenate(targets))
             total += np.bincount(order[np.concatenate(who)], log, len(size))
         return total
 
@@ -260,18 +311,18 @@ class Network:
             h = self._window(given[a : a + WINDOW], target[a : a + WINDOW], fresh[a : a + WINDOW], h, g)[0]
             past["turn"] += 1
             fast, slow = rate / (1 - 0.9 ** past["turn"]), 1 / (1 - 0.99 ** past["turn"])
-            for i in range(0, len(values), PIECE):  # what stays in the cache
+            root = math.sqrt(0.01 * slow)
+            for i in range(0, len(values), PIECE):  # what stays in the cache; moments are sums, not means
                 x, m, v, d = (y[i : i + PIECE] for y in (values, past["m"], past["v"], change))
                 m *= 0.9
-                m += 0.1 * d
+                m += d
                 np.square(d, out=d)
-                d *= 0.01
                 v *= 0.99
                 v += d
-                np.sqrt(np.multiply(v, slow, out=d), out=d)
-                d += 1e-6
+                np.sqrt(v, out=d)
+                d += 1e-6 / root
                 np.divide(m, d, out=d)
-                d *= fast
+                d *= 0.1 * fast / root
                 x -= d
         return int((target >= 0).sum())
 
@@ -279,70 +330,80 @@ class Network:
         """State after a window of steps and the gradients of its mean loss, written into ``g`` if given."""
         p = self.p
         g = {n: np.empty_like(v) for n, v in p.items()} if g is None else g
-        for v in g.values():
-            v.fill(0)
-        sums = p["embed"][given] @ p["in"] + p["bias"]
-        steps, out, keep = [], [], (~fresh[:, :, None]).astype(np.float32)
+        g["embed"].fill(0)
+        words = given.ravel()
+        embedded = p["embed"][words]
+        sums = p["in"].T @ embedded.reshape(*given.shape, SIZE).transpose(0, 2, 1)
+        sums += p["bias"][:, None]
+        steps, out, keep = [], [], (~fresh).astype(np.float32)
         for t in range(len(given)):
-            h = h * keep[t]
-            after, z, r, n, inner = self.step(sums[t], h)
-            steps.append((h, z, r, n, inner))
-            out.append(after)
+            h = h * keep[t][:, None]
+            after, *parts = self.step(sums[t].T, h)
+            steps.append((h, *parts))
+            out.append(after.T)
             h = after
-        before, z, r, n, inner = (np.stack(x) for x in zip(*steps))
-        used = target >= 0
-        states, goal = np.stack(out)[used], target[used]
-        count = max(1, len(goal))
-        back = np.empty_like(states)
+        # from here on a row for each unit, its steps and streams side by side
+        before, z, r, n, inner = (np.stack([y.T for y in x], axis=1) for x in zip(*steps))
+        used = np.flatnonzero(target >= 0)
+        goal = target.ravel()[used]
+        states = np.ones((SIZE + 1, len(goal)), h.dtype)
+        np.concatenate(out, axis=1).take(used, axis=1, out=states[:SIZE], mode="clip")
+        back = np.empty((SIZE, len(goal)), h.dtype)
+        (classes, calm), *levels = self.outputs(1.0)
+        change, of = np.zeros_like(classes), self.of[goal]
         for a in range(0, len(goal), 1024):
-            x = states[a : a + 1024]
-            s = x @ p["class"]
-            s += p["class_bias"]
-            s -= s.max(axis=1, keepdims=True)
-            np.exp(s, out=s)
-            s *= (1 / count) / s.sum(axis=1, keepdims=True)
-            s[np.arange(len(x)), self.of[goal[a : a + 1024]]] -= 1 / count
-            g["class"] += x.T @ s
-            g["class_bias"] += s.sum(axis=0)
-            np.matmul(s, p["class"].T, out=back[a : a + 1024])
-        self._members(states, goal, back, count, g)
-        to_out = np.zeros((*given.shape, SIZE), back.dtype)
-        to_out[used] = back
+            x = states[:, a : a + 1024]
+            change += self._softmax(classes, calm, x, of[a : a + 1024], len(goal), back[:, a : a + 1024])
+        g["class"][:], g["class_bias"][:] = change[:SIZE], change[SIZE]
+        self._members(states, goal, levels, back, g)
+        to_out = np.zeros((SIZE, given.size), back.dtype)
+        to_out[:, used] = back
+        to_out = to_out.reshape(SIZE, *given.shape)
         # what a change of the state after a step does to the sums of its gates
         to_n = (1 - z) * (1 - n * n)
-        by_gate = np.stack([(before - n) * z * (1 - z), to_n * inner * r * (1 - r), to_n * r], axis=2)
-        own = np.empty((*given.shape, 3 * SIZE), by_gate.dtype)
-        through, dh = p["state"].T, np.zeros_like(h)
+        by_gate = np.stack([(before - n) * z * (1 - z), to_n * inner * r * (1 - r), to_n * r])
+        own = np.empty((3 * SIZE, *given.shape), by_gate.dtype)
+        gates, dh = own.reshape(by_gate.shape), np.zeros((SIZE, given.shape[1]), back.dtype)
         for t in range(len(given) - 1, -1, -1):
-            d = to_out[t] = to_out[t] + dh
-            np.multiply(d[:, None, :], by_gate[t], out=own[t].reshape(-1, 3, SIZE))
-            dh = (d * z[t] + own[t] @ through) * keep[t]
-        flat, words = own.reshape(-1, 3 * SIZE), given.ravel()
-        g["state"][:] = before.reshape(-1, SIZE).T @ flat
-        flat[:, 2 * SIZE :] = (to_out * to_n).reshape(-1, SIZE)
-        g["bias"][:] = flat.sum(axis=0)
-        g["in"][:] = p["embed"][words].T @ flat
-        order = np.argsort(words, kind="stable")
+            d = to_out[:, t] = to_out[:, t] + dh
+            np.multiply(d, by_gate[:, :, t], out=gates[:, :, t])
+            dh = (d * z[:, t] + p["state"] @ own[:, t]) * keep[t]
+        flat = own.reshape(3 * SIZE, -1)
+        g["state"][:] = before.reshape(SIZE, -1) @ flat.T
+        np.multiply(to_out, to_n, out=own[2 * SIZE :])
+        g["bias"][:] = flat.sum(axis=1)
+        g["in"][:] = embedded.T @ flat.T
+        order = np.argsort(words.astype(np.uint16) if self.k <= 65536 else words, kind="stable")
         begin = np.flatnonzero(np.r_[True, np.diff(words[order]) > 0])
-        g["embed"][words[order[begin]]] = np.add.reduceat((flat @ p["in"].T)[order], begin)
+        g["embed"][words[order[begin]]] = np.add.reduceat((flat.T @ p["in"].T)[order], begin)
         return h, g
 
-    def _members(self, states: np.ndarray, goal: np.ndarray, back: np.ndarray, count: int, out: dict[str, np.ndarray]) -> None:
-        """Writes the gradients of the members' weights and biases to ``out``; adds those of ``states`` to ``back``."""
+    @staticmethod
+    def _softmax(weights: np.ndarray, calm: bool, x: np.ndarray, at: np.ndarray, count: int, back: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+        """Gradients of the weights for the columns of ``x`` with targets ``at``, one of ``count`` each; those of ``x`` go to ``back``."""
+        s = weights.T @ x
+        if not calm:
+            s -= s.max(axis=0)
+        np.exp(s, out=s)
+        total = np.ones(len(s), s.dtype) @ s
+        s.reshape(-1)[at * len(at) + np.arange(len(at))] -= total
+        total *= count
+        np.divide(weights[:SIZE] @ s, total, out=back)
+        return np.matmul(x / total, s.T, out=out)
+
+    def _members(self, states: np.ndarray, goal: np.ndarray, levels: list[tuple[np.ndarray, bool]], back: np.ndarray, out: dict[str, np.ndarray]) -> None:
+        """Writes the gradients of the members' weights and biases to ``out``; adds those of ``states`` (a row for each unit) to ``back``."""
         order, runs = self.by_class(goal)
-        x, slot, more = states[order], self.slot[goal[order]], np.empty_like(states)
-        for c, weights, biases, a, z in runs:
-            s = x[a:z] @ weights
-            s += biases
-            s -= s.max(axis=1, keepdims=True)
-            np.exp(s, out=s)
-            s *= (1 / count) / s.sum(axis=1, keepdims=True)
-            s[np.arange(z - a), slot[a:z]] -= 1 / count
-            np.matmul(s, weights.T, out=more[a:z])
-            v, i = self.level[c]
-            np.matmul(x[a:z].T, s, out=out[f"member{v}"][i])
-            out[f"member_bias{v}"][i] = s.sum(axis=0)
-        back[order] += more
+        x, slot, more = states.take(order, axis=1), self.slot[goal[order]], np.empty_like(back)
+        change = [np.zeros_like(weights) for weights, _ in levels]
+        for v, i, a, z in runs:
+            weights, calm = levels[v]
+            self._softmax(weights[i], calm, x[:, a:z], slot[a:z], len(goal), more[:, a:z], change[v][i])
+        for v, d in enumerate(change):
+            out[f"member{v}"][:], out[f"member_bias{v}"][:] = d[:, :SIZE], d[:, SIZE]
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        back += more.take(place, axis=1)
 
 
 class Vocabulary:
@@ -375,11 +436,11 @@ def corpus_counts(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(words), np.int32)), arrays.signed(words), pa.array(n)], names=["kind", "key", "n"])
 
         for _, texts in arrays.slices(batches, limit=SLICE):
-            w, hashes = token_stream(texts)
-            own, times = np.unique(hashes, return_counts=True)
-            cell = Spelling.cells(w)
-            spelled += np.bincount(cell[cell >= 0], minlength=65536)
-            both, at = np.unique(np.concatenate([words, own]), return_inverse=True)
+            tokens = token_stream(texts)
+            times = np.bincount(tokens.code, minlength=len(tokens.hashes))
+            cell, often = Spelling.cells(tokens.words), np.repeat(times, np.diff(tokens.words.text_start))
+            spelled += np.bincount(cell[cell >= 0], often[cell >= 0], 65536).astype(np.int64)
+            both, at = np.unique(np.concatenate([words, tokens.hashes]), return_inverse=True)
             words, n = both, np.bincount(at, np.concatenate([n, times])).astype(np.int64)
             if len(words) > HELD:
                 yield told(words, n)
@@ -414,8 +475,8 @@ def averaged(rows: DataFrame, start: np.ndarray, counts: np.ndarray, vocabulary:
         docs: list[np.ndarray] = []
         held = 0
         for _, texts in arrays.slices(batches, limit=SLICE):
-            w, hashes = token_stream(texts)
-            ids, first = documents(vocab.ids(hashes).astype(np.int32), w.first)
+            tokens = token_stream(texts)
+            ids, first = documents(vocab.ids(tokens.hashes).astype(np.int32)[tokens.code], tokens.first)
             docs += [ids[first[d] : first[d + 1]] for d in range(len(texts))]
             held += len(ids)
             if held >= LESSON:
@@ -485,34 +546,55 @@ def language_scores(docs: DataFrame, learn: Column) -> DataFrame:
         values, seen, vocab, words, c, cells = shared.value
         net, spelling = Network(seen).load(values), Spelling(cells)
         gain = np.log10(c + 1.0)
+        waiting: list[tuple] = []
+        held = 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            """Rows of the waiting slices, their texts scored side by side."""
+            asked, sizes = [w[0] for w in waiting], np.concatenate([[0], *[w[1] for w in waiting]])
+            score = net.score(np.concatenate([np.zeros(0, np.int32), *asked]), np.cumsum(sizes))
+            at = 0
+            for _, size, spelled_score, doc_id, learns, known_words, base, rare in waiting:
+                own = score[at : at + len(size)] + spelled_score
+                at += len(size)
+                yield pa.RecordBatch.from_arrays(
+                    [doc_id, learns, pa.array(size), known_words, base, pa.array(own / np.log(10)), rare],
+                    names=["doc_id", "learn", "n_tokens", "n_known", "base", "score", "rare"],
+                )
+
         for batch, texts in arrays.slices(batches, limit=SLICE):
-            w, hashes = token_stream(texts)
-            n = len(texts)
-            doc = np.repeat(np.arange(n), w.counts)
-            distinct, inverse = np.unique(hashes, return_inverse=True)
-            numbers = vocab.ids(distinct)[inverse]
-            ids, first = documents(numbers, w.first)
-            score = net.score(ids, first)
+            tokens = token_stream(texts)
+            n, counts = len(texts), tokens.counts
+            doc = np.repeat(np.arange(n), counts)
+            distinct, inverse = tokens.hashes, tokens.code
+            numbers = vocab.ids(distinct).astype(np.int32)[inverse]
+            ids, first = documents(numbers, tokens.first)
             other = numbers == OTHER
-            score += np.bincount(doc[other], spelling.words(w)[other], n)
+            spelled_score = np.bincount(doc[other], spelling.words(tokens.words)[inverse[other]], n)
             slot = np.minimum(np.searchsorted(words, distinct), max(0, len(words) - 1))
             hit = (words[slot] == distinct if len(words) else np.zeros(len(distinct), bool))[inverse]
-            base = np.bincount(doc[hit], gain[slot[inverse[hit]]], n) + np.log10(ends + 1.0) - (w.counts + 1) * np.log10(all_of)
+            base = np.bincount(doc[hit], gain[slot[inverse[hit]]], n) + np.log10(ends + 1.0) - (counts + 1) * np.log10(all_of)
             pairs, tf = np.unique(doc[~hit] * len(distinct) + inverse[~hit], return_counts=True)
             at = np.searchsorted(pairs, np.arange(n + 1) * max(1, len(distinct)))
             rare = pa.StructArray.from_arrays([arrays.signed(distinct[pairs % max(1, len(distinct))]), pa.array(tf, pa.int32())], names=["word", "tf"])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("learn"),
-                    pa.array(w.counts + 1),
+            every = pa.array(np.arange(n))
+            waiting.append(
+                (
+                    ids,
+                    np.diff(first),
+                    spelled_score,
+                    batch.column("doc_id").take(every),  # a copy: a part of the batch would hold its texts
+                    batch.column("learn").take(every),
                     pa.array(np.bincount(doc[hit], minlength=n) + int(ends > 0)),
                     pa.array(base),
-                    pa.array(score / np.log(10)),
                     pa.ListArray.from_arrays(pa.array(at, pa.int32()), rare),
-                ],
-                names=["doc_id", "learn", "n_tokens", "n_known", "base", "score", "rare"],
+                )
             )
+            held += len(ids)
+            if held >= ASKED:
+                yield from told()
+                waiting, held = [], 0
+        yield from told()
 
     form = "doc_id long, learn boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:long,tf:int>>"
     scored = stored(plain.mapInArrow(run, form).withColumn("row", F.monotonically_increasing_id()))

@@ -10,7 +10,7 @@ import pytest
 from fixtures_llm import awkward, crc, empty, given, have_given, words
 from pyspark.sql import functions as F
 
-from terrastat.llm import recurrent
+from terrastat.llm import arrays, recurrent
 from terrastat.llm.decontaminate import ItemIndex, benchmark_hits, plain_words
 from terrastat.llm.langid import identify
 from terrastat.llm.quality import ByteNet, learn_quality, quality_scores
@@ -192,6 +192,45 @@ def test_base_scores_equal_plain_counting(spark):
     assert all(np.isfinite(r.score) for r in language_scores(docs, F.lit(False)).collect())
 
 
+def test_distinct_words_are_hashed_once(spark, monkeypatch):
+    """Every byte is inside a word or a blank as the pattern says; the hashes are those of the words as they stand."""
+    texts = [b"", b" ", b"  The the\x0bcat\t", b"", b"cat a\x00b \x00 \xff\xfe The", *[bytes([i, 65, i]) for i in range(256)]]
+    seen, plain = [], arrays.word_hashes
+    monkeypatch.setattr(arrays, "word_hashes", lambda w: seen.append(len(w.starts)) or plain(w))
+    for part in ([], [b""], texts, texts[:5], [b"\n\n"]):
+        w, got = arrays.split_words(part), recurrent.token_stream(part)
+        assert np.array_equal(got.hashes[got.code], plain(w)) and np.array_equal(got.counts, w.counts)
+        words = [x for t in part for x in re.findall(rb"[^\x20\x09-\x0D]+", t.lower())]
+        assert seen.pop() == len(got.hashes) == len(set(words))
+
+
+def test_softmax_without_largest_sums_only_where_powers_stay_finite():
+    net, r = small_net(), np.random.default_rng(6)
+    assert all(calm for _, calm in net.outputs(1.0))
+    given, target, fresh = r.integers(0, 150, (6, 3)), r.integers(0, 150, (6, 3)), np.zeros((6, 3), bool)
+    want = net._window(given, target, fresh, np.zeros((3, recurrent.SIZE), np.float32))[1]
+    log = net.log_probability(np.full((150, recurrent.SIZE), 0.5, np.float32), np.arange(150))
+    net.p["class_bias"] = net.p["class_bias"] + 150  # all alike, so that nothing changes
+    net.p["member_bias1"] = net.p["member_bias1"] - 150
+    assert [calm for _, calm in net.outputs(1.0)][:3] == [False, True, False]
+    got = net._window(given, target, fresh, np.zeros((3, recurrent.SIZE), np.float32))[1]
+    assert all(np.allclose(got[n], want[n], atol=1e-4) for n in got)
+    assert np.allclose(net.log_probability(np.full((150, recurrent.SIZE), 0.5, np.float32), np.arange(150)), log, atol=1e-3)
+
+
+def test_texts_of_several_slices_are_scored_side_by_side(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 7}" for j in range(1 + i % 9))) for i in range(60)] + [(60, None), (61, "")], "doc_id long, text string").coalesce(1)
+    learn = F.col("doc_id") % 2 == 0
+    rows = []
+    for tokens, size in ((recurrent.ASKED, recurrent.SLICE), (40, 30), (1, 1)):
+        monkeypatch.setattr(recurrent, "ASKED", tokens)
+        monkeypatch.setattr(recurrent, "SLICE", size)
+        rows.append({r.doc_id: (r.n_tokens, r.n_known, r.base_score, r.score) for r in language_scores(docs, learn).collect()})
+    assert len(rows[0]) == 62 and all(rows[0].keys() == x.keys() for x in rows)
+    for i, (n, known, base, score) in rows[0].items():
+        assert all(x[i][:2] == (n, known) and np.allclose(x[i][2:], (base, score), rtol=1e-3) for x in rows)
+
+
 def small_net():
     net = Network(np.array([50.0, 3, *(2000 / np.arange(1, 200))]), seed=1, classes=16)
     r = np.random.default_rng(2)
