@@ -209,3 +209,27 @@ def test_trees_grow_in_pieces(spark, monkeypatch):
     assert all(np.array_equal(getattr(whole, c), getattr(pieces, c)) for c in forests.Forest._fields[1:])
     assert forests.left_out_errors(spark, [s], [job]) == pytest.approx([error], rel=1e-12)
     assert forests.MOST_CELLS >= 615_384 * 13
+
+
+def test_nodes_of_an_ensemble_stay_with_their_tasks(spark, monkeypatch):
+    """Members are grown and asked by the same tasks, or read one by one: the driver never has the nodes of all (ml_19_bootstrap_ensemble, 1 GB)."""
+    p = table(300)
+    d = spark.createDataFrame(p).repartition(3)
+    params = {"trees": 12, "depth": 8, "leaf": 1, "subset": "all"}
+    monkeypatch.setattr(learn, "fit_many", None)  # its nodes come to the driver
+    models = learn.bootstrap_models(d, ["id"], list("abcd"), "t", params, 5, 3)
+    near = learn.ensemble_predict(d, models).toPandas().set_index("id").sort_index()
+    weights = np.stack([m.shared.value[0][0].weights for m in models[:1]])[0]
+    s = sample(p, weights=weights.astype(float))
+    each = np.stack([forests.joined(s.features, [forests.grow(s, m.jobs[m.number], 0, 12)]).predict(s.x) for m in models])
+    assert near["mean"].to_numpy() == pytest.approx(each.mean(0)) and near["sd"].to_numpy() == pytest.approx(each.std(0, ddof=1))
+    assert near.columns.tolist() == [*d.drop("id").columns, "mean", "sd"]
+    monkeypatch.setattr(forests, "CHUNK", 64)
+    twice = d.union(d).withColumn("id", F.lit(None).cast("long"))  # keys that are no keys
+    got = learn.ensemble_predict(twice, models).toPandas()
+    assert sorted(got["mean"].round(9)) == sorted([*near["mean"].round(9)] * 2)
+    monkeypatch.setattr(forests, "MOST_CELLS", 100)  # rows that no task could hold
+    far = learn.ensemble_predict(d, models).toPandas().set_index("id").sort_index()
+    assert far["mean"].to_numpy() == pytest.approx(near["mean"].to_numpy()) and far["sd"].to_numpy() == pytest.approx(near["sd"].to_numpy())
+    kept = learn.bootstrap_models(d, ["id"], list("abcd"), "t", params, 2, 5)
+    assert all(isinstance(m, forests.Kept) for m in kept) and kept[0].read().predict(s.x).std() > 0.5
