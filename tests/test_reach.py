@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrastat import session
-from terrastat.operators import blocks, forests, kriging, neighbours, prep, shapley, spatial, summary
-from terrastat.plans import data, mixed_q, registry
+from terrastat.operators import blocks, forests, kriging, learn, neighbours, prep, shapley, spatial, summary
+from terrastat.plans import data, learning_q, mixed_q, registry
 
 
 @pytest.mark.parametrize("k", [1, 8, 32])
@@ -159,3 +159,46 @@ def test_rows_of_many_measures_are_computed_once(spark):
         got = sorted(map(str, measure(counted).collect()))
         assert seen.value - before == 400
         assert got == sorted(map(str, measure(base).collect()))
+
+
+def test_neighbouring_leaves_are_summed_once_per_cell(monkeypatch):
+    """Rows of one cell of a group's cuts share its sum (ml_22_importance_validation, ml_23_dependence_rows, 6 GB)."""
+    rng = np.random.default_rng(12)
+    level = rng.integers(0, 4, 3000)
+    x = np.c_[rng.normal(0, 1, (3000, 2)).round(1), *[(level == i).astype(float) for i in (1, 2, 3)]]
+    cuts = [forests.cuts_of(x[:, f]) for f in range(5)]
+    codes = np.stack([np.searchsorted(c, x[:, f]) for f, c in enumerate(cuts)], axis=1).astype(np.uint8)
+    s = forests.Sample(list("abcde"), x, codes, cuts, x[:, 0] * x[:, 1] + level + rng.normal(0, 0.1, 3000), np.zeros(3000, int), np.zeros((3000, 0)))
+    model = forests.joined(s.features, [forests.grow(s, forests.job_of({"trees": 3, "depth": 8, "leaf": 20, "subset": "all"}, 2), 0, 3)])
+    rows = np.r_[x, [[np.nan, 0.3, 0.0, 1.0, 1.0]]]  # a missing value, and two levels at once
+    seen = []
+    plain = shapley._by_cells
+    monkeypatch.setattr(shapley, "_by_cells", lambda g, edges, digits, cells, *more: seen.append(cells * len(g.value)) or plain(g, edges, digits, cells, *more))
+    found, pairs = shapley.leaves(model), [(0, 1), (1, 3)]
+    together = shapley.values(found, rows), shapley.pair_values(found, rows, pairs)
+    assert sum(seen) < 0.5 * 2 * len(rows) * sum(len(g.value) for g in found)  # not every row with every leaf
+    monkeypatch.setattr(shapley, "MOST_CELLS", 1)
+    alone = shapley.leaves(model)
+    assert max(g.group.max() for g in alone) > max(g.group.max() for g in found)
+    assert shapley.values(alone, rows) == pytest.approx(together[0], abs=1e-12) and shapley.pair_values(alone, rows, pairs) == pytest.approx(together[1], abs=1e-12)
+    assert together[0].sum(axis=1)[:-1] == pytest.approx((model.predict(rows) - shapley.expected(found))[:-1])
+
+
+def test_attributions_are_computed_once(spark, tmp_path, monkeypatch):
+    """Ranks and dependence read the attributions several times (ml_22_importance_validation, ml_23_dependence_rows, 6 GB)."""
+    rng = np.random.default_rng(13)
+    p = pd.DataFrame({"vec_id": np.arange(90), "label": np.arange(90) % 3, "embedding": rng.normal(0, 0.2, (90, 8)).tolist()})
+    spark.createDataFrame(p).repartition(2).write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(learning_q, "FOREST", {"trees": 2, "depth": 3, "leaf": 2, "subset": "all"})
+    seen = spark.sparkContext.accumulator(0)
+    plain = shapley.attribution
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(shapley, "attribution", lambda *args: (phi := plain(*args)).mapInArrow(count, phi.schema))
+    rho = registry.QUERIES["ml_22_importance_validation"](spark, str(tmp_path)).collect()
+    assert len(rho) == 1 and rho[0]["n"] == 6 and seen.value == 90 * 6
+    assert registry.QUERIES["ml_23_dependence_rows"](spark, str(tmp_path)).count() == 3 * 90 and seen.value == 2 * 90 * 6
