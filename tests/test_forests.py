@@ -233,3 +233,36 @@ def test_nodes_of_an_ensemble_stay_with_their_tasks(spark, monkeypatch):
     assert far["mean"].to_numpy() == pytest.approx(near["mean"].to_numpy()) and far["sd"].to_numpy() == pytest.approx(near["sd"].to_numpy())
     kept = learn.bootstrap_models(d, ["id"], list("abcd"), "t", params, 2, 5)
     assert all(isinstance(m, forests.Kept) for m in kept) and kept[0].read().predict(s.x).std() > 0.5
+
+
+def test_trials_share_their_trees(spark, monkeypatch):
+    """Trials that differ in depth, split size or number of trees have trees in common: they grow once, with the errors each trial has alone
+    (ml_17_nested_cv, ml_17_nested_cv_summary, spa_09_rk_nested_cv, spa_11_rk_point_map, 6 GB)."""
+    s = sample(table(500))._replace(weights=np.zeros((500, 0)))
+    kinds = [(5, 6, 2, "all", 2), (9, 4, 7, "all", 2), (3, 12, 25, "all", 2), (4, 12, 25, "all", 1), (6, 3, 4, "sqrt", 3), (4, 9, 4, "log2", 3), (4, 9, 12, "log2", 3), (2, 0, 2, "all", 2)]
+    jobs = [forests.job_of({"trees": t, "depth": d, "split": sp, "leaf": leaf, "subset": sub}, 42, left_out=f) for t, d, sp, sub, leaf in kinds for f in (1, 3)]
+    alike = forests._alike([s], jobs)
+    assert len(alike) == 2 * 4 and sum(whole.trees for whole, _ in alike) == 2 * (9 + 4 + 6 + 4)  # of 37 for each fold
+    want = []
+    for job in jobs:
+        held = s.inner == job.left_out
+        alone = forests.joined(s.features, [forests.grow(s, job, 0, job.trees)])
+        want.append(math.sqrt(((alone.predict(s.x[held]) - s.y[held]) ** 2).mean()))
+    grown = spark.sparkContext.accumulator(0)
+    plain = forests.grow
+    monkeypatch.setattr(forests, "grow", lambda *args, **more: grown.add(args[3] - args[2]) or plain(*args, **more))
+    assert forests.left_out_errors(spark, [s], jobs) == pytest.approx(want, rel=1e-12)
+    assert grown.value == 2 * (9 + 4 + 6 + 4)
+
+
+def test_nodes_of_nested_validation_stay_with_their_tasks(spark, monkeypatch):
+    """Models that only predict never come to the driver (ml_17_nested_cv, spa_09_rk_nested_cv, spa_11_rk_point_map, 6 GB)."""
+    p = table(160)
+    d, params = spark.createDataFrame(p), {"trees": 4, "depth": 5, "leaf": 2, "subset": "all"}
+    plain, = learn.tune_tables([(d, list("abcd"))], ["id"], "t", "inner", 4, [params])
+    monkeypatch.setattr(learn, "fit_many", None)
+    apart, = learn.tune_tables([(d, list("abcd"))], ["id"], "t", "inner", 4, [params], apart=True)
+    want, got = (m.transform(d).toPandas().set_index("id").prediction.sort_index() for m in (plain[0], apart[0]))
+    assert got.to_numpy() == pytest.approx(want.to_numpy()) and got.std() > 0.5
+    pred, _best = learn.nested_cv(d, ["id"], "t", list("abcd"), [], [params], outer=3, inner=2)
+    assert pred.count() == 160 and pred.where("pred is null").count() == 0
